@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .common import ship_package
+from .mixing import op7_hypergeometric_mix
 from .shards import op8_feistel_shards
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op7_hypergeometric_mix,
         op8_feistel_shards,
     )
 }
