@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from .common import ship_package
+from .decontam import ORACLE_OP9, op9_decontaminate
 from .mixing import op7_hypergeometric_mix
 from .shards import op8_feistel_shards
+from .tokens import op1_token_counts
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_token_counts,
         op7_hypergeometric_mix,
         op8_feistel_shards,
+        op9_decontaminate,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_decontaminate": ORACLE_OP9,
+}
 
 ship_package()
