@@ -60,7 +60,8 @@ def contained(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, i
     documents costs rows in proportion to its matches.
     """
     items = item_shingles(bench, item_ident, item_text)
-    found = docs.select(F.col(ident).alias("doc"), F.explode(shingle_hashes(word_array(F.col(text)))).alias("h"))
+    words = docs.select(F.col(ident).alias("doc"), word_array(F.col(text)).alias("w"))  # a column of its own: split once, not for each shingle
+    found = words.select("doc", F.explode(shingle_hashes(F.col("w"))).alias("h"))
     if items.count() <= BROADCAST_ROWS:
         items = F.broadcast(items)
     hits = found.join(items, "h").select("doc", "item", "h", "n_item", "in_sketch", "sketch", "need")
@@ -91,10 +92,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_OP9 = r"""
 WITH t AS (
   SELECT 0 AS kind, item_id AS id, unnest(w) AS x, generate_subscripts(w, 1) AS i, len(w) AS n
-  FROM (SELECT item_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM benchmark)
+  FROM (SELECT item_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark)
   UNION ALL
   SELECT 1, doc_id, unnest(w), generate_subscripts(w, 1), len(w)
-  FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents)
+  FROM (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents)
 ),
 g AS (
   SELECT kind, id, i, n, concat_ws(' ', x, lead(x, 1) OVER o, lead(x, 2) OVER o, lead(x, 3) OVER o, lead(x, 4) OVER o) AS s
