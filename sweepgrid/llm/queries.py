@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import ship_package
 from .decontam import ORACLE_OP9, op9_decontaminate
+from .fertility import op5_tokeniser_fertility
 from .mixing import op7_hypergeometric_mix
 from .shards import op8_feistel_shards
 from .tokens import op1_token_counts
@@ -12,6 +13,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts,
+        op5_tokeniser_fertility,
         op7_hypergeometric_mix,
         op8_feistel_shards,
         op9_decontaminate,
