@@ -8,12 +8,14 @@ from .fertility import op5_tokeniser_fertility
 from .mixing import op7_hypergeometric_mix
 from .shards import op8_feistel_shards
 from .tokens import op1_token_counts
+from .warc import op6_arc_to_warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts,
         op5_tokeniser_fertility,
+        op6_arc_to_warc,
         op7_hypergeometric_mix,
         op8_feistel_shards,
         op9_decontaminate,
