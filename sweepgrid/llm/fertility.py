@@ -140,7 +140,7 @@ def measure(texts: list[bytes], pieces: Pieces) -> list[np.ndarray | list]:
     return [n_words, word_chars, n_symbols, dup_lines, repeat, n_tokens, fallback, np.abs(entropy), share]
 
 
-def quality(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str | None = "lang", bands: dict | None = None, vocabulary: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def quality(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str | None = "lang", bands: dict | None = None, vocabulary: str | None = None, keep: tuple[str, ...] = (), only_kept: bool = False) -> DataFrame:
     """One row per row of docs: ident (and the columns in keep), the counts, ``base_failed``, the
     fertility measures, ``reject_reason`` and ``kept``.
 
@@ -152,8 +152,9 @@ def quality(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: st
 
         vocabulary = public_tokenizers.path(VOCABULARY)
     bands = bands or BANDS
-    kept = list(dict.fromkeys([ident, *keep]))
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
+    own = list(dict.fromkeys([ident, *keep]))
+    kept = [f"__sg_k{i}" for i in range(len(own))]  # names of their own: a column of docs may be called as a measure
+    fields = [f"`{k}` {docs.schema[c].dataType.simpleString()}" for k, c in zip(kept, own, strict=True)]
     language = F.col(lang) if lang else F.lit(None).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +169,7 @@ def quality(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: st
                 done += len(some)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept) + 1], *map(pa.array, got)], names=[*kept, "__sg_lang", *(x.split()[0] for x in MEASURES.split(", "))])
 
-    rows = docs.select(*kept, language.alias("__sg_lang"), F.col(text).alias("__sg_text"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(k) for k, c in zip(kept, own, strict=True)), language.alias("__sg_lang"), F.col(text).alias("__sg_text"))
     got = rows.mapInArrow(run, ", ".join([*fields, "__sg_lang string", MEASURES]))
     named = [b for b in bands if b not in ("latin", "other")]
     band = F.when(F.col("__sg_lang").isin(named), F.col("__sg_lang")).when(F.col("latin_share") >= 0.5, "latin").otherwise("other")
@@ -191,7 +192,16 @@ def quality(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: st
         .when(F.col("chars_per_token") > limit("top"), "many characters per token")
         .when(F.col("fallback_share") > limit("fallback"), "byte fallback")
     )
-    return got.withColumns({"base_failed": failed, "reject_reason": reason}).withColumn("kept", F.col("reject_reason").isNull()).drop("__sg_lang")
+    got = got.withColumns({"base_failed": failed, "reject_reason": reason}).withColumn("kept", F.col("reject_reason").isNull()).drop("__sg_lang")
+    if only_kept:
+        return got.where("kept").select(*(F.col(k).alias(c) for k, c in zip(kept, own, strict=True)))
+    return got.withColumnsRenamed(dict(zip(kept, own, strict=True)))
+
+
+def quality_rows(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str | None = "lang", bands: dict | None = None, vocabulary: str | None = None) -> DataFrame:
+    """The rows of docs that the rules keep, with their columns."""
+    got = quality(docs, ident, text, lang, bands, vocabulary, tuple(docs.columns), only_kept=True)
+    return got.select(*(f"`{c}`" for c in docs.columns))
 
 
 def op5_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

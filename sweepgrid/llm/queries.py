@@ -6,6 +6,7 @@ from .common import ship_package
 from .decontam import ORACLE_OP9, op9_decontaminate
 from .fertility import op5_tokeniser_fertility
 from .mixing import op7_hypergeometric_mix
+from .probminhash import op4_near_duplicates
 from .shards import op8_feistel_shards
 from .tokens import op1_token_counts
 from .warc import op6_arc_to_warc
@@ -14,6 +15,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts,
+        op4_near_duplicates,
         op5_tokeniser_fertility,
         op6_arc_to_warc,
         op7_hypergeometric_mix,
