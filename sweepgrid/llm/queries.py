@@ -8,6 +8,8 @@ from .fertility import op5_tokeniser_fertility
 from .mixing import op7_hypergeometric_mix
 from .probminhash import op4_near_duplicates
 from .shards import op8_feistel_shards
+from .substr_tree import op2_substring_dedup
+from .suffixsort import op10_suffix_array_dedup
 from .tokens import op1_token_counts
 from .warc import op6_arc_to_warc
 
@@ -15,12 +17,14 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts,
+        op2_substring_dedup,
         op4_near_duplicates,
         op5_tokeniser_fertility,
         op6_arc_to_warc,
         op7_hypergeometric_mix,
         op8_feistel_shards,
         op9_decontaminate,
+        op10_suffix_array_dedup,
     )
 }
 ORACLE: dict[str, str] = {
