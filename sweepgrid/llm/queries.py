@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import ship_package
+from .ctxmix import op3_context_mixing
 from .decontam import ORACLE_OP9, op9_decontaminate
 from .fertility import op5_tokeniser_fertility
 from .mixing import op7_hypergeometric_mix
@@ -18,6 +19,7 @@ QUERIES = {
     for f in (
         op1_token_counts,
         op2_substring_dedup,
+        op3_context_mixing,
         op4_near_duplicates,
         op5_tokeniser_fertility,
         op6_arc_to_warc,
