@@ -29,7 +29,7 @@ CLASS_BITS = 12
 #: Slots of the tables (as powers of two): endings, word before. Their sizes bound what is broadcast (about 8 MB).
 ENDING_BITS, WORD_BITS = 20, 21
 #: Tokens after which weights and the learning predictor start anew; also the number of steps of a batch.
-SEGMENT = 512
+SEGMENT = 256
 #: Texts worked on at once; each segment holds a predictor of 16 KB, so the number of texts is bounded too.
 BATCH_BYTES, BATCH_TEXTS = 2_000_000, 2000
 #: Parts of the tables, and tables added up by one task.
@@ -150,6 +150,15 @@ def trained_tables(docs: DataFrame) -> dict[str, np.ndarray]:
     return {"node": logit(sums[0]), "ending": logit(sums[1]), "word": logit(sums[2]), "known": (seen > 0).astype(np.uint8) + (seen > 8)}
 
 
+def unpacked(tables: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Tables in single precision, the word predictor in two columns: well known, and hardly known."""
+    word = np.zeros((len(tables["word"]), 2), np.float32)
+    for column, known in enumerate((2, 1)):
+        some = tables["known"] == known
+        word[some, column] = tables["word"][some]
+    return {"node": tables["node"].astype(np.float32), "ending": tables["ending"].astype(np.float32), "word": word, "size": tables.get("size")}
+
+
 def mixed_log10(t: Tokens, tables: dict[str, np.ndarray]) -> np.ndarray:
     """log10 of each token's class probability."""
     n = len(t.h)
@@ -162,40 +171,49 @@ def mixed_log10(t: Tokens, tables: dict[str, np.ndarray]) -> np.ndarray:
     rank = np.empty(len(by), np.int64)
     rank[by] = np.arange(len(by))
     step = place % SEGMENT
-    order = np.lexsort((rank[seg], step))
-    cls, many = t.cls[order], np.bincount(step)
-    node = [(np.int64(1) << i) | (cls >> (CLASS_BITS - i)) for i in range(CLASS_BITS)]
-    s0 = [tables["node"][x].astype(np.float32) for x in node]
-    s1 = [tables["ending"][s].astype(np.float32) for s, _ in bit_slots(cls, t.ending[order], ENDING_BITS)]
-    s2, gate = [], []
-    for s, _ in bit_slots(cls, t.word[order], WORD_BITS):
-        s2.append(tables["word"][s].astype(np.float32))
-        gate.append(tables["known"][s])
+    # At each step the active segments are those of the first ranks, so a token's place follows without a sort.
+    many, order = np.bincount(step), np.empty(n, np.int64)
+    order[(np.cumsum(many) - many)[step] + rank[seg]] = np.arange(n)
+    cls, row = t.cls[order], rank[seg][order]
     segments = len(by)
-    weights = [np.repeat(np.array([w], np.float32), CLASS_BITS * 3 * segments) for w in START_WEIGHTS]
-    own = np.tile(tables["node"].astype(np.float32), segments)
+    # For each bit and token: the inputs from tables, the sign of the bit, the place of the learning predictor. The word
+    # predictor stands in one of two inputs, by how well its context is known, and so has a weight for either case.
+    inputs = np.empty((4, CLASS_BITS, n), np.float32)
+    sign, place_own = np.empty((CLASS_BITS, n), np.float32), np.empty((CLASS_BITS, n), np.int64)
+    slots = zip(bit_slots(cls, t.ending[order], ENDING_BITS), bit_slots(cls, t.word[order], WORD_BITS), strict=True)
+    for i, ((ending, bit), (word, _)) in enumerate(slots):
+        node = (np.int64(1) << i) | (cls >> (CLASS_BITS - i))
+        tables["node"].take(node, out=inputs[0, i])
+        tables["ending"].take(ending, out=inputs[1, i])
+        both = tables["word"].take(word, axis=0)
+        inputs[2, i], inputs[3, i] = both[:, 0], both[:, 1]
+        sign[i] = bit * 2 - 1
+        place_own[i] = row << CLASS_BITS | node
+    # Active segments are always the first ones, so the weights of a step are plain slices.
+    weights = np.empty((5, CLASS_BITS, segments), np.float32)
+    weights[:] = np.array(START_WEIGHTS, np.float32)[[0, 1, 2, 2, 3], None, None]
+    own = np.tile(tables["node"], segments)
     prob = np.empty(n)
-    row = np.arange(segments, dtype=np.int64)
     at = 0
     for k in many.tolist():
         here = slice(at, at + k)
-        seg_row = row[:k]
-        p_token = np.ones(k)
-        c = cls[here]
+        p_token = np.ones(k, np.float32)
         for i in range(CLASS_BITS):
-            x = seg_row << CLASS_BITS | node[i][here]
-            g = (gate[i][here].astype(np.int64) + 3 * i) * segments + seg_row
-            inputs = (s0[i][here], s1[i][here], s2[i][here], own[x])
-            w = [v[g] for v in weights]
-            dot = w[0] * inputs[0] + w[1] * inputs[1] + w[2] * inputs[2] + w[3] * inputs[3]
-            sign = (((c >> (CLASS_BITS - 1 - i)) & 1) * 2 - 1).astype(np.float32)
-            p = 1.0 / (1.0 + np.exp(-np.clip(sign * dot, -25, 25)))
+            x, s = place_own[i, here], sign[i, here]
+            d = own[x]
+            w = weights[:, i, :k]
+            v = (*inputs[:, i, here], d)
+            dot = w[0] * v[0]
+            for j in range(1, 5):
+                dot += w[j] * v[j]
+            dot *= s
+            p = 1.0 / (1.0 + np.exp(-np.maximum(dot, -25.0)))
             p_token *= p
-            err = sign * (1.0 - p) * np.float32(LEARN)
-            for v, old, s in zip(weights, w, inputs, strict=True):
-                v[g] = old + err * s
-            mine = inputs[3]
-            own[x] = mine + np.float32(LEARN_OWN) * sign / (1.0 + np.exp(np.clip(sign * mine, -25, 25)))
+            err = (1.0 - p) * s
+            err *= np.float32(LEARN)
+            for j in range(5):
+                w[j] += err * v[j]
+            own[x] = d + np.float32(LEARN_OWN) * s / (1.0 + np.exp(s * d))
         prob[here] = p_token
         at += k
     out = np.empty(n)
@@ -299,8 +317,8 @@ def score_documents(docs: DataFrame, ident: str = "doc_id", text: str = "text")
 
     def run(key: tuple, table_: pa.Table, replies: pa.Table) -> pa.Table:
         ids, texts = rows_of(table_)
-        tables = model.value
-        h, _, _ = _chunk_words(ids, texts)
+        tables = unpacked(model.value)
+        h = np.append(np.unique(Words(texts, lower=True).h), np.uint64(0x1234567))  # in the order asked
         count = np.zeros(len(h))
         parts = dict(split_by((mix64(h) % np.uint64(n)).astype(np.int64)))
         for bucket, m in zip(replies.column("origin").to_pylist(), replies.column("msg"), strict=True):
