@@ -1 +1,148 @@
-"""To come."""
+"""Geometry, masks, sampling of images, and the whole chains."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import geometry, polar, recon
+from . import query
+from .carriers import frames, read, rnd
+from .carriers import polar as stack_of
+
+
+def _calibs(spark: SparkSession) -> DataFrame:
+    i = F.col("id")
+    return spark.range(60).select(
+        i.cast("int").alias("i"), F.lit(512).alias("image_height"), (i + 400.0).alias("r_max_pix"), F.when(i % 4 == 0, None).otherwise(F.lit(0.5) * i).alias("depth_mm"),
+        F.when(i % 5 == 0, None).otherwise((i + 200).cast("int")).alias("n_rows_mask"),
+        F.when(i % 3 == 0, None).otherwise(0.02 * i - 0.5).alias("phi0_mask"), F.when(i % 3 == 0, None).otherwise(0.7 - 0.03 * i).alias("phi1_mask"),
+    )
+
+
+CALIBS = """cal AS (SELECT CAST(i AS INT) AS i, i + 400.0 AS r_max_pix, CASE WHEN i % 4 = 0 THEN NULL ELSE 0.5 * i END AS depth_mm, CASE WHEN i % 5 = 0 THEN 512 ELSE i + 200 END AS rows_eff,
+  CASE WHEN i % 3 = 0 THEN NULL ELSE least(0.02 * i - 0.5, 0.7 - 0.03 * i) END AS lo, CASE WHEN i % 3 = 0 THEN NULL ELSE greatest(0.02 * i - 0.5, 0.7 - 0.03 * i) END AS hi FROM range(60) t(i)),
+geo AS (SELECT i, CAST(rows_eff AS INT) AS rows_eff, coalesce(nullif(depth_mm, 0), 48.0) AS depth, coalesce(CASE WHEN lo < 0 THEN 0 ELSE lo END, 0) AS phi0, coalesce(CASE WHEN lo < 0 THEN hi - lo ELSE hi END, radians(CAST(52 AS DOUBLE))) AS phi1, r_max_pix FROM cal)"""
+
+
+@query(f"WITH {CALIBS} SELECT i, rows_eff, round(CAST(depth AS DOUBLE), 6) AS depth, round(CAST(phi0 AS DOUBLE), 6) + 0.0 AS phi0, round(CAST(phi1 AS DOUBLE), 6) + 0.0 AS phi1, round(CAST((phi1 - phi0) / (rows_eff - 1) AS DOUBLE), 9) + 0.0 AS dphi, round(CAST(depth / r_max_pix AS DOUBLE), 9) AS dr FROM geo")
+def geometry_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = geometry.geometry(_calibs(spark))
+    return g.select("i", "rows_eff", *(rnd(c).alias(c) for c in ("depth", "phi0", "phi1")), rnd("dphi", 9).alias("dphi"), rnd("dr", 9).alias("dr"))
+
+
+@query("""SELECT CAST(i AS INT) AS i, round(CAST(CASE WHEN i % 3 = 0 THEN -radians(CAST(26 AS DOUBLE)) ELSE least(0.02 * i - 0.5, 0.7 - 0.03 * i) END AS DOUBLE), 6) + 0.0 AS phi0,
+round(CAST(CASE WHEN i % 3 = 0 THEN radians(CAST(26 AS DOUBLE)) ELSE greatest(0.02 * i - 0.5, 0.7 - 0.03 * i) END AS DOUBLE), 6) + 0.0 AS phi1 FROM range(60) t(i)""")
+def v2_geometry_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = geometry.geometry(_calibs(spark), older=True)
+    return g.select("i", rnd("phi0").alias("phi0"), rnd("phi1").alias("phi1"))
+
+
+@query(f"WITH {CALIBS} SELECT i, CAST(d AS DOUBLE) AS r_mm, round(CAST(d * (phi1 - phi0) AS DOUBLE), 6) + 0.0 AS arc_mm, round(CAST(d * (phi1 - phi0) / (rows_eff - 1) AS DOUBLE), 9) + 0.0 AS lateral_mm FROM geo, (VALUES (10.0), (20.0), (30.0), (40.0)) v(d)")
+def lateral_resolution_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    depths = spark.range(1, 5).select((F.col("id") * 10.0).alias("r_mm"))
+    got = geometry.lateral_resolution(geometry.geometry(_calibs(spark)), depths)
+    return got.select("i", "r_mm", rnd("arc_mm").alias("arc_mm"), rnd("lateral_mm", 9).alias("lateral_mm"))
+
+
+def _image(spark: SparkSession, frames_: int = 2, h: int = 40, w: int = 48) -> DataFrame:
+    i = F.col("id")
+    px = spark.range(frames_ * h * w).select(F.expr(f"cast(id div {h * w} as int)").alias("k"), F.expr(f"cast((id div {w}) % {h} as int)").alias("y"), (i % w).cast("int").alias("x"))
+    return px.withColumn("v", ((F.col("y") * 7 + F.col("x") * 13 + F.col("k") * 29) % 256).cast("double"))
+
+
+@query("""WITH px AS (SELECT CAST(k AS INT) AS k, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST((y * 7 + x * 13 + k * 29) % 256 AS DOUBLE) AS v FROM range(2) a(k), range(40) b(y), range(48) c(x)),
+g AS (SELECT CAST(r AS INT) AS r, CAST(p AS INT) AS p, 4.0 + (30.0 * r / 29) * cos(0.1 + 0.8 * p / 19) AS sx, 2.0 + (30.0 * r / 29) * sin(0.1 + 0.8 * p / 19) AS sy FROM range(30) a(r), range(20) b(p)),
+t AS (SELECT r, p, CAST(floor(sx) AS INT) + a AS x, CAST(floor(sy) AS INT) + b AS y, (CASE a WHEN 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) * (CASE b WHEN 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) AS w FROM g, range(2) c(a), range(2) d(b)),
+m AS (SELECT k, r, p, sum(w * v) AS v FROM t JOIN px USING (x, y) GROUP BY 1, 2, 3)
+SELECT f.k, g.r, g.p, round(CAST(coalesce(v, 0) AS DOUBLE), 5) + 0.0 AS v FROM g CROSS JOIN (SELECT CAST(k AS INT) AS k FROM range(2) e(k)) f LEFT JOIN m ON m.k = f.k AND m.r = g.r AND m.p = g.p""")
+def polar_grid_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = polar.sampling_grid(spark, (4.0, 2.0), 0.1, 0.9, 30.0, 20)
+    return polar.bilinear(_image(spark), grid).select("k", "r", "p", rnd("v", 5).alias("v"))
+
+
+@query("""WITH g AS (SELECT CAST(r AS INT) AS r, CAST(p AS INT) AS p, 4.0 + (30.0 * r / 29) * cos(0.1 + 0.8 * p / 19) AS sx, 2.0 + (30.0 * r / 29) * sin(0.1 + 0.8 * p / 19) AS sy FROM range(30) a(r), range(20) b(p))
+SELECT r, p FROM g WHERE round_even(CAST(sx AS DOUBLE), 0) BETWEEN 0 AND 47 AND round_even(CAST(sy AS DOUBLE), 0) BETWEEN 0 AND 39 AND (round_even(CAST(sx AS DOUBLE), 0) * 3 + round_even(CAST(sy AS DOUBLE), 0) * 5) % 4 < 3""")
+def mask_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = polar.sampling_grid(spark, (4.0, 2.0), 0.1, 0.9, 30.0, 20)
+    return polar.nearest_mask(_image(spark, 1).where("(x * 3 + y * 5) % 4 < 3"), grid)
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST((299 * (l_partkey % 256) + 587 * (l_suppkey % 256) + 114 * (l_orderkey % 256) + 500) // 1000 AS INT) AS gray FROM lineitem")
+def gray_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, g, r = (F.col(c) % 256 for c in ("l_partkey", "l_suppkey", "l_orderkey"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", polar.gray(b, g, r).alias("gray"))
+
+
+W, H, R, FAN = 260, 256, 220.0, 26.0
+CONE = f"cone AS (SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM range({W}) a(x), range({H}) b(y) WHERE x >= 20 AND sqrt((x - 20.0) ** 2 + (y - 128.0) ** 2) <= {R} AND abs(y - 128.0) <= (x - 20.0) * tan(radians(CAST({FAN} AS DOUBLE))))"
+
+
+def _cone(spark: SparkSession) -> DataFrame:
+    px = spark.range(W * H).select((F.col("id") % W).cast("int").alias("x"), F.expr(f"cast(id div {W} as int)").alias("y"))
+    return px.where(f"x >= 20 AND sqrt(pow(x - 20.0D, 2) + pow(y - 128.0D, 2)) <= {R} AND abs(y - 128.0D) <= (x - 20.0D) * {math.tan(math.radians(FAN))!r}D")
+
+
+@query(f"""WITH {CONE}, c AS (SELECT x, min(y) AS lo, max(y) AS hi FROM cone GROUP BY x), m AS (SELECT min(x) AS x0 FROM cone)
+SELECT (SELECT count(DISTINCT y) FROM cone) AS n_rows_mask, CAST(any_value(x0) AS DOUBLE) AS seed_x, round(avg(0.5 * (lo + hi)), 6) AS seed_y FROM c, m WHERE x < x0 + 5""")
+def mask_rows_apex_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry.mask_rows(_cone(spark)).select("n_rows_mask", "seed_x", rnd("seed_y").alias("seed_y"))
+
+
+@query("""WITH p AS (SELECT l_returnflag AS side, CAST(l_quantity AS DOUBLE) AS x, l_quantity * (CASE l_returnflag WHEN 'A' THEN 0.3 WHEN 'N' THEN -0.5 ELSE 0.1 END) + l_discount AS y FROM lineitem),
+s AS (SELECT side, avg(x) AS px, avg(y) AS py, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS t, count(*) AS n FROM p GROUP BY side)
+SELECT side, round(px, 6) AS px, round(py, 6) + 0.0 AS py, round(cos(t), 6) AS vx, round(sin(t), 6) + 0.0 AS vy, n FROM s""")
+def tls_line_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slope = F.when(F.col("l_returnflag") == "A", 0.3).when(F.col("l_returnflag") == "N", -0.5).otherwise(0.1)
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("side"), F.col("l_quantity").alias("x"), (F.col("l_quantity") * slope + F.col("l_discount")).alias("y"))
+    return geometry.line_fit(rows, ["side"]).select("side", *(rnd(c).alias(c) for c in ("px", "py", "vx", "vy")), "n")
+
+
+@query()
+def mask_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cone with a detached blob: the record should name apex (20, 128), +-26 degrees and radius 220."""
+    blob = _cone(spark).sparkSession.range(30).select((F.col("id") % 6).cast("int").alias("x"), F.expr("cast(id div 6 as int)").alias("y"))
+    got = geometry.calibrate(_cone(spark).unionByName(blob), W, H)
+    return got.select(*(rnd(c, 3).alias(c) for c in ("apex_x", "apex_y", "r_max_pix", "phi0_mask", "phi1_mask", "mask_fan_angle_deg")), "n_rows_mask", "image_height", "image_width")
+
+
+@query(f"WITH {CONE}, s AS (SELECT y, max(x) - min(x) + 1 AS n FROM cone GROUP BY y HAVING count(*) >= 2) SELECT CAST(d AS DOUBLE) AS r_mm, CAST(0 AS DOUBLE) AS err FROM s JOIN (VALUES (10, 151), (20, 174), (30, 197), (40, 220)) v(d, y) USING (y)")
+def row_arc_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = geometry.row_arc_error(_cone(spark), (20.0, 128.0), math.asin(0.5022), 0.0036, 48.0 / R, H)
+    return got.select("r_mm", rnd("err").alias("err"))
+
+
+@query("""WITH v AS (SELECT l_orderkey % 9 AS dx, l_partkey % 5 AS dy, CASE l_linenumber % 3 WHEN 0 THEN 12.0 WHEN 1 THEN 24.0 ELSE 36.0 END AS r FROM lineitem WHERE l_quantity > 30),
+d AS (SELECT DISTINCT dx, dy, r FROM v WHERE (dx * 7 + dy * 3 + CAST(r AS INT)) % 5 <> 0), s AS (SELECT dx, dy, CASE WHEN count(*) >= 2 THEN var_pop(r) END AS var FROM d GROUP BY dx, dy)
+SELECT dx, dy, round(var, 6) AS var FROM s WHERE var IS NOT NULL ORDER BY var, dx, dy LIMIT 1""")
+def apex_micro_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber") % 3
+    r = F.when(n == 0, 12.0).when(n == 1, 24.0).otherwise(36.0)
+    rows = read(spark, sf_dir, "lineitem").where("l_quantity > 30").select((F.col("l_orderkey") % 9).alias("dx"), (F.col("l_partkey") % 5).alias("dy"), r.alias("r"))
+    valid = rows.distinct().where((F.col("dx") * 7 + F.col("dy") * 3 + F.col("r").cast("int")) % 5 != 0)
+    scored = valid.groupBy("dx", "dy").agg(F.when(F.count(F.lit(1)) >= 2, F.var_pop("r")).alias("var"))
+    return geometry.pick_offset(scored).select("dx", "dy", rnd("var").alias("var"))
+
+
+@query(f"SELECT CAST(min(s) AS BIGINT) AS first_slab, CAST(max(s) AS BIGINT) AS last_slab, count(*) AS n_valid FROM (SELECT a // 4 AS s, -20.0 + 40.0 * a / 19 AS x, -20.0 + 40.0 * b / 19 AS y, -20.0 + 40.0 * c / 19 AS z FROM range(20) t1(a), range(20) t2(b), range(20) t3(c)) WHERE sqrt(x ** 2 + y ** 2 + z ** 2) <= 20 AND atan2(sqrt(y ** 2 + z ** 2), x) BETWEEN 0 AND radians(CAST(52 AS DOUBLE))")
+def valid_slabs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fan = recon.Fan(20.0, 0.0, math.radians(52.0), 16, 64)
+    return recon.slab_bounds(recon.valid_cells(spark, fan, 2.0), 4)
+
+
+@query()
+def spline_resample_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stack = stack_of(spark, sf_dir)
+    fan = recon.Fan(20.0, 0.0, math.radians(52.0), 16, 64)
+    return recon.resample(spark, stack, fan, frames(stack), 2.0, order=3, sigma_deg=6.0).select("ix", "iy", "iz", rnd("v", 4).alias("v"))
+
+
+@query()
+def full_sweep_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..plans.sweep import SweepOptions, reconstruct
+
+    stack = stack_of(spark, sf_dir)
+    got = reconstruct(spark, stack, recon.Fan(20.0, 0.0, math.radians(52.0), 16, 64), SweepOptions(voxel_mm=2.0))
+    return got.voxels.select("ix", "iy", "iz", rnd("v", 4).alias("v"))
