@@ -83,12 +83,16 @@ def bit_slots(tokens_cls: np.ndarray, context: np.ndarray, bits: int) -> Iterato
 
 def count_tables(t: Tokens) -> list[np.ndarray]:
     """Counts of zero and one bits by slot: order 0, endings, word."""
-    out = []
-    node = np.concatenate([((np.int64(1) << i) | (t.cls >> (CLASS_BITS - i))) << 1 | (t.cls >> (CLASS_BITS - 1 - i)) & 1 for i in range(CLASS_BITS)])
-    out.append(np.bincount(node, minlength=2 << CLASS_BITS))
+    n = len(t.cls)
+    at = np.empty((CLASS_BITS, n), np.int64)
+    for i in range(CLASS_BITS):
+        at[i] = (np.int64(2) << i) | t.cls >> (CLASS_BITS - 1 - i)  # the node and then the bit
+    out = [np.bincount(at.ravel(), minlength=2 << CLASS_BITS)]
     for context, bits in ((t.ending, ENDING_BITS), (t.word, WORD_BITS)):
-        at = np.concatenate([s << 1 | b for s, b in bit_slots(t.cls, context, bits)])
-        out.append(np.bincount(at, minlength=2 << bits))
+        for i, (slot, bit) in enumerate(bit_slots(t.cls, context, bits)):
+            np.left_shift(slot, 1, out=at[i])
+            at[i] |= bit
+        out.append(np.bincount(at.ravel(), minlength=2 << bits))
     return out
 
 
@@ -235,9 +239,12 @@ def _batches(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[bytes]]
 def _vocabulary(texts: list[bytes], train: list[bool]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """Distinct words of some texts (and the end) by hash: hashes, words, counts in training texts."""
     words = Words(texts, lower=True)
-    h, first, which = np.unique(words.h, return_index=True, return_inverse=True)
-    flags = np.array(train, bool)[words.doc] if len(words.h) else np.zeros(0, bool)
-    count = np.bincount(which[flags], minlength=len(h))
+    order = np.argsort(words.h)
+    sorted_ = words.h[order]
+    head = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(order) else np.zeros(0, np.int64)
+    h, first = sorted_[head], order[head]
+    flags = np.array(train, np.int64)[words.doc[order]] if len(order) else np.zeros(0, np.int64)
+    count = np.add.reduceat(flags, head) if len(head) else np.zeros(0, np.int64)
     listed = [words.data[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
     return h, listed, count
 
