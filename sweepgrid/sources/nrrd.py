@@ -67,7 +67,9 @@ class _Reader(DataSourceReader):
         name = os.path.basename(partition.path).removesuffix(".nrrd")
         for x in range(a.shape[0]):
             y, z = np.nonzero(a[x]) if not self.keep_zeros else np.indices(a[x].shape).reshape(2, -1)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(y)), pa.array(np.full(len(y), x, np.int32)), pa.array(y.astype(np.int32)), pa.array(z.astype(np.int32)), pa.array(a[x][y, z].astype(float))], names=["vol_id", "ix", "iy", "iz", "v"])
+            if not len(y):
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(y), pa.string()), pa.array(np.full(len(y), x, np.int32)), pa.array(y.astype(np.int32)), pa.array(z.astype(np.int32)), pa.array(a[x][y, z].astype(float))], names=["vol_id", "ix", "iy", "iz", "v"])
 
 
 @dataclass
