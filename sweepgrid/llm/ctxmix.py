@@ -75,10 +75,15 @@ class Tokens:
 
 def bit_slots(tokens_cls: np.ndarray, context: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(slot, bit) of each class bit, most significant first."""
+    cls, low = tokens_cls.astype(np.uint32), (context >> np.uint64(32)).astype(np.uint32)
     for i in range(CLASS_BITS):
-        node = (np.int64(1) << i) | (tokens_cls >> (CLASS_BITS - i))
-        x = (context ^ node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
-        yield (x >> np.uint64(64 - bits)).astype(np.int64), (tokens_cls >> (CLASS_BITS - 1 - i)) & 1
+        x = cls >> np.uint32(CLASS_BITS - i)
+        x |= np.uint32(1 << i)
+        x *= np.uint32(0x9E3779B1)
+        x ^= low
+        x *= np.uint32(0x85EBCA6B)
+        x >>= np.uint32(32 - bits)
+        yield x.astype(np.int64), (cls >> np.uint32(CLASS_BITS - 1 - i)) & np.uint32(1)
 
 
 def count_tables(t: Tokens) -> list[np.ndarray]:
@@ -91,7 +96,7 @@ def count_tables(t: Tokens) -> list[np.ndarray]:
     for context, bits in ((t.ending, ENDING_BITS), (t.word, WORD_BITS)):
         for i, (slot, bit) in enumerate(bit_slots(t.cls, context, bits)):
             np.left_shift(slot, 1, out=at[i])
-            at[i] |= bit
+            at[i] |= bit.astype(np.int64)
         out.append(np.bincount(at.ravel(), minlength=2 << bits))
     return out
 
@@ -187,17 +192,19 @@ def mixed_log10(t: Tokens, tables: dict[str, np.ndarray]) -> np.ndarray:
     slots = zip(bit_slots(cls, t.ending[order], ENDING_BITS), bit_slots(cls, t.word[order], WORD_BITS), strict=True)
     for i, ((ending, bit), (word, _)) in enumerate(slots):
         node = (np.int64(1) << i) | (cls >> (CLASS_BITS - i))
-        tables["node"].take(node, out=inputs[0, i])
-        tables["ending"].take(ending, out=inputs[1, i])
+        # All places are inside their tables; "clip" only spares the check.
+        tables["node"].take(node, out=inputs[0, i], mode="clip")
+        tables["ending"].take(ending, out=inputs[1, i], mode="clip")
         both = tables["word"].take(word, axis=0)
         inputs[2, i], inputs[3, i] = both[:, 0], both[:, 1]
-        sign[i] = bit * 2 - 1
+        np.subtract(np.multiply(bit, np.float32(2)), np.float32(1), out=sign[i])
         place_own[i] = row << CLASS_BITS | node
     # Active segments are always the first ones, so the weights of a step are plain slices.
     weights = np.empty((5, CLASS_BITS, segments), np.float32)
     weights[:] = np.array(START_WEIGHTS, np.float32)[[0, 1, 2, 2, 3], None, None]
     own = np.tile(tables["node"], segments)
     prob = np.empty(n)
+    one, low, rate, own_rate = np.float32(1), np.float32(-25), np.float32(LEARN), np.float32(LEARN_OWN)
     at = 0
     for k in many.tolist():
         here = slice(at, at + k)
@@ -211,13 +218,22 @@ def mixed_log10(t: Tokens, tables: dict[str, np.ndarray]) -> np.ndarray:
             for j in range(1, 5):
                 dot += w[j] * v[j]
             dot *= s
-            p = 1.0 / (1.0 + np.exp(-np.maximum(dot, -25.0)))
+            np.maximum(dot, low, out=dot)
+            p = np.exp(np.negative(dot, out=dot), out=dot)  # of the bit that comes: 1 / (1 + exp(-dot))
+            p += one
+            np.reciprocal(p, out=p)
             p_token *= p
-            err = (1.0 - p) * s
-            err *= np.float32(LEARN)
+            err = one - p
+            err *= s
+            err *= rate
             for j in range(5):
                 w[j] += err * v[j]
-            own[x] = d + np.float32(LEARN_OWN) * s / (1.0 + np.exp(s * d))
+            move = np.exp(s * d)
+            move += one
+            np.divide(s, move, out=move)
+            move *= own_rate
+            move += d
+            own[x] = move
         prob[here] = p_token
         at += k
     out = np.empty(n)
