@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-from . import cloud, mesh, names, preprocess, seam, volume  # noqa: E402, F401
+from . import chains, cloud, mesh, names, preprocess, seam, volume  # noqa: E402, F401

@@ -79,7 +79,7 @@ def vtk_polydata(points: list, triangles: list, scalars: dict[str, list]) -> byt
 
 
 def write_slices(voxels: DataFrame, path: str, basename: str, axis: str, shape: tuple[int, int, int], bits: int = 8) -> DataFrame:
-    """One image per slice (PGM), quantized by its own range: (name, bytes) as files through Spark's binary-safe text writer.
+    """One PNG image per slice, quantized by its own range, as rows (name, data) of a Parquet table.
 
     Returns the table (name, h, w, n) of what was written.
     """
@@ -87,23 +87,40 @@ def write_slices(voxels: DataFrame, path: str, basename: str, axis: str, shape:
     import pandas as pd
 
     from ..operators.volume import AXES, min_max_quantize
+    from . import png
 
     other = [a for a in AXES if a != axis]
     h, w = (shape[AXES.index(a)] for a in other)
-    top = 255 if bits == 8 else 65535
     rows = min_max_quantize(voxels, "v", bits, by=[axis]).groupBy(axis).agg(F.collect_list(F.struct(*other, "q")).alias("px"))
 
     def run(batches):
         for b in batches:
             names, datas = [], []
             for i, px in zip(b[axis], b["px"], strict=True):
-                a = np.zeros((h, w), np.uint8 if bits == 8 else ">u2")
+                a = np.zeros((h, w), np.uint8 if bits == 8 else np.uint16)
                 for x in px:
                     a[x[other[0]], x[other[1]]] = x["q"]
-                names.append(f"{basename}_{i:04d}.pgm")
-                datas.append(f"P5\n{w} {h}\n{top}\n".encode() + a.tobytes())
+                names.append(f"{basename}_{i:04d}.png")
+                datas.append(png.encode(a))
             yield pd.DataFrame({"name": names, "data": datas})
 
     images = rows.mapInPandas(run, "name string, data binary")
     images.write.mode("overwrite").parquet(path)
     return voxels.sparkSession.read.parquet(path).select("name", F.lit(h).alias("h"), F.lit(w).alias("w"), F.length("data").alias("n"))
+
+
+def first_by_name(nodes: DataFrame, name: str) -> DataFrame:
+    """The node called name, else the first of all; nothing without nodes."""
+    best = nodes.agg(F.min(F.struct((F.col("name") != name).cast("int").alias("other"), F.col("name"))).alias("b")).select("b.name")
+    return nodes.join(F.broadcast(best), "name")
+
+
+def containing(nodes: DataFrame, base: str) -> DataFrame:
+    """All nodes whose name contains base: what is saved together."""
+    return nodes.where(F.contains("name", F.lit(base)))
+
+
+def stack_summary(frames: DataFrame) -> DataFrame:
+    """One line of text per scan: how many frames of which size and range."""
+    got = frames.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"), F.max("height").alias("h"), F.max("width").alias("w"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return got.select("scan_id", F.format_string("%d frames, %d x %d, values %.1f to %.1f", "n", "h", "w", "lo", "hi").alias("summary"))
