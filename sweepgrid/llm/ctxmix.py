@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, mix64, table, text_bytes
-from .repeats import CHUNK_BYTES, MESSAGE, messages, pack, rows_of, split_by, unpack
+from .repeats import MESSAGE, messages, pack, rows_of, split_by, unpack
 from .textunits import Words
 
 CLASS_BITS = 12
@@ -34,6 +34,8 @@ SEGMENT = 256
 BATCH_BYTES, BATCH_TEXTS = 2_000_000, 2000
 #: Parts of the tables, and tables added up by one task.
 RANGES, FAN = 64, 64
+#: Text in a chunk: the larger, the less often a frequent word is asked for.
+CHUNK_BYTES = 8_000_000
 #: Of order 0, endings, word before and the learning predictor; found on held-out texts of sf0.1, as the rates.
 START_WEIGHTS = (0.3, 0.3, 0.2, 0.2)
 LEARN, LEARN_OWN = 0.06, 0.5
@@ -150,7 +152,7 @@ def trained_tables(docs: DataFrame) -> dict[str, np.ndarray]:
         sums = [np.zeros((1 << b, 2), np.uint64) for b in (CLASS_BITS, ENDING_BITS, WORD_BITS)]
     else:
         got = [unpack(bytes(r["msg"]))[1:] for r in sorted(parts, key=lambda r: r["part"])]
-        sums = [np.concatenate(x) for x in zip(*got, strict=True)]
+        sums = [np.concatenate(x).reshape(-1, 2) for x in zip(*got, strict=True)]
 
     def logit(n: np.ndarray) -> np.ndarray:
         return np.clip(np.log((n[:, 1] + 0.4) / (n[:, 0] + 0.4)), -9, 9).astype(np.float16)

@@ -20,7 +20,7 @@ Everything sent is a row (dest, origin, msg); messages are packed arrays.
 
 from __future__ import annotations
 
-import pickle
+import struct
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
@@ -33,7 +33,8 @@ from .common import mix64, text_bytes
 from .textunits import BYTE_VALUE, Words, prefix_hashes, span_hashes
 
 MESSAGE = "dest int, origin int, msg binary"
-CHUNK_BYTES = 8_000_000
+#: Text in a chunk, and so about what a bucket gets: it bounds the memory of a task.
+CHUNK_BYTES = 4_000_000
 BLOCK_BYTES = 1_000_000
 HOT = 4000
 BITS = np.uint64(32)
@@ -51,13 +52,35 @@ class Plan:
     hot: int = HOT
 
 
+#: What a message may hold: bytes, or arrays of these types.
+KINDS = ("bytes", "|u1", "<u2", "<u4", "<u8", "<i4", "<i8", "|b1")
+#: Messages above so many bytes are compressed.
+SQUEEZE = 512
+
+
 def pack(kind: int, *arrays: np.ndarray | bytes) -> bytes:
-    raw = pickle.dumps((kind, *arrays), protocol=5)
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+    """A message of a kind with some arrays: a few bytes of head, as most messages are short when there are many buckets."""
+    parts, head = [], [struct.pack("<BB", kind, len(arrays))]
+    for a in arrays:
+        raw = a if isinstance(a, bytes) else a.tobytes()
+        head.append(struct.pack("<BI", 0 if isinstance(a, bytes) else KINDS.index(a.dtype.str), len(raw)))
+        parts.append(raw)
+    body = b"".join(parts)
+    if len(body) <= SQUEEZE:
+        return b"\0" + b"".join(head) + body
+    return b"\1" + b"".join(head) + pa.Codec("zstd", 1).compress(body, asbytes=True)
 
 
 def unpack(msg: bytes) -> tuple:
-    return pickle.loads(pa.Codec("zstd").decompress(msg[8:], int.from_bytes(msg[:8], "little"), asbytes=True))
+    kind, n = struct.unpack_from("<BB", msg, 1)
+    heads = [struct.unpack_from("<BI", msg, 3 + 5 * i) for i in range(n)]
+    body, at, out = msg[3 + 5 * n :], 0, [kind]
+    if msg[0]:
+        body = pa.Codec("zstd").decompress(body, sum(size for _, size in heads), asbytes=True)
+    for code, size in heads:
+        out.append(body[at : at + size] if code == 0 else np.frombuffer(body, KINDS[code], size // np.dtype(KINDS[code]).itemsize, at))
+        at += size
+    return tuple(out)
 
 
 def messages(rows: list[tuple[int, int, bytes]]) -> pa.Table:
