@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,6 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+def few(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """df to be broadcast, after its rows have been counted up to a limit; beyond it an error, as nested loops would not end."""
+    n = df.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} rows cannot be compared with every row of another table")
+    return F.broadcast(df)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint."""
     shared_dir(df.sparkSession)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ang_norm, line_intersection, num
+from ..functions.session import few
 from .graph import largest_component
 
 #: Device figures that hold where a scan says nothing else.
@@ -46,7 +47,7 @@ def default_calibration(frames: DataFrame) -> DataFrame:
 
 def lateral_resolution(geom: DataFrame, depths: DataFrame) -> DataFrame:
     """(…, r_mm, chord_mm, lateral_mm): arc over the fan and of one angle step at each depth."""
-    return geom.join(F.broadcast(depths)).withColumns({"arc_mm": F.col("r_mm") * F.col("fan"), "lateral_mm": F.col("r_mm") * F.col("dphi")})
+    return geom.join(few(depths)).withColumns({"arc_mm": F.col("r_mm") * F.col("fan"), "lateral_mm": F.col("r_mm") * F.col("dphi")})
 
 
 def row_arc_error(mask: DataFrame, apex: tuple[float, float], phi_mid: float, dphi: float, dr_mm: float, height: int, depths: tuple[float, ...] = (10, 20, 30, 40)) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, norm, num
-from ..functions.session import cut
+from ..functions.session import cut, few
 from .volume import covariance, eigen
 
 XYZ = ("x", "y", "z")
@@ -32,17 +32,17 @@ def subsample(points: DataFrame, every: int) -> DataFrame:
 def radius_stats(points: DataFrame, tolerance: float = 0.05, by: Sequence[str] = ("seg",)) -> DataFrame:
     """by, n, mean_r, std_r (0 for one point), min_r, max_r, band_pct: share of points within tolerance of the mean radius.
 
-    Segments are few, so their centres and means come back by broadcast; points are read twice and shuffled never.
+    Centres and means come back by joins that the engine broadcasts while the segments are few.
     """
-    centred = points.join(F.broadcast(centroids(points, by).drop("n")), list(by))
+    centred = points.join(centroids(points, by).drop("n"), list(by))
     radii = centred.select(*by, distance([F.col("cx"), F.col("cy"), F.col("cz")]).alias("d"))
     stats = radii.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_r"), F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("std_r"), F.min("d").alias("min_r"), F.max("d").alias("max_r")
     )
-    within = radii.join(F.broadcast(stats.select(*by, "mean_r")), list(by))
+    within = radii.join(stats.select(*by, "mean_r"), list(by))
     inside = F.col("d").between(F.col("mean_r") * (1 - tolerance), F.col("mean_r") * (1 + tolerance))
     band = within.groupBy(*by).agg((F.avg(inside.cast("int")) * 100.0).alias("band_pct"))
-    return stats.join(F.broadcast(band), list(by))
+    return stats.join(band, list(by))
 
 
 def pca(points: DataFrame, by: Sequence[str] = ("seg",)) -> DataFrame:
@@ -169,7 +169,7 @@ def extreme(points: DataFrame, value: str, lowest: bool, by: Sequence[str] = ())
 
 def nearest_vertex(points: DataFrame, fiducials: DataFrame) -> DataFrame:
     """(name, vid, d): the vertex nearest to each fiducial (name, fx, fy, fz), a handful of hand-placed points."""
-    met = points.join(F.broadcast(fiducials))
+    met = points.join(few(fiducials))
     d = norm([F.col(a) - F.col(f"f{a}") for a in XYZ])
     return extreme(met.select("name", "vid", d.alias("d")), "d", True, ["name"])
 
@@ -188,8 +188,9 @@ def fill_nonfinite(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame
     """Values that are not finite become the largest finite one plus 1, or 0 without any."""
     v = F.col(col).cast("double")
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
-    top = F.coalesce(F.max(F.when(finite, v)).over(Window.partitionBy(*by)) + 1.0, F.lit(0.0))
-    return df.withColumn(col, F.when(finite, v).otherwise(top))
+    top = df.groupBy(*by).agg(F.coalesce(F.max(F.when(finite, v)) + 1.0, F.lit(0.0)).alias("__top"))
+    rows = df.join(top, list(by)) if by else df.join(F.broadcast(top))
+    return rows.withColumn(col, F.when(finite, v).otherwise(F.col("__top"))).drop("__top")
 
 
 def posterior_direction(points: DataFrame, center: Sequence[float], cone_degrees: float = 35.0, interior: bool = True) -> tuple[float, float, float]:

@@ -86,10 +86,23 @@ def valid_cells(spark: SparkSession, fan: Fan, voxel_mm: float) -> DataFrame:
     return rows.where((F.col("r_mm") <= fan.depth_mm) & (F.col("phi") >= fan.phi0) & (F.col("phi") <= fan.phi1)).select("ix", "iy", "iz", "r_mm", "phi", "psi")
 
 
-def interp_knots(theta: Column, knots: Column) -> Column:
-    """Position of theta between sorted knots (an array), linear between and held at the ends."""
+def interp_knots(theta: Column, knots: Column, size: int | None = None) -> Column:
+    """Position of theta between sorted knots (an array), linear between and held at the ends.
+
+    With the size known, the interval is found by bisection, else by counting knots.
+    """
     n = F.size(knots)
-    at = F.size(F.filter(knots, lambda x: x <= theta))  # knots at or before theta
+    if size is None:
+        at = F.size(F.filter(knots, lambda x: x <= theta))  # knots at or before theta
+    else:
+
+        def halve(s: Column, _: Column) -> Column:
+            mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+            before = (s["lo"] < s["hi"]) & (F.element_at(knots, F.least(mid + 1, n)) <= theta)
+            return F.struct(F.when(before, mid + 1).otherwise(s["lo"]).alias("lo"), F.when((s["lo"] < s["hi"]) & ~before, mid).otherwise(s["hi"]).alias("hi"))
+
+        start = F.struct(F.lit(0).alias("lo"), F.lit(size).alias("hi"))
+        at = F.aggregate(F.sequence(F.lit(1), F.lit(size.bit_length() + 1)), start, halve, lambda s: s["lo"])
     lo = F.element_at(knots, F.greatest(at, F.lit(1)))
     hi = F.element_at(knots, F.least(at + 1, n))
     inside = (at - 1) + (theta - lo) / F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
@@ -103,11 +116,13 @@ def sample_positions(cells: DataFrame, fan: Fan, knots: list[float], pad: int =
     # One double per frame: a literal, as the sweep of one scan is.
     table = F.array(*[F.lit(float(x)) for x in padded])
     theta = clip(F.col("psi") / F.lit(PI2) * F.lit(span) + F.lit(float(knots[0])), padded[0], padded[-1])
+    # The angle is a column of its own, so that it is worked out once for each cell.
+    cells = cells.withColumn("theta", theta)
     return cells.withColumns({
         "r_idx": clip(F.col("r_mm") / F.lit(fan.dr_mm), 0.0, fan.rows - 1 - 1e-3),
         "p_idx": clip((F.col("phi") - F.lit(fan.phi0)) / F.lit(fan.dphi), 0.0, fan.cols - 1 - 1e-3),
-        "k_idx": clip(interp_knots(theta, table), 0.0, len(padded) - 1 - 1e-6),
-    })
+        "k_idx": clip(interp_knots(F.col("theta"), table, len(padded)), 0.0, len(padded) - 1 - 1e-6),
+    }).drop("theta")
 
 
 def older_positions(cells: DataFrame, fan: Fan, n: int) -> DataFrame:

@@ -98,15 +98,14 @@ def shift_rows(polar: DataFrame, shift: Column, rows: int) -> DataFrame:
 
 def apply_shifts(polar: DataFrame, shifts: DataFrame, rows: int, cols: int, subpixel: bool = True, least: float = 1e-3) -> DataFrame:
     """Rolls each frame by its rounded dphi, then moves it by what is left and by dr, where they matter."""
-    # One row per frame of a scan.
-    moved = polar.join(F.broadcast(shifts), "k")
+    moved = polar.join(shifts, "k")
     whole = half_even(F.col("dphi")).cast("int")
     rest = F.col("dphi") - whole
     rolled = moved.select("k", "r", F.pmod(F.col("p") + whole, F.lit(cols)).cast("int").alias("p"), "v", F.when(F.abs(rest) > least, rest).otherwise(0.0).alias("f"), F.when(F.abs(F.col("dr")) > least, F.col("dr")).otherwise(0.0).alias("d"))
     if not subpixel:
         return rolled.select("k", "r", "p", "v")
     frac = rolled.select("k", "f", "d").distinct()
-    turned = shift_columns(rolled.select("k", "r", "p", "v", "f"), F.col("f"), cols).join(F.broadcast(frac), "k")
+    turned = shift_columns(rolled.select("k", "r", "p", "v", "f"), F.col("f"), cols).join(frac, "k")
     return shift_rows(turned.select("k", "r", "p", "v", "d"), F.col("d"), rows)
 
 
@@ -117,5 +116,5 @@ def register(polar: DataFrame, rows: int, cols: int, reference: int, subpixel: b
 
 def register_older(polar: DataFrame, cols: int, reference: int) -> DataFrame:
     """The older rule: whole columns only, by the one-dimensional profile."""
-    moved = polar.join(F.broadcast(xcorr_shift(polar, reference)), "k")
+    moved = polar.join(xcorr_shift(polar, reference), "k")
     return roll_columns(moved, F.col("shift"), cols).select("k", "r", "p", "v")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import affine, clip, half_even, symmetric_eigenvalues
-from ..functions.session import cut
+from ..functions.session import cut, few
 
 AXES = ("ix", "iy", "iz")
 
@@ -54,7 +54,7 @@ def axis_ratio(voxels: DataFrame, total: int, share: float = 0.6, least: int = 5
         zeros = counts.select(*keys, F.lit(0.0).alias("v"), (F.lit(total) - F.col("have")).alias("n")).where("n > 0")
         rows = voxels.select(*keys, F.col("v").cast("double"), F.lit(1).cast("long").alias("n")).unionByName(zeros)
         cut_at = rows.groupBy(*keys).agg(F.percentile("v", share, F.col("n")).alias("t"))
-        above = voxels.join(F.broadcast(cut_at), keys).where("v > t")
+        above = voxels.join(cut_at, keys).where("v > t")
     else:
         cut_at = with_zero_row(voxels, total).agg(F.percentile("v", share, F.col("n")).alias("t"))
         above = voxels.join(F.broadcast(cut_at)).where("v > t")
@@ -87,7 +87,7 @@ def robust_rescale(df: DataFrame, value: str, low: float = 1.0, high: float = 99
     v = F.col(value).cast("double")
     positive = F.when(v > 0, v)
     stats = df.groupBy(*by).agg(F.percentile(positive, low / 100.0).alias("__lo"), F.percentile(positive, high / 100.0).alias("__hi"))
-    rows = df.join(F.broadcast(stats), list(by)) if by else df.join(F.broadcast(stats))
+    rows = df.join(stats, list(by)) if by else df.join(F.broadcast(stats))
     span = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-9))
     q = half_even(clip((v - F.col("__lo")) / span, 0.0, 1.0) * (255.0 if bits == 8 else 65535.0))
     return rows.withColumn("q", F.coalesce(q, F.lit(0.0)).cast("int")).drop("__lo", "__hi")
@@ -240,7 +240,7 @@ def sampled_slice_counts(cells: DataFrame, axis: str, n: int, samples: int = 20)
 def window_counts(cells: DataFrame, candidates: DataFrame, radius: int = 5) -> DataFrame:
     """(cid, n): voxels in a cube around each candidate (cid, ix, iy, iz). Candidates are a few fiducial guesses."""
     near = [F.abs(cells[a] - candidates[a]) <= radius for a in AXES]
-    met = cells.join(F.broadcast(candidates), near[0] & near[1] & near[2])
+    met = cells.join(few(candidates), near[0] & near[1] & near[2])
     got = met.groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
     return candidates.select("cid").join(got, "cid", "left").select("cid", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -17,7 +17,7 @@ def scan_frames(spark: SparkSession, folder: str, scan_id: str = "scan") -> Data
     images = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", "*.{jpg,JPG,jpeg,JPEG,png,PNG}").load(folder).select("image.*").dropDuplicates(["origin"])
     names = images.select("origin", stem(F.col("origin")).alias("stem"))
     order = names.select("origin", (F.row_number().over(Window.orderBy(*numeric_first_key(F.col("stem")), "origin")) - 1).alias("frame_idx"))
-    return images.join(F.broadcast(order), "origin").select(F.lit(scan_id).alias("scan_id"), "frame_idx", "origin", "height", "width", F.col("nChannels").alias("n_channels"), "data")
+    return images.join(order, "origin").select(F.lit(scan_id).alias("scan_id"), "frame_idx", "origin", "height", "width", F.col("nChannels").alias("n_channels"), "data")
 
 
 def checked_stack(frames: DataFrame) -> DataFrame:
@@ -25,7 +25,7 @@ def checked_stack(frames: DataFrame) -> DataFrame:
     shape = frames.groupBy("scan_id").agg(F.countDistinct(F.struct("height", "width")).alias("shapes"), F.count(F.lit(1)).alias("n"))
     bad = F.when(F.col("shapes") > 1, "frames of different shapes").when(F.col("n") < 2, "fewer than two frames")
     ok = F.when(bad.isNull(), True).otherwise(F.raise_error(bad).cast("boolean"))
-    return frames.join(F.broadcast(shape), "scan_id").where(ok).drop("shapes", "n")
+    return frames.join(shape, "scan_id").where(ok).drop("shapes", "n")
 
 
 def pixels(frames: DataFrame) -> DataFrame:
