@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import cut, shared_dir
+
+__all__ = ["cut", "mix64", "shared_dir", "ship_package", "sub_batches", "table", "text_bytes", "word_array", "word_count"]
+
 #: What separates words: space and the ASCII controls 9 to 13, as bytes.split() does.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -33,26 +36,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only if none is set."""
-    sc = spark.sparkContext
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        given = sc.getCheckpointDir()
-    if not given:
-        given = "file://" + tempfile.mkdtemp(prefix="sweepgrid-")
-        sc.setCheckpointDir(given)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(given)
-    return given.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def word_array(text: Column) -> Column:
     """The words of a text (null and blank texts: none), kept as they stand."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
