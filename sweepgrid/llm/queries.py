@@ -9,6 +9,7 @@ from .fertility import op5_tokeniser_fertility
 from .mixing import op7_hypergeometric_mix
 from .probminhash import op4_near_duplicates
 from .shards import op8_feistel_shards
+from .sql import ORACLE_OP2, ORACLE_OP4, ORACLE_OP6, ORACLE_OP10
 from .substr_tree import op2_substring_dedup
 from .suffixsort import op10_suffix_array_dedup
 from .tokens import op1_token_counts
@@ -30,7 +31,11 @@ QUERIES = {
     )
 }
 ORACLE: dict[str, str] = {
+    "op2_substring_dedup": ORACLE_OP2,
+    "op4_near_duplicates": ORACLE_OP4,
+    "op6_arc_to_warc": ORACLE_OP6,
     "op9_decontaminate": ORACLE_OP9,
+    "op10_suffix_array_dedup": ORACLE_OP10,
 }
 
 ship_package()

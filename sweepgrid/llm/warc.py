@@ -273,4 +273,4 @@ def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_arc(table(spark, sf_dir, "pages", "page_id", "url", "html"), f"{at}/arc")
     arc_to_warc(spark, f"{at}/arc", f"{at}/warc")
     delete(spark, f"{at}/arc")
-    return read_warc(spark, f"{at}/warc")
+    return read_warc(spark, f"{at}/warc").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
