@@ -154,5 +154,6 @@ def mixed_rows(docs: DataFrame, size: Column, source: str = "source", ident: lis
 def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document."""
     docs = table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    # The plan and the decisions read sizes three times; texts are split for them once.
+    sized = cut(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     return mix(sized).select("doc_id", "size", F.col("source_size").cast("long"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies", "shards")
