@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_percentile
 from ..functions.scalars import ang_norm, line_intersection, num
 from ..functions.session import few
 from .graph import largest_component
@@ -92,7 +93,7 @@ def calibrate(mask: DataFrame, width: int, height: int) -> DataFrame:
     seed = mask_rows(body)
     rim = contour(body).join(F.broadcast(seed)).withColumn("phi", F.atan2(F.col("y") - F.col("seed_y"), F.col("x") - F.col("seed_x")))
     rim = cut(rim)
-    lo, hi = rim.agg(F.percentile("phi", 0.02), F.percentile("phi", 0.98)).first()
+    lo, hi = (exact_percentile(rim, "phi", q) for q in (0.02, 0.98))
 
     def edges(tol: float) -> DataFrame:
         sides = F.array(F.when(F.abs(F.col("phi") - lo) < tol, "a"), F.when(F.abs(F.col("phi") - hi) < tol, "b"))

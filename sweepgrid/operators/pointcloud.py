@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_percentile
 from ..functions.scalars import clip, norm, num
 from ..functions.session import cut, few
 from .volume import covariance, eigen
@@ -103,9 +104,10 @@ def robust_sphere(points: DataFrame, trim: float = 0.10, rounds: int = 3, least:
         keep = min(n, max(int((1 - trim) * n), least))
         scored = now.withColumn("e", F.abs(distance(c) - F.lit(r)))
         # All values at or below the keep-th smallest; equal ones beyond the count go by number.
-        limit = scored.agg(F.percentile("e", (keep - 1) / max(n - 1, 1)).alias("t")).first()["t"]
-        below = scored.where(F.col("e") < limit)
-        tied = scored.where(F.col("e") == limit).withColumn("i", F.row_number().over(Window.orderBy("vid"))).where(F.col("i") <= keep - below.count()).drop("i")
+        limit = exact_percentile(scored, "e", (keep - 1) / max(n - 1, 1))
+        near = 1e-12 * max(1.0, limit)  # the percentile of a rank may be off by rounding
+        below = scored.where(F.col("e") < limit - near)
+        tied = scored.where(F.abs(F.col("e") - limit) <= near).withColumn("i", F.row_number().over(Window.orderBy("vid"))).where(F.col("i") <= keep - below.count()).drop("i")
         now = cut(below.unionByName(tied).drop("e"))
     return solve_sphere(sphere_sums(now).first().asDict())
 
@@ -177,7 +179,8 @@ def nearest_vertex(points: DataFrame, fiducials: DataFrame) -> DataFrame:
 def pseudo_boundary(points: DataFrame, center: Sequence[float], percentile: float = 0.95) -> DataFrame:
     """Points whose radius is at the percentile or above."""
     rows = points.withColumn("radius", distance(center))
-    return rows.join(F.broadcast(rows.agg(F.percentile("radius", percentile).alias("__t")))).where("radius >= __t").drop("__t")
+    limit = exact_percentile(rows, "radius", percentile)
+    return rows.where(F.col("radius") >= F.lit(limit))
 
 
 def sign_mask(points: DataFrame, interior: bool) -> DataFrame:
@@ -213,10 +216,8 @@ def trimmed_curvature(points: DataFrame, patch: Column, h: str = "h", surface_q:
     """One row: median, median abs, mean abs of curvature over a patch and 1 / median, without the largest values of the
     surface and then of the patch; zeros and infinity where nothing is left."""
     rows = points.withColumns({"__a": F.abs(F.col(h)), "__p": patch})
-    top = rows.agg(F.percentile("__a", surface_q).alias("__t"))
-    kept = rows.join(F.broadcast(top)).where(F.col("__p") & (F.col("__a") <= F.col("__t"))).drop("__t")
-    inner = kept.agg(F.percentile("__a", patch_q).alias("__t"))
-    last = kept.join(F.broadcast(inner)).where("__a <= __t")
+    kept = rows.where(F.col("__p") & (F.col("__a") <= F.lit(exact_percentile(rows, "__a", surface_q))))
+    last = kept.where(F.col("__a") <= F.lit(exact_percentile(kept, "__a", patch_q)))
     got = last.agg(F.median(h).alias("m"), F.median("__a").alias("ma"), F.avg("__a").alias("aa"), F.count(F.lit(1)).alias("n"))
     return got.select(
         F.coalesce("m", F.lit(0.0)).alias("median_h"), F.coalesce("ma", F.lit(0.0)).alias("median_abs_h"), F.coalesce("aa", F.lit(0.0)).alias("mean_abs_h"),

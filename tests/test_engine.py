@@ -220,3 +220,24 @@ def test_stream_of_frames(spark, tmp_path):
     q = frame_summaries(stream).writeStream.outputMode("complete").format("memory").queryName("summaries").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("summaries").agg(F.sum("n")).first()[0] == 40
+
+
+@pytest.mark.parametrize("q", [0.0, 0.02, 0.5, 0.997, 1.0])
+def test_percentile_by_narrowing(spark, q):
+    from sweepgrid.functions.quantiles import exact_percentile
+
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=3000), np.round(rng.exponential(size=3000), 1), np.full(50, 2.0), np.array([1.0, 2.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+        assert exact_percentile(df, "v", q, direct=40) == pytest.approx(np.percentile(values, 100 * q))
+    heavy = spark.createDataFrame([(0.0, 900), (1.0, 50), (2.0, 50)], "v double, n long")
+    assert exact_percentile(heavy, "v", q, "n", direct=1) == pytest.approx(np.percentile(np.repeat([0.0, 1.0, 2.0], [900, 50, 50]), 100 * q))
+    assert exact_percentile(df.limit(0), "v", q) is None
+
+
+def test_few_refuses_many(spark):
+    from sweepgrid.functions.session import few
+
+    assert few(spark.range(5), 5).count() == 5
+    with pytest.raises(ValueError):
+        few(spark.range(6), 5)
