@@ -23,7 +23,7 @@ def with_zero_row(values: DataFrame, total: int, value: str = "v") -> DataFrame:
 
 def dense_percentiles(voxels: DataFrame, total: int, at: Sequence[float]) -> DataFrame:
     """One row p_<q>: exact percentiles over all cells of the volume, zeros outside the fan included."""
-    rows = with_zero_row(voxels, total)
+    rows = cut(with_zero_row(voxels, total))  # read for each percentile
     got = {f"p_{str(q).replace('.', '_')}": exact_percentile(rows, "v", q / 100.0, "n") for q in at}
     return voxels.sparkSession.range(1).select(*(F.lit(v).cast("double").alias(k) for k, v in got.items()))
 
@@ -58,7 +58,7 @@ def axis_ratio(voxels: DataFrame, total: int, share: float = 0.6, least: int = 5
         cut_at = rows.groupBy(*keys).agg(F.percentile("v", share, F.col("n")).alias("t"))
         above = voxels.join(cut_at, keys).where("v > t")
     else:
-        above = voxels.where(F.col("v") > F.lit(exact_percentile(with_zero_row(voxels, total), "v", share, "n")))
+        above = voxels.where(F.col("v") > F.lit(exact_percentile(cut(with_zero_row(voxels, total)), "v", share, "n")))
     e = eigen(covariance(above.select(*keys, *(F.col(a).cast("double") for a in AXES)), AXES, keys))
     return e.select(*keys, F.when((F.col("n") < least) | (F.col("e3") <= 0), 1.0).otherwise(F.sqrt(F.col("e1") / F.col("e3"))).alias("ratio"))
 
