@@ -26,7 +26,7 @@ WORDS, THRESHOLD = 5, 0.8
 #: At a similarity of 0.8 a pair shares no band with a probability of (1 - 0.8**4)**20 = 3e-5.
 BANDS, ROWS = 20, 4
 BATCH_BYTES = 1_000_000
-#: Buckets of up to so many texts are compared pair by pair; larger ones by hubs, round after round.
+#: Buckets of up to so many texts are compared pair by pair; larger ones by hubs in rounds, and what they leave apart by `_across`.
 SMALL, HUB_ROUNDS = 12, 6
 
 
@@ -110,6 +110,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return shared.where(F.col("n") >= F.lit(threshold) * (F.col("total") - F.col("n"))).select("a", "b")
 
 
+def _across(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of open_ (doc, label) with different labels, among them all that reach the threshold.
+
+    A prefix filter: two sets this similar share an element whose place, in any common order (here
+    the rarer first), leaves enough of both. So the smaller set is only looked up by its first
+    elements, and labels are paired before texts, so that texts of one class never meet.
+    """
+    part = threshold / (1 + threshold)
+    of = open_.join(sets, "doc").select("doc", "label", F.size("s").alias("size"), F.explode("s").alias("x"))
+    often = of.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Elements of one text alone come first in the order and meet nothing: only their number counts.
+    listed = of.join(often, "x").groupBy("doc", "label", "size").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("xs"))
+    single = F.col("size") - F.size("xs")
+    keep = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-6)).cast("int") + 1 - single
+    first = listed.where(keep > 0).select("doc", "label", "size", single.alias("single"), F.posexplode(F.slice("xs", F.lit(1), keep)).alias("i", "e"))
+    first = cut(first.select("doc", "label", "size", (F.col("size") - F.col("single") - F.col("i")).alias("rest"), F.col("e.x").alias("x")))
+    mixed = first.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("x")
+    first = first.join(mixed, "x", "left_semi")
+    left = first.where(F.col("rest") >= 2 * part * F.col("size") - 1e-6)
+    right = first.select("x", F.col("label").alias("label_b"), F.col("doc").alias("b"), F.col("size").alias("size_b"), F.col("rest").alias("rest_b"))
+    # Of each label only what the other side can reach at all.
+    kinds = left.groupBy("x", "label").agg(F.min("size").alias("lo"), F.max(F.col("rest") / part - F.col("size")).alias("hi"))
+    kinds_b = right.groupBy("x", "label_b").agg(F.max("size_b").alias("hi_b"), F.min("size_b").alias("lo_b"), F.max(F.col("rest_b") / part - F.col("size_b")).alias("cap_b"))
+    both = kinds.join(kinds_b, "x").where((F.col("label") != F.col("label_b")) & (F.col("lo") <= F.least("hi_b", F.col("cap_b") + 1e-6)) & (F.col("lo_b") <= F.col("hi") + 1e-6))
+    met = both.select("x", "label", "label_b").join(left.withColumnRenamed("doc", "a"), ["x", "label"]).join(right, ["x", "label_b"])
+    met = met.where((F.col("size") <= F.col("size_b")) & (F.least("rest", "rest_b") >= (F.col("size") + F.col("size_b")) * part - 1e-6))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicate_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of docs with an id: ident, ``class_id`` (the smallest id of its class) and ``n_copies`` (rows with this very text).
 
@@ -133,35 +162,49 @@ def near_duplicate_classes(docs: DataFrame, ident: str = "doc_id", text: str = "
     degree = members.groupBy("doc").agg(F.sum("n").alias("degree"))
     large = cut(large.join(degree, "doc").select("doc", "band", "h", "degree"))
 
+    def hub_of(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("band", "h").agg(F.max(F.struct("degree", (-F.col("doc")).alias("minus"))).alias("x")).select("band", "h", (-F.col("x.minus")).alias("hub"))
+
     def star(rows: DataFrame, hubs: DataFrame) -> DataFrame:
-        hub = hubs.groupBy("band", "h").agg(F.max(F.struct("degree", (-F.col("doc")).alias("minus"))).alias("x")).select("band", "h", (-F.col("x.minus")).alias("hub"))
-        return rows.join(hub, ["band", "h"]).where("doc <> hub")
+        return rows.join(hubs, ["band", "h"]).where("doc <> hub")
 
+    first_hubs = cut(hub_of(large))
     ordered = lambda df: df.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))
-    pairs = cut(pairs.unionByName(ordered(star(large, large))).where("a <> b").distinct())
+    pairs = cut(pairs.unionByName(ordered(star(large, first_hubs))).where("a <> b").distinct())
     needed = members.select("doc").distinct()
     texts = docs.select(F.col(ident).cast("long").alias("doc"), F.col(text).alias("t")).join(needed, "doc", "left_semi")
     sets = cut(_sets(texts).dropDuplicates(["doc"]))
     edges = cut(_verified(pairs, sets, threshold))
     labels = components(edges)
-    tried = pairs
-    for _ in range(HUB_ROUNDS):
-        # Buckets in which the hubs so far left a class apart: its own hub is compared with all the others there.
+    tried, hubs = pairs, first_hubs
+
+    def mixed() -> DataFrame:
+        """Members of large buckets that hold several classes, with their label and that of the main class."""
         placed = large.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-        mixed = placed.groupBy("band", "h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("degree", "label")).alias("top")).where("lo <> hi")
-        mixed = mixed.select("band", "h", F.col("top.label").alias("main"))
-        open_ = placed.join(mixed, ["band", "h"])
-        hubs = open_.where("label <> main")
-        new = ordered(star(open_, hubs)).distinct().join(tried, ["a", "b"], "left_anti")
-        new = cut(new)
+        some = placed.groupBy("band", "h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("degree", "label")).alias("top")).where("lo <> hi")
+        return placed.join(some.select("band", "h", F.col("top.label").alias("main")), ["band", "h"])
+
+    for _ in range(HUB_ROUNDS):
+        # Buckets in which the hubs so far left a class apart: a text that was no hub there is compared with all the others.
+        open_ = mixed()
+        next_ = cut(hub_of(open_.where("label <> main").join(hubs.withColumnRenamed("hub", "doc"), ["band", "h", "doc"], "left_anti")))
+        hubs = hubs.unionByName(next_)
+        new = cut(ordered(star(open_, next_)).distinct().join(tried, ["a", "b"], "left_anti"))
         if new.isEmpty():
             break
         more = cut(_verified(new, sets, threshold))
         tried = cut(tried.unionByName(new))
         if more.isEmpty():
-            continue
+            break
         edges = edges.unionByName(more)
         labels = components(edges)
+    # Whatever the hubs left apart is settled exactly.
+    open_ = cut(mixed().select("doc", "label").distinct())
+    if not open_.isEmpty():
+        new = cut(_across(open_, sets, threshold).join(tried, ["a", "b"], "left_anti"))
+        more = cut(_verified(new, sets, threshold))
+        if not more.isEmpty():
+            labels = components(edges.unionByName(more))
     classes = reps.select("text_key", "doc", "n_copies").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
     classes = classes.select("text_key", "n_copies", F.coalesce("label", "doc").alias("class_id"))
     return found.select("doc", "text_key").join(classes, "text_key").select(F.col("doc").alias(ident), "class_id", "n_copies")

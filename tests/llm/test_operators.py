@@ -227,6 +227,20 @@ def test_near_duplicates_by_hubs(spark, sf_dir):
     assert {r["doc_id"]: r["class_id"] for r in got.collect()} == brute_classes(rows)
 
 
+def test_near_duplicates_settle_large_buckets(spark, monkeypatch):
+    """One bucket holds all texts: separate ones, classes that hubs leave apart, and a chain whose ends are far apart."""
+    texts = [" ".join(f"lone{k}x{i}" for i in range(100)) for k in range(14)]
+    for k in range(3):
+        texts += [" ".join(f"fam{k}x{i}" for i in range(shift, shift + 100)) for shift in (0, 10, 20, 30, 40)]
+    texts += [" ".join(f"pair{i}" for i in range(shift, shift + 100)) for shift in (0, 3)]
+    one = lambda docs, ident, text: docs.select(F.col(ident).alias("doc"), F.md5(text).cast("binary").alias("text_key"), F.array(F.lit(7).cast("long")).alias("bands"))
+    monkeypatch.setattr(probminhash, "_sketches", one)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicate_classes(docs).collect()}
+    want = {k: k for k in range(14)} | {14 + 5 * k + j: 14 + 5 * k for k in range(3) for j in range(5)} | {29: 29, 30: 29}
+    assert got == want
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 2**63, 400, dtype=np.uint64), rng.integers(0, 2**63, 400, dtype=np.uint64)
