@@ -29,7 +29,7 @@ CLASS_BITS = 12
 #: Slots of the tables (as powers of two): endings, word before. Their sizes bound what is broadcast (about 8 MB).
 ENDING_BITS, WORD_BITS = 20, 21
 #: Tokens after which weights and the learning predictor start anew; also the number of steps of a batch.
-SEGMENT = 256
+SEGMENT = 512
 #: Texts worked on at once; each segment holds a predictor of 16 KB, so the number of texts is bounded too.
 BATCH_BYTES, BATCH_TEXTS = 2_000_000, 2000
 #: Parts of the tables, and tables added up by one task.
@@ -162,12 +162,8 @@ def trained_tables(docs: DataFrame) -> dict[str, np.ndarray]:
 
 
 def unpacked(tables: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Tables in single precision, the word predictor in two columns: well known, and hardly known."""
-    word = np.zeros((len(tables["word"]), 2), np.float32)
-    for column, known in enumerate((2, 1)):
-        some = tables["known"] == known
-        word[some, column] = tables["word"][some]
-    return {"node": tables["node"].astype(np.float32), "ending": tables["ending"].astype(np.float32), "word": word, "size": tables.get("size")}
+    """Tables with the predictors in single precision."""
+    return tables | {k: tables[k].astype(np.float32) for k in ("node", "ending", "word")}
 
 
 def mixed_log10(t: Tokens, tables: dict[str, np.ndarray]) -> np.ndarray:
@@ -187,23 +183,23 @@ def mixed_log10(t: Tokens, tables: dict[str, np.ndarray]) -> np.ndarray:
     order[(np.cumsum(many) - many)[step] + rank[seg]] = np.arange(n)
     cls, row = t.cls[order], rank[seg][order]
     segments = len(by)
-    # For each bit and token: the inputs from tables, the sign of the bit, the place of the learning predictor. The word
-    # predictor stands in one of two inputs, by how well its context is known, and so has a weight for either case.
-    inputs = np.empty((4, CLASS_BITS, n), np.float32)
+    # For each bit and token: the inputs from tables, the sign of the bit, the places of its weights and of the learning
+    # predictor. All weights are chosen by how well the word context is known (3 cases).
+    inputs = np.empty((3, CLASS_BITS, n), np.float32)
     sign, place_own = np.empty((CLASS_BITS, n), np.float32), np.empty((CLASS_BITS, n), np.int64)
+    place_weight = np.empty((CLASS_BITS, n), np.int64)
     slots = zip(bit_slots(cls, t.ending[order], ENDING_BITS), bit_slots(cls, t.word[order], WORD_BITS), strict=True)
     for i, ((ending, bit), (word, _)) in enumerate(slots):
         node = (np.int64(1) << i) | (cls >> (CLASS_BITS - i))
         # All places are inside their tables; "clip" only spares the check.
         tables["node"].take(node, out=inputs[0, i], mode="clip")
         tables["ending"].take(ending, out=inputs[1, i], mode="clip")
-        both = tables["word"].take(word, axis=0)
-        inputs[2, i], inputs[3, i] = both[:, 0], both[:, 1]
+        tables["word"].take(word, out=inputs[2, i], mode="clip")
+        place_weight[i] = tables["known"].take(word, mode="clip") * np.int64(segments) + row
         np.subtract(np.multiply(bit, np.float32(2)), np.float32(1), out=sign[i])
         place_own[i] = row << CLASS_BITS | node
-    # Active segments are always the first ones, so the weights of a step are plain slices.
-    weights = np.empty((5, CLASS_BITS, segments), np.float32)
-    weights[:] = np.array(START_WEIGHTS, np.float32)[[0, 1, 2, 2, 3], None, None]
+    weights = np.empty((4, CLASS_BITS, 3 * segments), np.float32)
+    weights[:] = np.array(START_WEIGHTS, np.float32)[:, None, None]
     own = np.tile(tables["node"], segments)
     prob = np.empty(n)
     one, low, rate, own_rate = np.float32(1), np.float32(-25), np.float32(LEARN), np.float32(LEARN_OWN)
@@ -214,10 +210,11 @@ def mixed_log10(t: Tokens, tables: dict[str, np.ndarray]) -> np.ndarray:
         for i in range(CLASS_BITS):
             x, s = place_own[i, here], sign[i, here]
             d = own[x]
-            w = weights[:, i, :k]
+            g = place_weight[i, here]
+            w = weights[:, i].take(g, axis=1)
             v = (*inputs[:, i, here], d)
             dot = w[0] * v[0]
-            for j in range(1, 5):
+            for j in range(1, 4):
                 dot += w[j] * v[j]
             dot *= s
             np.maximum(dot, low, out=dot)
@@ -228,8 +225,9 @@ def mixed_log10(t: Tokens, tables: dict[str, np.ndarray]) -> np.ndarray:
             err = one - p
             err *= s
             err *= rate
-            for j in range(5):
+            for j in range(4):
                 w[j] += err * v[j]
+            weights[:, i, g] = w
             move = np.exp(s * d)
             move += one
             np.divide(s, move, out=move)

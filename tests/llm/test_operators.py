@@ -158,6 +158,31 @@ def test_mixing_predicts_better_than_counts(spark, sf_dir):
     assert score > base
 
 
+def test_mixing_step_by_step():
+    """A text of over 256 tokens against plain loops: 512 tokens share what is learned, all weights are gated by context."""
+    rng = np.random.default_rng(3)
+    t = ctxmix.Tokens([" ".join(f"w{k}" for k in rng.integers(0, 30, 600)).encode()])
+    logits = lambda bits: rng.normal(0, 1, 1 << bits).astype(np.float16)
+    tables = {"node": logits(ctxmix.CLASS_BITS), "ending": logits(ctxmix.ENDING_BITS), "word": logits(ctxmix.WORD_BITS), "known": rng.integers(0, 3, 1 << ctxmix.WORD_BITS).astype(np.uint8)}
+    ending, word = (list(ctxmix.bit_slots(t.cls, c, b)) for c, b in ((t.ending, ctxmix.ENDING_BITS), (t.word, ctxmix.WORD_BITS)))
+    want = []
+    for k in range(len(t.cls)):
+        if k % 512 == 0:
+            w, own = defaultdict(lambda: list(ctxmix.START_WEIGHTS)), tables["node"].astype(float)
+        p_token = 1.0
+        for i in range(ctxmix.CLASS_BITS):
+            node, e, c = (1 << i) | int(t.cls[k]) >> (ctxmix.CLASS_BITS - i), ending[i][0][k], word[i][0][k]
+            sign = 2.0 * int(ending[i][1][k]) - 1
+            v = [float(tables["node"][node]), float(tables["ending"][e]), float(tables["word"][c]), own[node]]
+            mine = w[i, int(tables["known"][c])]
+            p = 1 / (1 + math.exp(-sign * sum(a * b for a, b in zip(mine, v, strict=True))))
+            p_token *= p
+            mine[:] = [a + ctxmix.LEARN * sign * (1 - p) * b for a, b in zip(mine, v, strict=True)]
+            own[node] += ctxmix.LEARN_OWN * sign / (1 + math.exp(sign * own[node]))
+        want.append(math.log10(p_token))
+    assert np.allclose(ctxmix.mixed_log10(t, ctxmix.unpacked(tables)), want, atol=1e-2)
+
+
 def test_class_bits_are_a_distribution():
     """The probabilities of all classes at one place sum to 1."""
     t = ctxmix.Tokens([b"a b c a b c a b"])
