@@ -127,14 +127,23 @@ def theta_knots_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seam.rebuild_knots(_sweep(spark, sf_dir).select("k", "dphi"), 0.0036, 2 * math.pi).select("k", rnd("theta").alias("theta"))
 
 
+def _increasing(e: DataFrame) -> DataFrame:
+    series = e.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"].cast("double")).alias("vs"))
+    return series.select("user_id", F.posexplode(seam.strictly_increasing(F.col("vs"))).alias("i", "v")).select("user_id", "i", rnd("v").alias("v"))
+
+
 @query("""WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id % 20 = 0),
 f AS (SELECT user_id, i, CAST(value AS DOUBLE) AS v FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, CASE WHEN e.value <= f.v THEN f.v + 1e-6 ELSE e.value END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
 SELECT user_id, CAST(i - 1 AS INT) AS i, round(v, 6) + 0.0 AS v FROM f""")
 def strictly_increasing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fold over the values of users of one cohort, each in time order."""
-    e = read(spark, sf_dir, "events").where("user_id % 20 = 0")
-    series = e.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"].cast("double")).alias("vs"))
-    return series.select("user_id", F.posexplode(seam.strictly_increasing(F.col("vs"))).alias("i", "v")).select("user_id", "i", rnd("v").alias("v"))
+    return _increasing(read(spark, sf_dir, "events").where("user_id % 20 = 0"))
+
+
+@query()
+def strictly_increasing_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fold over the values of all users."""
+    return _increasing(read(spark, sf_dir, "events"))
 
 
 @query("""WITH e AS (SELECT event_id, user_id, ts, (value - floor(value / (2 * pi())) * 2 * pi()) - pi() AS a FROM events),

@@ -36,3 +36,15 @@ def test_query_matches_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_without_sql_has_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
+
+
+def test_strictly_increasing_reads_all_users(spark, duck):
+    want, last = [], {}
+    for user, value in duck.execute("SELECT user_id, value FROM events ORDER BY user_id, ts, event_id").fetchall():
+        i, before = last.get(user, (-1, None))
+        v = float(value) if before is None or value > before else before + 1e-6
+        last[user] = i + 1, v
+        want.append((user, i + 1, v))
+    got = sorted(map(tuple, QUERIES["strictly_increasing_all"](spark, DATA).collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1e-6)
