@@ -5,7 +5,13 @@ count): its arrivals hit random registers, and a register keeps the shingle that
 first. A shingle stops as soon as its next arrival is later than every register of its
 text, so long texts cost little more than one arrival a shingle. Registers of two texts
 agree with the probability Jaccard similarity; bands of registers find candidates, and
-candidates are verified by the exact Jaccard similarity of their shingle sets.
+candidates are verified by the exact Jaccard similarity of their shingle sets. A text that
+repeats shingles is also sketched with all weights 1, in the same bands, so that repeats do
+not hide a pair whose sets are similar.
+
+No bucket is ever compared with itself. The members of a bucket are compared with its hub
+alone; what the hubs leave apart is searched by the members' differences from their hub,
+which two similar texts of different classes must share (see `_differences`).
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, mix64, sub_batches, table
@@ -26,8 +32,8 @@ WORDS, THRESHOLD = 5, 0.8
 #: At a similarity of 0.8 a pair shares no band with a probability of (1 - 0.8**4)**20 = 3e-5.
 BANDS, ROWS = 20, 4
 BATCH_BYTES = 1_000_000
-#: Buckets of up to so many texts are compared pair by pair; larger ones by hubs in rounds, and what they leave apart by `_across`.
-SMALL, HUB_ROUNDS = 12, 6
+#: Slack of comparisons in floating point; it only lets more candidates through.
+SLACK = 1e-6
 
 
 def prob_minhash(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n_docs: int, m: int) -> np.ndarray:
@@ -51,175 +57,179 @@ def prob_minhash(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n_docs: i
     return (reg & np.uint64(0xFFFFFFFF)).astype(np.uint32).reshape(n_docs, m)
 
 
+def _bands(reg: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    reg = reg.astype(np.uint64).reshape(len(reg), bands, rows)
+    out = np.tile(mix64(np.arange(1, bands + 1, dtype=np.uint64)), (len(reg), 1))  # a band's number is part of its hash
+    for j in range(rows):
+        out = mix64(out ^ reg[:, :, j] + np.uint64((j + 1) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF))
+    return out.view(np.int64)
+
+
 def sketch(texts: list[bytes], bands: int = BANDS, rows: int = ROWS, k: int = WORDS) -> list[np.ndarray | None]:
-    """The band hashes of each text, None for a text without words."""
+    """The band hashes of each text: those by weights, then those by weights of 1 if some shingle is repeated; None without words."""
     words = Words(texts)
     doc, h = shingles(words, k)
     order = np.argsort((doc.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
     doc, h = doc[order], h[order]
     new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else np.zeros(0, np.int64)
     count = np.diff(np.append(new, len(h)))
-    reg = prob_minhash(doc[new], h[new], 1.0 + np.log(np.maximum(count, 1)), len(texts), bands * rows).astype(np.uint64).reshape(len(texts), bands, rows)
-    out = np.zeros((len(texts), bands), np.uint64)
-    for j in range(rows):
-        out = mix64(out ^ reg[:, :, j] + np.uint64((j + 1) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF))
+    doc, h = doc[new], h[new]
+    out = _bands(prob_minhash(doc, h, 1.0 + np.log(np.maximum(count, 1)), len(texts), bands * rows), bands, rows)
+    # Equal weights give the same registers as weights of 1.
+    repeats = np.zeros(len(texts), bool)
+    repeats[doc[count > 1]] = True
+    also, number = repeats[doc], np.cumsum(repeats) - 1
+    plain = _bands(prob_minhash(number[doc[also]], h[also], np.ones(int(also.sum())), int(repeats.sum()), bands * rows), bands, rows)
     some = np.diff(words.first) > 0
-    return [row.view(np.int64) if ok else None for row, ok in zip(out, some, strict=True)]
+    return [None if not some[i] else np.unique(np.concatenate([out[i], plain[number[i]]])) if repeats[i] else out[i] for i in range(len(texts))]
 
 
 def _column(batch: pa.RecordBatch, k: int) -> Iterator[bytes | None]:
     return (x.as_buffer().to_pybytes() if x.is_valid else None for x in batch.column(k))
 
 
+def _in_groups(batches: Iterator[pa.RecordBatch], make, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of (key, text bytes) as (key, *make(texts)), a few megabytes of text at a time."""
+    for batch in batches:
+        done = 0
+        for some in sub_batches(range(batch.num_rows), _column(batch, 1), BATCH_BYTES):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(some)), *make([t for _, t in some])], names=names)
+            done += len(some)
+
+
 def _sketches(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = 0
-            for some in sub_batches(range(batch.num_rows), _column(batch, 1), BATCH_BYTES):
-                texts = [t for _, t in some]
-                got = sketch(texts)
-                keys = pa.array([hashlib.md5(t, usedforsecurity=False).digest() for t in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(some)), keys, pa.array(got, pa.list_(pa.int64()))], names=["doc", "text_key", "bands"])
-                done += len(some)
-
-    return docs.select(F.col(ident).cast("long").alias("doc"), F.col(text).alias("t")).mapInArrow(run, "doc long, text_key binary, bands array<long>")
-
-
-def _sets(docs: DataFrame) -> DataFrame:
-    """(doc, t) -> (doc, s): distinct shingle hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = 0
-            for some in sub_batches(range(batch.num_rows), _column(batch, 1), BATCH_BYTES):
-                doc, h = shingles(Words([t for _, t in some]), WORDS)
-                edge = np.searchsorted(doc, np.arange(len(some) + 1))
-                sets = pa.array([np.unique(h[a:b]).view(np.int64) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(done, len(some)), sets], names=["doc", "s"])
-                done += len(some)
-
-    return docs.mapInArrow(run, "doc long, s array<long>")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard similarity of threshold or more."""
-    right = pairs.join(sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b")
-    both = right.join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a")
-    near = both.where((F.least(F.size("sa"), F.size("sb")) >= F.lit(threshold) * F.greatest(F.size("sa"), F.size("sb"))))
-    shared = near.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("total"))
-    return shared.where(F.col("n") >= F.lit(threshold) * (F.col("total") - F.col("n"))).select("a", "b")
-
-
-def _across(open_: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of open_ (doc, label) with different labels, among them all that reach the threshold.
-
-    A prefix filter: two sets this similar share an element whose place, in any common order (here
-    the rarer first), leaves enough of both. So the smaller set is only looked up by its first
-    elements, and labels are paired before texts, so that texts of one class never meet.
+    def make(texts: list[bytes]) -> list[pa.Array]:
+        keys = pa.array([hashlib.md5(t, usedforsecurity=False).digest() for t in texts], pa.binary())
+        return [keys, pa.array(sketch(texts), pa.list_(pa.int64()))]
+
+    kind = dict(docs.dtypes)[ident]
+    return docs.select(F.col(ident).alias("id"), F.col(text).alias("t")).mapInArrow(lambda b: _in_groups(b, make, ["id", "text_key", "bands"]), f"id {kind}, text_key binary, bands array<long>")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """(uid, t) -> (uid, s): distinct shingle hashes."""
+
+    def make(texts: list[bytes]) -> list[pa.Array]:
+        doc, h = shingles(Words(texts), WORDS)
+        edge = np.searchsorted(doc, np.arange(len(texts) + 1))
+        return [pa.array([np.unique(h[a:b]).view(np.int64) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.list_(pa.int64()))]
+
+    return texts.mapInArrow(lambda b: _in_groups(b, make, ["uid", "s"]), "uid long, s array<long>")
+
+
+def _text_key(text: Column) -> Column:
+    """As `_sketches` has it: a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
+def _paired(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+    """pairs with the sets sa and sb; b may be one hot key, and skewed joins are split on either side."""
+    right = pairs.join(sets.select(F.col("uid").alias(a), F.col("s").alias("sa")), a)
+    return right.join(sets.select(F.col("uid").alias(b), F.col("s").alias("sb")), b)
+
+
+def _similar(threshold: float) -> Column:
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return shared >= F.lit(threshold) * (F.size("sa") + F.size("sb") - shared)
+
+
+def _differences(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of texts with one hub and different labels, among them all that reach the threshold.
+
+    placed: (uid, hub, linked, label). With c = (1 - t) / (1 + t), sets are similar if their
+    symmetric difference has at most c * (|a| + |b|) elements. Let D be a set's symmetric
+    difference from its hub's set and e = |D| - c * |set|. Then a and b are similar just if
+    2 * |Da & Db| >= ea + eb, and a is linked with its hub just if ea <= c * |hub|. As e is at least
+    -c * |hub|, the sum is positive unless both are linked, when their labels are equal. So a pair that
+    is sought shares an element of its differences; and the first one that it shares, in any
+    order, leaves each of the two so many elements that 2 * (|D| - place) - e reaches the other's e. The
+    order is by the number of texts of the hub that have the element, rare ones first, so
+    that what a whole family has in common is hardly ever looked at.
     """
-    part = threshold / (1 + threshold)
-    of = open_.join(sets, "doc").select("doc", "label", F.size("s").alias("size"), F.explode("s").alias("x"))
-    often = of.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    c = (1 - threshold) / (1 + threshold)
+    both = _paired(placed, sets, "uid", "hub")
+    found = both.select("uid", "hub", "linked", "label", (F.size("sa") * F.lit(c)).alias("own"), (F.size("sb") * F.lit(c)).alias("far"), F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("d"))
+    found = cut(found)
+    named = found.select("uid", "hub", "linked", "label", F.size("d").alias("n"), (F.size("d") - F.col("own")).alias("e"), "far", F.explode("d").alias("x"))
+    often = cut(named.groupBy("hub", "x").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
     # Elements of one text alone come first in the order and meet nothing: only their number counts.
-    listed = of.join(often, "x").groupBy("doc", "label", "size").agg(F.sort_array(F.collect_list(F.struct("n", "x"))).alias("xs"))
-    single = F.col("size") - F.size("xs")
-    keep = F.col("size") - F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-6)).cast("int") + 1 - single
-    first = listed.where(keep > 0).select("doc", "label", "size", single.alias("single"), F.posexplode(F.slice("xs", F.lit(1), keep)).alias("i", "e"))
-    first = cut(first.select("doc", "label", "size", (F.col("size") - F.col("single") - F.col("i")).alias("rest"), F.col("e.x").alias("x")))
-    mixed = first.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("x")
-    first = first.join(mixed, "x", "left_semi")
-    left = first.where(F.col("rest") >= 2 * part * F.col("size") - 1e-6)
-    right = first.select("x", F.col("label").alias("label_b"), F.col("doc").alias("b"), F.col("size").alias("size_b"), F.col("rest").alias("rest_b"))
-    # Of each label only what the other side can reach at all.
-    kinds = left.groupBy("x", "label").agg(F.min("size").alias("lo"), F.max(F.col("rest") / part - F.col("size")).alias("hi"))
-    kinds_b = right.groupBy("x", "label_b").agg(F.max("size_b").alias("hi_b"), F.min("size_b").alias("lo_b"), F.max(F.col("rest_b") / part - F.col("size_b")).alias("cap_b"))
-    both = kinds.join(kinds_b, "x").where((F.col("label") != F.col("label_b")) & (F.col("lo") <= F.least("hi_b", F.col("cap_b") + 1e-6)) & (F.col("lo_b") <= F.col("hi") + 1e-6))
-    met = both.select("x", "label", "label_b").join(left.withColumnRenamed("doc", "a"), ["x", "label"]).join(right, ["x", "label_b"])
-    met = met.where((F.col("size") <= F.col("size_b")) & (F.least("rest", "rest_b") >= (F.col("size") + F.col("size_b")) * part - 1e-6))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    listed = named.join(often, ["hub", "x"]).groupBy("uid", "hub", "linked", "label", "n", "e", "far").agg(F.sort_array(F.collect_list(F.struct("k", "x"))).alias("xs"))
+    first = listed.select("uid", "hub", "linked", "label", "e", "far", (F.col("n") - F.size("xs")).alias("alone"), "n", F.posexplode("xs").alias("i", "y"))
+    first = first.withColumn("reach", 2 * (F.col("n") - F.col("alone") - F.col("i")) - F.col("e") + SLACK)
+    # A linked text only seeks others that are not.
+    first = cut(first.where(F.col("reach") >= F.when(F.col("linked"), F.col("far")).otherwise(-F.col("far"))).select("uid", "hub", "linked", "label", "e", "reach", F.col("y.x").alias("x")))
+    apart = ~F.col("linked")
+    ends = first.groupBy("hub", "x").agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("e").alias("e_all"), F.max("reach").alias("r_all"),
+        F.min(F.when(apart, F.col("e"))).alias("e_apart"), F.max(F.when(apart, F.col("reach"))).alias("r_apart"),
+    ).where("lo <> hi AND e_apart IS NOT NULL")
+    near = first.join(cut(ends.drop("lo", "hi")), ["hub", "x"])
+    near = near.where(F.when(F.col("linked"), (F.col("reach") >= F.col("e_apart")) & (F.col("e") <= F.col("r_apart"))).otherwise((F.col("reach") >= F.col("e_all")) & (F.col("e") <= F.col("r_all"))))
+    near = cut(near.select("uid", "hub", "linked", "label", "e", "reach", "x"))
+    other = near.select("hub", "x", F.col("uid").alias("b"), F.col("linked").alias("linked_b"), F.col("label").alias("label_b"), F.col("e").alias("e_b"), F.col("reach").alias("reach_b"))
+    one_way = F.col("linked_b") | (F.col("uid") < F.col("b"))
+    met = near.where(apart).join(other, ["hub", "x"]).where(one_way & (F.col("label") != F.col("label_b")) & (F.col("e_b") <= F.col("reach")) & (F.col("e") <= F.col("reach_b")))
+    return met.select(F.col("uid").alias("a"), "b").distinct()
+
+
+def _classes(docs: DataFrame, ident: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(id, text_key) of every row, and (text_key, label, n_copies, first) of every distinct text; first: (id is null, id, text_key)."""
+    found = cut(_sketches(docs, ident, text))
+    # One representative per distinct text, numbered once it is written, before anything is compared.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_key"))).alias("first")
+    reps = cut(found.groupBy("text_key").agg(F.count(F.lit(1)).alias("n_copies"), F.first("bands").alias("bands"), first))
+    reps = reps.withColumn("uid", F.monotonically_increasing_id())
+    rows = reps.select("uid", F.explode("bands").alias("h"))
+    shared = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # The text that meets most others in all its bands is the hub that a bucket's texts are compared with.
+    members = cut(rows.join(shared, "h").withColumn("degree", F.sum("n").over(Window.partitionBy("uid"))).drop("n"))
+    hubs = cut(members.groupBy("h").agg(F.max(F.struct("degree", (-F.col("uid")).alias("minus"))).alias("top")).select("h", (-F.col("top.minus")).alias("hub")))
+    star = cut(members.join(hubs, "h").select("uid", "hub").distinct())
+    needed = star.where("uid <> hub").select("uid").union(star.select("hub")).distinct().join(reps.select("uid", "text_key", "first.id"), "uid")
+    texts = docs.select(F.col(ident).alias("__id"), F.col(text).alias("t"), _text_key(F.col(text)).alias("text_key")).join(needed, ["text_key"]).where(F.col("__id").eqNullSafe(F.col("id")))
+    sets = cut(_sets(texts.select("uid", "t")).dropDuplicates(["uid"]))
+    links = cut(_paired(star.where("uid <> hub"), sets, "uid", "hub").select("uid", "hub", _similar(threshold).alias("linked")))
+    labels = components(links.where("linked").select("uid", "hub"))
+    placed = cut(links.join(labels, links["uid"] == labels["node"], "left").select("uid", "hub", "linked", F.coalesce("label", "uid").alias("label")))
+    mixed = placed.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_and("linked").alias("all")).where("lo <> hi AND NOT all")
+    open_ = cut(placed.join(mixed.select("hub"), "hub", "left_semi"))
+    if not open_.isEmpty():
+        more = _paired(_differences(open_, sets, threshold), sets, "a", "b").where(_similar(threshold)).select("a", "b")
+        of = placed.select("uid", "label").distinct()
+        more = more.join(of.select(F.col("uid").alias("a"), F.col("label").alias("u")), "a").join(of.select(F.col("uid").alias("b"), F.col("label").alias("v")), "b").select("u", "v").distinct()
+        joined = components(cut(more)).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        labels = labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label")).unionByName(joined.select(F.col("label").alias("node"), F.col("to").alias("label")))
+        labels = labels.groupBy("node").agg(F.min("label").alias("label"))
+    classes = reps.join(labels, reps["uid"] == labels["node"], "left").select("text_key", F.coalesce("label", "uid").alias("label"), "n_copies", "first")
+    return found.select("id", "text_key"), classes
 
 
 def near_duplicate_classes(docs: DataFrame, ident: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of docs with an id: ident, ``class_id`` (the smallest id of its class) and ``n_copies`` (rows with this very text).
+    """One row per row of docs: ident, ``class_id`` (the smallest id of its class) and ``n_copies`` (rows with this very text).
 
     Texts are in one class if they are equal or linked by verified pairs. A null text counts
-    as empty; texts without words are only linked to equal ones. Rows with a null id are left
-    out. An id on several rows links their texts' classes no further than their own text does.
+    as empty; texts without words are only linked to equal ones. Rows are judged by their own
+    texts: ids may be of any type that has an order, be null or repeat. A class in which no row
+    has an id has a null class_id.
     """
-    found = cut(_sketches(docs.where(F.col(ident).isNotNull()), ident, text))
-    # One representative per distinct text, before anything is compared.
-    reps = found.groupBy("text_key").agg(F.min(F.struct("doc", "bands")).alias("r"), F.count(F.lit(1)).alias("n_copies"))
-    reps = reps.select("text_key", "n_copies", F.col("r.doc").alias("doc"), F.col("r.bands").alias("bands"))
-    rows = reps.select("doc", F.posexplode("bands").alias("band", "h"))
-    shared = rows.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = cut(rows.join(shared, ["band", "h"]).select("doc", "band", "h", "n"))
-
-    listed = members.where(F.col("n") <= SMALL).groupBy("band", "h").agg(F.sort_array(F.collect_list("doc")).alias("d"))
-    after = F.transform("d", lambda x, i: F.struct(x.alias("a"), F.slice("d", i + 2, F.size("d")).alias("bs")))
-    pairs = listed.select(F.explode(after).alias("p")).select("p.a", F.explode("p.bs").alias("b"))
-    # Large buckets: the text that meets most others in all its bands is the hub that the rest are compared with.
-    large = members.where(F.col("n") > SMALL)
-    degree = members.groupBy("doc").agg(F.sum("n").alias("degree"))
-    large = cut(large.join(degree, "doc").select("doc", "band", "h", "degree"))
-
-    def hub_of(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("band", "h").agg(F.max(F.struct("degree", (-F.col("doc")).alias("minus"))).alias("x")).select("band", "h", (-F.col("x.minus")).alias("hub"))
-
-    def star(rows: DataFrame, hubs: DataFrame) -> DataFrame:
-        return rows.join(hubs, ["band", "h"]).where("doc <> hub")
-
-    first_hubs = cut(hub_of(large))
-    ordered = lambda df: df.select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))
-    pairs = cut(pairs.unionByName(ordered(star(large, first_hubs))).where("a <> b").distinct())
-    needed = members.select("doc").distinct()
-    texts = docs.select(F.col(ident).cast("long").alias("doc"), F.col(text).alias("t")).join(needed, "doc", "left_semi")
-    sets = cut(_sets(texts).dropDuplicates(["doc"]))
-    edges = cut(_verified(pairs, sets, threshold))
-    labels = components(edges)
-    tried, hubs = pairs, first_hubs
-
-    def mixed() -> DataFrame:
-        """Members of large buckets that hold several classes, with their label and that of the main class."""
-        placed = large.join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-        some = placed.groupBy("band", "h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("degree", "label")).alias("top")).where("lo <> hi")
-        return placed.join(some.select("band", "h", F.col("top.label").alias("main")), ["band", "h"])
-
-    for _ in range(HUB_ROUNDS):
-        # Buckets in which the hubs so far left a class apart: a text that was no hub there is compared with all the others.
-        open_ = mixed()
-        next_ = cut(hub_of(open_.where("label <> main").join(hubs.withColumnRenamed("hub", "doc"), ["band", "h", "doc"], "left_anti")))
-        hubs = hubs.unionByName(next_)
-        new = cut(ordered(star(open_, next_)).distinct().join(tried, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            break
-        more = cut(_verified(new, sets, threshold))
-        tried = cut(tried.unionByName(new))
-        if more.isEmpty():
-            break
-        edges = edges.unionByName(more)
-        labels = components(edges)
-    # Whatever the hubs left apart is settled exactly.
-    open_ = cut(mixed().select("doc", "label").distinct())
-    if not open_.isEmpty():
-        new = cut(_across(open_, sets, threshold).join(tried, ["a", "b"], "left_anti"))
-        more = cut(_verified(new, sets, threshold))
-        if not more.isEmpty():
-            labels = components(edges.unionByName(more))
-    classes = reps.select("text_key", "doc", "n_copies").join(labels.withColumnRenamed("node", "doc"), "doc", "left")
-    classes = classes.select("text_key", "n_copies", F.coalesce("label", "doc").alias("class_id"))
-    return found.select("doc", "text_key").join(classes, "text_key").select(F.col("doc").alias(ident), "class_id", "n_copies")
+    found, classes = _classes(docs, ident, text, threshold)
+    named = classes.groupBy("label").agg(F.min("first").alias("lead")).select("label", F.col("lead.id").alias("class_id"))
+    got = classes.select("text_key", "label", "n_copies").join(named, "label")
+    return found.join(got, "text_key").select(F.col("id").alias(ident), "class_id", F.col("n_copies").cast("long"))
 
 
 def distinct_rows(docs: DataFrame, ident: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row of each class, that with the smallest id, with the columns of docs.
+    """One row of each class, with the columns of docs: that with the smallest id, of several such ids the text with the smallest MD5.
 
-    Rows that share an id count as copies, of which one stays; rows without an id all stay.
+    A row without an id stays only if its class has no row with one. Rows that share id and
+    text are copies, of which any one stays.
     """
-    classes = near_duplicate_classes(docs, ident, text, threshold)
-    first = classes.where(F.col(ident) == F.col("class_id")).select(F.col(ident).alias("__sg_first")).distinct()
-    met = docs.join(first, docs[ident] == first["__sg_first"], "left_semi")
-    one = met.withColumn("__sg_n", F.row_number().over(Window.partitionBy(ident).orderBy(ident))).where("__sg_n = 1").drop("__sg_n")
-    return one.unionByName(docs.where(F.col(ident).isNull()))
+    _, classes = _classes(docs, ident, text, threshold)
+    lead = classes.groupBy("label").agg(F.min("first").alias("lead")).select(F.col("lead.id").alias("__sg_id"), F.col("lead.text_key").alias("__sg_lead"))
+    lead = cut(lead)
+    keyed = docs.withColumn("__sg_key", _text_key(F.col(text)))
+    kept = keyed.join(lead, (keyed["__sg_key"] == lead["__sg_lead"]) & keyed[ident].eqNullSafe(lead["__sg_id"]), "left_semi")
+    return kept.dropDuplicates(["__sg_key"]).drop("__sg_key")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

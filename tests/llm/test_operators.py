@@ -228,14 +228,86 @@ def brute_classes(rows):
 
 def test_near_duplicates(spark, hard, empty):
     got = probminhash.near_duplicate_classes(hard)
-    want = brute_classes([r[:2] for r in hard_rows()])
-    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == want
-    assert got.count() == sum(r[0] is not None for r in hard_rows())
+    rows = hard_rows()
+    want = brute_classes([r[:2] for r in rows if r[0] is not None])
+    by_text = {(r[1] or ""): want[r[0]] for r in rows if r[0] is not None}
+    # Rows without an id are judged by their texts like all others.
+    assert sorted((repr(r["doc_id"]), r["class_id"]) for r in got.collect()) == sorted((repr(r[0]), by_text[r[1] or ""]) for r in rows)
     assert probminhash.near_duplicate_classes(empty).count() == 0
     one = probminhash.distinct_rows(hard)
     assert one.columns == hard.columns
-    assert sorted(r["doc_id"] for r in one.where("doc_id IS NOT NULL").collect()) == sorted(set(want.values()))
-    assert one.where("doc_id IS NULL").count() == 2
+    assert sorted(map(tuple, one.collect()), key=repr) == sorted({r for r in rows if r[0] in want and want[r[0]] == r[0]}, key=repr)
+
+
+def test_near_duplicates_ids_of_any_kind(spark):
+    """Text ids, one id on different texts, and a class without any id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [("x", a), ("x", b), ("y", b), (None, c), (None, c), ("z", None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = probminhash.near_duplicate_classes(docs).collect()
+    assert sorted(map(repr, ((r[0], r[1], r[2]) for r in got))) == sorted(map(repr, [("x", "x", 1), ("x", "x", 2), ("y", "x", 2), (None, None, 2), (None, None, 2), ("z", "z", 2), (None, "z", 2)]))
+    assert sorted(map(tuple, probminhash.distinct_rows(docs).collect()), key=repr) == sorted([("x", a), ("x", b), (None, c), ("z", None)], key=repr)
+
+
+def test_repeats_do_not_hide_a_pair(spark):
+    """The sets are similar by 0.8 or more, though one text repeats some shingles a hundred times."""
+    rnd = random.Random(23)
+    rows = []
+    for k in range(30):
+        w = [f"k{k}w{i}" for i in range(204)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:100]] * 60 + w[:190] + [f"{rnd.random()}"]))]
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows) == {i: i - i % 2 for i in range(60)}
+
+
+def test_near_duplicates_of_a_large_family(spark, monkeypatch):
+    """All texts in one bucket, most pairs of them just below the threshold: the classes are those of all pairs, and few pairs are looked at."""
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(60)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(rnd.randint(1, 3)):
+            w[rnd.randrange(60)] = word()
+        rows.append((i, " ".join(w)))
+    one = lambda docs, ident, text: docs.select(F.col(ident).alias("id"), F.unhex(F.md5(text)).alias("text_key"), F.array(F.lit(7).cast("long")).alias("bands"))
+    monkeypatch.setattr(probminhash, "_sketches", one)
+    looked, search = [], probminhash._differences
+
+    def counted(*args):
+        looked.append(search(*args))
+        return looked[-1]
+
+    monkeypatch.setattr(probminhash, "_differences", counted)
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_classes(rows)
+    assert looked[0].count() < 0.03 * len(rows) ** 2 / 2
+
+
+@pytest.mark.parametrize("limit", [500_000, 40])
+def test_components(spark, monkeypatch, limit):
+    from sweepgrid.llm import components
+
+    monkeypatch.setattr(components, "LINKS_PER_TASK", limit)
+    rnd = random.Random(limit)
+    links = [(i, i + 1) for i in range(0, 90)] + [(200 + rnd.randrange(60), 200 + rnd.randrange(60)) for _ in range(40)] + [(500, 500 + i) for i in range(50)]
+    rnd.shuffle(links)
+    near = defaultdict(set)
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    want = {}
+    for x in sorted(near):
+        todo = [x] if x not in want else []
+        while todo:
+            y = todo.pop()
+            if y not in want:
+                want[y] = x
+                todo += near[y]
+    got = components.components(spark.createDataFrame(links, "a long, b long").repartition(5))
+    assert {r["node"]: r["label"] for r in got.collect()} == want
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_near_duplicates_by_hubs(spark, sf_dir):
@@ -258,7 +330,7 @@ def test_near_duplicates_settle_large_buckets(spark, monkeypatch):
     for k in range(3):
         texts += [" ".join(f"fam{k}x{i}" for i in range(shift, shift + 100)) for shift in (0, 10, 20, 30, 40)]
     texts += [" ".join(f"pair{i}" for i in range(shift, shift + 100)) for shift in (0, 3)]
-    one = lambda docs, ident, text: docs.select(F.col(ident).alias("doc"), F.md5(text).cast("binary").alias("text_key"), F.array(F.lit(7).cast("long")).alias("bands"))
+    one = lambda docs, ident, text: docs.select(F.col(ident).alias("id"), F.unhex(F.md5(text)).alias("text_key"), F.array(F.lit(7).cast("long")).alias("bands"))
     monkeypatch.setattr(probminhash, "_sketches", one)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicate_classes(docs).collect()}
