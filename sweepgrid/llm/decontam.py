@@ -2,12 +2,12 @@
 
 Test items are short and documents may be long, so Jaccard similarity says little; what
 counts is containment: the share of an item's shingles that a document has. Items are
-partitioned by their number of shingles, and each partition has its own sketch size: an
-item's sketch holds its smallest shingle hashes (all of them in the smallest partition).
-A document is a candidate for an item when it has enough of the item's sketch, by a
-threshold that allows for the sampling error of that partition, and a candidate is
-verified by the exact containment of distinct shingles. Documents are read once; only
-shingles that some item has leave the scan.
+partitioned by their number of distinct shingles, the bounds of partitions growing
+by a fifth, and an item's sketch holds its smallest shingle hashes, about a fifth of them and a
+few more, by the upper bound of its partition. A document that has enough of an item leaves
+out so few of its shingles that some of its sketch must be met (`need` of them, for sure and
+not only likely). So the search looks for sketches alone; the pairs that it finds, few, are
+verified by the exact containment of all distinct shingles.
 """
 
 from __future__ import annotations
@@ -15,18 +15,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, word_array
+from .common import cut, table, word_array
 
 WORDS = 5
 THRESHOLD = 0.8
-#: Partitions of items: up to so many shingles -> sketch size, and the share of the sketch that makes a candidate.
-#: A sketch of k of n shingles, of which at least 0.8 n are in the document, has fewer than share * k of them with
-#: a probability below 1e-9 (hypergeometric tail).
-PARTITIONS = ((128, 128, 0.8), (1024, 256, 0.62), (2**31 - 1, 512, 0.68))
-#: Items' shingles are broadcast up to this many rows (32 bytes each) and joined by a shuffle beyond.
+#: A sketch has one entry for this many of its partition's upper bound, beyond those that a document may leave out.
+SPARE = 16
+#: Sketches, candidates and leaks are broadcast up to this many rows (about 40 bytes each) and joined by a shuffle beyond.
 BROADCAST_ROWS = 500_000
 
 
+def _bounded(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def shingle_hashes(words: Column, k: int = WORDS) -> Column:
     """Hashes of all runs of k words; a shorter text that has words is one shingle."""
     n = F.size(words)
@@ -38,50 +40,58 @@ def shingle_hashes(words: Column, k: int = WORDS) -> Column:
     return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(runs)
 
 
-def item_shingles(bench: DataFrame, ident: str = "item_id", text: str = "text", k: int = WORDS) -> DataFrame:
-    """Distinct (item, h) with n_item (the item's distinct shingles), in_sketch, sketch, need."""
+def item_shingles(bench: DataFrame, threshold: float = THRESHOLD, ident: str = "item_id", text: str = "text", k: int = WORDS) -> DataFrame:
+    """Distinct (item, h) with n_item (the item's distinct shingles), in_sketch, and need: the part of the sketch that a match has at least."""
     words = bench.select(F.col(ident).alias("item"), word_array(F.col(text)).alias("w"))
     rows = words.select("item", F.explode(F.array_distinct(shingle_hashes(F.col("w"), k))).alias("h")).distinct()
     item = Window.partitionBy("item")
     rows = rows.withColumn("n_item", F.count(F.lit(1)).over(item)).withColumn("rank", F.row_number().over(item.orderBy(F.xxhash64("h", F.lit(11)), "h")))
-    size, share = F.lit(None).cast("int"), F.lit(None).cast("double")
-    for top, sketch, part in reversed(PARTITIONS):
-        size, share = F.when(F.col("n_item") <= top, F.lit(sketch)).otherwise(size), F.when(F.col("n_item") <= top, F.lit(part)).otherwise(share)
-    rows = rows.withColumns({"sketch": F.least(F.col("n_item"), size), "share": share})
-    return rows.select("item", "h", "n_item", (F.col("rank") <= F.col("sketch")).alias("in_sketch"), "sketch", (F.col("share") * F.col("sketch")).alias("need"))
+    top = F.greatest(F.col("n_item"), F.floor(F.pow(F.lit(2.0), F.ceil(4 * F.log2("n_item") - F.lit(1e-9)) / 4)))  # bounds 1, 2, 4, 8 and three between each
+    absent = lambda n: F.floor(n * F.lit(1 - threshold) + F.lit(1e-9))  # noqa: E731  so many shingles a match may leave out
+    sketch = F.least(F.col("n_item"), absent(top) + F.greatest(F.lit(1), F.floor(top / SPARE)))
+    return rows.select("item", "h", "n_item", (F.col("rank") <= sketch).alias("in_sketch"), (sketch - absent(F.col("n_item"))).alias("need"))
+
+
+def _text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def _found(docs: DataFrame, items: DataFrame, threshold: float, ident: str, text: str) -> DataFrame:
+    """(id, key, item, n_shared, n_item) for each distinct (ident, text) of docs that holds an item; key: the text's MD5."""
+    keyed = docs.select(F.col(ident).alias("id"), _text_key(F.col(text)).alias("key"), F.col(text).alias("t"))
+    # A column of its own: a text is split once, not for each shingle.
+    runs = lambda df, *cols: df.select(*cols, word_array(F.col("t")).alias("w")).select(*cols, F.explode(F.array_distinct(shingle_hashes(F.col("w")))).alias("h"))
+    sketches = items.where("in_sketch").select("item", "h", "need")
+    hits = runs(keyed, "id", "key").join(_bounded(sketches, sketches.count()), "h")
+    candidates = cut(hits.groupBy("id", "key", "item").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need").select("id", "key", "item"))
+    n = candidates.count()
+    which = _bounded(candidates.select(F.col("id").alias("c_id"), F.col("key").alias("c_key")).distinct(), n)
+    met = keyed.join(which, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key")), "left_semi").dropDuplicates(["id", "key"])
+    pairs = met.join(candidates.select(F.col("id").alias("c_id"), F.col("key").alias("c_key"), "item"), F.col("id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key")))
+    every = _bounded(items.select(F.col("item").alias("c_item"), F.col("h").alias("c_h"), "n_item"), items.count())
+    shared = runs(pairs, "id", "key", "item").join(every, F.col("item").eqNullSafe(F.col("c_item")) & (F.col("h") == F.col("c_h")))
+    counted = shared.groupBy("id", "key", "item").agg(F.count(F.lit(1)).alias("n_shared"), F.first("n_item").alias("n_item"))
+    return counted.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item"))
 
 
 def contained(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, ident: str = "doc_id", text: str = "text", item_ident: str = "item_id", item_text: str = "text") -> DataFrame:
     """(ident, item_ident, n_shared, n_item, containment) for each document that holds an item.
 
     Null and blank texts have no shingles and match nothing; a text below five words is one
-    shingle. Repeated rows with one ident count as one document (their shingles are pooled).
-    Null idents are ids like any other. No items or no documents: no rows. An item in many
-    documents costs rows in proportion to its matches.
+    shingle. Rows are judged by their own texts: equal rows give one row, different texts with
+    one ident, or with none, one each. Items that share an ident are one item. No items or no
+    documents: no rows. An item in many documents costs rows in proportion to its matches.
     """
-    items = item_shingles(bench, item_ident, item_text)
-    words = docs.select(F.col(ident).alias("doc"), word_array(F.col(text)).alias("w"))  # a column of its own: split once, not for each shingle
-    found = words.select("doc", F.explode(shingle_hashes(F.col("w"))).alias("h"))
-    if items.count() <= BROADCAST_ROWS:
-        items = F.broadcast(items)
-    hits = found.join(items, "h").select("doc", "item", "h", "n_item", "in_sketch", "sketch", "need")
-    # Distinct hits, a set per document and item: at most n_item entries each, merged before the shuffle.
-    pairs = hits.groupBy("doc", "item").agg(
-        F.size(F.collect_set("h")).alias("n_shared"),
-        F.size(F.collect_set(F.when(F.col("in_sketch"), F.col("h")))).alias("n_sketch"),
-        F.first("n_item").alias("n_item"), F.first("sketch").alias("sketch"), F.first("need").alias("need"),
-    )
-    candidates = pairs.where(F.col("n_sketch") >= F.floor(F.least(F.col("need"), F.col("sketch") * F.lit(threshold))))
-    verified = candidates.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item"))
-    return verified.select(
-        F.col("doc").alias(ident), F.col("item").alias(item_ident), F.col("n_shared").cast("long"), F.col("n_item").cast("long"), (F.col("n_shared") / F.col("n_item")).alias("containment")
-    )
+    items = cut(item_shingles(bench, threshold, item_ident, item_text))
+    got = _found(docs, items, threshold, ident, text)
+    return got.select(F.col("id").alias(ident), F.col("item").alias(item_ident), F.col("n_shared").cast("long"), F.col("n_item").cast("long"), (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def clean_rows(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that hold a test item. Rows with a null ident are judged together, as one document."""
-    leaks = contained(docs, bench, threshold, ident, text).select(F.col(ident).alias("__sg_leak")).distinct()
-    return docs.join(leaks, docs[ident].eqNullSafe(leaks["__sg_leak"]), "left_anti")
+    """docs without those that hold a test item; every row is judged by its own text."""
+    items = cut(item_shingles(bench, threshold))
+    leaks = cut(_found(docs, items, threshold, ident, text).select(F.col("id").alias("__sg_id"), F.col("key").alias("__sg_leak")).distinct())
+    return docs.join(_bounded(leaks, leaks.count()), docs[ident].eqNullSafe(F.col("__sg_id")) & (_text_key(docs[text]) == F.col("__sg_leak")), "left_anti")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -483,16 +483,35 @@ def test_containment(spark, hard, empty):
     passage = next(r[1] for r in rows if r[1] and len(words(r[1])) == 60)
     items = [(1, passage), (2, " ".join(passage.split()[5:20])), (3, None), (4, ""), (5, "a b c d"), (6, "never seen here at all today"), (7, " ".join(passage.split()[:50]) + " q1 q2 q3 q4 q5 q6"), (None, "one")]
     bench = spark.createDataFrame([(*x, "k") for x in items], "item_id long, text string, doc string")
-    pooled = defaultdict(set)
-    for r in rows:
-        pooled[r[0]] |= shingle_set(r[1])
-    want = {(d, i) for d, s in pooled.items() for i, t in items if (q := shingle_set(t)) and len(q & s) >= 0.8 * len(q)}
+    holds = lambda text, t: (q := shingle_set(t)) and len(q & shingle_set(text)) >= 0.8 * len(q)
+    want = [(d, i) for d, text in {(r[0], r[1]) for r in rows} for i, t in items if holds(text, t)]
     got = decontam.contained(hard, bench)
-    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want
+    assert sorted(repr((r["doc_id"], r["item_id"])) for r in got.collect()) == sorted(map(repr, want))
     assert decontam.contained(empty, bench).count() == 0 and decontam.contained(hard, bench.limit(0)).count() == 0
     clean = decontam.clean_rows(hard, bench)
-    bad = {d for d, _ in want}
-    assert clean.columns == hard.columns and sorted(repr(r["doc_id"]) for r in clean.collect()) == sorted(repr(r[0]) for r in rows if r[0] not in bad)
+    assert clean.columns == hard.columns and sorted(map(repr, map(tuple, clean.collect()))) == sorted(repr(r) for r in rows if not any(holds(r[1], t) for _, t in items))
+
+
+@pytest.mark.parametrize("limit", [500_000, 0])
+def test_sketches_lose_no_item(spark, monkeypatch, limit):
+    """Items of every size, documents that hold just enough of them or just too little, scattered over the text; joined by broadcast and by shuffle."""
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
+    rnd = random.Random(4)
+    items, docs = [], []
+    for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 9, 12, 16, 17, 20, 33, 40, 64, 65, 130, 300, 700]):
+        w = [f"i{k}x{j}" for j in range(n + 4)]
+        items.append((k, " ".join(w)))
+        for absent in (int(n * 0.2 + 1e-9), int(n * 0.2 + 1e-9) + 1):
+            for _ in range(3):
+                kept = sorted(rnd.sample(range(n), max(n - absent, 0)))
+                # Each shingle that is kept stands alone, so that no other comes with it.
+                docs.append((len(docs), " ".join(" ".join(w[j : j + 5]) + f" gap{rnd.random()}" for j in kept)))
+    bench, table = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    want = {(d, i): len(q & shingle_set(text)) for d, text in docs for i, t in items if len((q := shingle_set(t)) & shingle_set(text)) >= 0.8 * len(q)}
+    got = decontam.contained(table, bench).collect()
+    assert {(r["doc_id"], r["item_id"]): r["n_shared"] for r in got} == want and len(want) >= 3 * len(items) - 6
+    sketch = decontam.item_shingles(bench).where("in_sketch").count()
+    assert sketch < 0.35 * sum(len(shingle_set(t)) for _, t in items)
 
 
 def test_word_hashes_are_of_words_alone():
