@@ -1,12 +1,13 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Each source's documents are dealt by hash into blocks. A source's target decides how
-many whole passes over its blocks the mix makes and which permuted blocks it draws once
-more. All block instances are then split among the output shards by a binary tree: at
-each node, the tokens that stand for them are permuted and cut in proportion to the
-shards left and right, which is an exact multivariate hypergeometric draw of each source's
-quota. Each shard fills its quota with disjoint blocks in permuted order, and its rows
-are shuffled locally. Only the block table (sources x BLOCKS rows) passes the tree.
+Each source's documents are dealt by hash into blocks, whose number grows with the source.
+A source's target decides its quota of block instances: whole passes over its blocks, and
+one more of the first of its permuted blocks. The quotas of all sources are then split among
+the output shards by a binary tree: at each node, the tokens that stand for them are permuted
+and cut in proportion to the shards left and right, which is an exact multivariate
+hypergeometric draw of each source's quota. Each shard fills its quotas with disjoint blocks
+in permuted order, and what it was given decides how often a document is taken. Its rows
+are shuffled locally. Only the block table passes the tree.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from .common import cut, table, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
-BLOCKS = 512
+#: Blocks of a source: so many at least, and one for each BLOCK_DOCS documents of a large one.
+BLOCKS, BLOCK_DOCS = 512, 2048
 #: Documents of a source, at least, among which single ones fill what whole blocks leave of its target.
 POOL = 256
 #: The block table is broadcast up to this many rows (about 100 bytes each) and joined by a shuffle beyond.
 BROADCAST_ROWS = 100_000
+#: Tokens of a tree node that one task ranks; a node with more is ranked by parts of its permutation.
+PART_TOKENS = 500_000
 SHARDS = 16
 SEED = 7_1234
 
@@ -54,100 +58,134 @@ def _spread(*parts) -> Column:
     return F.xxhash64(*parts)
 
 
-def split_tree(tokens: DataFrame, shards: int, seed: int) -> DataFrame:
+def split_tree(tokens: DataFrame, shards: int, seed: int, most: int = 0) -> DataFrame:
     """Splits tokens (any columns that identify one) among shards: adds ``shard``.
 
     At a node that covers shards [lo, hi), round(n * left / all) of its n tokens go left,
     drawn without replacement by a hash permutation: the counts by source that go left are
-    a multivariate hypergeometric draw, and the totals are exact.
+    a multivariate hypergeometric draw, and the totals are exact. most: a bound of the number of
+    tokens, by which large nodes are ranked in parts.
     """
     ident = tokens.columns
     nodes = tokens.withColumns({"lo": F.lit(0), "hi": F.lit(shards)})
     depth = max(0, (shards - 1).bit_length())
     for level in range(depth):
-        node = Window.partitionBy("lo", "hi")
-        rank = F.row_number().over(node.orderBy(_spread(*ident, F.lit(seed + level)), *ident))
-        n = F.count(F.lit(1)).over(node)
+        at = _spread(*ident, F.lit(seed + level))
+        parts = max(1, most // PART_TOKENS >> level)
+        if parts == 1:
+            node = Window.partitionBy("lo", "hi")
+            nodes = nodes.withColumns({"r": F.row_number().over(node.orderBy(at, *ident)), "n": F.count(F.lit(1)).over(node)})
+        else:
+            nodes = cut(nodes.withColumn("part", F.pmod(at, F.lit(parts))))
+            part = Window.partitionBy("lo", "hi").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+            sizes = nodes.groupBy("lo", "hi", "part").agg(F.count(F.lit(1)).alias("m"))
+            starts = cut(sizes.select("lo", "hi", "part", F.coalesce(F.sum("m").over(part), F.lit(0)).alias("start"), F.sum("m").over(Window.partitionBy("lo", "hi")).alias("n")))
+            rank = F.row_number().over(Window.partitionBy("lo", "hi", "part").orderBy(at, *ident))
+            nodes = nodes.withColumn("r", rank).join(starts, ["lo", "hi", "part"]).withColumn("r", F.col("r") + F.col("start"))
         mid = F.floor((F.col("lo") + F.col("hi") + 1) / 2).cast("int")
-        nodes = nodes.withColumns({"mid": mid, "r": rank, "n": n})
-        left = F.col("r") <= F.round(F.col("n") * (F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+        left = F.col("r") <= F.round(F.col("n") * (mid - F.col("lo")) / (F.col("hi") - F.col("lo")))
         one = F.col("hi") - F.col("lo") <= 1
         nodes = nodes.select(
             *ident,
-            F.when(one | ~left, F.when(one, F.col("lo")).otherwise(F.col("mid"))).otherwise(F.col("lo")).alias("lo"),
-            F.when(one | ~left, F.col("hi")).otherwise(F.col("mid")).alias("hi"),
+            F.when(one | left, F.col("lo")).otherwise(mid).alias("lo"),
+            F.when(one | ~left, F.col("hi")).otherwise(mid).alias("hi"),
         )
     return nodes.select(*ident, F.col("lo").alias("shard"))
 
 
-def mix(docs: DataFrame, source: str = "source", size: str = "size", ident: list[str] | None = None, shards: int = SHARDS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs (which has a size column) with ``source_size``, ``target``, ``copies`` and
-    ``shards`` (one output shard for each copy).
-
-    Null sources form a source of their own, ordered last. A size of 0 is never taken; an
-    empty table stays empty. Equal rows are told apart by the order of the sort only.
-    """
-    ident = ident or ["doc_id"]
-    key = {"__sg_src": F.coalesce(F.col(source), F.lit("")), "__sg_null": F.col(source).isNull()}
-    rows = docs.withColumns(key).withColumn("__sg_h", _spread(*ident, F.col(size), F.lit(seed))).withColumn("__sg_b", F.pmod(F.col("__sg_h"), F.lit(BLOCKS)).cast("int"))
+def _mixed(docs: DataFrame, source: str, size: str, ident: list[str], shards: int, seed: int) -> DataFrame:
+    """docs with __sg_h (the permutation), __sg_size, __sg_target and __sg_homes (one output shard for each copy)."""
+    key = {"__sg_src": F.coalesce(F.col(source).cast("string"), F.lit("")), "__sg_null": F.col(source).isNull()}
+    rows = docs.withColumns(key).withColumn("__sg_h", _spread(*ident, F.col(size), F.lit(seed)))
+    # A fine deal first, then as few blocks as a source's documents need: documents are read once for both.
+    fine = F.pmod(F.col("__sg_h"), F.lit(BLOCKS)).cast("long")
+    counts = rows.groupBy("__sg_src", "__sg_null").agg(F.count(F.lit(1)).alias("n"))
+    wide = counts.where(F.col("n") > BLOCKS * BLOCK_DOCS).select("__sg_src", "__sg_null", F.ceil(F.col("n") / (BLOCKS * BLOCK_DOCS)).alias("__sg_k"))
+    wide = cut(wide)
+    n_wide = wide.count()
+    if n_wide:
+        rows = rows.join(F.broadcast(wide) if n_wide <= BROADCAST_ROWS else wide, ["__sg_src", "__sg_null"], "left")
+        rows = rows.withColumn("__sg_b", fine + BLOCKS * F.pmod(_spread("__sg_h", F.lit(seed + 1)), F.coalesce("__sg_k", F.lit(1)))).drop("__sg_k")
+    else:
+        rows = rows.withColumn("__sg_b", fine)
 
     # Block sums are the only thing that is aggregated over documents; the rest of the plan works on the block table.
     grouped = rows.groupBy(F.col("__sg_src").alias("src"), F.col("__sg_null").alias("null_last"), F.col("__sg_b").alias("b"))
     blocks = cut(grouped.agg(F.sum(size).cast("long").alias("words"), F.count(F.lit(1)).alias("docs")))
+    n_blocks = blocks.count()
     totals = blocks.groupBy("src", "null_last").agg(F.sum("words").alias("source_size"))
     targets = source_targets(totals)
     whole = F.when(F.col("source_size") > 0, F.least(F.lit(MAX_REPEATS), F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12)))).otherwise(0).cast("int")
     targets = targets.withColumn("whole", whole).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
 
-    # Permuted blocks: those that fit in the rest are drawn once more (1); from the first that doesn't on, enough blocks to hold
-    # POOL documents form the pool (2) from which single documents fill what is left.
+    # Permuted blocks: those that fit in the rest are drawn once more; from the first that doesn't on, enough blocks to hold POOL
+    # documents form the pool, which is drawn once more too, and of which single documents fill what is left.
     of_source = Window.partitionBy("src", "null_last")
     perm = of_source.orderBy(_spread("src", "null_last", "b", F.lit(seed + 99)), "b")
     running = perm.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    drawn = blocks.join(targets, ["src", "null_last"]).withColumns({"upto": F.sum("words").over(running), "docs_upto": F.sum("docs").over(running), "place": F.row_number().over(perm)})
+    drawn = blocks.join(targets, ["src", "null_last"]).withColumns({"upto": F.sum("words").over(running), "docs_upto": F.sum("docs").over(running), "place": F.row_number().over(perm), "all": F.count(F.lit(1)).over(of_source)})
     drawn = drawn.withColumn("fits", F.col("upto") <= F.col("rest"))
     drawn = drawn.withColumns({"had": F.coalesce(F.max(F.when(F.col("fits"), F.col("upto"))).over(of_source), F.lit(0)), "docs_had": F.coalesce(F.max(F.when(F.col("fits"), F.col("docs_upto"))).over(of_source), F.lit(0))})
-    pooled = ~F.col("fits") & (F.col("had") < F.col("rest")) & (F.col("docs_upto") - F.col("docs") - F.col("docs_had") < POOL)
-    drawn = drawn.withColumn("more", F.when(F.col("fits"), 1).when(pooled, 2).otherwise(0))
-    drawn = drawn.withColumns({"left_over": F.col("rest") - F.col("had"), "n": F.col("whole") + F.when(F.col("more") > 0, 1).otherwise(0)})
-    instances = drawn.where("n > 0").select("src", "null_last", "b", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"), "place")
-
-    # Tokens carry no block: a source's quota in each shard is drawn first, then filled in permuted order.
-    placed = instances.withColumn("i", F.row_number().over(of_source.orderBy(_spread("src", "b", "copy", F.lit(seed + 5)), "b", "copy")))
-    quota = split_tree(placed.select("src", "null_last", "i"), shards, seed)
-    quota = quota.withColumn("at", F.row_number().over(of_source.orderBy("shard", "i"))).select("src", "null_last", F.col("at").alias("i"), "shard")
-    homes = placed.join(quota, ["src", "null_last", "i"]).groupBy("src", "null_last", "b").agg(F.transform(F.sort_array(F.collect_list(F.struct("copy", "shard"))), lambda x: x["shard"]).alias("homes"))
-    plan = cut(drawn.join(homes, ["src", "null_last", "b"], "left").select(
-        F.col("src").alias("__sg_src"), F.col("null_last").alias("__sg_null"), F.col("b").alias("__sg_b"),
-        F.col("source_size").alias("__sg_size"), F.col("target").alias("__sg_target"), F.col("whole").alias("__sg_whole"),
-        F.col("more").alias("__sg_more"), F.col("left_over").alias("__sg_left"), F.coalesce("homes", F.array().cast("array<int>")).alias("__sg_homes"),
+    drawn = drawn.withColumn("pooled", ~F.col("fits") & (F.col("had") < F.col("rest")) & (F.col("docs_upto") - F.col("docs") - F.col("docs_had") < POOL))
+    drawn = cut(drawn.withColumn("left_over", F.col("rest") - F.col("had")))
+
+    # A source's quota: instances 1 to `all` are its first pass over the permuted blocks, the next its second, and so on.
+    quotas = drawn.groupBy("src", "null_last").agg((F.max(F.col("whole") * F.col("all")) + F.sum((F.col("fits") | F.col("pooled")).cast("long"))).alias("quota"))
+    tokens = quotas.where("quota > 0").select("src", "null_last", F.explode(F.sequence(F.lit(1).cast("long"), F.col("quota"))).alias("i"))
+    split = split_tree(tokens, shards, seed, n_blocks * (MAX_REPEATS + 1))
+    # Each shard's quota of a source is a run of the source's instances, in an order that has nothing to do with their passes.
+    given = split.groupBy("src", "null_last", "shard").agg(F.count(F.lit(1)).alias("q"))
+    upto = F.sum("q").over(of_source.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    runs = given.withColumn("upto", upto).select("src", "null_last", "shard", F.explode(F.sequence(F.col("upto") - F.col("q") + 1, F.col("upto"))).alias("turn"))
+    turns = tokens.withColumn("turn", F.row_number().over(of_source.orderBy(_spread("src", "i", F.lit(seed + 5)), "i"))).withColumn("turn", F.col("turn").cast("long"))
+    sizes = drawn.select("src", "null_last", "all").distinct()
+    filled = turns.join(runs, ["src", "null_last", "turn"]).join(sizes, ["src", "null_last"])
+    filled = filled.select("src", "null_last", (F.pmod(F.col("i") - 1, F.col("all")) + 1).cast("int").alias("place"), "i", "shard")
+    homes = filled.groupBy("src", "null_last", "place").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "shard"))), lambda x: x["shard"]).alias("homes"))
+    plan = cut(drawn.join(homes, ["src", "null_last", "place"], "left").select(
+        F.col("src").alias("__sg_src"), F.col("null_last").alias("__sg_null"), F.col("b").alias("__sg_b"), F.col("source_size").alias("__sg_size"), F.col("target").alias("__sg_target"),
+        F.col("pooled").alias("__sg_pool"), F.col("left_over").alias("__sg_left"), F.coalesce("homes", F.array().cast("array<int>")).alias("__sg_homes"),
     ))
-    if plan.count() <= BROADCAST_ROWS:
+    if n_blocks <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
     dealt = rows.join(plan, ["__sg_src", "__sg_null", "__sg_b"])
 
-    # The pool of a source: documents in permuted order while they fit, then twice the largest that fit in what is left.
-    pool, of_pool = dealt.where("__sg_more = 2"), Window.partitionBy("__sg_src", "__sg_null")
+    # The pool of a source: documents in permuted order while they fit, then twice the largest that fit in what is left. The others lose the last copy.
+    pool, of_pool = dealt.where("__sg_pool").withColumn("__sg_open", F.lit(True)), Window.partitionBy("__sg_src", "__sg_null")
     for k in range(3):
-        part = (F.col("__sg_more") == 2) & (F.col(size) > 0) & (F.col(size) <= F.col("__sg_left"))
+        part = F.col("__sg_open") & (F.col(size) > 0) & (F.col(size) <= F.col("__sg_left"))
         pool = pool.withColumn("__sg_part", part)
         within = Window.partitionBy("__sg_src", "__sg_null", "__sg_part").orderBy(F.col(size).desc() if k else F.col("__sg_h"), F.col("__sg_h"), *ident)
         sums = F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         pool = pool.withColumn("__sg_in", F.col("__sg_part") & (sums <= F.col("__sg_left")))
         used = F.coalesce(F.sum(F.when(F.col("__sg_in"), F.col(size))).over(of_pool), F.lit(0))
-        pool = pool.withColumns({"__sg_left": F.col("__sg_left") - used, "__sg_more": F.when(F.col("__sg_in"), 1).otherwise(F.col("__sg_more"))})
-    dealt = dealt.where("__sg_more <> 2").unionByName(pool.select(dealt.columns))
-    copies = F.when(F.col(size) > 0, F.col("__sg_whole") + F.when(F.col("__sg_more") == 1, 1).otherwise(0)).otherwise(0)
-    out = dealt.drop("source_size", "target", "copies", "shards").withColumns({"source_size": F.col("__sg_size"), "target": F.col("__sg_target"), "copies": copies.cast("int")})
-    out = out.withColumn("shards", F.slice("__sg_homes", F.lit(1), F.col("copies")))
-    return out.drop(*[c for c in out.columns if c.startswith("__sg_") and c not in keep])
+        pool = pool.withColumns({"__sg_left": F.col("__sg_left") - used, "__sg_open": F.col("__sg_open") & ~F.col("__sg_in")})
+    pool = pool.withColumn("__sg_homes", F.when(F.col("__sg_open"), F.slice("__sg_homes", F.lit(1), F.size("__sg_homes") - 1)).otherwise(F.col("__sg_homes")))
+    dealt = dealt.where("NOT __sg_pool").unionByName(pool.select(dealt.columns))
+    return dealt.withColumn("__sg_homes", F.when(F.col(size) > 0, F.col("__sg_homes")).otherwise(F.array().cast("array<int>"))).drop("__sg_src", "__sg_null", "__sg_b", "__sg_pool", "__sg_left")
+
+
+def mix(docs: DataFrame, source: str = "source", size: str = "size", ident: list[str] | None = None, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """docs (which has a size column) with ``source_size``, ``target``, ``copies`` and
+    ``shards`` (one output shard for each copy); such columns of docs are replaced.
+
+    Null sources form a source of their own, ordered last. A size of 0 is never taken; an
+    empty table stays empty. Equal rows are told apart by the order of the sort only.
+    """
+    got = _mixed(docs, source, size, ident or ["doc_id"], shards, seed).drop("source_size", "target", "copies", "shards")
+    got = got.withColumnsRenamed({"__sg_size": "source_size", "__sg_target": "target", "__sg_homes": "shards"})
+    return got.withColumn("copies", F.size("shards")).drop("__sg_h")
 
 
 def mixed_rows(docs: DataFrame, size: Column, source: str = "source", ident: list[str] | None = None, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The mix itself: each document once for each copy taken, with the columns of docs, dealt to its shard and shuffled there."""
+    """The mix itself: each document once for each copy taken, with the columns of docs as they are, dealt to its shard and shuffled there.
+
+    ident: what tells rows apart; all columns that can be hashed and ordered unless given.
+    """
     cols = docs.columns
-    got = mix(docs.withColumn("__sg_words", size), source, "__sg_words", ident, shards, seed, keep=("__sg_h",))
-    out = got.select(*cols, "__sg_h", F.posexplode("shards").alias("__sg_copy", "__sg_shard"))
+    ident = ident or [c for c, kind in docs.dtypes if not any(x in kind for x in ("map<", "variant", "interval"))]
+    got = _mixed(docs.withColumn("__sg_words", size), source, "__sg_words", ident, shards, seed)
+    out = got.select(*cols, "__sg_h", F.posexplode("__sg_homes").alias("__sg_copy", "__sg_shard"))
     return out.repartition("__sg_shard", F.pmod("__sg_h", F.lit(64))).sortWithinPartitions("__sg_shard", _spread("__sg_h", "__sg_copy")).select(*cols)
 
 

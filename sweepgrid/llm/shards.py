@@ -32,11 +32,12 @@ def sides(n: int) -> tuple[int, int]:
 def global_row_number(df: DataFrame, keys: list[str], out: str, n: int) -> DataFrame:
     """Adds 0..N-1, dealt by the hash of the keys and ordered inside each small bucket.
 
-    Only counts per bucket pass through one task; there are at most 65,536 of them.
+    Only counts per bucket pass through one task, one for each 2,000 rows. Rows are dealt by all
+    their columns, so that keys which are null or repeat do not meet in one bucket.
     """
-    buckets = min(max(n // 2000, 64), 65536)
+    buckets = max(n // 2000, 64)
     b, tie = f"{out}__bucket", f"{out}__tie"
-    dealt = df.withColumn(b, F.pmod(F.xxhash64(*keys), F.lit(buckets))).withColumn(tie, F.xxhash64(*df.columns))
+    dealt = df.withColumn(tie, F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])).withColumn(b, F.pmod(F.xxhash64(tie), F.lit(buckets)))
     counts = dealt.groupBy(b).agg(F.count(F.lit(1)).alias(f"{out}__n"))
     w = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(b, F.coalesce(F.sum(f"{out}__n").over(w), F.lit(0)).alias(f"{out}__start"))
@@ -80,7 +81,8 @@ def permute(df: DataFrame, number: str, out: str, n: int, seed: int) -> DataFram
 
     walked = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS * WALKS - 1)), start, step, lambda s: s["l"] * F.lit(b) + s["r"])
     direct = F.col(left) * F.lit(b) + F.col(right)
-    return df.withColumn(out, F.when(direct < n, direct).otherwise(walked).cast("long")).drop(left, right)
+    lost = F.raise_error(F.lit(f"a row left its range for {WALKS} walks")).cast("long")
+    return df.withColumn(out, F.when(direct < n, direct).otherwise(walked).cast("long")).withColumn(out, F.when(F.col(out) < n, F.col(out)).otherwise(lost)).drop(left, right)
 
 
 def feistel_shards(df: DataFrame, keys: list[str], n_shards: int = 24, seed: int = 20240607) -> DataFrame:

@@ -448,13 +448,34 @@ def test_mix_reruns_agree_and_fill_shards(spark, sf_dir):
     runs = [sorted((r["doc_id"], r["copies"], tuple(r["shards"])) for r in mixing.mix(d).collect()) for d in (docs, docs.repartition(7))]
     assert runs[0] == runs[1]
     whole = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = mixing.mixed_rows(whole, common.word_count(F.col("text")))
+    rows = mixing.mixed_rows(whole, common.word_count(F.col("text")), ident=["doc_id"])
     assert rows.columns == whole.columns and rows.count() == sum(c for _, c, _ in runs[0])
 
 
-def test_split_tree_is_exact(spark):
+def test_mix_of_large_sources(spark, monkeypatch):
+    """More blocks for larger sources, nodes of the tree ranked in parts, the plan joined by a shuffle: targets are still met."""
+    for name, value in (("BLOCKS", 8), ("BLOCK_DOCS", 4), ("PART_TOKENS", 20), ("BROADCAST_ROWS", 0), ("POOL", 16)):
+        monkeypatch.setattr(mixing, name, value)
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice("aaaab"), rnd.randint(0, 30)) for i in range(1500)] + [(i, "c", 3) for i in range(1500, 1520)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    sizes, taken = Counter(), Counter()
+    for _, s, n in rows:
+        sizes[s] += n
+    got = mixing.mix(docs).collect()
+    for r in got:
+        assert r["copies"] <= 3 and len(r["shards"]) == r["copies"]
+        taken[r["source"]] += r["copies"] * r["size"]
+    want = brute_targets(sizes)
+    assert len(got) == len(rows) and all(abs(taken[s] - want[s]) <= 30 for s in sizes)
+    given = Counter(k for r in got for k in r["shards"])
+    assert set(given) == set(range(mixing.SHARDS)) and max(given.values()) < 2 * min(given.values())
+
+
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_split_tree_is_exact(spark, most):
     tokens_ = spark.range(103).select((F.col("id") % 3).alias("s"), F.col("id").alias("i"))
-    got = [r["count"] for r in mixing.split_tree(tokens_, 8, 1).groupBy("shard").count().collect()]
+    got = [r["count"] for r in mixing.split_tree(tokens_, 8, 1, most).groupBy("shard").count().collect()]
     assert sum(got) == 103 and max(got) - min(got) <= 2 and len(got) == 8
 
 
