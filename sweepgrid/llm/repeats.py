@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix64, text_bytes
@@ -169,12 +169,19 @@ def anchors(units: ByteUnits | WordUnits, window: int, gram: int) -> dict[str, n
     return {"doc": doc[head], "p": p[head], "a": s[head], "b": s[tail], "h": h[p[head]]}
 
 
-def rows_of(table: pa.Table) -> tuple[list, list[bytes]]:
-    """Ids and texts of a chunk in a fixed order: by id, then text; null ids last, null texts empty."""
-    ids = table.column("doc").to_pylist()
+def order_number(docs: DataFrame, ident: str) -> Column:
+    """What rows are ordered by: the id, or its hash if it is not a whole number."""
+    whole = dict(docs.dtypes)[ident] in ("tinyint", "smallint", "int", "bigint")
+    return F.col(ident).cast("long") if whole else F.when(F.col(ident).isNotNull(), F.xxhash64(F.col(ident)))
+
+
+def rows_of(table: pa.Table) -> tuple[list, list[bytes], np.ndarray]:
+    """Ids, texts and order numbers of a chunk in a fixed order: by number, then text; null ids last, null texts empty."""
+    ids, numbers = table.column("doc").to_pylist(), table.column("num").to_pylist()
     texts = [b"" if t is None else t for t in table.column("t").cast(pa.binary()).to_pylist()]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
-    return [ids[i] for i in order], [texts[i] for i in order]
+    order = sorted(range(len(ids)), key=lambda i: (numbers[i] is None, numbers[i] or 0, texts[i]))
+    last = np.iinfo(np.int64).max
+    return [ids[i] for i in order], [texts[i] for i in order], np.array([last if numbers[i] is None else numbers[i] for i in order], np.int64)
 
 
 def blocks(texts: list[bytes]) -> Iterable[tuple[int, list[bytes]]]:
@@ -189,14 +196,9 @@ def blocks(texts: list[bytes]) -> Iterable[tuple[int, list[bytes]]]:
         yield start, texts[start:]
 
 
-def order_ids(ids: list) -> np.ndarray:
-    """Ids as integers that sort as the rows do: null last."""
-    return np.array([np.iinfo(np.int64).max if i is None else i for i in ids], np.int64)
-
-
 def _announce(plan: Plan) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        _, texts = rows_of(table)
+        _, texts, _ = rows_of(table)
         found = [anchors(UNITS[plan.unit](some), plan.window, plan.gram)["h"] for _, some in blocks(texts)]
         h, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         count = np.minimum(count, 65535).astype(np.uint16)
@@ -224,12 +226,12 @@ def _send(plan: Plan, first_stays: bool) -> Callable:
         chunk = key[0].as_py()
         if not table.num_rows or not replies.num_rows:
             return messages([])
-        ids, texts = rows_of(table)
+        _, texts, numbers = rows_of(table)
         got = [unpack(m) for m in replies.column("msg").to_pylist()]
         known, hot = np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
         order = np.argsort(known)
         known, hot = known[order], hot[order]
-        out, wide, numbers = [], [], order_ids(ids)
+        out, wide = [], []
         for at, some in blocks(texts):
             units = UNITS[plan.unit](some)
             found = anchors(units, plan.window, plan.gram)
@@ -337,9 +339,10 @@ def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _cut(plan: Plan, cutter: Callable, names: list[tuple[str, pa.DataType]]) -> Callable:
+def _cut(plan: Plan, cutter: Callable, made: list[tuple[str, pa.DataType]]) -> Callable:
     def run(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-        ids, texts = rows_of(table)
+        ids, texts, _ = rows_of(table)
+        names = [("doc", table.schema.field("doc").type), *made]
         got = [unpack(m) for m in replies.column("msg").to_pylist()]
         if got:
             row, a, b = (np.concatenate([g[k] for g in got]).astype(np.int64) for k in (1, 2, 3))
@@ -358,11 +361,11 @@ def remove_repeats(docs: DataFrame, ident: str, text: str, unit: str, window: in
     """Runs the exchange over docs; cutter(text, span starts, span ends) gives the columns of a text."""
     n = max(1, -(-text_bytes(docs, text) // CHUNK_BYTES))
     plan = Plan(unit, window, gram, int(n), hot)
-    rows = docs.select(F.pmod(F.xxhash64(F.col(ident)), F.lit(plan.n)).cast("int").alias("dest"), F.col(ident).cast("long").alias("doc"), F.col(text).alias("t"))
+    rows = docs.select(F.pmod(F.xxhash64(F.col(ident), F.col(text)), F.lit(plan.n)).cast("int").alias("dest"), F.col(ident).alias("doc"), order_number(docs, ident).alias("num"), F.col(text).alias("t"))
     chunks = rows.groupBy("dest")
     told = chunks.applyInArrow(_announce(plan), MESSAGE)
     known = told.groupBy("dest").applyInArrow(_answer(plan), MESSAGE)
     sent = chunks.cogroup(known.groupBy("dest")).applyInArrow(_send(plan, first_stays), MESSAGE)
     gone = sent.groupBy("dest").applyInArrow(_resolve(plan, first_stays, resolver), MESSAGE)
-    names = [("doc", pa.int64()), *((c.split()[0], {"long": pa.int64(), "string": pa.string()}[c.split()[1]]) for c in columns.split(", "))]
-    return chunks.cogroup(gone.groupBy("dest")).applyInArrow(_cut(plan, cutter, names), f"doc long, {columns}").withColumnRenamed("doc", ident)
+    made = [(c.split()[0], {"long": pa.int64(), "string": pa.string()}[c.split()[1]]) for c in columns.split(", ")]
+    return chunks.cogroup(gone.groupBy("dest")).applyInArrow(_cut(plan, cutter, made), f"doc {dict(docs.dtypes)[ident]}, {columns}").withColumnRenamed("doc", ident)

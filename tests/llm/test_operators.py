@@ -159,15 +159,15 @@ def test_mixing_predicts_better_than_counts(spark, sf_dir):
 
 
 def test_mixing_step_by_step():
-    """A text of over 256 tokens against plain loops: 512 tokens share what is learned, all weights are gated by context."""
+    """Texts of several lengths against plain loops: what is learned holds through the whole text and no further, all weights are gated by context."""
     rng = np.random.default_rng(3)
-    t = ctxmix.Tokens([" ".join(f"w{k}" for k in rng.integers(0, 30, 600)).encode()])
+    t = ctxmix.Tokens([" ".join(f"w{k}" for k in rng.integers(0, 30, n)).encode() for n in (40, 700, 0, 41)])
     logits = lambda bits: rng.normal(0, 1, 1 << bits).astype(np.float16)
     tables = {"node": logits(ctxmix.CLASS_BITS), "ending": logits(ctxmix.ENDING_BITS), "word": logits(ctxmix.WORD_BITS), "known": rng.integers(0, 3, 1 << ctxmix.WORD_BITS).astype(np.uint8)}
     ending, word = (list(ctxmix.bit_slots(t.cls, c, b)) for c, b in ((t.ending, ctxmix.ENDING_BITS), (t.word, ctxmix.WORD_BITS)))
     want = []
     for k in range(len(t.cls)):
-        if k % 512 == 0:
+        if k == 0 or t.doc[k] != t.doc[k - 1]:
             w, own = defaultdict(lambda: list(ctxmix.START_WEIGHTS)), tables["node"].astype(float)
         p_token = 1.0
         for i in range(ctxmix.CLASS_BITS):
@@ -183,6 +183,18 @@ def test_mixing_step_by_step():
     assert np.allclose(ctxmix.mixed_log10(t, ctxmix.unpacked(tables)), want, atol=1e-2)
 
 
+def test_scores_and_repeats_with_text_ids(spark, hard):
+    """Ids that are no numbers are carried as they are; so are rows that share one, or have none."""
+    rows = [(None if r[0] is None else f"id{r[0]}", r[1]) for r in hard_rows()]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    scored = ctxmix.score_documents(docs)
+    assert sorted(repr((r["doc_id"], r["held_out"], r["n_tokens"])) for r in scored.collect()) == sorted(repr((i, zlib.crc32((i or "").encode()) % 7 == 2, len(words(t)) + 1)) for i, t in rows)
+    assert by_id(suffixsort.remove_repeated_bytes(docs), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(rows)
+    cut = substr_tree.remove_repeated_words(docs).collect()
+    assert sorted(repr((r["doc_id"], r["n_words"])) for r in cut) == sorted(repr((i, len(words(t)))) for i, t in rows)
+    assert any(r["n_removed"] for r in cut)  # which copy stays depends on the order of the ids' hashes
+
+
 def test_class_bits_are_a_distribution():
     """The probabilities of all classes at one place sum to 1."""
     t = ctxmix.Tokens([b"a b c a b c a b"])
