@@ -182,7 +182,7 @@ def mixed_log10(t: Tokens, tables: dict[str, np.ndarray]) -> np.ndarray:
     # For each token and bit: the inputs from tables, the sign of the bit, the places of its weights and of the learning
     # predictor. The bits of a token use weights and predictors of their own, so one step takes all bits of its tokens
     # at once. All weights are chosen by how well the word context is known (3 cases).
-    inputs = np.empty((3, CLASS_BITS, n), np.float32)
+    inputs = np.empty((4, CLASS_BITS, n), np.float32)
     sign, place_own = np.empty((CLASS_BITS, n), np.float32), np.empty((CLASS_BITS, n), np.int32)
     place_weight = np.empty((CLASS_BITS, n), np.int32)
     slots = zip(bit_slots(cls, t.ending[order], ENDING_BITS), bit_slots(cls, t.word[order], WORD_BITS), strict=True)
@@ -195,7 +195,7 @@ def mixed_log10(t: Tokens, tables: dict[str, np.ndarray]) -> np.ndarray:
         place_weight[i] = (tables["known"].take(word, mode="clip") + np.int64(3 * i)) * np.int64(texts) + row
         np.subtract(np.multiply(bit, np.float32(2)), np.float32(1), out=sign[i])
         place_own[i] = row << CLASS_BITS | node
-    weights = [np.full(3 * CLASS_BITS * texts, x, np.float32) for x in START_WEIGHTS]
+    weights = np.repeat(np.array(START_WEIGHTS, np.float32)[:, None], 3 * CLASS_BITS * texts, axis=1)
     own = np.tile(tables["node"], texts)
     prob = np.empty(n)
     one, low, rate, own_rate = np.float32(1), np.float32(-25), np.float32(LEARN), np.float32(LEARN_OWN)
@@ -204,11 +204,10 @@ def mixed_log10(t: Tokens, tables: dict[str, np.ndarray]) -> np.ndarray:
         here = slice(at, at + k)
         x, s, g = place_own[:, here].astype(np.int64), sign[:, here], place_weight[:, here].astype(np.int64)
         d = own.take(x, mode="clip")
-        v = (*inputs[:, :, here], d)
-        w = [y.take(g, mode="clip") for y in weights]
-        dot = w[0] * v[0]
-        for j in range(1, 4):
-            dot += w[j] * v[j]
+        v = inputs[:, :, here]
+        v[3] = d
+        w = weights.take(g, axis=1, mode="clip")
+        dot = np.add.reduce(w * v, axis=0)
         dot *= s
         np.maximum(dot, low, out=dot)
         p = np.exp(np.negative(dot, out=dot), out=dot)  # of the bit that comes: 1 / (1 + exp(-dot))
@@ -218,8 +217,8 @@ def mixed_log10(t: Tokens, tables: dict[str, np.ndarray]) -> np.ndarray:
         err = one - p
         err *= s
         err *= rate
+        w += err * v
         for j in range(4):
-            w[j] += err * v[j]
             weights[j][g] = w[j]
         move = np.exp(s * d)
         move += one
@@ -338,7 +337,8 @@ def score_documents(docs: DataFrame, ident: str = "doc_id", text: str = "text")
         ids, texts, _ = rows_of(table_)
         kinds = [("doc", table_.schema.field("doc").type), *KINDS]
         tables = unpacked(model.value)
-        h = np.append(np.unique(Words(texts, lower=True).h), np.uint64(0x1234567))  # in the order asked
+        batches = [(some, batch, Tokens(batch)) for some, batch in _batches(ids, texts)]
+        h = np.append(np.unique(np.concatenate([t.words.h for _, _, t in batches]) if batches else np.zeros(0, np.uint64)), np.uint64(0x1234567))  # in the order asked
         count = np.zeros(len(h))
         parts = dict(split_by((mix64(h) % np.uint64(n)).astype(np.int64)))
         for bucket, m in zip(replies.column("origin").to_pylist(), replies.column("msg"), strict=True):
@@ -346,8 +346,7 @@ def score_documents(docs: DataFrame, ident: str = "doc_id", text: str = "text")
         by = np.argsort(h)
         h, count = h[by], count[by]
         out = []
-        for some, batch in _batches(ids, texts):
-            t = Tokens(batch)
+        for some, batch, t in batches:
             c = count[np.searchsorted(h, t.h)]
             base = np.log10((c + 1.0) / (n_train + n_words + 1.0))
             inside = np.log10((c + 1.0) / tables["size"][t.cls])
