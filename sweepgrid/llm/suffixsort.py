@@ -3,8 +3,8 @@
 The contexts of a repeated anchor (see repeats.py) are sorted by the suffix that starts at
 the anchor, in a mergesort whose comparisons find the common extension of two suffixes by
 binary search over prefix polynomial hashes: a few hash probes for each comparison, however
-long the extension. Neighbours in the sorted order get their common length, checked byte by
-byte against collisions. A window that starts q bytes before its anchor is repeated if some
+long the extension. Neighbours in the sorted order get their common length and their order
+checked byte by byte against collisions. A window that starts q bytes before its anchor is repeated if some
 context in the same run of common length WINDOW - q or more has the same q bytes before the
 anchor. All occurrences of a repeated window go.
 """
@@ -110,16 +110,36 @@ class Suffixes:
         return n
 
 
+    def sorted_and_common(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order by (group, suffix) and each suffix's common beginning with the one before it in its group, both of the bytes themselves.
+
+        Hashes may only find a beginning too long, so an order whose neighbours are in order byte by byte is right;
+        another, which a collision led astray, is sorted again by the bytes.
+        """
+        order = self.sort(group)
+        for again in (False, True):
+            common = np.zeros(len(order), np.int64)
+            x, y = order[:-1], order[1:]
+            one = group[x] == group[y]
+            found = np.minimum(self.length[x], self.length[y]) if again else self.common(x, y)
+            n = np.where(one, self.checked(x, y, np.where(one, found, 0)), 0)
+            end = len(self.raw) - 1
+            cx = np.where(n < self.length[x], self.raw[np.minimum(self.start[x] + n, end)].astype(np.int16), -1)
+            cy = np.where(n < self.length[y], self.raw[np.minimum(self.start[y] + n, end)].astype(np.int16), -1)
+            common[1:] = n
+            if again or not (one & (cx > cy)).any():
+                break
+            raw = self.raw.tobytes()
+            order = np.array(sorted(range(len(order)), key=lambda i: (group[i], raw[self.start[i] : self.start[i] + self.length[i]])), np.int64)
+        return order, common
+
+
 def resolve(ctx: Contexts, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
     """All windows that occur in two contexts or more."""
     w = plan.window
     begin = np.cumsum(ctx.length) - ctx.length
     right = Suffixes(ctx.data, begin + ctx.anchor, ctx.length - ctx.anchor)
-    order = right.sort(ctx.key)
-    common = np.zeros(len(order), np.int64)
-    if len(order) > 1:
-        n = right.common(order[:-1], order[1:])
-        common[1:] = np.where(ctx.key[order[1:]] == ctx.key[order[:-1]], right.checked(order[:-1], order[1:], n), 0)
+    order, common = right.sorted_and_common(ctx.key)
     least, most = (ctx.anchor - ctx.more)[order], ctx.anchor[order]
     at = (begin + ctx.anchor)[order]
     out_i, out_j, out_rep = [], [], []

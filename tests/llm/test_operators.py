@@ -126,6 +126,37 @@ def test_suffix_sort_is_a_sort():
     assert keys == sorted(keys) and sorted(order) == list(range(120))
 
 
+def test_results_survive_collisions(monkeypatch):
+    """With hashes that nearly always collide, words and suffixes are told apart by their content."""
+    weak = suffixsort.Suffixes.hash
+    monkeypatch.setattr(suffixsort.Suffixes, "hash", lambda self, at, n: weak(self, at, n) & np.uint64(1))
+    rnd = random.Random(9)
+    data = bytes(rnd.choice(b"ab") for _ in range(300))
+    start, length = np.arange(0, 200), np.full(200, 60)
+    order, common = suffixsort.Suffixes(data, start, length).sorted_and_common(np.zeros(200, np.int64))
+    texts = [data[i : i + 60] for i in order]
+    assert texts == sorted(texts)
+    assert common[1:].tolist() == [next((k for k in range(60) if a[k] != b[k]), 60) for a, b in zip(texts[:-1], texts[1:], strict=True)]
+    words_ = textunits.Words([b"aa bb aa cc ddd aa", b"bb  ddd e"])
+    words_.h = words_.h & np.uint64(1)
+    n = substr_tree.word_numbers(words_).tolist()
+    want = ["aa", "bb", "aa", "cc", "ddd", "aa", "bb", "ddd", "e"]
+    assert all((n[i] == n[j]) == (want[i] == want[j]) for i in range(9) for j in range(9))
+
+
+def test_tree_nodes_are_runs_of_words():
+    rnd = random.Random(2)
+    number = np.array([rnd.randrange(3) for _ in range(300)])
+    runs = substr_tree.run_numbers(number, 4)
+    at = np.arange(280)
+    alive, node = substr_tree.grow(runs, at, np.zeros(280, np.int64), 8, 4)
+    kind = {i: tuple(number[i : i + 8]) for i in range(280)}
+    many = Counter(kind.values())
+    assert sorted(alive.tolist()) == [i for i in range(280) if many[kind[i]] > 1]
+    of = dict(zip(alive.tolist(), node.tolist(), strict=True))
+    assert all((of[a] == of[b]) == (kind[a] == kind[b]) for a in of for b in of)
+
+
 def test_collisions_are_cut_short():
     s = suffixsort.Suffixes(b"abcdxabcey", np.array([0, 5]), np.array([5, 5]))
     assert s.checked(np.array([0]), np.array([1]), np.array([5])).tolist() == [3]
