@@ -16,11 +16,14 @@ def stem(path: Column) -> Column:
 
 
 def numeric_first_key(name: Column) -> list[Column]:
-    """Sort key: names that are whole numbers first, by value; the others by name."""
-    n = name.try_cast("bigint")
-    return [n.isNull().cast("int"), n, name]
-
-
+    """Sort key: names that are whole numbers first, by value however long; the others by name."""
+    whole = F.regexp_like(name, F.lit(r"^\s*[+-]?\d+\s*$"))
+    digits = F.regexp_extract(name, r"^\s*[+-]?0*(\d*)\s*$", 1)
+    sign = F.when(F.contains(name, F.lit("-")), -1).otherwise(1)
+    # Of numbers of one sign the longer is the larger, of one length the later in text order; below 0 the other way round.
+    size = F.when(whole, sign * F.length(digits))
+    flipped = F.translate(digits, "0123456789", "9876543210")
+    return [(~whole).cast("int"), size, F.when(whole, F.when(sign < 0, flipped).otherwise(digits)), name]
 
 def eye_token(name: Column) -> Column:
     """OD or OS by the first word that names an eye; null without one."""
@@ -29,17 +32,17 @@ def eye_token(name: Column) -> Column:
     return F.when(first.isin(*RIGHT_WORDS), "OD").when(first.isNotNull(), "OS")
 
 
+#: What a name is read as, the first that fits: a date or a time, a size, or whatever stands between blanks and dashes.
+NAME_PARTS = r"(\b\d{2}-\d{2}-\d{4}\b|\b\d{2}-\d{2}\b|\b\d+\s*[mM][mM]\b|[^\s\-–—]+)"
+
+
 def clean_base(name: Column) -> Column:
-    """A folder name without noise words, dates and loose separators."""
-    out = name
-    for word in NOISE_WORDS:
-        out = F.regexp_replace(out, rf"(?i)(^|[_\-\s])\b{word}\b([_\-\s]|$)", " ")
-    out = F.regexp_replace(out, r"\b\d{2}-\d{2}-\d{4}\b", " ")
-    out = F.regexp_replace(out, r"\b\d{2}-\d{2}\b", " ")
-    out = F.regexp_replace(out, r"(?i)\b(\d+)\s*mm\b", "$1mm")
-    out = F.regexp_replace(out, r"\s*[-–—]+\s*", " ")
-    out = F.regexp_replace(out, r"\s*_\s*", "_")
-    return F.trim(F.regexp_replace(out, r"\s{2,}", " "))
+    """The parts of a folder name that say something: no dates, times and noise words; sizes are written closely."""
+    parts = F.regexp_extract_all(name, F.lit(NAME_PARTS))
+    dated = lambda p: F.regexp_like(p, F.lit(r"^\d{2}-\d{2}(-\d{4})?$"))
+    said = F.filter(parts, lambda p: ~dated(p) & ~F.lower(p).isin(*(w.lower() for w in NOISE_WORDS)))
+    size = F.transform(said, lambda p: F.when(F.regexp_like(p, F.lit(r"^\d+\s*[mM][mM]$")), F.concat(F.regexp_extract(p, r"^(\d+)", 1), F.lit("mm"))).otherwise(p))
+    return F.regexp_replace(F.array_join(size, " "), " ?_ ?", "_")
 
 
 def volume_prefix(folder: Column, parent: Column) -> Column:

@@ -56,6 +56,31 @@ def cross(a: Sequence[Column], b: Sequence[Column]) -> tuple[Column, Column, Col
     return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
 
 
+def fixed_text(v: Column, digits: int) -> Column:
+    """v with a fixed number of decimals, rounded by its exact binary value, a tie to even; as C and Python print it.
+
+    v * 10**digits is held as the sum of a double and its error (a product of split halves), so that its place
+    against the half is known exactly. Beyond 2**52 nothing is left to round.
+    """
+    v, m = v.cast("double"), float(10**digits)
+    x = F.when(F.abs(v) * m < 2.0**52, F.abs(v))
+    p = x * m
+    c = x * 134217729.0
+    high = c - (c - x)
+    error = (high * m - p) + (x - high) * m
+    n = F.floor(p).cast("long")
+    over = (p - (n + 0.5)) + error
+    # The product itself may have been rounded up to a whole number.
+    n = F.when((p == n.cast("double")) & (error < 0), n - 1).otherwise(n)
+    over = F.when((p == (n + 1).cast("double")) & (error < 0), F.lit(0.5)).otherwise(over)
+    k = n + F.when((over > 0) | ((over == 0) & (F.pmod(n, F.lit(2)) == 1)), 1).otherwise(0)
+    whole = F.floor(k / F.lit(10**digits)).cast("long") if digits else k
+    rest = F.concat(F.lit("."), F.lpad((k - whole * 10**digits).cast("string"), digits, "0")) if digits else F.lit("")
+    minus = F.when(F.startswith(v.cast("string"), F.lit("-")), "-").otherwise("")
+    usual = F.concat(minus, whole.cast("string"), rest)
+    return F.when(F.isnan(v), "nan").when(F.abs(v) == float("inf"), F.concat(minus, F.lit("inf"))).when(p.isNotNull(), usual).otherwise(F.format_string(f"%.{digits}f", v))
+
+
 def hms(seconds: Column) -> Column:
     """Whole seconds as H:MM:SS, with days before them as timedelta prints them."""
     s = F.floor(seconds).cast("long")

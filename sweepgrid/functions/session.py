@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or the context's own folder; a local one only where neither is set."""
+    """spark.checkpoint.dir, or the context's own folder; a local one only where neither is set and all runs on this machine."""
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not given:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="sweepgrid-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(given)

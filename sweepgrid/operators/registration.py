@@ -16,13 +16,13 @@ def profile(polar: DataFrame) -> DataFrame:
 
 
 def xcorr_shift(polar: DataFrame, reference: int) -> DataFrame:
-    """(k, shift): the lag at which a frame's angle profile fits the reference's best (direct sums)."""
+    """(k, shift): the first lag at which a frame's angle profile fits the reference's best (direct sums)."""
     flat = profile(polar).withColumn("s", F.col("s") - F.avg("s").over(Window.partitionBy("k")))
     # The reference profile is one row per angle column: bounded by the probe's width.
     ref = flat.where(F.col("k") == reference).select(F.collect_list(F.struct("p", "s")).alias("ref"))
     pairs = flat.join(F.broadcast(ref)).select("k", "p", "s", F.explode("ref").alias("a"))
     cc = pairs.groupBy("k", (F.col("a.p") - F.col("p")).alias("lag")).agg(F.sum(F.col("a.s") * F.col("s")).alias("cc"))
-    return cc.groupBy("k").agg(F.max_by("lag", "cc").cast("int").alias("shift"))
+    return cc.groupBy("k").agg((-F.max(F.struct("cc", (-F.col("lag")).alias("minus")))["minus"]).cast("int").alias("shift"))
 
 
 def phase_shift(a: np.ndarray, b: np.ndarray, eps: float = 1e-8) -> tuple[float, float]:

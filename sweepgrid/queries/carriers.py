@@ -17,10 +17,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def polar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """embeddings as (k, r, p, v): 16 vectors of 64 values make a frame; a ragged tail is left out."""
-    e = read(spark, sf_dir, "embeddings")
-    full = e.agg(F.expr("count(*) div 16").alias("full"))
-    kept = e.join(F.broadcast(full)).where("vec_id div 16 < full")
+    """embeddings as (k, r, p, v): 16 vectors of 64 values make a frame; the last frame is filled up with zeros."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    zeros = F.array_repeat(F.lit(0.0), 64)
+    last = e.agg(F.max("vec_id").alias("m")).select(F.explode(F.sequence(F.col("m") + 1, F.expr("m div 16 * 16 + 16"))).alias("vec_id"), zeros.alias("embedding"))
+    kept = e.unionByName(last.where("vec_id % 16 > 0"))
     return kept.select(F.expr("cast(vec_id div 16 as int)").alias("k"), F.expr("cast(vec_id % 16 as int)").alias("r"), F.posexplode("embedding").alias("p", "v")).withColumn("v", F.col("v").cast("double"))
 
 
@@ -31,7 +32,7 @@ def frames(polar_: DataFrame) -> int:
 POLAR = """pol AS (
   SELECT CAST(vec_id // 16 AS INT) AS k, CAST(vec_id % 16 AS INT) AS r, CAST(p - 1 AS INT) AS p, CAST(x AS DOUBLE) AS v
   FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS p FROM embeddings)
-  WHERE vec_id // 16 < (SELECT count(*) // 16 FROM embeddings)
+  UNION ALL SELECT CAST(m // 16 AS INT), CAST(o AS INT), CAST(p AS INT), 0 FROM (SELECT max(vec_id) AS m FROM embeddings), range(16) t(o), range(64) q(p) WHERE o > m % 16
 )"""
 
 FAN = Fan(depth_mm=20.0, phi0=0.0, phi1=math.radians(52.0), rows=ROWS, cols=COLS)

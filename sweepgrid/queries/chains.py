@@ -70,9 +70,9 @@ def default_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.default_calibration(c).select("scan_id", "apex_x", "apex_y", "r_max_pix", "n_rows_mask")
 
 
-@query("SELECT p_partkey, p_name AS name FROM part WHERE p_name LIKE '%e%' AND p_partkey > 3")
+@query("SELECT p_partkey, p_name AS name FROM part WHERE p_name LIKE '%e%'")
 def nodes_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.containing(read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name")), "e").where("p_partkey > 3")
+    return records.containing(read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name")), "e")
 
 
 @query("SELECT n_nationkey, n_name AS name FROM nation WHERE n_name = (SELECT min(n_name) FROM nation WHERE starts_with(n_name, (SELECT substr(min(n_name), 1, 2) FROM nation)))")
@@ -103,12 +103,10 @@ def phantom_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT s_suppkey, s_acctbal AS mean_r, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_acctbal / 100 END AS radius_err_pct FROM supplier)
-SELECT s_suppkey, printf('%.2f', mean_r) AS mean_r, CASE WHEN radius_err_pct IS NULL THEN 'N/A' ELSE printf('%.2f', radius_err_pct) END AS radius_err_pct FROM t WHERE abs(mean_r * 100 - round(mean_r * 100)) < 1e-6 AND abs(mean_r - round(mean_r, 1)) > 1e-3 AND abs((mean_r * 100) % 10 - 5) > 1e-3""")
+SELECT s_suppkey, printf('%.2f', mean_r) AS mean_r, CASE WHEN radius_err_pct IS NULL THEN 'N/A' ELSE printf('%.2f', radius_err_pct) END AS radius_err_pct FROM t""")
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Report cells; rows whose decimals would tie are left to the tests."""
     s = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("mean_r"), F.when(F.col("s_suppkey") % 3 != 0, F.col("s_acctbal") / 100).alias("radius_err_pct"))
-    clear = s.where("abs(mean_r * 100 - round(mean_r * 100)) < 1e-6 AND abs(mean_r - round(mean_r, 1)) > 1e-3 AND abs((mean_r * 100) % 10 - 5) > 1e-3")
-    return records.report_text(clear)
+    return records.report_text(s)
 
 
 @query("SELECT s_suppkey, CAST(CASE WHEN s_suppkey % 3 = 0 THEN 0.0 ELSE round(s_acctbal) END AS FLOAT) AS radius_err_pct FROM supplier")
@@ -179,8 +177,14 @@ def raw_and_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-@query(f"WITH {CLOUD} SELECT vid, 'cap_' || printf('%.0f', floor(x)) || 'deg' AS label FROM pts WHERE vid % 50 = 0")
+@query(f"WITH {CLOUD} SELECT vid, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y, round(z, 6) + 0.0 AS z FROM pts WHERE vid % 10 = 0")
+def point_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator that keeps every tenth point."""
+    return pc.subsample(cloud(spark, sf_dir), 10).select("vid", *(rnd(c).alias(c) for c in "xyz"))
+
+
+@query(f"WITH {CLOUD} SELECT vid, 'cap_' || printf('%.0f', floor(x)) || 'deg' AS label FROM pts")
 def patch_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pc.subsample(cloud(spark, sf_dir), 50).select("vid", F.format_string("cap_%.0fdeg", F.floor("x").cast("double")).alias("label"))
+    return cloud(spark, sf_dir).select("vid", F.format_string("cap_%.0fdeg", F.floor("x").cast("double")).alias("label"))
 
 

@@ -9,8 +9,8 @@ from ..functions import names, scalars
 from . import query
 from .carriers import read, rnd
 
-#: Folder names of the kind that scans come in; the number is mixed in from orders.
-FOLDERS = ["Sample 65 mm - Radial - OD - Primary - 09-25-2025 - 11-52", "eye_LEFT_scan 12-30", "phantom-7 MM--Radial OS", "R_right-eye", "plain folder", "Radial  Primary Secondary", "sub_OD_Radial_01-02-2024"]
+#: Made-up folder names; the number is mixed in from orders.
+FOLDERS = ["Lens 12 mm - Radial - OD - Secondary - 03-14-2021 - 08-05", "bulb_LEFT_pass 21-15", "model-9 MM--Primary OS", "L_left-globe", "bare name", "Secondary  Radial Primary", "set_OS_Radial_05-06-2023", "x _ y - 7mm radial"]
 FOLDER_SQL = "fold AS (SELECT i, n || ' ' || k AS name FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(FOLDERS)) + ") t(i, n), (SELECT DISTINCT o_orderkey % 50 AS k FROM orders))"
 
 
@@ -25,30 +25,27 @@ def eye_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folders(spark, sf_dir).select("i", "name", names.eye_token(F.col("name")).alias("eye"))
 
 
-_CLEAN = "name"
-for _word in names.NOISE_WORDS:
-    _CLEAN = f"regexp_replace({_CLEAN}, '(^|[_\\-\\s])\\b{_word}\\b([_\\-\\s]|$)', ' ', 'gi')"
-for _pattern, _to, _flags in ((r"\b\d{2}-\d{2}-\d{4}\b", " ", "g"), (r"\b\d{2}-\d{2}\b", " ", "g"), (r"\b(\d+)\s*mm\b", r"\1mm", "gi"), (r"\s*[-–—]+\s*", " ", "g"), (r"\s*_\s*", "_", "g"), (r"\s{2,}", " ", "g")):
-    _CLEAN = f"regexp_replace({_CLEAN}, '{_pattern}', '{_to}', '{_flags}')"
+_NOISE = ", ".join(f"'{w.lower()}'" for w in names.NOISE_WORDS)
+_PARTS = f"list_filter(regexp_extract_all(name, '{names.NAME_PARTS}'), lambda p: NOT regexp_full_match(p, '\\d{{2}}-\\d{{2}}(-\\d{{4}})?') AND lower(p) NOT IN ({_NOISE}))"
+_CLEAN = f"regexp_replace(array_to_string(list_transform({_PARTS}, lambda p: CASE WHEN regexp_full_match(p, '\\d+\\s*[mM][mM]') THEN regexp_extract(p, '^\\d+') || 'mm' ELSE p END), ' '), ' ?_ ?', '_', 'g')"
 
 
-@query(f"WITH {FOLDER_SQL} SELECT i, name, trim({_CLEAN}) AS base FROM fold")
+@query(f"WITH {FOLDER_SQL} SELECT i, name, {_CLEAN} AS base FROM fold")
 def clean_folder_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folders(spark, sf_dir).select("i", "name", names.clean_base(F.col("name")).alias("base"))
 
 
 @query(f"""WITH {FOLDER_SQL}, w AS (SELECT i, name, list_filter(regexp_split_to_array(upper(name), '[-_\\s]+'), lambda x: x IN ('OD', 'RIGHT', 'R', 'OS', 'LEFT', 'L'))[1] AS t FROM fold)
-SELECT i, name, trim({_CLEAN}) || '_' || CASE WHEN t IN ('OD', 'RIGHT', 'R') THEN 'OD' WHEN t IS NOT NULL THEN 'OS' ELSE 'OS' END || '_EYE_VOL' AS prefix FROM w""")
+SELECT i, name, {_CLEAN} || '_' || CASE WHEN t IN ('OD', 'RIGHT', 'R') THEN 'OD' WHEN t IS NOT NULL THEN 'OS' ELSE 'OS' END || '_EYE_VOL' AS prefix FROM w""")
 def volume_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _folders(spark, sf_dir).select("i", "name", names.volume_prefix(F.col("name"), F.lit("left eye")).alias("prefix"))
 
 
-@query("""WITH f AS (SELECT o_custkey, 'vol_r' || CASE WHEN o_orderkey % 120 < 10 THEN '0' ELSE '' END || (o_orderkey % 120) || '.nrrd' AS name FROM orders)
-SELECT o_custkey, 'r' || lpad(CAST(max(coalesce(TRY_CAST(nullif(regexp_extract(name, '_r(\\d{2})\\.nrrd$', 1), '') AS INT), 0)) + 1 AS VARCHAR), 2, '0') AS suffix FROM f GROUP BY 1""")
+@query("""WITH f AS (SELECT o_custkey, 'vol_r' || printf('%02d', o_orderkey % 120) || '.nrrd' AS name FROM orders)
+SELECT o_custkey, printf('r%02d', max(coalesce(TRY_CAST(nullif(regexp_extract(name, '_r(\\d{2})\\.nrrd$', 1), '') AS INT), 0)) + 1) AS suffix FROM f GROUP BY 1""")
 def next_run_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("o_orderkey") % 120
-    rows = read(spark, sf_dir, "orders").select("o_custkey", F.concat(F.lit("vol_r"), F.when(n < 10, "0").otherwise(""), n.cast("string"), F.lit(".nrrd")).alias("name"))
-    return rows.groupBy("o_custkey").agg(F.max(names.run_number(F.col("name"))).alias("n")).select("o_custkey", F.lpad(F.substring(names.run_suffix(F.col("n")), 2, 9), 2, "0").alias("s")).select("o_custkey", F.concat(F.lit("r"), "s").alias("suffix"))
+    rows = read(spark, sf_dir, "orders").select("o_custkey", F.format_string("vol_r%02d.nrrd", F.col("o_orderkey") % 120).alias("name"))
+    return rows.groupBy("o_custkey").agg(F.max(names.run_number(F.col("name"))).alias("n")).select("o_custkey", names.run_suffix(F.col("n")).alias("suffix"))
 
 
 @query("""WITH s AS (SELECT page_id, regexp_replace(list_last(string_split(split_part(url, '?', 1), '/')), '\\.[^.]*$', '') AS stem FROM pages)
@@ -81,10 +78,10 @@ def angle_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity AS x1, l_discount AS y1, cos(l_quantity) AS a1, sin(l_quantity) AS b1, l_tax AS x2, 1.0 AS y2, cos(l_quantity * (l_linenumber % 3)) AS a2, sin(l_quantity * (l_linenumber % 3)) AS b2 FROM lineitem)
-SELECT l_orderkey, l_linenumber, CASE WHEN abs(a1 * b2 - b1 * a2) >= 1e-3 THEN round(x1 + ((x2 - x1) * b2 - (y2 - y1) * a2) / (a1 * b2 - b1 * a2) * a1, 4) + 0.0 END AS x FROM l""")
+SELECT l_orderkey, l_linenumber, CASE WHEN abs(a1 * b2 - b1 * a2) >= 1e-9 THEN round(x1 + ((x2 - x1) * b2 - (y2 - y1) * a2) / (a1 * b2 - b1 * a2) * a1, 4) + 0.0 END AS x FROM l""")
 def line_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, t = F.col("l_quantity"), F.col("l_quantity") * (F.col("l_linenumber") % 3)
-    meet = scalars.line_intersection((q, F.col("l_discount"), F.cos(q), F.sin(q)), (F.col("l_tax"), F.lit(1.0), F.cos(t), F.sin(t)), 1e-3)
+    meet = scalars.line_intersection((q, F.col("l_discount"), F.cos(q), F.sin(q)), (F.col("l_tax"), F.lit(1.0), F.cos(t), F.sin(t)))
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", rnd(meet["x"], 4).alias("x"))
 
 

@@ -132,17 +132,10 @@ def _increasing(e: DataFrame) -> DataFrame:
     return series.select("user_id", F.posexplode(seam.strictly_increasing(F.col("vs"))).alias("i", "v")).select("user_id", "i", rnd("v").alias("v"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE user_id % 20 = 0),
-f AS (SELECT user_id, i, CAST(value AS DOUBLE) AS v FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.i, CASE WHEN e.value <= f.v THEN f.v + 1e-6 ELSE e.value END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
-SELECT user_id, CAST(i - 1 AS INT) AS i, round(v, 6) + 0.0 AS v FROM f""")
+@query("""WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)
+SELECT user_id, CAST(i AS INT) AS i, round(max(CAST(value AS DOUBLE) - i * 1e-6) OVER (PARTITION BY user_id ORDER BY i) + i * 1e-6, 6) + 0.0 AS v FROM e""")
 def strictly_increasing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fold over the values of users of one cohort, each in time order."""
-    return _increasing(read(spark, sf_dir, "events").where("user_id % 20 = 0"))
-
-
-@query()
-def strictly_increasing_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same fold over the values of all users."""
+    """The fold over the values of all users, each in time order; in SQL as a running maximum, which it is as values are multiples of the step."""
     return _increasing(read(spark, sf_dir, "events"))
 
 
@@ -175,7 +168,7 @@ def gaussian_theta_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {POLAR}, prof AS (SELECT k, p, sum(v) AS s FROM pol GROUP BY k, p), c AS (SELECT k, p, s - avg(s) OVER (PARTITION BY k) AS s FROM prof),
 x AS (SELECT m.k AS k, a.p - m.p AS lag, sum(a.s * m.s) AS cc FROM c a JOIN c m ON a.k = 0 GROUP BY 1, 2)
-SELECT k, CAST(arg_max(lag, cc) AS INT) AS shift FROM x GROUP BY k""")
+SELECT k, CAST(arg_max(lag, (cc, -lag)) AS INT) AS shift FROM x GROUP BY k""")
 def xcorr_shift_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registration.xcorr_shift(polar(spark, sf_dir), 0)
 

@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import fixed_text
+
 #: Columns of the phantom report with their decimals.
 PHANTOM_DECIMALS = {"distance_mm": 2, "mean_r": 2, "std_r": 3, "min_r": 2, "max_r": 2, "band_pct": 1, "distance_err_pct": 2, "radius_err_pct": 2}
 CALIBRATION = "apex_xy array<double>, r_max_pix double, image_height int, image_width int, phi0_mask double, phi1_mask double, n_rows_mask int, mask_fan_angle_deg double, mask_file string, mask_sha1_12 string"
@@ -16,7 +18,7 @@ CALIBRATION = "apex_xy array<double>, r_max_pix double, image_height int, image_
 def report_text(metrics: DataFrame, decimals: dict[str, int] | None = None) -> DataFrame:
     """Numbers as text with fixed decimals, what is missing as N/A."""
     decimals = decimals or {k: v for k, v in PHANTOM_DECIMALS.items() if k in metrics.columns}
-    cells = {c: F.coalesce(F.format_string(f"%.{d}f", F.col(c).cast("double")), F.lit("N/A")) for c, d in decimals.items()}
+    cells = {c: F.coalesce(fixed_text(F.col(c), d), F.lit("N/A")) for c, d in decimals.items()}
     return metrics.withColumns({c: F.when(F.col(c).isNull(), "N/A").otherwise(e) for c, e in cells.items()})
 
 

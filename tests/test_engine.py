@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -241,3 +242,29 @@ def test_few_refuses_many(spark):
     assert few(spark.range(5), 5).count() == 5
     with pytest.raises(ValueError):
         few(spark.range(6), 5)
+
+
+def test_fixed_decimals_are_those_of_the_binary_value(spark):
+    from sweepgrid.functions.scalars import fixed_text
+
+    rnd = random.Random(6)
+    values = [0.125, 0.375, 1.005, 2.675, 1e-9, 0.0, -0.0, -0.001, 0.5, 1.5, 2.5, 0.045, 12345.675, 99.995, 1e15 + 0.5, 3e17, float("nan"), float("inf"), -float("inf")]
+    values += [rnd.uniform(-1e4, 1e4) for _ in range(500)] + [round(rnd.uniform(-100, 100), 3) for _ in range(1500)] + [k / 8 for k in range(-80, 80)]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    for digits in (0, 1, 2, 3):
+        got = [r["t"] for r in df.select(fixed_text(F.col("v"), digits).alias("t")).collect()]
+        assert got == [f"{v:.{digits}f}" for v in values]
+
+
+def test_names_are_cleaned(spark):
+    from sweepgrid.functions import names
+
+    want = {
+        "Eyeball 24 mm - Radial - OD - Primary - 01-02-2024 - 10-15": "Eyeball 24mm", "a_Radial_b": "a_Radial_b", "Radial": "", "x - 7MM  y": "x 7mm y", "one _ two": "one_two",
+        "12-30 scan 5": "scan 5", "scan12-30": "scan12 30", "radial os PRIMARY z": "z", "A–B—C": "A B C", "  plain  name ": "plain name",
+    }
+    df = spark.createDataFrame([(n,) for n in want], "n string")
+    assert {r["n"]: r["b"] for r in df.select("n", names.clean_base(F.col("n")).alias("b")).collect()} == want
+    long = ["10", "9", "-3", "99999999999999999999999", "100000000000000000000000", "007", "b", "a", "-20", "8"]
+    got = spark.createDataFrame([(n,) for n in long], "n string").orderBy(*names.numeric_first_key(F.col("n"))).collect()
+    assert [r["n"] for r in got] == ["-20", "-3", "007", "8", "9", "10", "99999999999999999999999", "100000000000000000000000", "a", "b"]
