@@ -31,24 +31,50 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def run(spark: SparkSession, img_dir: str, mask_path: str | None, out_dir: str, options, name: str | None = None) -> str:
-    """Reads, calibrates, reconstructs and writes; returns the folder of the volume."""
+def run(spark: SparkSession, img_dir: str, mask_path: str | None, out_dir: str, options, name: str | None = None, pictures: bool = True) -> str:
+    """Reads, calibrates, reconstructs and writes; returns the file of the volume.
+
+    A mask's calibration is kept beside the frames, by the mask's hash, and read again by later runs. Without a name
+    the volume is called by the folder, with the next run number.
+    """
     from .operators import geometry
+    from .plans import qc
     from .plans.sweep import from_frames
-    from .sources import images
+    from .sources import images, records
     from .sources.nrrd import write_nrrd
 
     frames = images.checked_stack(images.scan_frames(spark, img_dir))
     if mask_path:
         mask = images.mask_pixels(spark, mask_path)
-        shape = mask.select("width", "height").first()
-        calib = geometry.calibrate(mask.select("x", "y"), shape["width"], shape["height"]).withColumn("depth_mm", F.lit(options.depth_mm))
+
+        def measured():
+            shape = mask.select("width", "height").first()
+            return geometry.calibrate(mask.select("x", "y"), shape["width"], shape["height"])
+
+        calib = records.kept_calibration(spark, str(Path(img_dir).parent / "mask_detection"), mask_path, measured)
     else:
-        mask, calib = None, geometry.default_calibration(frames).withColumn("depth_mm", F.lit(options.depth_mm))
-    record = geometry.geometry(calib).first().asDict()
+        mask, calib = None, geometry.default_calibration(frames)
+    record = geometry.geometry(calib.withColumn("depth_mm", F.lit(options.depth_mm))).first().asDict()
     got = from_frames(spark, images.pixels(frames), record, options, mask)
-    write_nrrd(got.voxels, out_dir, (got.n,) * 3, options.voxel_mm, vol_id=name or "volume")
-    return out_dir
+    name = name or next_name(spark, img_dir, out_dir)
+    write_nrrd(got.voxels, out_dir, (got.n,) * 3, options.voxel_mm, vol_id=name)
+    if pictures:
+        folder = Path(out_dir) / "QC"
+        folder.mkdir(parents=True, exist_ok=True)
+        for r in qc.encoded(qc.pictures(got.voxels, got.n), got.n, qc.display_window(got.voxels, got.n)).toLocalIterator():
+            (folder / f"{r['picture']}.png").write_bytes(r["png"])
+    return str(Path(out_dir) / f"{name}.nrrd")
+
+
+def next_name(spark: SparkSession, img_dir: str, out_dir: str) -> str:
+    """The folder's volume name with the run number after the highest that out_dir holds."""
+    from .functions import names
+
+    folder = Path(img_dir).resolve()
+    prefix = spark.range(1).select(names.volume_prefix(F.lit(folder.name), F.lit(folder.parent.name))).first()[0]
+    here = [p.name for p in Path(out_dir).glob("*.nrrd") if p.name.startswith(f"{prefix}_r")]
+    files = spark.createDataFrame([(n,) for n in here], "name string")
+    return prefix + "_" + files.agg(names.run_suffix(F.max(names.run_number(F.col("name"))))).first()[0]
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -64,7 +90,9 @@ def main(argv: list[str] | None = None) -> int:
     options = SweepOptions(**{k: v for k, v in given.items() if v is not None}, registration=not a.no_register, drop_duplicate=not a.keep_duplicate)
     spark = SparkSession.builder.appName("sweepgrid").getOrCreate()
     try:
-        out = run(spark, img_dir, mask, a.out_dir or conf.get("out_dir") or str(Path(img_dir).parent), options, a.output)
+        file = Path(a.output) if a.output else None
+        folder = str(file.parent) if file else a.out_dir or conf.get("out_dir") or str(Path(img_dir).parent)
+        out = run(spark, img_dir, mask, folder, options, file.name.removesuffix(".nrrd") if file else None)
     except Exception as e:  # the exit code is what callers look at
         print(f"sweepgrid: {e}", file=sys.stderr)
         return 1

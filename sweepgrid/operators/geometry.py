@@ -122,8 +122,8 @@ def pick_offset(scored: DataFrame) -> DataFrame:
     return scored.where("var IS NOT NULL").agg(F.min(F.struct("var", "dx", "dy")).alias("b")).where("b IS NOT NULL").select("b.dx", "b.dy", "b.var")
 
 
-def depth_variance(rows: DataFrame, depths: tuple[float, ...] = (12, 24, 36)) -> DataFrame:
-    """(dx, dy, var) from sampled depth rows (dx, dy, r_mm, p, v): population variance of the depths whose gradient has six
+def depth_variance(rows: DataFrame, depths: tuple[float, ...] = (12, 24, 36), least: int = 6) -> DataFrame:
+    """(dx, dy, var) from sampled depth rows (dx, dy, r_mm, p, v): population variance of the depths whose gradient has least
     columns or more above half its maximum; null below two depths."""
     w = Window.partitionBy("dx", "dy", "r_mm").orderBy("p")
     before, after = F.lag("v").over(w), F.lead("v").over(w)
@@ -131,7 +131,7 @@ def depth_variance(rows: DataFrame, depths: tuple[float, ...] = (12, 24, 36)) ->
     each = rows.where(F.col("r_mm").isin(*map(float, depths))).withColumn("g", grad)
     top = each.withColumn("top", F.max("g").over(Window.partitionBy("dx", "dy", "r_mm")))
     ok = top.groupBy("dx", "dy", "r_mm").agg(F.sum((F.col("g") > F.when(F.col("top") > 0, 0.5 * F.col("top")).otherwise(0.0)).cast("int")).alias("n"))
-    used = F.when(F.col("n") >= 6, F.col("r_mm"))
+    used = F.when(F.col("n") >= least, F.col("r_mm"))
     return ok.groupBy("dx", "dy").agg(F.when(F.count(used) >= 2, F.var_pop(used)).alias("var"))
 
 

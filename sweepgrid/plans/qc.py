@@ -13,19 +13,38 @@ from ..sources import png
 
 
 def pictures(voxels: DataFrame, n: int) -> DataFrame:
-    """(picture, a, b, v): three maximum projections and three middle slices of a volume of side n, sparse."""
-    planes = (("xy", "ix", "iy", "iz"), ("xz", "ix", "iz", "iy"), ("yz", "iy", "iz", "ix"))
-    rows = F.array(*[F.struct(F.lit(f"mip_{p}").alias("picture"), F.col(a).alias("a"), F.col(b).alias("b")) for p, a, b, _ in planes], *[F.when(F.col(c) == n // 2, F.struct(F.lit(f"slice_{p}").alias("picture"), F.col(a).alias("a"), F.col(b).alias("b"))) for p, a, b, c in planes])
-    each = voxels.select(F.explode(F.array_compact(rows)).alias("c"), "v")
-    return each.groupBy("c.picture", "c.a", "c.b").agg(F.greatest(F.max("v"), F.lit(0.0)).alias("v"))
+    """(picture, a, b, v): three maximum projections and three slices of a volume of side n, sparse but for one cell of each.
 
-
-def encoded(pictures_: DataFrame, n: int) -> DataFrame:
-    """(picture, png): each picture in its own range as an 8-bit image."""
-    scaled = volume.min_max_quantize(pictures_, "v", 8, by=["picture"])
+    Slices lie in the middle, that across x where the signal is largest.
+    """
+    top = volume.x_signal_argmax(voxels).first()
+    cx = top["ix"] if top is not None and top["ix"] is not None else n // 2
+    planes = (("xy", "ix", "iy", "iz", n // 2), ("xz", "ix", "iz", "iy", n // 2), ("yz", "iy", "iz", "ix", cx))
+    rows = F.array(*[F.struct(F.lit(f"mip_{p}").alias("picture"), F.col(a).alias("a"), F.col(b).alias("b")) for p, a, b, _, _ in planes], *[F.when(F.col(c) == at, F.struct(F.lit(f"slice_{p}").alias("picture"), F.col(a).alias("a"), F.col(b).alias("b"))) for p, a, b, c, at in planes])
+    each = voxels.select(F.explode(F.array_compact(rows)).alias("c"), "v").select("c.picture", "c.a", "c.b", "v")
+    names = [f"{kind}_{p}" for kind in ("mip", "slice") for p, *_ in planes]
+    corner = voxels.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("picture"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0.0).alias("v"))
+    return each.unionByName(corner).groupBy("picture", "a", "b").agg(F.greatest(F.max("v"), F.lit(0.0)).alias("v"))
+
+
+def display_window(voxels: DataFrame, n: int) -> tuple[float, float]:
+    """The percentiles of the whole volume between which pictures are shown."""
+    r = volume.dense_percentiles(voxels, n**3, (60, 99.7)).first()
+    return float(r["p_60"]), float(r["p_99_7"])
+
+
+def encoded(pictures_: DataFrame, n: int, window: tuple[float, float] | None = None) -> DataFrame:
+    """(picture, png): each picture in its own range, or all in one window, as an 8-bit image."""
+    if window is None:
+        scaled = volume.min_max_quantize(pictures_, "v", 8, by=["picture"])
+    else:
+        lo, hi = window
+        part = (F.col("v") - lo) / max(hi - lo, 1e-12)
+        scaled = pictures_.withColumn("q", F.floor(F.greatest(F.least(part * 256, F.lit(255.0)), F.lit(0.0))).cast("int"))
+    ground = 0 if window is None else int(max(min((0.0 - window[0]) / max(window[1] - window[0], 1e-12) * 256, 255.0), 0.0))
 
     def run(key, pdf):
-        a = np.zeros((n, n), np.uint8)
+        a = np.full((n, n), ground, np.uint8)
         a[pdf["a"], pdf["b"]] = pdf["q"]
         return pd.DataFrame({"picture": [key[0]], "png": [png.encode(a)]})
 

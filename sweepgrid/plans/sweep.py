@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.session import cut
+from ..functions.scalars import linspace
+from ..operators import geometry, recon, registration, seam
 from ..operators import polar as po
-from ..operators import recon, registration, seam
 from ..operators.recon import Fan
 
 
@@ -29,6 +30,7 @@ class SweepOptions:
     best_cut: bool = True
     blend_frames: int = 5
     older: bool = False
+    apex_search: bool = True
 
 
 @dataclass
@@ -49,18 +51,10 @@ def reconstruct(spark: SparkSession, stack: DataFrame, fan: Fan, options: SweepO
     each step that is read twice.
     """
     o, span = options, math.radians(options.theta_span_deg)
+    if o.older:
+        return _reconstruct_older(spark, *registered_older(stack, fan, o.registration), fan, o)
     now = cut(stack.select("k", "r", "p", F.col("v").cast("double").alias("v")))
     n = now.agg(F.max("k") + 1).first()[0]
-    if o.older:
-        if o.registration:
-            now = cut(registration.register_older(now, fan.cols, n // 2))
-        cells = recon.older_positions(recon.valid_cells(spark, fan, o.voxel_mm), fan, n)
-        sigma = o.sigma_theta_deg * n / 360.0
-        smooth = recon.gaussian_theta(now, n, sigma) if sigma > 0 else now
-        keys = ["ix", "iy", "iz"]
-        voxels = recon.trilinear(cells, smooth, keys) if o.interp_order == 1 else recon.spline_sample(cells, smooth, (fan.rows, fan.cols, n), keys, o.interp_order)
-        return Sweep(voxels, [span * k / n for k in range(n)], 0, recon.axis_count(fan.depth_mm, o.voxel_mm), now)
-
     drift = [(k, 0.0, 0.0) for k in range(n)]
     if o.registration:
         shifts = cut(registration.estimate_shifts(now, fan.rows, fan.cols, n // 2))
@@ -86,8 +80,55 @@ def reconstruct(spark: SparkSession, stack: DataFrame, fan: Fan, options: SweepO
     return Sweep(voxels, knots, at, recon.axis_count(fan.depth_mm, o.voxel_mm), now)
 
 
+def registered_older(stack: DataFrame, fan: Fan, register: bool) -> tuple[DataFrame, int]:
+    """The stack as the older pipeline resamples it, written once, and its frames."""
+    now = cut(stack.select("k", "r", "p", F.col("v").cast("double").alias("v")))
+    n = now.agg(F.max("k") + 1).first()[0]
+    return (cut(registration.register_older(now, fan.cols, n // 2)) if register else now), n
+
+
+def _reconstruct_older(spark: SparkSession, now: DataFrame, n: int, fan: Fan, o: SweepOptions) -> Sweep:
+    cells = recon.older_positions(recon.valid_cells(spark, fan, o.voxel_mm), fan, n)
+    sigma = o.sigma_theta_deg * n / 360.0
+    smooth = recon.gaussian_theta(now, n, sigma) if sigma > 0 else now
+    keys = ["ix", "iy", "iz"]
+    voxels = recon.trilinear(cells, smooth, keys) if o.interp_order == 1 else recon.spline_sample(cells, smooth, (fan.rows, fan.cols, n), keys, o.interp_order)
+    span = math.radians(o.theta_span_deg)
+    return Sweep(voxels, [span * k / n for k in range(n)], 0, recon.axis_count(fan.depth_mm, o.voxel_mm), now)
+
+
+def search_apex(spark: SparkSession, pixels: DataFrame, calib: dict, mask: DataFrame | None = None, reach: int = 2, depths: tuple[float, ...] = (12, 24, 36)) -> dict:
+    """calib with the apex moved by up to reach pixels to where the middle frame's depth rows vary least; as it is if no place is valid.
+
+    All places are sampled at once: each has a few depth rows, which are rows of one grid.
+    """
+    width = 2 * reach + 1
+    rows, cols = math.ceil(calib["r_max_pix"]), int(calib["rows_eff"])
+    at = [(float(d), round(d / calib["dr"])) for d in depths]
+    at = [(d, r) for d, r in at if r < rows]
+    if not at:
+        return calib
+    step = lambda r: r * rows / (rows - 1) if rows > 1 else 0.0  # noqa: E731  as `sampling_grid` spaces depth rows
+    cell = spark.range(width * width * len(at) * cols).select((F.col("id") % cols).cast("int").alias("p"), F.expr(f"cast(id div {cols} as int)").alias("r"))
+    place, depth = F.expr(f"r div {len(at)}"), F.col("r") % len(at)
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (depth + 1).cast("int"))
+    named = cell.select("r", "p", (F.floor(place / width) - reach).cast("int").alias("dx"), (F.pmod(place, F.lit(width)) - reach).cast("int").alias("dy"), pick([d for d, _ in at]).alias("r_mm"), pick([float(step(r)) for _, r in at]).alias("rho"))
+    phi = linspace(F.col("p"), calib["phi0"], calib["phi1"], cols)
+    named = named.withColumns({"ax": F.lit(float(calib["apex_x"])) + F.col("dx"), "ay": F.lit(float(calib["apex_y"])) + F.col("dy")})
+    grid = cut(named.withColumns({"sx": F.col("ax") + F.col("rho") * F.cos(phi), "sy": F.col("ay") + F.col("rho") * F.sin(phi)}))
+    middle = pixels.agg(F.expr("(max(k) + 1) div 2").alias("m"))
+    frame = pixels.join(F.broadcast(middle), F.col("k") == F.col("m")).drop("m")
+    on = po.nearest_mask(mask, grid) if mask is not None else po.wedge(grid, (F.col("ax"), F.col("ay")), calib["phi0"], calib["phi1"], calib["r_max_pix"], calib["image_width"], calib["image_height"])
+    values = po.mask_multiply(po.bilinear(frame, grid.select("r", "p", "sx", "sy")), on)
+    rated = geometry.depth_variance(values.join(grid.select("r", "p", "dx", "dy", "r_mm"), ["r", "p"]), depths)
+    best = geometry.pick_offset(rated).first()
+    return calib if best is None else calib | {"apex_x": calib["apex_x"] + best["dx"], "apex_y": calib["apex_y"] + best["dy"]}
+
+
 def from_frames(spark: SparkSession, pixels: DataFrame, calib: dict, options: SweepOptions, mask: DataFrame | None = None) -> Sweep:
     """A volume from frame pixels (k, y, x, v) and a geometry record (one row of geometry.geometry as a dict)."""
+    if options.apex_search and not options.older:
+        calib = search_apex(spark, pixels, calib, mask)
     apex, reach = (calib["apex_x"], calib["apex_y"]), calib["r_max_pix"]
     grid = cut(po.sampling_grid(spark, apex, calib["phi0"], calib["phi1"], reach, calib["rows_eff"]))
     on = po.nearest_mask(mask, grid) if mask is not None else po.wedge(grid, apex, calib["phi0"], calib["phi1"], reach, calib["image_width"], calib["image_height"])
@@ -97,6 +138,7 @@ def from_frames(spark: SparkSession, pixels: DataFrame, calib: dict, options: Sw
 
 
 def raw_and_smooth(spark: SparkSession, stack: DataFrame, fan: Fan, raw: SweepOptions, smooth: SweepOptions | None = None) -> tuple[Sweep, Sweep]:
-    """Two volumes on one grid; what is never read of them is never computed."""
+    """Two volumes on one grid from one registered stack; a volume is computed when it is read."""
     smooth = smooth or replace(raw, sigma_theta_deg=1.0, interp_order=3)
-    return reconstruct(spark, stack, fan, replace(raw, older=True)), reconstruct(spark, stack, fan, replace(smooth, older=True))
+    now, n = registered_older(stack, fan, raw.registration)
+    return _reconstruct_older(spark, now, n, fan, raw), _reconstruct_older(spark, now, n, fan, smooth)

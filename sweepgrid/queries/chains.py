@@ -124,6 +124,15 @@ def posterior_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(*(F.lit(got[k]).alias(k) if isinstance(got[k], str) else rnd(F.lit(float(got[k])), 3).alias(k) for k in keep))
 
 
+@query()
+def posterior_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the same sphere, with its 16 columns."""
+    v, f = _sphere(spark)
+    o = surface.PosteriorOptions(mode="angle", smooth_rounds=0, radius_limit_mm=100.0)
+    got = records.posterior_report(spark, surface.posterior_metrics(v, f, o), o.mode, o.geodesic_mm, o.angle_deg, o.plane_mm)
+    return got.select(*(rnd(c, 3).alias(c) if kind == "double" else F.col(c) for c, kind in got.dtypes))
+
+
 @query()
 def v2_posterior_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, f = _sphere(spark)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import geometry, polar, recon
 from . import query
-from .carriers import frames, read, rnd
+from .carriers import POLAR, frames, read, rnd
 from .carriers import polar as stack_of
 
 
@@ -114,16 +114,24 @@ def row_arc_qc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("r_mm", rnd("err").alias("err"))
 
 
-@query("""WITH v AS (SELECT l_orderkey % 9 AS dx, l_partkey % 5 AS dy, CASE l_linenumber % 3 WHEN 0 THEN 12.0 WHEN 1 THEN 24.0 ELSE 36.0 END AS r FROM lineitem WHERE l_quantity > 30),
-d AS (SELECT DISTINCT dx, dy, r FROM v WHERE (dx * 7 + dy * 3 + CAST(r AS INT)) % 5 <> 0), s AS (SELECT dx, dy, CASE WHEN count(*) >= 2 THEN var_pop(r) END AS var FROM d GROUP BY dx, dy)
-SELECT dx, dy, round(var, 6) AS var FROM s WHERE var IS NOT NULL ORDER BY var, dx, dy LIMIT 1""")
+@query(f"""WITH {POLAR}, d AS (SELECT k AS dx, r % 3 AS dy, 12.0 * (r // 3 + 1) AS r_mm, p, v FROM pol WHERE r < 15),
+g AS (SELECT dx, dy, r_mm, abs(CASE WHEN lag(v) OVER w IS NULL THEN lead(v) OVER w - v WHEN lead(v) OVER w IS NULL THEN v - lag(v) OVER w ELSE (lead(v) OVER w - lag(v) OVER w) / 2 END) AS g FROM d WINDOW w AS (PARTITION BY dx, dy, r_mm ORDER BY p)),
+t AS (SELECT *, max(g) OVER (PARTITION BY dx, dy, r_mm) AS top FROM g),
+ok AS (SELECT dx, dy, r_mm, count(*) FILTER (g > CASE WHEN top > 0 THEN 0.5 * top ELSE 0 END) AS n FROM t WHERE r_mm IN (12, 24, 36) GROUP BY 1, 2, 3)
+SELECT dx, CAST(dy AS INT) AS dy, CASE WHEN count(*) FILTER (n >= 24) >= 2 THEN round(var_pop(CAST(r_mm AS DOUBLE)) FILTER (n >= 24), 6) END AS var FROM ok GROUP BY 1, 2""")
+def depth_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame three times over as a place of the apex; rows of five depths, of which the operator takes three."""
+    rows = stack_of(spark, sf_dir).where("r < 15").select(F.col("k").alias("dx"), (F.col("r") % 3).alias("dy"), (12.0 * (F.expr("r div 3") + 1)).alias("r_mm"), "p", "v")
+    return geometry.depth_variance(rows, least=24).select("dx", "dy", rnd("var").alias("var"))
+
+
+@query("""WITH d AS (SELECT DISTINCT l_orderkey % 9 AS dx, l_partkey % 5 AS dy, l_quantity AS r FROM lineitem), s AS (SELECT dx, dy, CASE WHEN count(*) >= 2 THEN round(var_pop(r), 6) END AS var FROM d GROUP BY dx, dy)
+SELECT dx, dy, var FROM s WHERE var IS NOT NULL ORDER BY var, dx, dy LIMIT 1""")
 def apex_micro_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("l_linenumber") % 3
-    r = F.when(n == 0, 12.0).when(n == 1, 24.0).otherwise(36.0)
-    rows = read(spark, sf_dir, "lineitem").where("l_quantity > 30").select((F.col("l_orderkey") % 9).alias("dx"), (F.col("l_partkey") % 5).alias("dy"), r.alias("r"))
-    valid = rows.distinct().where((F.col("dx") * 7 + F.col("dy") * 3 + F.col("r").cast("int")) % 5 != 0)
-    scored = valid.groupBy("dx", "dy").agg(F.when(F.count(F.lit(1)) >= 2, F.var_pop("r")).alias("var"))
-    return geometry.pick_offset(scored).select("dx", "dy", rnd("var").alias("var"))
+    """The first of the offsets with the least variance."""
+    rows = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 9).alias("dx"), (F.col("l_partkey") % 5).alias("dy"), F.col("l_quantity").alias("r")).distinct()
+    scored = rows.groupBy("dx", "dy").agg(F.when(F.count(F.lit(1)) >= 2, rnd(F.var_pop("r"))).alias("var"))
+    return geometry.pick_offset(scored).select("dx", "dy", "var")
 
 
 @query(f"SELECT CAST(min(s) AS BIGINT) AS first_slab, CAST(max(s) AS BIGINT) AS last_slab, count(*) AS n_valid FROM (SELECT a // 4 AS s, -20.0 + 40.0 * a / 19 AS x, -20.0 + 40.0 * b / 19 AS y, -20.0 + 40.0 * c / 19 AS z FROM range(20) t1(a), range(20) t2(b), range(20) t3(c)) WHERE sqrt(x ** 2 + y ** 2 + z ** 2) <= 20 AND atan2(sqrt(y ** 2 + z ** 2), x) BETWEEN 0 AND radians(CAST(52 AS DOUBLE))")

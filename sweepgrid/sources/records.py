@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import sha1_12
 from ..functions.scalars import fixed_text
 
 #: Columns of the phantom report with their decimals.
@@ -59,6 +62,54 @@ def write_calibration(calib: DataFrame, path: str) -> None:
     calib.write.mode("overwrite").partitionBy("mask_sha1_12").json(path)
 
 
+def kept_calibration(spark: SparkSession, folder: str, mask_path: str, measured: Callable[[], DataFrame]) -> DataFrame:
+    """The record of a mask (by its file's hash) if folder has it, else what measured gives, which is kept there."""
+    content = spark.read.format("binaryFile").load(mask_path).select(sha1_12(F.col("content")).alias("h")).first()["h"]
+    try:
+        found = calibration_record(spark, folder).where(F.col("mask_sha1_12") == content)
+    except AnalysisException:  # no record yet
+        found = None
+    if found is None or found.isEmpty():
+        made = measured()
+        made = made.select(F.array("apex_x", "apex_y").alias("apex_xy"), *[c for c in made.columns if c not in ("apex_x", "apex_y")], F.lit(mask_path).alias("mask_file"), F.lit(content).alias("mask_sha1_12"))
+        write_calibration(made, folder)
+        found = calibration_record(spark, folder).where(F.col("mask_sha1_12") == content)
+    return found.select(F.col("apex_xy")[0].alias("apex_x"), F.col("apex_xy")[1].alias("apex_y"), *[c for c in found.columns if c != "apex_xy"]).limit(1)
+
+
+#: Columns of the posterior report, and those that the older report lacks.
+POSTERIOR_COLUMNS = [
+    "Patch", "ApexMode", "PatchArea_mm2", "GEO_radius_mm", "Angle_deg", "Plane_d_mm", "BFS_radius_mm", "Apex_depth_mm", "RMS_residual_mm",
+    "Quad_R_equiv_apex_mm", "Quad_anisotropy_apex", "Disc_R_equiv_patch_mm", "Disc_H_trimmed_mean_abs_invmm", "Apex_x_mm", "Apex_y_mm", "Apex_z_mm",
+]
+NEWER_COLUMNS = ("Quad_R_equiv_apex_mm", "Quad_anisotropy_apex", "Disc_R_equiv_patch_mm", "Disc_H_trimmed_mean_abs_invmm")
+
+
+def posterior_report(spark: SparkSession, metrics: dict[str, Any], mode: str, geodesic_mm: float, angle_deg: float, plane_mm: float, older: bool = False) -> DataFrame:
+    """One row with the 16 columns of the report (older: 12); of the patch's sizes only that of its mode is given."""
+    x, y, z = metrics["apex_point_ras"]
+    quad = metrics["quad_metrics"]
+    values = [
+        metrics["patch"], metrics["apex_mode"], metrics["patch_area_mm2"], geodesic_mm if mode == "geodesic" else None, angle_deg if mode == "angle" else None, plane_mm if mode == "plane" else None,
+        metrics["R_mm"], metrics["apex_depth_mm"], metrics["rms_resid_mm"], 1 / quad["H"] if abs(quad["H"]) > 1e-9 else float("inf"), quad["anisotropy"], metrics["disc_R_equiv_patch_mm"], metrics["disc_H_trimmed_mean_abs_invmm"], x, y, z,
+    ]
+    row = [(c, v) for c, v in zip(POSTERIOR_COLUMNS, values, strict=True) if not older or c not in NEWER_COLUMNS]
+    text = ("Patch", "ApexMode")
+    schema = ", ".join(f"{c} {'string' if c in text else 'double'}" for c, _ in row)
+    return spark.createDataFrame([tuple(v if c in text or v is None else float(v) for c, v in row)], schema)
+
+
+def write_surface(vertices: DataFrame, faces: DataFrame, scalars: list[str], path: str, most: int = 5_000_000) -> None:
+    """A surface (vid, x, y, z, scalars; v0, v1, v2) as one file, written by the driver: of one eye, so its size is checked, not spread."""
+    if vertices.count() > most:
+        raise ValueError(f"a surface of more than {most} vertices does not go into one file")
+    points = vertices.orderBy("vid").select("vid", "x", "y", "z", *scalars).toPandas()
+    place = {int(v): i for i, v in enumerate(points["vid"])}
+    cells = [[place[r["v0"]], place[r["v1"]], place[r["v2"]]] for r in faces.select("v0", "v1", "v2").toLocalIterator()]
+    with open(path, "wb") as f:
+        f.write(vtk_polydata(points[["x", "y", "z"]].values, cells, {c: points[c].values for c in scalars}))
+
+
 def pick_by_name(nodes: DataFrame, name: str) -> DataFrame:
     """The node called name, else the first whose name starts with it; reading raises without one."""
     rank = F.when(F.col("name") == name, 0).when(F.startswith("name", F.lit(name)), 1)

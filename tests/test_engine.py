@@ -268,3 +268,87 @@ def test_names_are_cleaned(spark):
     long = ["10", "9", "-3", "99999999999999999999999", "100000000000000000000000", "007", "b", "a", "-20", "8"]
     got = spark.createDataFrame([(n,) for n in long], "n string").orderBy(*names.numeric_first_key(F.col("n"))).collect()
     assert [r["n"] for r in got] == ["-20", "-3", "007", "8", "9", "10", "99999999999999999999999", "100000000000000000000000", "a", "b"]
+
+
+def scan(folder, frames=6, side=64):
+    """Frames of a cone with one bright arc that turns, and the cone's mask, as PNG files."""
+    from sweepgrid.sources import png
+
+    y, x = np.mgrid[0:side, 0:side]
+    r, phi = np.hypot(x - 4.0, y - side / 2), np.arctan2(y - side / 2, x - 4.0)
+    cone = (r <= side - 10) & (np.abs(phi) <= math.radians(26)) & (x >= 4)
+    (folder / "Lens 12 mm - OD").mkdir(parents=True)
+    for k in range(frames):
+        a = np.where(cone, 60 + 40 * np.sin(k + 6 * phi) + 80 * (np.abs(r - 30) < 3), 0).astype(np.uint8)
+        (folder / "Lens 12 mm - OD" / f"{k + 1}.png").write_bytes(png.encode(a))
+    (folder / "mask.png").write_bytes(png.encode(np.where(cone, 255, 0).astype(np.uint8)))
+    return str(folder / "Lens 12 mm - OD"), str(folder / "mask.png")
+
+
+def test_command_line_from_frames(spark, tmp_path):
+    """From image files to a named volume, twice: the second run takes the next number and the mask's record as it was kept."""
+    from sweepgrid import cli
+    from sweepgrid.plans.sweep import SweepOptions
+
+    frames, mask = scan(tmp_path / "in")
+    out = tmp_path / "out"
+    out.mkdir()
+    o = SweepOptions(depth_mm=40.0, voxel_mm=8.0, registration=False)
+    first = cli.run(spark, frames, mask, str(out), o)
+    assert first.endswith("/Lens 12mm_OD_EYE_VOL_r01.nrrd")
+    kept = sorted(p for p in (tmp_path / "in" / "mask_detection").rglob("*.json"))
+    assert kept and "apex_xy" in kept[0].read_text()
+    second = cli.run(spark, frames, mask, str(out), o)
+    assert second.endswith("_r02.nrrd")
+    assert sorted(p for p in (tmp_path / "in" / "mask_detection").rglob("*.json")) == kept
+    assert (out / "Lens 12mm_OD_EYE_VOL_r01.nrrd").read_bytes() == (out / "Lens 12mm_OD_EYE_VOL_r02.nrrd").read_bytes()
+    assert sorted(p.name for p in (out / "QC").glob("*.png")) == sorted(f"{a}_{b}.png" for a in ("mip", "slice") for b in ("xy", "xz", "yz"))
+
+
+def test_apex_search_takes_the_first_valid_place(spark):
+    """Against a plain loop over the 25 places."""
+    from sweepgrid.plans.sweep import search_apex
+
+    side, rnd = 40, np.random.default_rng(5)
+    img = rnd.integers(0, 255, (side, side)).astype(float)
+    pixels = spark.createDataFrame([(k, y, x, float(img[y, x])) for k in range(3) for y in range(side) for x in range(side)], "k int, y int, x int, v double")
+    calib = {"apex_x": 6.0, "apex_y": 20.0, "r_max_pix": 30.0, "rows_eff": 24, "dr": 40.0 / 30.0, "phi0": -0.4, "phi1": 0.4, "image_width": side, "image_height": side}
+    best = None
+    for dx in range(-2, 3):
+        for dy in range(-2, 3):
+            used = []
+            for d in (12, 24, 36):
+                r = round(d / calib["dr"])
+                if r >= 30:
+                    continue
+                row = []
+                for p in range(24):
+                    phi, rho = -0.4 + 0.8 * p / 23, r * 30 / 29
+                    sx, sy = 6.0 + dx + rho * math.cos(phi), 20.0 + dy + rho * math.sin(phi)
+                    ddx, ddy = sx - 6.0 - dx, sy - 20.0 - dy
+                    on = math.hypot(ddx, ddy) <= 30.0 and 0 <= sx <= side - 1 and 0 <= sy <= side - 1
+                    x0, y0 = math.floor(sx), math.floor(sy)
+                    v = sum(((sx - x0) if a else 1 - (sx - x0)) * ((sy - y0) if b else 1 - (sy - y0)) * (img[y0 + b, x0 + a] if 0 <= y0 + b < side and 0 <= x0 + a < side else 0) for a in (0, 1) for b in (0, 1))
+                    row.append(v if on else 0.0)
+                g = np.abs(np.gradient(np.array(row)))
+                if (g > (0.5 * g.max() if g.max() > 0 else 0)).sum() >= 6:
+                    used.append(float(d))
+            if len(used) >= 2 and (best is None or np.var(used) < best[0]):
+                best = (float(np.var(used)), dx, dy)
+    got = search_apex(spark, pixels, calib)
+    assert (got["apex_x"], got["apex_y"]) == ((6.0, 20.0) if best is None else (6.0 + best[1], 20.0 + best[2]))
+    assert search_apex(spark, pixels.withColumn("v", F.lit(0.0)), calib) == calib
+
+
+def test_posterior_files(spark, tmp_path):
+    v, f = _sphere(spark)
+    records.write_surface(v.withColumn("residual_mm", F.lit(0.5)), f, ["residual_mm"], str(tmp_path / "s.vtk"))
+    head = (tmp_path / "s.vtk").read_bytes()
+    assert f"POINTS {v.count()} float".encode() in head and f"POLYGONS {f.count()} {4 * f.count()}".encode() in head and b"SCALARS residual_mm float 1" in head
+    metrics = {"patch": "angle", "apex_mode": "prior", "patch_area_mm2": 1.0, "R_mm": 2.0, "apex_depth_mm": 3.0, "rms_resid_mm": 4.0, "quad_metrics": {"H": 0.5, "anisotropy": 0.1}, "disc_R_equiv_patch_mm": 5.0, "disc_H_trimmed_mean_abs_invmm": 6.0, "apex_point_ras": (7, 8, 9)}
+    for older, n in ((False, 16), (True, 12)):
+        report = records.posterior_report(spark, metrics, "angle", 1.5, 46.0, 2.5, older)
+        records.write_csv(report, str(tmp_path / f"c{n}"))
+        back = spark.read.option("header", True).csv(str(tmp_path / f"c{n}")).first()
+        assert len(back) == n and back["Angle_deg"] == "46.0" and back["GEO_radius_mm"] is None and back["BFS_radius_mm"] == "2.0" and back["Apex_z_mm"] == "9.0"
+    assert report.columns == [c for c in records.POSTERIOR_COLUMNS if c not in records.NEWER_COLUMNS]
