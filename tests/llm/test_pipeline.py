@@ -1,12 +1,12 @@
 """The pipeline's stages on hard rows, and the whole of it."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 from sweepgrid.llm import decontam, fertility, probminhash
 from sweepgrid.llm.queries import ORACLE, QUERIES
 
-from .test_operators import brute_classes, empty, hard, hard_rows  # noqa: F401
+from .test_operators import brute_classes, empty, hard, hard_rows, shingle_set  # noqa: F401
 
 
 def test_stages_keep_columns(spark, sf_dir, hard, empty):  # noqa: F811
@@ -54,3 +54,36 @@ def test_near_duplicate_stage_keeps_the_smallest(spark, hard):  # noqa: F811
 def test_every_operator_has_a_query():
     assert [sum(q.startswith(f"op{n}_") for q in QUERIES) for n in range(1, 11)] == [1] * 10
     assert set(ORACLE) <= set(QUERIES)
+
+
+def linked_pairs(texts):
+    """All pairs of distinct texts whose sets of five-word shingles have a similarity of 0.8 or more, by an index of all shingles."""
+    holders, pairs, sets = defaultdict(list), set(), {}
+    for t in sorted(texts):
+        sets[t] = shingle_set(t)
+        shared = Counter(u for x in sets[t] for u in holders[x])
+        pairs |= {(u, t) for u, n in shared.items() if n >= 0.8 * (len(sets[t]) + len(sets[u]) - n)}
+        for x in sets[t]:
+            holders[x].append(t)
+    return pairs
+
+
+def test_near_duplicates_find_all_pairs(spark):
+    """Every link of the whole table at sf0.01 lies inside a class, and classes are no larger than links make them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicate_classes(docs).collect()}
+    of = {texts[i]: c for i, c in got.items()}
+    pairs = linked_pairs(set(texts.values()))
+    assert pairs and all(of[a] == of[b] for a, b in pairs)
+    classes = len(set(of.values()))
+    parent = {t: t for t in of}
+
+    def find(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    for a, b in pairs:
+        parent[find(a)] = find(b)
+    assert classes == len({find(t) for t in of})
