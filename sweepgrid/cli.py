@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -66,6 +67,46 @@ def run(spark: SparkSession, img_dir: str, mask_path: str | None, out_dir: str,
     return str(Path(out_dir) / f"{name}.nrrd")
 
 
+def run_config(spark: SparkSession, conf: dict) -> dict[str, str | None]:
+    """The older chain by a configuration: a raw and a smooth volume on one grid, and their slices as images.
+
+    Tables raw, smooth (enabled, sigma_theta_deg, interp_order, bit_depth) and frames (enabled, axis, bit_depth,
+    basename_raw, basename_smooth). Returns the file of each volume, null for one that is switched off.
+    """
+    from .functions.scalars import fixed_text
+    from .operators import geometry, volume
+    from .plans.sweep import SweepOptions, raw_and_smooth, unwrapped
+    from .sources import images, records
+    from .sources.nrrd import write_nrrd
+
+    raw, smooth, shown = (conf.get(k) or {} for k in ("raw", "smooth", "frames"))
+    out = Path(conf.get("out_dir") or Path(conf["input_dir"]) / "sweepgrid_outputs")
+    out.mkdir(parents=True, exist_ok=True)
+    o = SweepOptions(depth_mm=float(conf.get("depth_mm", 48.0)), voxel_mm=float(conf.get("voxel_mm", 0.2)), registration=bool(conf.get("do_registration", True)), drop_duplicate=bool(conf.get("drop_duplicate", True)), older=True)
+    mask = images.mask_pixels(spark, conf["cone_mask"])
+    shape = mask.select("width", "height").first()
+    calib = geometry.calibrate(mask.select("x", "y"), shape["width"], shape["height"]).withColumn("depth_mm", F.lit(o.depth_mm))
+    record = geometry.geometry(calib, older=True).first().asDict()
+    frames = images.checked_stack(images.scan_frames(spark, conf["input_dir"]))
+    stack, fan = unwrapped(spark, images.pixels(frames), record, o, mask)
+    setting = lambda table, sigma, order: replace(o, sigma_theta_deg=float(table.get("sigma_theta_deg", sigma)), interp_order=int(table.get("interp_order", order)))
+    both = raw_and_smooth(spark, stack, fan, setting(raw, 0.0, 1), setting(smooth, 1.0, 3))
+    voxel = spark.range(1).select(fixed_text(F.lit(o.voxel_mm), 3)).first()[0]
+    made: dict[str, str | None] = {"raw": None, "smooth": None}
+    for kind, table, got, bits in (("raw", raw, both[0], 16), ("smooth", smooth, both[1], 8)):
+        if not table.get("enabled", True):
+            continue
+        bits, side = int(table.get("bit_depth", bits)), (got.n,) * 3
+        name = f"{conf.get(kind + '_basename', 'eye_' + kind)}_{voxel}mm"
+        values = got.voxels if bits == 32 else volume.min_max_quantize(got.voxels, "v", bits, auto_window=False).select("ix", "iy", "iz", F.col("q").alias("v"))
+        write_nrrd(values, str(out), side, o.voxel_mm, bits, name)
+        made[kind] = str(out / f"{name}.nrrd")
+        if shown.get("enabled", False):
+            axis = volume.AXES[int(shown.get("axis", 0))]
+            records.write_slice_files(got.voxels, str(out / f"frames_{kind}"), shown.get(f"basename_{kind}", f"eye_{kind}_slice"), axis, side, int(shown.get("bit_depth", 16)))
+    return made
+
+
 def next_name(spark: SparkSession, img_dir: str, out_dir: str) -> str:
     """The folder's volume name with the run number after the highest that out_dir holds."""
     from .functions import names
@@ -79,7 +120,7 @@ def next_name(spark: SparkSession, img_dir: str, out_dir: str) -> str:
 
 def main(argv: list[str] | None = None) -> int:
     from .plans.sweep import SweepOptions
-    from .sources.records import read_config
+    from .sources.records import merge_config, read_config
 
     a = parser().parse_args(argv)
     conf = read_config(a.config) if a.config else {}
@@ -90,6 +131,13 @@ def main(argv: list[str] | None = None) -> int:
     options = SweepOptions(**{k: v for k, v in given.items() if v is not None}, registration=not a.no_register, drop_duplicate=not a.keep_duplicate)
     spark = SparkSession.builder.appName("sweepgrid").getOrCreate()
     try:
+        if conf.keys() & {"raw", "smooth"}:
+            # A file that has these tables asks for both volumes; flags that are set go before it.
+            flags = {"input_dir": img_dir, "cone_mask": mask, "out_dir": a.out_dir, "depth_mm": a.depth, "voxel_mm": a.voxel, "do_registration": False if a.no_register else None, "drop_duplicate": False if a.keep_duplicate else None}
+            made = run_config(spark, merge_config({}, conf, flags))
+            if not a.quiet:
+                print(*filter(None, made.values()), sep="\n")
+            return 0
         file = Path(a.output) if a.output else None
         folder = str(file.parent) if file else a.out_dir or conf.get("out_dir") or str(Path(img_dir).parent)
         out = run(spark, img_dir, mask, folder, options, file.name.removesuffix(".nrrd") if file else None)

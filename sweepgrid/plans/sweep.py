@@ -31,6 +31,8 @@ class SweepOptions:
     blend_frames: int = 5
     older: bool = False
     apex_search: bool = True
+    #: Where the mask on the polar grid is written, for a look at it.
+    mask_dump: str | None = None
 
 
 @dataclass
@@ -125,16 +127,22 @@ def search_apex(spark: SparkSession, pixels: DataFrame, calib: dict, mask: DataF
     return calib if best is None else calib | {"apex_x": calib["apex_x"] + best["dx"], "apex_y": calib["apex_y"] + best["dy"]}
 
 
-def from_frames(spark: SparkSession, pixels: DataFrame, calib: dict, options: SweepOptions, mask: DataFrame | None = None) -> Sweep:
-    """A volume from frame pixels (k, y, x, v) and a geometry record (one row of geometry.geometry as a dict)."""
+def unwrapped(spark: SparkSession, pixels: DataFrame, calib: dict, options: SweepOptions, mask: DataFrame | None = None) -> tuple[DataFrame, Fan]:
+    """The polar stack of frame pixels (k, y, x, v), its apex refined, and its fan."""
     if options.apex_search and not options.older:
         calib = search_apex(spark, pixels, calib, mask)
     apex, reach = (calib["apex_x"], calib["apex_y"]), calib["r_max_pix"]
     grid = cut(po.sampling_grid(spark, apex, calib["phi0"], calib["phi1"], reach, calib["rows_eff"]))
     on = po.nearest_mask(mask, grid) if mask is not None else po.wedge(grid, apex, calib["phi0"], calib["phi1"], reach, calib["image_width"], calib["image_height"])
+    if options.mask_dump:
+        on.write.mode("overwrite").parquet(options.mask_dump)
     stack = po.unwrap(pixels, grid, on, options.drop_duplicate, options.older)
-    fan = Fan(calib["depth"], calib["phi0"], calib["phi1"], math.ceil(reach), calib["rows_eff"], reach)
-    return reconstruct(spark, stack, fan, options)
+    return stack, Fan(calib["depth"], calib["phi0"], calib["phi1"], math.ceil(reach), calib["rows_eff"], reach)
+
+
+def from_frames(spark: SparkSession, pixels: DataFrame, calib: dict, options: SweepOptions, mask: DataFrame | None = None) -> Sweep:
+    """A volume from frame pixels (k, y, x, v) and a geometry record (one row of geometry.geometry as a dict)."""
+    return reconstruct(spark, *unwrapped(spark, pixels, calib, options, mask), options)
 
 
 def raw_and_smooth(spark: SparkSession, stack: DataFrame, fan: Fan, raw: SweepOptions, smooth: SweepOptions | None = None) -> tuple[Sweep, Sweep]:

@@ -154,3 +154,25 @@ def full_sweep_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     stack = stack_of(spark, sf_dir)
     got = reconstruct(spark, stack, recon.Fan(20.0, 0.0, math.radians(52.0), 16, 64), SweepOptions(voxel_mm=2.0))
     return got.voxels.select("ix", "iy", "iz", rnd("v", 4).alias("v"))
+
+
+def _pixel_sweep(spark: SparkSession, sf_dir: str, older: bool) -> DataFrame:
+    """The whole chain from pixels: rows of a frame's stack read as the rows of an image of 64 x 16 pixels, without a mask."""
+    from ..plans.sweep import SweepOptions, from_frames
+
+    pixels = stack_of(spark, sf_dir).select("k", F.col("r").alias("y"), F.col("p").alias("x"), F.abs("v").alias("v"))
+    first = spark.createDataFrame([("scan", 0, 16, 64)], "scan_id string, frame_idx int, height int, width int")
+    calib = geometry.default_calibration(first).withColumn("depth_mm", F.lit(20.0))
+    record = geometry.geometry(calib, older=older).first().asDict()
+    got = from_frames(spark, pixels, record, SweepOptions(depth_mm=20.0, voxel_mm=2.0, older=older))
+    return got.voxels.select("ix", "iy", "iz", rnd("v", 4).alias("v"))
+
+
+@query()
+def sweep_from_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pixel_sweep(spark, sf_dir, False)
+
+
+@query()
+def v2_sweep_from_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pixel_sweep(spark, sf_dir, True)

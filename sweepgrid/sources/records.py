@@ -131,37 +131,60 @@ def vtk_polydata(points: list, triangles: list, scalars: dict[str, list]) -> byt
     return out
 
 
-def write_slices(voxels: DataFrame, path: str, basename: str, axis: str, shape: tuple[int, int, int], bits: int = 8) -> DataFrame:
-    """One PNG image per slice, quantized by its own range, as rows (name, data) of a Parquet table.
-
-    Returns the table (name, h, w, n) of what was written.
-    """
+def slice_images(voxels: DataFrame, basename: str, axis: str, shape: tuple[int, int, int], bits: int = 8, ext: str = ".png") -> DataFrame:
+    """(name, data): one image per slice that holds a voxel, quantized by its own range; PNG or TIFF by ext."""
     import numpy as np
     import pandas as pd
 
     from ..operators.volume import AXES, min_max_quantize
-    from . import png
+    from . import png, tiff
 
     other = [a for a in AXES if a != axis]
     h, w = (shape[AXES.index(a)] for a in other)
-    rows = min_max_quantize(voxels, "v", bits, by=[axis]).groupBy(axis).agg(F.collect_list(F.struct(*other, "q")).alias("px"))
-
-    def run(batches):
-        for b in batches:
-            names, datas = [], []
-            for i, px in zip(b[axis], b["px"], strict=True):
-                a = np.zeros((h, w), np.uint8 if bits == 8 else np.uint16)
-                for x in px:
-                    a[x[other[0]], x[other[1]]] = x["q"]
-                names.append(f"{basename}_{i:04d}.png")
-                datas.append(png.encode(a))
-            yield pd.DataFrame({"name": names, "data": datas})
-
-    images = rows.mapInPandas(run, "name string, data binary")
-    images.write.mode("overwrite").parquet(path)
+    rows = min_max_quantize(voxels, "v", bits, by=[axis]).select(axis, *other, "q")
+    encode = tiff.encode if ext in (".tif", ".tiff") else png.encode
+
+    def run(key, pdf):
+        a = np.zeros((h, w), np.uint8 if bits == 8 else np.uint16)
+        a[pdf[other[0]], pdf[other[1]]] = pdf["q"]
+        return pd.DataFrame({"name": [f"{basename}_{key[0]:04d}{ext}"], "data": [encode(a)]})
+
+    return rows.groupBy(axis).applyInPandas(run, "name string, data binary")
+
+
+def write_slices(voxels: DataFrame, path: str, basename: str, axis: str, shape: tuple[int, int, int], bits: int = 8) -> DataFrame:
+    """One PNG image per slice as rows (name, data) of a Parquet table.
+
+    Returns the table (name, h, w, n) of what was written.
+    """
+    from ..operators.volume import AXES
+
+    h, w = (n for n, a in zip(shape, AXES, strict=True) if a != axis)
+    slice_images(voxels, basename, axis, shape, bits).write.mode("overwrite").parquet(path)
     return voxels.sparkSession.read.parquet(path).select("name", F.lit(h).alias("h"), F.lit(w).alias("w"), F.length("data").alias("n"))
 
 
+def write_slice_files(voxels: DataFrame, folder: str, basename: str, axis: str, shape: tuple[int, int, int], bits: int = 8, ext: str = ".tif") -> int:
+    """One image file per slice, empty ones included, written by the driver one at a time; returns how many."""
+    from pathlib import Path
+
+    import numpy as np
+
+    from ..operators.volume import AXES
+    from . import png, tiff
+
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    h, w = (n for n, a in zip(shape, AXES, strict=True) if a != axis)
+    blank = (tiff.encode if ext in (".tif", ".tiff") else png.encode)(np.zeros((h, w), np.uint8 if bits == 8 else np.uint16))
+    missing = {f"{basename}_{i:04d}{ext}" for i in range(shape[AXES.index(axis)])}
+    for r in slice_images(voxels, basename, axis, shape, bits, ext).toLocalIterator():
+        (Path(folder) / r["name"]).write_bytes(r["data"])
+        missing.discard(r["name"])
+    for name in missing:
+        (Path(folder) / name).write_bytes(blank)
+    return shape[AXES.index(axis)]
+
+
 def first_by_name(nodes: DataFrame, name: str) -> DataFrame:
     """The node called name, else the first of all; nothing without nodes."""
     best = nodes.agg(F.min(F.struct((F.col("name") != name).cast("int").alias("other"), F.col("name"))).alias("b")).select("b.name")

@@ -352,3 +352,34 @@ def test_posterior_files(spark, tmp_path):
         back = spark.read.option("header", True).csv(str(tmp_path / f"c{n}")).first()
         assert len(back) == n and back["Angle_deg"] == "46.0" and back["GEO_radius_mm"] is None and back["BFS_radius_mm"] == "2.0" and back["Apex_z_mm"] == "9.0"
     assert report.columns == [c for c in records.POSTERIOR_COLUMNS if c not in records.NEWER_COLUMNS]
+
+
+def test_configured_run_writes_both_volumes_and_slices(spark, tmp_path):
+    from sweepgrid import cli
+
+    frames, mask = scan(tmp_path / "in", frames=4, side=48)
+    conf = {"input_dir": frames, "cone_mask": mask, "out_dir": str(tmp_path / "out"), "depth_mm": 40.0, "voxel_mm": 10.0, "do_registration": False,
+            "raw": {"interp_order": 1, "bit_depth": 16}, "smooth": {"sigma_theta_deg": 20.0, "interp_order": 1, "bit_depth": 8}, "frames": {"enabled": True, "axis": 2, "basename_raw": "RAW"}}
+    made = cli.run_config(spark, conf)
+    assert made == {k: str(tmp_path / "out" / f"eye_{k}_10.000mm.nrrd") for k in ("raw", "smooth")}
+    for kind, bits in (("raw", 16), ("smooth", 8)):
+        _, fields = nrrd.decode((tmp_path / "out" / f"eye_{kind}_10.000mm.nrrd").read_bytes())
+        assert fields["sizes"] == "8 8 8" and str(bits) in fields["type"]
+    assert sorted(p.name for p in (tmp_path / "out" / "frames_raw").iterdir()) == [f"RAW_{i:04d}.tif" for i in range(8)]
+    data = (tmp_path / "out" / "frames_raw" / "RAW_0004.tif").read_bytes()
+    assert data[:4] == b"II*\0" and len(data) > 8 * 8 * 2
+    assert cli.run_config(spark, conf | {"raw": {"enabled": False}, "frames": {}})["raw"] is None
+
+
+def test_tiff_bytes():
+    import struct
+
+    from sweepgrid.sources import tiff
+
+    a = np.arange(15, dtype=np.uint16).reshape(3, 5) * 999
+    data = tiff.encode(a)
+    at = struct.unpack_from("<I", data, 4)[0]
+    n = struct.unpack_from("<H", data, at)[0]
+    tags = {struct.unpack_from("<HHI", data, at + 2 + 12 * i)[0]: struct.unpack_from("<I" if struct.unpack_from("<HHI", data, at + 2 + 12 * i)[1] == 4 else "<H", data, at + 10 + 12 * i)[0] for i in range(n)}
+    assert (tags[256], tags[257], tags[258], tags[279]) == (5, 3, 16, 30) and len(data) == at + 2 + 12 * n + 4
+    assert (np.frombuffer(data, "<u2", 15, tags[273]).reshape(3, 5) == a).all()
