@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.session import cut, shared_dir
 
-__all__ = ["cut", "mix64", "shared_dir", "ship_package", "sub_batches", "table", "text_bytes", "word_array", "word_count"]
+__all__ = ["cut", "delete", "mix64", "shared_dir", "ship_package", "sub_batches", "table", "text_bytes", "word_array", "word_count"]
 
 #: What separates words: space and the ASCII controls 9 to 13, as bytes.split() does.
 SPACES = " \t\n\x0b\x0c\r"
@@ -36,6 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a folder of intermediate results."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def word_array(text: Column) -> Column:
     """The words of a text (null and blank texts: none), kept as they stand."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -36,6 +36,16 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def require_known(spec: dict) -> None:
+    """An error for a vocabulary that is not counted as this module counts: by bytes, with PATTERN, and merges alone."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    by_bytes = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    special = all(not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in spec.get("added_tokens", []))
+    if spec.get("normalizer") is not None or not (by_bytes and plain and special):
+        raise ValueError("a vocabulary with another normalizer, pre-tokenizer, model or kind of added tokens")
+
+
 class Merges:
     """A byte-pair vocabulary as arrays: ranks and results of pairs, found by hash."""
 
@@ -43,6 +53,7 @@ class Merges:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
+        require_known(spec)
         letters = byte_letters()
         self.byte_id = np.zeros(256, np.int32)
         for letter, b in letters.items():

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import cut, delete, shared_dir, table
 
 #: The header lines of the two versions of the format.
 ARC_FIELDS = {
@@ -231,7 +231,8 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     records = arcs.mapInArrow(index, "path string, n int, ident long, digest string, bytes long, url string, date string").where("ident IS NOT NULL")
     key = ["digest", "bytes"]
     same = records.groupBy(*key).agg(F.min(F.struct("ident", "url", "date", "path", "n")).alias("of"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    # Only ids, digests and places pass this join; a hot payload's side is split by the engine (both sides are plain shuffles).
+    # Only ids, digests and places pass this join. One side is written first, so that the engine may send it whole if it is small, and split a hot payload's rows.
+    same = cut(same)
     later = records.select("path", "n", *key).join(same, key).where("path <> of.path OR n <> of.n")
     back = later.groupBy("path").agg(F.collect_list(F.struct("n", F.struct("of.ident", "of.url", "of.date").alias("of"))).alias("refers"))
     write_archives(arcs.join(back, "path", "left").select("content", "refers").mapInArrow(convert, "archive binary"), warc_path, "\r\n\r\n")
@@ -262,11 +263,6 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return read_archives(spark, path).select("content").mapInArrow(run, schema)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written as ARC, converted to WARC and read back."""
     at = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"

@@ -68,6 +68,19 @@ def test_overlapping_merges(run):
         assert count([run * n]) == [len(lib.encode(run * n, add_special_tokens=False).ids)]
 
 
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": spec["model"] | {"ignore_merges": True}}):
+        p = tmp_path / "v.json"
+        p.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="vocabulary"):
+            tokens.Merges(str(p))
+
+
 def brute_words(rows, window=20):
     seen, out = set(), []
     for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, (r[1] or "").encode())):
