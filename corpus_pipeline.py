@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweepgrid.llm.common import shared_dir, ship_package, table, word_count
+from sweepgrid.llm.common import delete, shared_dir, ship_package, table, word_count
 from sweepgrid.llm.decontam import clean_rows
 from sweepgrid.llm.fertility import quality_rows
 from sweepgrid.llm.mixing import mixed_rows
@@ -66,4 +66,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k + 1 < len(STAGES):
             docs.write.parquet(f"{at}/{k}-{name}")
             docs = spark.read.parquet(f"{at}/{k}-{name}")
+            if k:  # what the stage before left is read no more
+                delete(spark, f"{at}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
