@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ..sources import records
 from . import query
 from .carriers import CLOUD, COLS, FAN, POLAR, cells_sql, cloud, frames, polar, read, rnd
 from .mesh import _sphere
-from .volume import SIDE, _block
+from .volume import BLOCK, _block, _shape
 
 V2 = f"""{POLAR}, {cells_sql(20.0, 2.0)}, nf AS (SELECT max(k) + 1 AS n FROM pol),
 pos AS (SELECT ix, iy, iz, r_mm / 1.25 AS ri, phi / (radians(CAST(52 AS DOUBLE)) / 63) AS pi_, least(greatest(psi * ((n - 1) / (2 * pi())), 0), n - 1 - 1e-3) AS ki FROM cells, nf),
@@ -142,7 +144,7 @@ def v2_posterior_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def preprocess_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got, _, _ = surface.preprocess(_block(spark).where("ix BETWEEN 2 AND 6"), (SIDE,) * 3, (1.0, 1.0, 1.0), (0.0, 0.0, 0.0), surface.PrepOptions(spacing_mm=0.9, diffusion_rounds=1))
+    got, _, _ = surface.preprocess(_block(spark, sf_dir), _shape(spark, sf_dir), (1.0, 1.0, 1.0), (0.0, 0.0, 0.0), surface.PrepOptions(spacing_mm=0.9, diffusion_rounds=1))
     return got.select("ix", "iy", "iz", "q")
 
 
@@ -163,16 +165,16 @@ def segmentation_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def slice_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.write_slices(_block(spark), f"{shared_dir(spark)}/slices", "block", "iz", (SIDE,) * 3)
+    return records.write_slices(_block(spark, sf_dir), f"{shared_dir(spark)}/slices-{uuid.uuid4().hex}", "block", "iz", _shape(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {BLOCK} SELECT 'block' AS vol_id, ix, iy, iz, v FROM blk WHERE v <> 0")
 def nrrd_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A volume written as NRRD and read back; the folder must be one that all workers see as a file path."""
     from ..sources.nrrd import read_nrrd, write_nrrd
 
-    path = f"{shared_dir(spark)}/nrrd".removeprefix("file:").replace("//", "/")
-    write_nrrd(_block(spark), path, (SIDE,) * 3, 1.0, vol_id="block")
+    path = f"{shared_dir(spark)}/nrrd-{uuid.uuid4().hex}".removeprefix("file:").replace("//", "/")
+    write_nrrd(_block(spark, sf_dir), path, _shape(spark, sf_dir), 1.0, vol_id="block")
     return read_nrrd(spark, path).select("vol_id", "ix", "iy", "iz", "v")
 
 

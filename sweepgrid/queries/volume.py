@@ -75,65 +75,70 @@ def clip_quantize_u8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return volume.min_max_quantize(rows, "v", 8, auto_window=False).select("l_orderkey", "l_linenumber", "q")
 
 
-SIDE = 9
-BLOCK = f"blk AS (SELECT CAST(a AS INT) AS ix, CAST(b AS INT) AS iy, CAST(c AS INT) AS iz, CAST((a * 7 + b * 13 + c * 29) % 64 AS DOUBLE) AS v FROM range({SIDE}) t1(a), range({SIDE}) t2(b), range({SIDE}) t3(c))"
+#: The polar stack read as a block of cells (frame, row, column) with whole values from 0 to 63; mx is the last frame.
+BLOCK = f"{POLAR}, blk AS (SELECT k AS ix, r AS iy, p AS iz, CAST(CAST(floor(abs(v) * 400) AS BIGINT) % 64 AS DOUBLE) AS v, max(k) OVER () AS mx FROM pol)"
+NEAR = f"near AS (SELECT c.ix, c.iy, c.iz, least(greatest(c.ix + dx, 0), mx) AS jx, least(greatest(c.iy + dy, 0), {ROWS - 1}) AS jy, least(greatest(c.iz + dz, 0), {COLS - 1}) AS jz FROM blk c, o)"
 OFFSETS = "o AS (SELECT CAST(x - 1 AS INT) AS dx, CAST(y - 1 AS INT) AS dy, CAST(z - 1 AS INT) AS dz FROM range(3) t1(x), range(3) t2(y), range(3) t3(z))"
 
 
-def _block(spark: SparkSession) -> DataFrame:
-    return volume.dense_cells(spark, (SIDE,) * 3).withColumn("v", ((F.col("ix") * 7 + F.col("iy") * 13 + F.col("iz") * 29) % 64).cast("double"))
+def _block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polar(spark, sf_dir).select(F.col("k").alias("ix"), F.col("r").alias("iy"), F.col("p").alias("iz"), (F.floor(F.abs("v") * 400) % 64).cast("double").alias("v"))
+
+
+def _shape(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
+    return frames(polar(spark, sf_dir)), ROWS, COLS
 
 
 @query(f"""WITH {BLOCK}, g AS (
   SELECT c.ix, c.iy, c.iz, c.v, sqrt(((x1.v - x0.v) / 2) ** 2 + ((y1.v - y0.v) / 2) ** 2 + ((z1.v - z0.v) / 2) ** 2) AS g FROM blk c
-  JOIN blk x0 ON x0.ix = greatest(c.ix - 1, 0) AND x0.iy = c.iy AND x0.iz = c.iz JOIN blk x1 ON x1.ix = least(c.ix + 1, {SIDE - 1}) AND x1.iy = c.iy AND x1.iz = c.iz
-  JOIN blk y0 ON y0.iy = greatest(c.iy - 1, 0) AND y0.ix = c.ix AND y0.iz = c.iz JOIN blk y1 ON y1.iy = least(c.iy + 1, {SIDE - 1}) AND y1.ix = c.ix AND y1.iz = c.iz
-  JOIN blk z0 ON z0.iz = greatest(c.iz - 1, 0) AND z0.iy = c.iy AND z0.ix = c.ix JOIN blk z1 ON z1.iz = least(c.iz + 1, {SIDE - 1}) AND z1.iy = c.iy AND z1.ix = c.ix)
-SELECT round(avg(v) FILTER (v > 0), 6) AS mean, round(stddev_pop(v) FILTER (v > 0), 6) AS std, round(avg(v) FILTER (v > 0) / stddev_pop(v) FILTER (v > 0), 6) AS snr, round(avg(g), 6) AS gradient, round(100.0 * count(*) FILTER (v > 0) / {SIDE**3}, 6) AS coverage FROM g""")
+  JOIN blk x0 ON x0.ix = greatest(c.ix - 1, 0) AND x0.iy = c.iy AND x0.iz = c.iz JOIN blk x1 ON x1.ix = least(c.ix + 1, c.mx) AND x1.iy = c.iy AND x1.iz = c.iz
+  JOIN blk y0 ON y0.iy = greatest(c.iy - 1, 0) AND y0.ix = c.ix AND y0.iz = c.iz JOIN blk y1 ON y1.iy = least(c.iy + 1, {ROWS - 1}) AND y1.ix = c.ix AND y1.iz = c.iz
+  JOIN blk z0 ON z0.iz = greatest(c.iz - 1, 0) AND z0.iy = c.iy AND z0.ix = c.ix JOIN blk z1 ON z1.iz = least(c.iz + 1, {COLS - 1}) AND z1.iy = c.iy AND z1.ix = c.ix)
+SELECT round(avg(v) FILTER (v > 0), 6) AS mean, round(stddev_pop(v) FILTER (v > 0), 6) AS std, round(avg(v) FILTER (v > 0) / stddev_pop(v) FILTER (v > 0), 6) AS snr, round(avg(g), 6) AS gradient, round(100.0 * count(*) FILTER (v > 0) / count(*), 6) AS coverage FROM g""")
 def volume_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = volume.quality(_block(spark), (SIDE,) * 3)
+    got = volume.quality(_block(spark, sf_dir), _shape(spark, sf_dir))
     return got.select(*(rnd(c).alias(c) for c in got.columns))
 
 
-@query(f"WITH {BLOCK}, {OFFSETS} SELECT c.ix, c.iy, c.iz, median(n.v) AS v FROM blk c, o JOIN blk n ON n.ix = least(greatest(c.ix + dx, 0), {SIDE - 1}) AND n.iy = least(greatest(c.iy + dy, 0), {SIDE - 1}) AND n.iz = least(greatest(c.iz + dz, 0), {SIDE - 1}) GROUP BY 1, 2, 3")
+@query(f"WITH {BLOCK}, {OFFSETS}, {NEAR} SELECT c.ix, c.iy, c.iz, median(n.v) AS v FROM near c JOIN blk n ON n.ix = jx AND n.iy = jy AND n.iz = jz GROUP BY 1, 2, 3")
 def median_filter_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return volume.median_filter(_block(spark), (SIDE,) * 3)
+    return volume.median_filter(_block(spark, sf_dir), _shape(spark, sf_dir))
 
 
-@query(f"""WITH {BLOCK}, {OFFSETS}, d AS (SELECT c.ix, c.iy, c.iz, max(CASE WHEN n.v > 58 THEN 1 ELSE 0 END) AS m FROM blk c, o JOIN blk n ON n.ix = least(greatest(c.ix + dx, 0), {SIDE - 1}) AND n.iy = least(greatest(c.iy + dy, 0), {SIDE - 1}) AND n.iz = least(greatest(c.iz + dz, 0), {SIDE - 1}) GROUP BY 1, 2, 3)
-SELECT c.ix, c.iy, c.iz FROM d c, o JOIN d n ON n.ix = least(greatest(c.ix + dx, 0), {SIDE - 1}) AND n.iy = least(greatest(c.iy + dy, 0), {SIDE - 1}) AND n.iz = least(greatest(c.iz + dz, 0), {SIDE - 1}) GROUP BY 1, 2, 3 HAVING min(n.m) > 0""")
+@query(f"""WITH {BLOCK}, {OFFSETS}, {NEAR}, d AS (SELECT c.ix, c.iy, c.iz, max(CASE WHEN n.v > 58 THEN 1 ELSE 0 END) AS m FROM near c JOIN blk n ON n.ix = jx AND n.iy = jy AND n.iz = jz GROUP BY 1, 2, 3)
+SELECT c.ix, c.iy, c.iz FROM near c JOIN d n ON n.ix = jx AND n.iy = jy AND n.iz = jz GROUP BY 1, 2, 3 HAVING min(n.m) > 0""")
 def binary_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return volume.binary_closing(_block(spark).where("v > 58"), (SIDE,) * 3)
+    return volume.binary_closing(_block(spark, sf_dir).where("v > 58"), _shape(spark, sf_dir))
 
 
-@query(f"""WITH {BLOCK}, b AS (SELECT -0.5 * ix - 1.0 AS x, -0.25 * iy + 2.0 AS y, 2.0 * iz - 3.0 AS z FROM blk WHERE v > 40 AND ix BETWEEN 2 AND 6 AND iy > 1)
+@query(f"""WITH {BLOCK}, b AS (SELECT -0.5 * ix - 1.0 AS x, -0.25 * iy + 2.0 AS y, 2.0 * iz - 3.0 AS z FROM blk WHERE v > 40)
 , m AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, min(z) AS z0, max(z) AS z1 FROM b)
 SELECT round(CAST(x0 + 3.0 + (x1 - x0 + 7.0) / 2 AS DOUBLE), 6) AS cx, round(CAST((y0 + y1) / 2 AS DOUBLE), 6) + 0.0 AS cy, round(CAST((z0 + z1) / 2 AS DOUBLE), 6) + 0.0 AS cz, round(CAST(x1 - x0 + 7.0 AS DOUBLE), 6) AS lx, round(CAST(y1 - y0 + 4.0 AS DOUBLE), 6) AS ly, round(CAST(z1 - z0 + 4.0 AS DOUBLE), 6) AS lz FROM m""")
 def nonzero_bounds_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.scalars import ijk_to_ras
 
     matrix = ijk_to_ras((0.5, 0.25, 2.0), (1.0, -2.0, -3.0))
-    got = volume.roi_box(volume.ras_bounds(_block(spark).where("ix BETWEEN 2 AND 6 AND iy > 1"), matrix, 40.0))
+    got = volume.roi_box(volume.ras_bounds(_block(spark, sf_dir), matrix, 40.0))
     return got.select(*(rnd(c).alias(c) for c in got.columns))
 
 
 @query(f"WITH {BLOCK} SELECT ix - 1 AS ix, iy - 2 AS iy, iz - 3 AS iz, v FROM blk WHERE ix BETWEEN 1 AND 5 AND iy BETWEEN 2 AND 7 AND iz BETWEEN 3 AND 8")
 def crop_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return volume.crop(_block(spark), (1, 2, 3), (5, 7, 8)).select("ix", "iy", "iz", "v")
+    return volume.crop(_block(spark, sf_dir), (1, 2, 3), (5, 7, 8)).select("ix", "iy", "iz", "v")
 
 
 @query(f"WITH {BLOCK} SELECT ix, iy, iz, v FROM blk WHERE iy IN (0, 3, 8)")
 def slice_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return volume.slices(_block(spark), 1, (0, 3, 8), (SIDE,) * 3).select("ix", "iy", "iz", "v")
+    return volume.slices(_block(spark, sf_dir), 1, (0, 3, 8), _shape(spark, sf_dir)).select("ix", "iy", "iz", "v")
 
 
-@query(f"""WITH {BLOCK}, s AS (SELECT CAST(a AS INT) AS ix, CAST(b AS INT) AS iy, CAST(c AS INT) AS iz, a * 0.7 AS x, b * 1.3 AS y, c * 0.9 AS z FROM range(13) t1(a), range(7) t2(b), range(10) t3(c)),
+@query(f"""WITH {BLOCK}, s AS (SELECT CAST(a AS INT) AS ix, CAST(b AS INT) AS iy, CAST(c AS INT) AS iz, a * 0.7 AS x, b * 1.3 AS y, c * 0.9 AS z FROM (SELECT unnest(range(CAST(round((max(ix) + 1) / 0.7) AS BIGINT))) AS a FROM blk) t1, range({round(ROWS / 1.3)}) t2(b), range({round(COLS / 0.9)}) t3(c)),
 c AS (SELECT s.*, CAST(floor(x) AS INT) + i AS jx, CAST(floor(y) AS INT) + j AS jy, CAST(floor(z) AS INT) + k AS jz,
   (CASE i WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE j WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE k WHEN 1 THEN z - floor(z) ELSE 1 - (z - floor(z)) END) AS w
-  FROM s, range(2) t4(i), range(2) t5(j), range(2) t6(k) WHERE x <= {SIDE - 1} AND y <= {SIDE - 1} AND z <= {SIDE - 1})
+  FROM s, range(2) t4(i), range(2) t5(j), range(2) t6(k) WHERE x <= (SELECT max(ix) FROM blk) AND y <= {ROWS - 1} AND z <= {COLS - 1})
 SELECT c.ix, c.iy, c.iz, round(CAST(sum(w * blk.v) AS DOUBLE), 6) + 0.0 AS v FROM c JOIN blk ON blk.ix = jx AND blk.iy = jy AND blk.iz = jz GROUP BY 1, 2, 3""")
 def linear_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return volume.linear_resample(_block(spark), (SIDE,) * 3, (1.0, 1.0, 1.0), (0.7, 1.3, 0.9)).select("ix", "iy", "iz", rnd("v").alias("v"))
+    return volume.linear_resample(_block(spark, sf_dir), _shape(spark, sf_dir), (1.0, 1.0, 1.0), (0.7, 1.3, 0.9)).select("ix", "iy", "iz", rnd("v").alias("v"))
 
 
 def _label_sql(cells: str, axes: str, near: str) -> str:
@@ -150,22 +155,22 @@ def largest_component_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.largest_component(cells, ["y", "x"], [16, 16], True)
 
 
-@query(_label_sql(f"{BLOCK}, c AS (SELECT ix, iy, iz, (ix * {SIDE} + iy) * {SIDE} + iz AS id FROM blk WHERE v < 22)", "ix, iy, iz", "abs(a.ix - b.ix) + abs(a.iy - b.iy) + abs(a.iz - b.iz) = 1"))
+@query(_label_sql(f"{BLOCK}, c AS (SELECT ix, iy, iz, (ix * {ROWS} + iy) * {COLS} + iz AS id FROM blk WHERE v < 6)", "ix, iy, iz", "abs(a.ix - b.ix) + abs(a.iy - b.iy) + abs(a.iz - b.iz) = 1"))
 def largest_component_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.largest_component(_block(spark).where("v < 22"), ["ix", "iy", "iz"], [SIDE] * 3, False)
+    return graph.largest_component(_block(spark, sf_dir).where("v < 6"), ["ix", "iy", "iz"], list(_shape(spark, sf_dir)), False)
 
 
 @query()
 def curvature_diffusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return volume.curvature_diffusion(_block(spark), (SIDE,) * 3, rounds=2).select("ix", "iy", "iz", rnd("v", 5).alias("v"))
+    return volume.curvature_diffusion(_block(spark, sf_dir), _shape(spark, sf_dir), rounds=2).select("ix", "iy", "iz", rnd("v", 5).alias("v"))
 
 
-@query(f"WITH {BLOCK} SELECT iz AS i, count(*) AS n FROM blk WHERE v > 30 AND iz % 1 = 0 GROUP BY iz")
+@query(f"WITH {BLOCK} SELECT iz AS i, count(*) AS n FROM blk WHERE v > 30 AND iz % {COLS // 20} = 0 GROUP BY iz")
 def sampled_slice_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return volume.sampled_slice_counts(_block(spark).where("v > 30"), "iz", SIDE)
+    return volume.sampled_slice_counts(_block(spark, sf_dir).where("v > 30"), "iz", COLS)
 
 
 @query(f"WITH {BLOCK}, q AS (SELECT i AS cid, CAST(i * 2 AS INT) AS x, CAST(i AS INT) AS y, CAST(8 - i AS INT) AS z FROM range(5) t(i)) SELECT cid, count(blk.v) AS n FROM q LEFT JOIN blk ON v > 50 AND abs(ix - x) <= 2 AND abs(iy - y) <= 2 AND abs(iz - z) <= 2 GROUP BY cid")
 def apex_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     guess = spark.range(5).select(F.col("id").alias("cid"), (F.col("id") * 2).cast("int").alias("ix"), F.col("id").cast("int").alias("iy"), (8 - F.col("id")).cast("int").alias("iz"))
-    return volume.window_counts(_block(spark).where("v > 50"), guess, 2)
+    return volume.window_counts(_block(spark, sf_dir).where("v > 50"), guess, 2)
