@@ -60,17 +60,21 @@ def largest_component(cells: DataFrame, axes: list[str], shape: list[int], diago
     return placed.join(F.broadcast(best), "label").select(*axes)
 
 
-def shortest_paths(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000, steps: int = 4) -> DataFrame:
     """(vid, d): distance of each reached vertex from the nearest seed over edges (src, dst, w).
 
-    Bellman-Ford with a frontier: only vertices whose distance fell send it on.
+    Bellman-Ford with a frontier: only vertices whose distance fell send it on, over several edges before what
+    they reach is compared with the best so far and written.
     """
     best = cut(seeds.select("vid", F.lit(0.0).alias("d")).distinct())
     frontier = best
     for _ in range(rounds):
-        sent = frontier.join(edges, frontier["vid"] == edges["src"]).groupBy(F.col("dst").alias("vid")).agg(F.min(F.col("d") + F.col("w")).alias("d"))
-        new = sent.join(best.withColumnRenamed("d", "old"), "vid", "left").where("old IS NULL OR d < old - 1e-12").select("vid", "d")
-        frontier = cut(new)
+        now, reached = frontier, None
+        for _ in range(steps):
+            now = now.join(edges, now["vid"] == edges["src"]).groupBy(F.col("dst").alias("vid")).agg(F.min(F.col("d") + F.col("w")).alias("d"))
+            reached = now if reached is None else reached.unionByName(now)
+        sent = reached.groupBy("vid").agg(F.min("d").alias("d"))
+        frontier = cut(sent.join(best.withColumnRenamed("d", "old"), "vid", "left").where("old IS NULL OR d < old - 1e-12").select("vid", "d"))
         if frontier.isEmpty():
             return best
         best = cut(best.unionByName(frontier).groupBy("vid").agg(F.min("d").alias("d")))

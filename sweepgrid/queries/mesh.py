@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from ..operators import mesh
 from . import query
-from .carriers import rnd
-
-M = 12
-GRID = f"""vtx AS (SELECT i * {M} + j AS vid, CAST(i AS DOUBLE) AS x, CAST(j AS DOUBLE) AS y, CAST((i * j) % 5 AS DOUBLE) / 4 AS z FROM range({M}) t1(i), range({M}) t2(j)),
-fac AS (SELECT (i * {M - 1} + j) * 2 + h AS fid, CASE h WHEN 0 THEN i * {M} + j ELSE i * {M} + j + 1 END AS v0, CASE h WHEN 0 THEN (i + 1) * {M} + j ELSE (i + 1) * {M} + j END AS v1,
-  CASE h WHEN 0 THEN i * {M} + j + 1 ELSE (i + 1) * {M} + j + 1 END AS v2 FROM range({M - 1}) t1(i), range({M - 1}) t2(j), range(2) t3(h))"""
+from .carriers import POLAR, ROWS, frames, polar, rnd
+
+M = ROWS
+#: A height field over all vectors: frame i, row j, and the mean of the row's values, stretched, as its height.
+GRID = f"""{POLAR}, vtx AS (SELECT CAST(k * {M} + r AS BIGINT) AS vid, CAST(k AS DOUBLE) AS x, CAST(r AS DOUBLE) AS y, 40 * avg(v) AS z FROM pol GROUP BY k, r),
+cell AS (SELECT k AS i, j, h FROM (SELECT DISTINCT k FROM pol), range({M - 1}) t2(j), range(2) t3(h) WHERE k < (SELECT max(k) FROM pol)),
+fac AS (SELECT (i * {M - 1} + j) * 2 + h AS fid, CASE h WHEN 0 THEN i * {M} + j ELSE i * {M} + j + 1 END AS v0, (i + 1) * {M} + j AS v1,
+  CASE h WHEN 0 THEN i * {M} + j + 1 ELSE (i + 1) * {M} + j + 1 END AS v2 FROM cell)"""
 EDGE = """ed AS (SELECT s AS src, d AS dst, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS w FROM (
   SELECT v0 AS s, v1 AS d FROM fac UNION ALL SELECT v1, v2 FROM fac UNION ALL SELECT v2, v0 FROM fac UNION ALL SELECT v1, v0 FROM fac UNION ALL SELECT v2, v1 FROM fac UNION ALL SELECT v0, v2 FROM fac)
   JOIN vtx a ON a.vid = s JOIN vtx b ON b.vid = d)"""
@@ -23,11 +25,11 @@ AREA = """fa AS (SELECT fid, v0, v1, v2, 0.5 * sqrt(((b.y - a.y) * (c.z - a.z) -
 RIM = "rim AS (SELECT DISTINCT unnest([a, b]) AS vid FROM (SELECT a, b FROM (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM ed) GROUP BY a, b HAVING count(*) = 2))"
 
 
-def _grid(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    i, j = F.expr(f"id div {M}"), F.col("id") % M
-    v = spark.range(M * M).select(F.col("id").alias("vid"), i.cast("double").alias("x"), j.cast("double").alias("y"), (((i * j) % 5).cast("double") / 4).alias("z"))
+def _grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    stack = polar(spark, sf_dir)
+    v = stack.groupBy("k", "r").agg((40 * F.avg("v")).alias("z")).select((F.col("k") * M + F.col("r")).cast("long").alias("vid"), F.col("k").cast("double").alias("x"), F.col("r").cast("double").alias("y"), "z")
     h = F.col("id") % 2
-    cell = spark.range((M - 1) ** 2 * 2).select(F.col("id").alias("fid"), F.expr(f"(id div 2) div {M - 1}").alias("i"), F.expr(f"(id div 2) % {M - 1}").alias("j"), h.alias("h"))
+    cell = spark.range((frames(stack) - 1) * (M - 1) * 2).select(F.col("id").alias("fid"), F.expr(f"(id div 2) div {M - 1}").alias("i"), F.expr(f"(id div 2) % {M - 1}").alias("j"), h.alias("h"))
     at = lambda di, dj: (F.col("i") + di) * M + F.col("j") + dj
     faces = cell.select("fid", F.when(F.col("h") == 0, at(0, 0)).otherwise(at(0, 1)).alias("v0"), at(1, 0).alias("v1"), F.when(F.col("h") == 0, at(0, 1)).otherwise(at(1, 1)).alias("v2"))
     return v, faces
@@ -53,69 +55,73 @@ def _sphere(spark: SparkSession, rings: int = 24, parts: int = 48, r: float = 12
 
 @query(f"WITH {GRID}, {EDGE} SELECT src, dst, count(*) AS times, round(any_value(w), 6) AS w FROM ed GROUP BY src, dst")
 def mesh_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, f = _grid(spark)
+    v, f = _grid(spark, sf_dir)
     return mesh.edges(f, v).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("times"), rnd(F.max("w")).alias("w"))
 
 
 @query(f"WITH {GRID}, {EDGE}, {RIM} SELECT vid FROM rim")
 def mesh_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mesh.boundary(_grid(spark)[1])
+    return mesh.boundary(_grid(spark, sf_dir)[1])
 
 
 @query(f"WITH {GRID}, {AREA}, p AS (SELECT vid FROM vtx WHERE x + y < 15) SELECT round(sum(area), 6) AS area, count(*) AS n FROM fa WHERE v0 IN (FROM p) AND v1 IN (FROM p) AND v2 IN (FROM p)")
 def patch_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, f = _grid(spark)
+    v, f = _grid(spark, sf_dir)
     return mesh.patch_area(f, v, v.where("x + y < 15")).select(rnd("area").alias("area"), "n")
 
 
+#: Edges of the longest shortest way over the grid of 32 frames, and some more.
+LEVELS = 64
+
+
 def _paths_sql(seed: str) -> str:
-    """Bellman-Ford by levels: as many rounds as any shortest way has edges at most (grid ways are short)."""
-    steps = "".join(f", d{i + 1} AS (SELECT vid, min(d) AS d FROM (SELECT * FROM d{i} UNION ALL SELECT dst, d + w FROM d{i} JOIN u ON src = vid) GROUP BY vid)" for i in range(26))
+    """Bellman-Ford by levels: as many rounds as any shortest way has edges at most."""
+    steps = "".join(f", d{i + 1} AS (SELECT vid, min(d) AS d FROM (SELECT * FROM d{i} UNION ALL SELECT dst, d + w FROM d{i} JOIN u ON src = vid) GROUP BY vid)" for i in range(LEVELS))
     return f"WITH {GRID}, {EDGE}, {RIM}, u AS (SELECT src, dst, min(w) AS w FROM ed GROUP BY 1, 2), d0 AS (SELECT vid, CAST(0 AS DOUBLE) AS d FROM {seed}){steps}"
 
 
-@query(_paths_sql("vtx WHERE vid = 0") + " SELECT vid, round(d, 6) + 0.0 AS d FROM d26")
+@query(_paths_sql("vtx WHERE vid = 0") + f" SELECT vid, round(d, 6) + 0.0 AS d FROM d{LEVELS}")
 def geodesic_single(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, f = _grid(spark)
+    v, f = _grid(spark, sf_dir)
     return mesh.geodesic(f, v, v.where("vid = 0")).select("vid", rnd("d").alias("d"))
 
 
-@query(_paths_sql("rim") + " SELECT vid, round(d, 6) + 0.0 AS d FROM d26")
+@query(_paths_sql("rim") + f" SELECT vid, round(d, 6) + 0.0 AS d FROM d{LEVELS}")
 def geodesic_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, f = _grid(spark)
+    v, f = _grid(spark, sf_dir)
     return mesh.geodesic(f, v, mesh.boundary(f)).select("vid", rnd("d").alias("d"))
 
 
-@query(_paths_sql("rim") + " SELECT vid, round(d, 6) + 0.0 AS d FROM d26 ORDER BY d DESC, vid LIMIT 1")
+@query(_paths_sql("rim") + f" SELECT vid, round(d, 6) + 0.0 AS d FROM d{LEVELS} ORDER BY d DESC, vid LIMIT 1")
 def boundary_distance_apex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, f = _grid(spark)
+    v, f = _grid(spark, sf_dir)
     return mesh.farthest_from_boundary(f, v, v, v).select("vid", rnd("d").alias("d"))
 
 
-@query(_paths_sql("vtx WHERE vid = 0") + f""", {AREA}, s AS (SELECT greatest(a.d, b.d, c.d) AS radius, area FROM fa JOIN d26 a ON a.vid = v0 JOIN d26 b ON b.vid = v1 JOIN d26 c ON c.vid = v2)
+@query(_paths_sql("vtx WHERE vid = 0") + f""", {AREA}, s AS (SELECT greatest(a.d, b.d, c.d) AS radius, area FROM fa JOIN d{LEVELS} a ON a.vid = v0 JOIN d{LEVELS} b ON b.vid = v1 JOIN d{LEVELS} c ON c.vid = v2)
 SELECT round(radius, 5) AS radius, round(sum(sum(area)) OVER (ORDER BY radius), 5) AS area FROM s GROUP BY radius""")
 def area_vs_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, f = _grid(spark)
+    v, f = _grid(spark, sf_dir)
     got = mesh.area_by_radius(f, v, mesh.geodesic(f, v, v.where("vid = 0")))
     return got.select(rnd("radius", 5).alias("radius"), rnd("area", 5).alias("area"))
 
 
 @query()
 def fixed_area_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, f = _grid(spark)
+    v, f = _grid(spark, sf_dir)
     table = mesh.area_by_radius(f, v, mesh.geodesic(f, v, v.where("vid = 0")))
     return spark.range(1).select(rnd(F.lit(mesh.radius_for_area(table, 60.0)), 5).alias("radius"))
 
 
 @query(f"WITH {GRID}, {EDGE}, r AS (SELECT src AS vid, dst AS near FROM ed UNION ALL SELECT vid, vid FROM vtx) SELECT r.vid, median(z) AS v FROM r JOIN vtx ON vtx.vid = near GROUP BY r.vid")
 def one_ring_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, f = _grid(spark)
+    v, f = _grid(spark, sf_dir)
     return mesh.ring_median(f, v.select("vid", F.col("z").alias("v")))
 
 
 @query(f"WITH {GRID}, {EDGE}, s0 AS (SELECT vid, z AS v FROM vtx)" + "".join(f", s{i + 1} AS (SELECT a.vid, any_value(a.v) + 0.5 * (avg(b.v) - any_value(a.v)) AS v FROM s{i} a JOIN ed ON src = a.vid JOIN s{i} b ON b.vid = dst GROUP BY a.vid)" for i in range(5)) + " SELECT vid, round(v, 6) + 0.0 AS v FROM s5")
 def laplacian_scalar_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, f = _grid(spark)
+    v, f = _grid(spark, sf_dir)
     return mesh.smooth_scalar(f, v.select("vid", F.col("z").alias("v"))).select("vid", rnd("v").alias("v"))
 
 
@@ -128,6 +134,6 @@ def discrete_mean_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def windowed_sinc_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, f = _grid(spark)
+    v, f = _grid(spark, sf_dir)
     got = mesh.windowed_sinc(f, v)
     return got.select("vid", *(rnd(c, 5).alias(c) for c in ("x", "y", "z")))
