@@ -104,10 +104,10 @@ def test_sphere_area_curvature_and_boundary(spark):
     assert mesh.mean_curvature(f, v).agg(F.median("h")).first()[0] == pytest.approx(1 / 12, rel=0.05)
 
 
-def test_windowed_sinc_keeps_a_flat_mesh_flat(spark):
+def test_windowed_sinc_keeps_a_flat_mesh_flat(spark, sf_dir):
     from sweepgrid.queries.mesh import _grid
 
-    v, f = _grid(spark)
+    v, f = _grid(spark, sf_dir)
     got = mesh.windowed_sinc(f, v.withColumn("z", F.lit(0.0)), rounds=4)
     assert got.agg(F.max(F.abs("z"))).first()[0] == pytest.approx(0)
 
