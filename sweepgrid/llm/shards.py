@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 ROUNDS = 6
+#: Buckets of a large table by its rows; a small one has more, so that tasks get about as many rows each.
+ROWS_PER_BUCKET, LEAST_BUCKETS = 2000, 4096
 #: A walk leaves [0, N) for at most a - 1 steps in a row; for N up to WALKS**2 this bound is exact,
 #: beyond it a walk this long has a probability below 2**-380.
 WALKS = 64
@@ -32,10 +34,10 @@ def sides(n: int) -> tuple[int, int]:
 def global_row_number(df: DataFrame, keys: list[str], out: str, n: int) -> DataFrame:
     """Adds 0..N-1, dealt by the hash of the keys and ordered inside each small bucket.
 
-    Only counts per bucket pass through one task, one for each 2,000 rows. Rows are dealt by all
+    Only counts per bucket pass through one task, one for each ROWS_PER_BUCKET rows of a large table. Rows are dealt by all
     their columns, so that keys which are null or repeat do not meet in one bucket.
     """
-    buckets = max(n // 2000, 64)
+    buckets = max(n // ROWS_PER_BUCKET, LEAST_BUCKETS)
     b, tie = f"{out}__bucket", f"{out}__tie"
     dealt = df.withColumn(tie, F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])).withColumn(b, F.pmod(F.xxhash64(tie), F.lit(buckets)))
     counts = dealt.groupBy(b).agg(F.count(F.lit(1)).alias(f"{out}__n"))
