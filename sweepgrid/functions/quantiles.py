@@ -1,12 +1,14 @@
-"""Exact percentiles of columns that no single task could hold."""
+"""Exact percentiles and ranks of columns that no single task could hold."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .session import cut
+
 #: Rows that one aggregate may hold; above, the range around the percentile is narrowed first.
 DIRECT = 1_000_000
 BUCKETS = 1024
@@ -45,3 +47,14 @@ def exact_percentile(df: DataFrame, value: str, q: float, freq: str | None = Non
         return float(lo)
     share = (place - below) / max(inside - 1, 1)
     return float(rows.where(F.col("v").between(lo, hi)).agg(F.percentile("v", min(max(share, 0.0), 1.0), F.col("w"))).first()[0])
+
+
+def ranked(df: DataFrame, order: list[Column | str], out: str) -> DataFrame:
+    """df with its rank (from 1) in an order of all rows, as a long. Only counts of ranges of the order pass one task."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranges = cut(df.withColumns({f"__key{i}": c for i, c in enumerate(keys)}).repartitionByRange(*(f"__key{i}" for i in range(len(keys)))).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    within = Window.partitionBy("__part").orderBy(*(f"__key{i}" for i in range(len(keys))))
+    numbered = ranges.withColumn(out, F.row_number().over(within)).join(F.broadcast(starts), "__part")
+    return numbered.withColumn(out, F.col(out) + F.col("__start")).drop("__part", "__start", *(f"__key{i}" for i in range(len(keys))))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, scalars
+from ..functions.quantiles import ranked
 from . import query
 from .carriers import read, rnd
 
@@ -53,7 +54,7 @@ SELECT page_id, stem, row_number() OVER (ORDER BY CASE WHEN TRY_CAST(stem AS BIG
 def numeric_name_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     stem = names.stem(F.element_at(F.split("url", r"\?"), 1))
     rows = read(spark, sf_dir, "pages").select("page_id", stem.alias("stem"))
-    return rows.select("page_id", "stem", F.row_number().over(Window.orderBy(*names.numeric_first_key(F.col("stem")), "page_id")).cast("long").alias("rank"))
+    return ranked(rows, [*names.numeric_first_key(F.col("stem")), "page_id"], "rank").select("page_id", "stem", "rank")
 
 
 @query("SELECT doc_id, coalesce(substr(sha1(text), 1, 12), '') AS sha FROM documents")

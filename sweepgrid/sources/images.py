@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import numeric_first_key, stem
+from ..functions.quantiles import ranked
 
 
 def scan_frames(spark: SparkSession, folder: str, scan_id: str = "scan") -> DataFrame:
     """(scan_id, frame_idx, origin, height, width, n_channels, data): jpg and png files in numeric order of their names.
 
-    Files are decoded where they lie; only names, not pixels, pass the window that numbers them.
+    Files are decoded where they lie; only names, not pixels, are put in order.
     A file that two patterns match stands once. Hidden files are left out.
     """
     images = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", "*.{jpg,JPG,jpeg,JPEG,png,PNG}").load(folder).select("image.*").dropDuplicates(["origin"])
     names = images.select("origin", stem(F.col("origin")).alias("stem"))
-    order = names.select("origin", (F.row_number().over(Window.orderBy(*numeric_first_key(F.col("stem")), "origin")) - 1).alias("frame_idx"))
+    order = ranked(names, [*numeric_first_key(F.col("stem")), "origin"], "rank").select("origin", (F.col("rank") - 1).cast("int").alias("frame_idx"))
     return images.join(order, "origin").select(F.lit(scan_id).alias("scan_id"), "frame_idx", "origin", "height", "width", F.col("nChannels").alias("n_channels"), "data")
 
 

@@ -383,3 +383,15 @@ def test_tiff_bytes():
     tags = {struct.unpack_from("<HHI", data, at + 2 + 12 * i)[0]: struct.unpack_from("<I" if struct.unpack_from("<HHI", data, at + 2 + 12 * i)[1] == 4 else "<H", data, at + 10 + 12 * i)[0] for i in range(n)}
     assert (tags[256], tags[257], tags[258], tags[279]) == (5, 3, 16, 30) and len(data) == at + 2 + 12 * n + 4
     assert (np.frombuffer(data, "<u2", 15, tags[273]).reshape(3, 5) == a).all()
+
+
+def test_ranks_of_all_rows(spark):
+    from sweepgrid.functions.quantiles import ranked
+
+    rnd = random.Random(12)
+    rows = [(i, rnd.randrange(40)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v long").repartition(7)
+    got = {r["id"]: r["n"] for r in ranked(df, [-F.col("v"), "id"], "n").collect()}
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))
+    assert got == {i: k + 1 for k, (i, _) in enumerate(want)}
+    assert ranked(df.limit(0), ["v"], "n").count() == 0
