@@ -167,8 +167,8 @@ def test_config_layers(tmp_path):
 
 
 def test_names(spark):
-    row = spark.range(1).select(names.volume_prefix(F.lit("Sample 65 mm - Radial - OD - Primary - 09-25-2025 - 11-52"), F.lit("x")).alias("n"), scalars.hms(F.lit(90061)).alias("t")).first()
-    assert row["n"] == "Sample 65mm_OD_EYE_VOL" and row["t"] == "1 day, 1:01:01"
+    row = spark.range(1).select(names.volume_prefix(F.lit("Lens 65 mm - Secondary - OD - Radial - 04-17-2022 - 08-31"), F.lit("x")).alias("n"), scalars.hms(F.lit(90061)).alias("t")).first()
+    assert row["n"] == "Lens 65mm_OD_EYE_VOL" and row["t"] == "1 day, 1:01:01"
 
 
 def test_png_frames(spark, tmp_path):
@@ -260,7 +260,7 @@ def test_names_are_cleaned(spark):
     from sweepgrid.functions import names
 
     want = {
-        "Eyeball 24 mm - Radial - OD - Primary - 01-02-2024 - 10-15": "Eyeball 24mm", "a_Radial_b": "a_Radial_b", "Radial": "", "x - 7MM  y": "x 7mm y", "one _ two": "one_two",
+        "Lens 24 mm - Radial - OD - Primary - 01-02-2024 - 10-15": "Lens 24mm", "a_Radial_b": "a_Radial_b", "Radial": "", "x - 7MM  y": "x 7mm y", "one _ two": "one_two",
         "12-30 scan 5": "scan 5", "scan12-30": "scan12 30", "radial os PRIMARY z": "z", "A–B—C": "A B C", "  plain  name ": "plain name",
     }
     df = spark.createDataFrame([(n,) for n in want], "n string")
