@@ -39,7 +39,7 @@ CHUNK_BYTES = 8_000_000
 START_WEIGHTS = (0.3, 0.4, 0.3, 0.3)
 LEARN, LEARN_OWN = 0.04, 0.7
 FOLDS, HELD = 7, 2
-END = b""
+END, END_HASH = b"", np.uint64(0x1234567)
 
 
 def held_out(ident: object) -> bool:
@@ -57,7 +57,7 @@ class Tokens:
         self.is_end[w.first[1:] + np.arange(w.n_docs)] = True
         self.h = np.empty(n, np.uint64)
         self.h[~self.is_end] = w.h
-        self.h[self.is_end] = np.uint64(0x1234567)
+        self.h[self.is_end] = END_HASH
         self.cls = (mix64(self.h + np.uint64(99)) >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
         raw = np.frombuffer(w.data, np.uint8)
         last = np.zeros(n, np.uint64)
@@ -247,22 +247,58 @@ def _batches(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[bytes]]
 
 
 def _vocabulary(texts: list[bytes], train: list[bool]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Distinct words of some texts (and the end) by hash: hashes, words, counts in training texts."""
+    """Distinct words of some texts by hash: hashes, words, counts in training texts. Words that share a hash stand next to each other."""
     words = Words(texts, lower=True)
-    order = np.argsort(words.h)
+    order = np.argsort(words.h, kind="stable")
     sorted_ = words.h[order]
     head = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))) if len(order) else np.zeros(0, np.int64)
+    listed = np.empty(len(order), np.int64)
+    listed[order] = np.repeat(order[head], np.diff(np.append(head, len(order))))
+    if not words.as_listed(listed).all():
+        return _vocabulary_by_content(words, train)
     h, first = sorted_[head], order[head]
     flags = np.array(train, np.int64)[words.doc[order]] if len(order) else np.zeros(0, np.int64)
     count = np.add.reduceat(flags, head) if len(head) else np.zeros(0, np.int64)
-    listed = [words.data[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)]
-    return h, listed, count
+    return h, [words.data[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)], count
+
+
+def _vocabulary_by_content(words: Words, train: list[bool]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """As `_vocabulary`, where different words share a hash."""
+    count: dict[tuple[int, bytes], int] = {}
+    for h, doc, a, b in zip(words.h.tolist(), words.doc.tolist(), words.start.tolist(), words.end.tolist(), strict=True):
+        key = h, words.data[a:b]
+        count[key] = count.get(key, 0) + train[doc]
+    listed = sorted(count)
+    return np.array([h for h, _ in listed], np.uint64), [w for _, w in listed], np.array([count[k] for k in listed], np.int64)
+
+
+def _known_counts(batches: list[tuple[list, list[bytes], "Tokens"]], replies: list[tuple[int, bytes]], n: int, ids: list, texts: list[bytes]) -> list[np.ndarray]:
+    """The training count of each token of the batches, from the buckets' replies to what `_chunk_words` listed."""
+    h = np.append(np.unique(np.concatenate([t.words.h for _, _, t in batches]) if batches else np.zeros(0, np.uint64)), END_HASH)
+    told = {bucket: unpack(m)[1] for bucket, m in replies}
+    listed = None
+    if sum(map(len, told.values())) != len(h):  # more words than hashes: told apart by content
+        h, listed, _ = _chunk_words(ids, texts)
+    count = np.zeros(len(h))
+    for d, i in split_by((mix64(h) % np.uint64(n)).astype(np.int64)):
+        count[i] = told[d]
+    if listed is None:
+        by = np.argsort(h)
+        h, count = h[by], count[by]
+        return [count[np.searchsorted(h, t.h)] for _, _, t in batches]
+    of = dict(zip(listed, count.tolist(), strict=True))
+    out = []
+    for _, _, t in batches:
+        c = np.full(len(t.h), of[END])
+        c[~t.is_end] = [of[t.words.data[a:b]] for a, b in zip(t.words.start.tolist(), t.words.end.tolist(), strict=True)]
+        out.append(c)
+    return out
 
 
 def _chunk_words(ids: list, texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     h, words, count = _vocabulary(texts, [not held_out(i) for i in ids])
     ends = sum(not held_out(i) for i in ids)
-    return np.append(h, np.uint64(0x1234567)), [*words, END], np.append(count, ends)
+    return np.append(h, END_HASH), [*words, END], np.append(count, ends)
 
 
 def _ask(n: int) -> Callable:
@@ -338,16 +374,9 @@ def score_documents(docs: DataFrame, ident: str = "doc_id", text: str = "text")
         kinds = [("doc", table_.schema.field("doc").type), *KINDS]
         tables = unpacked(model.value)
         batches = [(some, batch, Tokens(batch)) for some, batch in _batches(ids, texts)]
-        h = np.append(np.unique(np.concatenate([t.words.h for _, _, t in batches]) if batches else np.zeros(0, np.uint64)), np.uint64(0x1234567))  # in the order asked
-        count = np.zeros(len(h))
-        parts = dict(split_by((mix64(h) % np.uint64(n)).astype(np.int64)))
-        for bucket, m in zip(replies.column("origin").to_pylist(), replies.column("msg"), strict=True):
-            count[parts[bucket]] = unpack(m.as_py())[1]
-        by = np.argsort(h)
-        h, count = h[by], count[by]
+        counts = _known_counts(batches, [(b, m.as_py()) for b, m in zip(replies.column("origin").to_pylist(), replies.column("msg"), strict=True)], n, ids, texts)
         out = []
-        for some, batch, t in batches:
-            c = count[np.searchsorted(h, t.h)]
+        for (some, batch, t), c in zip(batches, counts, strict=True):
             base = np.log10((c + 1.0) / (n_train + n_words + 1.0))
             inside = np.log10((c + 1.0) / tables["size"][t.cls])
             score = mixed_log10(t, tables) + inside

@@ -111,8 +111,7 @@ class ByteUnits:
 
     def wide(self, s: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
         """Two independent hashes of the windows at s."""
-        other = prefix_hashes(mix64(self.values))
-        return span_hashes(self.prefix, s, s + w), span_hashes(other, s, s + w)
+        return span_hashes(self.prefix, s, s + w), span_hashes(prefix_hashes(self.values, 1), s, s + w, 1)
 
     def span(self, a: int, b: int) -> bytes:
         return self.data[a:b]
@@ -124,16 +123,13 @@ class WordUnits:
         self.first = self.words.first
         self.n = len(self.words.h)
 
-    def _runs(self, k: int, salt: int) -> np.ndarray:
-        prefix = prefix_hashes(mix64(self.words.h + np.uint64(salt)))
-        at = np.arange(max(self.n - k + 1, 0))
-        return span_hashes(prefix, at, at + k)
-
     def grams(self, k: int) -> np.ndarray:
-        return self._runs(k, 1)
+        at = np.arange(max(self.n - k + 1, 0))
+        return span_hashes(prefix_hashes(self.words.h), at, at + k)
 
     def wide(self, s: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
-        return self._runs(w, 1)[s], self._runs(w, 0x5851F42D4C957F2D)[s]
+        """Two hashes of the windows at s, of other values of the bytes and by another base."""
+        return span_hashes(prefix_hashes(self.words.h), s, s + w), span_hashes(prefix_hashes(self.words.hashes(1), 1), s, s + w, 1)
 
     def span(self, a: int, b: int) -> bytes:
         return self.words.data[self.words.start[a] : self.words.end[b - 1]]

@@ -21,7 +21,11 @@ def hard_rows():
     word = lambda: "".join(rnd.choice("abcdeé漢") for _ in range(rnd.randint(1, 7)))
     prose = [" ".join(word() for _ in range(rnd.randint(1, 120))) for _ in range(25)]
     passage = " ".join(word() for _ in range(60))
-    texts = [None, "", " ", "\n\t \x0b", "one", "a b c d", *prose, *prose[:5], prose[6] + " tail", passage, passage + " x", "y " + passage + "\nz\tz", "ab " * 20_000, "x" * 50_000, "Zeile\nZeile\n\nZeile", "<|endoftext|> it's 12 %%% ##", passage]
+    # The Thue-Morse word over a and b and its complement: equal under any polynomial hash modulo 2**64.
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    around = [word() for _ in range(20)]
+    steered = [" ".join([*around[:10], w, *around[10:]]) for w in (thue, thue.translate(str.maketrans("ab", "ba")))]
+    texts = [None, "", " ", "\n\t \x0b", "one", "a b c d", *prose, *prose[:5], prose[6] + " tail", passage, passage + " x", "y " + passage + "\nz\tz", "ab " * 20_000, "x" * 50_000, "Zeile\nZeile\n\nZeile", "<|endoftext|> it's 12 %%% ##", passage, *steered]
     rows = [(i, t, rnd.choice(["en", "de", None, "xx"]), rnd.choice(["s1", "s2", None, "é"]), None) for i, t in enumerate(texts)]
     rows += [rows[7], rows[7], (None, prose[3], None, None, 5), (None, None, None, None, None)]
     return [(*r, None, "s", "k", "d", "t", "h", "b", 7, "w") for r in rows]
@@ -227,6 +231,21 @@ def test_mixing_step_by_step():
     assert np.allclose(ctxmix.mixed_log10(t, ctxmix.unpacked(tables)), want, atol=1e-2)
 
 
+def test_words_that_share_a_hash_are_told_apart(monkeypatch):
+    """With hashes of three bits, what a chunk asks for and how counts come back are those of the words."""
+    hashes = textunits.Words.hashes
+    monkeypatch.setattr(textunits.Words, "hashes", lambda self, which=0: hashes(self, which) % np.uint64(8))
+    texts = [b"a bb c a dd e f", b"g h a i j bb", b"", b"k l m n o p q r a"]
+    ids, n = [1, 2, 3, 4], 3
+    h, listed, count = ctxmix._chunk_words(ids, texts)
+    train = Counter(w for i, t in zip(ids, texts, strict=True) if not ctxmix.held_out(i) for w in t.split())
+    assert dict(zip(listed[:-1], count[:-1].tolist(), strict=True)) == {w: train[w] for t in texts for w in t.split()}
+    replies = [(d, repeats.pack(0, count[i].astype(np.uint64))) for d, i in repeats.split_by((common.mix64(h) % np.uint64(n)).astype(np.int64))]
+    got = ctxmix._known_counts([(ids, texts, ctxmix.Tokens(texts))], replies, n, ids, texts)[0]
+    ends = sum(not ctxmix.held_out(i) for i in ids)
+    assert got.tolist() == [c for t in texts for c in [*(train[w] for w in t.split()), ends]]
+
+
 def test_scores_and_repeats_with_text_ids(spark, hard):
     """Ids that are no numbers are carried as they are; so are rows that share one, or have none."""
     rows = [(None if r[0] is None else f"id{r[0]}", r[1]) for r in hard_rows()]
