@@ -41,15 +41,18 @@ def shingle_hashes(words: Column, k: int = WORDS) -> Column:
 
 
 def item_shingles(bench: DataFrame, threshold: float = THRESHOLD, ident: str = "item_id", text: str = "text", k: int = WORDS) -> DataFrame:
-    """Distinct (item, h) with n_item (the item's distinct shingles), in_sketch, and need: the part of the sketch that a match has at least."""
-    words = bench.select(F.col(ident).alias("item"), word_array(F.col(text)).alias("w"))
-    rows = words.select("item", F.explode(F.array_distinct(shingle_hashes(F.col("w"), k))).alias("h")).distinct()
-    item = Window.partitionBy("item")
+    """Distinct (item, part, h) with n_item (the item's distinct shingles), in_sketch, and need: the part of the sketch that a match has at least.
+
+    part is the MD5 of the item's text: items that share an ident, or have none, stay apart.
+    """
+    words = bench.select(F.col(ident).alias("item"), _text_key(F.col(text)).alias("part"), word_array(F.col(text)).alias("w"))
+    rows = words.select("item", "part", F.explode(F.array_distinct(shingle_hashes(F.col("w"), k))).alias("h")).distinct()
+    item = Window.partitionBy("item", "part")
     rows = rows.withColumn("n_item", F.count(F.lit(1)).over(item)).withColumn("rank", F.row_number().over(item.orderBy(F.xxhash64("h", F.lit(11)), "h")))
     top = F.greatest(F.col("n_item"), F.floor(F.pow(F.lit(2.0), F.ceil(4 * F.log2("n_item") - F.lit(1e-9)) / 4)))  # bounds 1, 2, 4, 8 and three between each
     absent = lambda n: F.floor(n * F.lit(1 - threshold) + F.lit(1e-9))  # noqa: E731  so many shingles a match may leave out
     sketch = F.least(F.col("n_item"), absent(top) + F.greatest(F.lit(1), F.floor(top / SPARE)))
-    return rows.select("item", "h", "n_item", (F.col("rank") <= sketch).alias("in_sketch"), (sketch - absent(F.col("n_item"))).alias("need"))
+    return rows.select("item", "part", "h", "n_item", (F.col("rank") <= sketch).alias("in_sketch"), (sketch - absent(F.col("n_item"))).alias("need"))
 
 
 def _text_key(text: Column) -> Column:
@@ -57,20 +60,20 @@ def _text_key(text: Column) -> Column:
 
 
 def _found(docs: DataFrame, items: DataFrame, threshold: float, ident: str, text: str) -> DataFrame:
-    """(id, key, item, n_shared, n_item) for each distinct (ident, text) of docs that holds an item; key: the text's MD5."""
+    """(id, key, item, part, n_shared, n_item) for each distinct (ident, text) of docs that holds an item; key: the text's MD5."""
     keyed = docs.select(F.col(ident).alias("id"), _text_key(F.col(text)).alias("key"), F.col(text).alias("t"))
     # A column of its own: a text is split once, not for each shingle.
     runs = lambda df, *cols: df.select(*cols, word_array(F.col("t")).alias("w")).select(*cols, F.explode(F.array_distinct(shingle_hashes(F.col("w")))).alias("h"))
-    sketches = items.where("in_sketch").select("item", "h", "need")
+    sketches = items.where("in_sketch").select("item", "part", "h", "need")
     hits = runs(keyed, "id", "key").join(_bounded(sketches, sketches.count()), "h")
-    candidates = cut(hits.groupBy("id", "key", "item").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need").select("id", "key", "item"))
+    candidates = cut(hits.groupBy("id", "key", "item", "part").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).where("n >= need").select("id", "key", "item", "part"))
     n = candidates.count()
     which = _bounded(candidates.select(F.col("id").alias("c_id"), F.col("key").alias("c_key")).distinct(), n)
     met = keyed.join(which, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key")), "left_semi").dropDuplicates(["id", "key"])
-    pairs = met.join(candidates.select(F.col("id").alias("c_id"), F.col("key").alias("c_key"), "item"), F.col("id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key")))
-    every = _bounded(items.select(F.col("item").alias("c_item"), F.col("h").alias("c_h"), "n_item"), items.count())
-    shared = runs(pairs, "id", "key", "item").join(every, F.col("item").eqNullSafe(F.col("c_item")) & (F.col("h") == F.col("c_h")))
-    counted = shared.groupBy("id", "key", "item").agg(F.count(F.lit(1)).alias("n_shared"), F.first("n_item").alias("n_item"))
+    pairs = met.join(candidates.select(F.col("id").alias("c_id"), F.col("key").alias("c_key"), "item", "part"), F.col("id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key")))
+    every = _bounded(items.select(F.col("item").alias("c_item"), F.col("part").alias("c_part"), F.col("h").alias("c_h"), "n_item"), items.count())
+    shared = runs(pairs, "id", "key", "item", "part").join(every, F.col("item").eqNullSafe(F.col("c_item")) & (F.col("part") == F.col("c_part")) & (F.col("h") == F.col("c_h")))
+    counted = shared.groupBy("id", "key", "item", "part").agg(F.count(F.lit(1)).alias("n_shared"), F.first("n_item").alias("n_item"))
     return counted.where(F.col("n_shared") >= F.lit(threshold) * F.col("n_item"))
 
 
@@ -79,8 +82,8 @@ def contained(docs: DataFrame, bench: DataFrame, threshold: float = THRESHOLD, i
 
     Null and blank texts have no shingles and match nothing; a text below five words is one
     shingle. Rows are judged by their own texts: equal rows give one row, different texts with
-    one ident, or with none, one each. Items that share an ident are one item. No items or no
-    documents: no rows. An item in many documents costs rows in proportion to its matches.
+    one ident, or with none, one each. So are items: of equal ones one counts, and different texts
+    with one ident, or with none, are items of their own. No items or no documents: no rows. An item in many documents costs rows in proportion to its matches.
     """
     items = cut(item_shingles(bench, threshold, item_ident, item_text))
     got = _found(docs, items, threshold, ident, text)

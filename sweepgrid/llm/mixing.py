@@ -150,7 +150,8 @@ def _mixed(docs: DataFrame, source: str, size: str, ident: list[str], shards: in
         plan = F.broadcast(plan)
     dealt = rows.join(plan, ["__sg_src", "__sg_null", "__sg_b"])
 
-    # The pool of a source: documents in permuted order while they fit, then twice the largest that fit in what is left. The others lose the last copy.
+    # The pool of a source: documents in permuted order while they fit, then twice the largest that fit in what is left, then the one that
+    # comes nearest to what is left, also if it goes over the target by less than it fills. The others lose the last copy.
     pool, of_pool = dealt.where("__sg_pool").withColumn("__sg_open", F.lit(True)), Window.partitionBy("__sg_src", "__sg_null")
     for k in range(3):
         part = F.col("__sg_open") & (F.col(size) > 0) & (F.col(size) <= F.col("__sg_left"))
@@ -160,6 +161,10 @@ def _mixed(docs: DataFrame, source: str, size: str, ident: list[str], shards: in
         pool = pool.withColumn("__sg_in", F.col("__sg_part") & (sums <= F.col("__sg_left")))
         used = F.coalesce(F.sum(F.when(F.col("__sg_in"), F.col(size))).over(of_pool), F.lit(0))
         pool = pool.withColumns({"__sg_left": F.col("__sg_left") - used, "__sg_open": F.col("__sg_open") & ~F.col("__sg_in")})
+    off = F.abs(F.col(size) - F.col("__sg_left"))
+    nearest = F.row_number().over(Window.partitionBy("__sg_src", "__sg_null", "__sg_open").orderBy(off, F.col("__sg_h"), *ident)) == 1
+    pool = pool.withColumn("__sg_in", nearest & F.col("__sg_open") & (off < F.col("__sg_left")))
+    pool = pool.withColumn("__sg_open", F.col("__sg_open") & ~F.col("__sg_in"))
     pool = pool.withColumn("__sg_homes", F.when(F.col("__sg_open"), F.slice("__sg_homes", F.lit(1), F.size("__sg_homes") - 1)).otherwise(F.col("__sg_homes")))
     dealt = dealt.where("NOT __sg_pool").unionByName(pool.select(dealt.columns))
     return dealt.withColumn("__sg_homes", F.when(F.col(size) > 0, F.col("__sg_homes")).otherwise(F.array().cast("array<int>"))).drop("__sg_src", "__sg_null", "__sg_b", "__sg_pool", "__sg_left")
@@ -170,7 +175,8 @@ def mix(docs: DataFrame, source: str = "source", size: str = "size", ident: list
     ``shards`` (one output shard for each copy); such columns of docs are replaced.
 
     Null sources form a source of their own, ordered last. A size of 0 is never taken; an
-    empty table stays empty. Equal rows are told apart by the order of the sort only.
+    empty table stays empty. A source of few large documents goes over its target by a part of one
+    where that is nearer than to stay below it. Equal rows are told apart by the order of the sort only.
     """
     got = _mixed(docs, source, size, ident or ["doc_id"], shards, seed).drop("source_size", "target", "copies", "shards")
     got = got.withColumnsRenamed({"__sg_size": "source_size", "__sg_target": "target", "__sg_homes": "shards"})

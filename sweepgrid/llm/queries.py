@@ -6,6 +6,7 @@ from .common import ship_package
 from .ctxmix import op3_context_mixing
 from .decontam import ORACLE_OP9, op9_decontaminate
 from .fertility import op5_tokeniser_fertility
+from .fim import ORACLE_OP12, op12_lookaround_fim
 from .mixing import op7_hypergeometric_mix
 from .probminhash import op4_near_duplicates
 from .shards import op8_feistel_shards
@@ -28,6 +29,7 @@ QUERIES = {
         op8_feistel_shards,
         op9_decontaminate,
         op10_suffix_array_dedup,
+        op12_lookaround_fim,
     )
 }
 ORACLE: dict[str, str] = {
@@ -36,6 +38,7 @@ ORACLE: dict[str, str] = {
     "op6_arc_to_warc": ORACLE_OP6,
     "op9_decontaminate": ORACLE_OP9,
     "op10_suffix_array_dedup": ORACLE_OP10,
+    "op12_lookaround_fim": ORACLE_OP12,
 }
 
 ship_package()
