@@ -11,7 +11,7 @@ not hide a pair whose sets are similar.
 
 No bucket is ever compared with itself. The members of a bucket are compared with its hub
 alone; what the hubs leave apart is searched by the members' differences from their hub,
-which two similar texts of different classes must share (see `_differences`).
+which two similar texts of different classes must share (see `differences`).
 """
 
 from __future__ import annotations
@@ -122,7 +122,7 @@ def _text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
-def _paired(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+def paired(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
     """pairs with the sets sa and sb; b may be one hot key, and skewed joins are split on either side."""
     right = pairs.join(sets.select(F.col("uid").alias(a), F.col("s").alias("sa")), a)
     return right.join(sets.select(F.col("uid").alias(b), F.col("s").alias("sb")), b)
@@ -133,7 +133,7 @@ def _similar(threshold: float) -> Column:
     return shared >= F.lit(threshold) * (F.size("sa") + F.size("sb") - shared)
 
 
-def _differences(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def differences(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of texts with one hub and different labels, among them all that reach the threshold.
 
     placed: (uid, hub, linked, label). With c = (1 - t) / (1 + t), sets are similar if their
@@ -147,7 +147,7 @@ def _differences(placed: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     that what a whole family has in common is hardly ever looked at.
     """
     c = (1 - threshold) / (1 + threshold)
-    both = _paired(placed, sets, "uid", "hub")
+    both = paired(placed, sets, "uid", "hub")
     found = both.select("uid", "hub", "linked", "label", (F.size("sa") * F.lit(c)).alias("own"), (F.size("sb") * F.lit(c)).alias("far"), F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("d"))
     found = cut(found)
     named = found.select("uid", "hub", "linked", "label", F.size("d").alias("n"), (F.size("d") - F.col("own")).alias("e"), "far", F.explode("d").alias("x"))
@@ -188,13 +188,13 @@ def _classes(docs: DataFrame, ident: str, text: str, threshold: float) -> tuple[
     needed = star.where("uid <> hub").select("uid").union(star.select("hub")).distinct().join(reps.select("uid", "text_key", "first.id"), "uid")
     texts = docs.select(F.col(ident).alias("__id"), F.col(text).alias("t"), _text_key(F.col(text)).alias("text_key")).join(needed, ["text_key"]).where(F.col("__id").eqNullSafe(F.col("id")))
     sets = cut(_sets(texts.select("uid", "t")).dropDuplicates(["uid"]))
-    links = cut(_paired(star.where("uid <> hub"), sets, "uid", "hub").select("uid", "hub", _similar(threshold).alias("linked")))
+    links = cut(paired(star.where("uid <> hub"), sets, "uid", "hub").select("uid", "hub", _similar(threshold).alias("linked")))
     labels = components(links.where("linked").select("uid", "hub"))
     placed = cut(links.join(labels, links["uid"] == labels["node"], "left").select("uid", "hub", "linked", F.coalesce("label", "uid").alias("label")))
     mixed = placed.groupBy("hub").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.bool_and("linked").alias("all")).where("lo <> hi AND NOT all")
     open_ = cut(placed.join(mixed.select("hub"), "hub", "left_semi"))
     if not open_.isEmpty():
-        more = _paired(_differences(open_, sets, threshold), sets, "a", "b").where(_similar(threshold)).select("a", "b")
+        more = paired(differences(open_, sets, threshold), sets, "a", "b").where(_similar(threshold)).select("a", "b")
         of = placed.select("uid", "label").distinct()
         more = more.join(of.select(F.col("uid").alias("a"), F.col("label").alias("u")), "a").join(of.select(F.col("uid").alias("b"), F.col("label").alias("v")), "b").select("u", "v").distinct()
         joined = components(cut(more)).select(F.col("node").alias("label"), F.col("label").alias("to"))

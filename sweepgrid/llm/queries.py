@@ -7,6 +7,7 @@ from .ctxmix import op3_context_mixing
 from .decontam import ORACLE_OP9, op9_decontaminate
 from .fertility import op5_tokeniser_fertility
 from .fim import ORACLE_OP12, op12_lookaround_fim
+from .metricjoin import ORACLE_OP11, op11_jaccard_join
 from .mixing import op7_hypergeometric_mix
 from .probminhash import op4_near_duplicates
 from .shards import op8_feistel_shards
@@ -29,6 +30,7 @@ QUERIES = {
         op8_feistel_shards,
         op9_decontaminate,
         op10_suffix_array_dedup,
+        op11_jaccard_join,
         op12_lookaround_fim,
     )
 }
@@ -38,6 +40,7 @@ ORACLE: dict[str, str] = {
     "op6_arc_to_warc": ORACLE_OP6,
     "op9_decontaminate": ORACLE_OP9,
     "op10_suffix_array_dedup": ORACLE_OP10,
+    "op11_jaccard_join": ORACLE_OP11,
     "op12_lookaround_fim": ORACLE_OP12,
 }
 

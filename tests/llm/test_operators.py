@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sweepgrid.llm import common, ctxmix, decontam, fertility, fim, mixing, probminhash, repeats, shards, substr_tree, suffixsort, textunits, tokens, warc
+from sweepgrid.llm import common, ctxmix, decontam, fertility, fim, metricjoin, mixing, probminhash, repeats, shards, substr_tree, suffixsort, textunits, tokens, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard string, kept string, doc string, t string, h string, band string, copies int, n_words string"
 
@@ -349,13 +349,13 @@ def test_near_duplicates_of_a_large_family(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     one = lambda docs, ident, text: docs.select(F.col(ident).alias("id"), F.unhex(F.md5(text)).alias("text_key"), F.array(F.lit(7).cast("long")).alias("bands"))
     monkeypatch.setattr(probminhash, "_sketches", one)
-    looked, search = [], probminhash._differences
+    looked, search = [], probminhash.differences
 
     def counted(*args):
         looked.append(search(*args))
         return looked[-1]
 
-    monkeypatch.setattr(probminhash, "_differences", counted)
+    monkeypatch.setattr(probminhash, "differences", counted)
     got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_classes(rows)
     assert looked[0].count() < 0.03 * len(rows) ** 2 / 2
@@ -669,3 +669,103 @@ def test_sentences_join_to_their_text(spark):
     rows = [("One. Two! Three?\nFour 4.5 e.g. five.",), ("...",), (" . ",), ("",), (None,)]
     got = spark.createDataFrame(rows, "t string").select("t", fim.units(F.col("t"), "sentence").alias("u")).collect()
     assert all("".join(r["u"]) == (r["t"] or "") for r in got) and got[0]["u"] == ["One.", " Two!", " Three?", "\n", "Four 4.5 e.g.", " five."] and not got[3]["u"] and not got[4]["u"]
+
+
+def runs_of_three(text):
+    w = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode().split()
+    return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set())
+
+
+def brute_components(rows):
+    """All pairs of distinct texts, by union and find; each row's shingles and the smallest id of its component."""
+    texts = {}
+    for i, t in rows:
+        texts.setdefault(t or "", []).append(i)
+    sets = {t: runs_of_three(t) for t in texts}
+    root = {t: t for t in texts}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    listed = sorted(texts)
+    links = 0
+    for x in range(len(listed)):
+        for y in range(x):
+            a, b = sets[listed[x]], sets[listed[y]]
+            if a and b and 100 * len(a & b) >= 90 * len(a | b):
+                links += 1
+                root[find(listed[x])] = find(listed[y])
+    lowest = defaultdict(list)
+    for t, ids in texts.items():
+        lowest[find(t)] += [i for i in ids if i is not None]
+    return links, sorted(repr((i, len(sets[t or ""]), i if not sets[t or ""] else min(lowest[find(t or "")], default=None))) for i, t in rows)
+
+
+def families(rnd):
+    """Texts in families: stars around a base, chains of small steps, groups at all distances about the radius, and variants that share their edits."""
+    texts = []
+    for n in (8, 9, 10, 11, 12, 30, 60, 200, 400):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rnd.randint(0, max(1, n // 40))):
+                w[rnd.randrange(n)] = f"e{rnd.randrange(10**6)}"
+            texts.append(w)
+        w = list(base)
+        for _ in range(20):  # each within the radius of the one before, the ends far apart
+            w = list(w)
+            w[rnd.randrange(n)] = f"c{rnd.randrange(10**6)}"
+            texts.append(w)
+        edits = [(rnd.randrange(n), f"s{j}") for j in range(8)]
+        for _ in range(25):  # variants by edits that several have
+            w = list(base)
+            for at, x in rnd.sample(edits, rnd.randint(1, 5)):
+                w[at] = x
+            texts.append(w)
+        texts.append([x.upper() for x in base])
+    rnd.shuffle(texts)
+    return [(i, " ".join(w)) for i, w in enumerate(texts)]
+
+
+@pytest.mark.parametrize("leaf,pivots,chunk", [(64, 8, 4_000_000), (3, 2, 20_000), (1, 3, 60_000)])
+def test_jaccard_join(spark, monkeypatch, leaf, pivots, chunk):
+    for name, value in (("LEAF", leaf), ("PIVOTS", pivots), ("CHUNK_BYTES", chunk)):
+        monkeypatch.setattr(metricjoin, name, value)
+    rows = families(random.Random(12))
+    rows += rows[:40] + [(5000, None), (5001, ""), (None, " \n"), (None, rows[3][1]), (7, "other text"), (7, "Other Text"), (None, "alone"), (5002, "a b"), (5003, "A  B")]
+    links, want = brute_components(rows)
+    got = metricjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert links > 500 and sorted(repr((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got.collect()) == want
+
+
+def test_jaccard_join_of_hard_rows(spark, hard, empty):
+    rows = [r[:2] for r in hard_rows()]
+    got = metricjoin.jaccard_components(hard)
+    assert sorted(repr((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got.collect()) == brute_components(rows)[1]
+    assert metricjoin.jaccard_components(empty).count() == 0
+
+
+def test_jaccard_join_splits_by_cells(spark, monkeypatch):
+    """A large region is split by pivots: far fewer pairs are measured than it has, and no cell is left to the differences."""
+    monkeypatch.setattr(metricjoin, "LEAF", 12)
+    rnd, rows = random.Random(2), []
+    base = [f"b{i}" for i in range(400)]
+    for g in range(12):  # groups around a common base, at 0.3 of it and further from each other
+        centre = [f"g{g}x{i}" if i % 40 < 3 + g % 3 else w for i, w in enumerate(base)]
+        for _ in range(10):
+            w = list(centre)
+            for _ in range(2):
+                w[rnd.randrange(400)] = rnd.choice(["p", "q", "r"])
+            rows.append((len(rows), " ".join(w)))
+    counted, measured = [], metricjoin._measured
+
+    def count(pairs, sets, percent):
+        counted.append(pairs.count())
+        return measured(pairs, sets, percent)
+
+    monkeypatch.setattr(metricjoin, "_measured", count)
+    got = metricjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(repr((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got.collect()) == brute_components(rows)[1]
+    assert sum(counted) < len(rows) * (len(rows) - 1) / 4, counted
