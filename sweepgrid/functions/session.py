@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,21 @@ def few(df: DataFrame, most: int = 10_000) -> DataFrame:
     return F.broadcast(df)
 
 
+#: Rows of a table of settings (one for each scan) up to which it is broadcast.
+SETTINGS_ROWS = 20_000
+
+
+def beside(rows: DataFrame, settings: DataFrame, by: Sequence[str]) -> DataFrame:
+    """rows with the settings of their scan, one row for each value of by; without by there is one row for all.
+
+    Settings are broadcast behind a count. Beyond it the join shuffles, and skewed scans are split there.
+    """
+    if not by:
+        return rows.join(F.broadcast(settings))
+    few_scans = settings.limit(SETTINGS_ROWS + 1).count() <= SETTINGS_ROWS
+    return rows.join(F.broadcast(settings) if few_scans else settings, list(by))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint."""
     shared_dir(df.sparkSession)

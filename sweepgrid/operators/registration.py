@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clip, half_even
+from ..functions.arrays import dense
+from ..functions.scalars import clip, half_even, num
+from ..functions.session import beside
 
 
 def profile(polar: DataFrame) -> DataFrame:
@@ -27,7 +31,12 @@ def xcorr_shift(polar: DataFrame, reference: int) -> DataFrame:
 
 def phase_shift(a: np.ndarray, b: np.ndarray, eps: float = 1e-8) -> tuple[float, float]:
     """Shift (rows, columns) to apply to b so that it fits a, with a parabola through the peak on each axis."""
-    spectrum = np.fft.fft2(a - a.mean()) * np.conj(np.fft.fft2(b - b.mean()))
+    return peak_shift(np.fft.fft2(a - a.mean()), b, eps)
+
+
+def peak_shift(fixed: np.ndarray, b: np.ndarray, eps: float = 1e-8) -> tuple[float, float]:
+    """The same with the spectrum of a."""
+    spectrum = fixed * np.conj(np.fft.fft2(b - b.mean()))
     c = np.abs(np.fft.ifft2(spectrum / (np.abs(spectrum) + eps)))
     peak = np.unravel_index(int(c.argmax()), c.shape)
     out = []
@@ -40,31 +49,42 @@ def phase_shift(a: np.ndarray, b: np.ndarray, eps: float = 1e-8) -> tuple[float,
     return float(out[0]), float(out[1])
 
 
-def frame_arrays(polar: DataFrame) -> DataFrame:
-    """One row per frame: k and its values as an array of (r, p, v)."""
-    return polar.groupBy("k").agg(F.collect_list(F.struct("r", "p", "v")).alias("px"))
-
-
-def estimate_shifts(polar: DataFrame, rows: int, cols: int, reference: int, r_frac: tuple[float, float] = (0.20, 0.90), p_frac: tuple[float, float] = (0.05, 0.95)) -> DataFrame:
-    """(k, dr, dphi): phase correlation with the reference frame in a region of interest, frame by frame in Arrow."""
-    r0, r1, p0, p1 = int(r_frac[0] * rows), int(r_frac[1] * rows), int(p_frac[0] * cols), int(p_frac[1] * cols)
-    roi = polar.where(f"r >= {r0} AND r < {r1} AND p >= {p0} AND p < {p1}")
-    # The reference is one frame, as large as a probe's image.
-    ref = roi.where(F.col("k") == reference).select(F.collect_list(F.struct("r", "p", "v")).alias("ref"))
-    joined = frame_arrays(roi).join(F.broadcast(ref))
-
-    def grid(px) -> np.ndarray:
-        out = np.zeros((r1 - r0, p1 - p0))
-        for x in px:
-            out[x["r"] - r0, x["p"] - p0] = x["v"]
-        return out
-
-    def run(batches):
-        for b in batches:
-            got = [phase_shift(grid(a), grid(m)) for a, m in zip(b["ref"], b["px"], strict=True)]
-            yield pd.DataFrame({"k": b["k"], "dr": [x for x, _ in got], "dphi": [y for _, y in got]})
-
-    return joined.mapInPandas(run, "k int, dr double, dphi double")
+#: Frames that one task compares with their reference at a time.
+TOGETHER = 16
+
+
+def estimate_shifts(polar: DataFrame, rows: int | Column, cols: int | Column, reference: int | Column, r_frac: tuple[float, float] = (0.20, 0.90), p_frac: tuple[float, float] = (0.05, 0.95), by: Sequence[str] = ()) -> DataFrame:
+    """(k, dr, dphi): phase correlation with the reference frame in a region of interest.
+
+    Depth rows travel as arrays. Frames are dealt out sixteen at a time, each lot with a copy of the reference, so that
+    a task holds as many frames at once and nothing grows with the scan. What a frame lacks of the region counts 0.
+    """
+    whole = lambda share, n: F.floor(F.lit(share) * num(n)).cast("int")
+    named = polar.select(*by, "k", "r", "p", "v", whole(r_frac[0], rows).alias("r0"), whole(r_frac[1], rows).alias("r1"), whole(p_frac[0], cols).alias("p0"), whole(p_frac[1], cols).alias("p1"), num(reference).cast("int").alias("ref"))
+    roi = named.where("r >= r0 AND r < r1 AND p >= p0 AND p < p1")
+    pairs = roi.groupBy(*by, "k", "r", "r0", "r1", "p0", "p1", "ref").agg(F.collect_list(F.struct((F.col("p") - F.col("p0")).alias("i"), F.col("v").cast("double").alias("v"))).alias("px"))
+    lines = pairs.select(*by, "k", "ref", (F.col("r") - F.col("r0")).alias("i"), (F.col("r1") - F.col("r0")).alias("h"), (F.col("p1") - F.col("p0")).alias("w"), dense("px", F.col("p1") - F.col("p0")).alias("line"))
+    lots = lines.select(*by, F.floor(F.col("k") / TOGETHER).cast("int").alias("lot"), "k", F.lit(False).alias("is_ref"), "i", "h", "w", "line")
+    last = lines.groupBy(*by).agg(F.floor(F.max("k") / TOGETHER).cast("int").alias("last"))
+    held = beside(lines.where("k = ref"), last, by).withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    sent = lots.unionByName(held.select(*by, "lot", "k", F.lit(True).alias("is_ref"), "i", "h", "w", "line"))
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        h, w = t.column("h")[0].as_py(), t.column("w")[0].as_py()
+        is_ref, i = t.column("is_ref").to_numpy(), t.column("i").to_numpy()
+        values = np.concatenate([c.flatten().to_numpy() for c in t.column("line").chunks]).reshape(-1, w)
+        fixed = np.zeros((h, w))
+        fixed[i[is_ref]] = values[is_ref]
+        frames, at = np.unique(t.column("k").to_numpy()[~is_ref], return_inverse=True)
+        moved = np.zeros((len(frames), h, w))
+        moved[at, i[~is_ref]] = values[~is_ref]
+        spectrum = np.fft.fft2(fixed - fixed.mean())
+        got = [peak_shift(spectrum, m) for m in moved]
+        columns = [pa.array([k.as_py()] * len(frames), k.type) for k in key[:-1]] + [pa.array(frames, pa.int32()), pa.array([x for x, _ in got], pa.float64()), pa.array([y for _, y in got], pa.float64())]
+        return pa.Table.from_arrays(columns, names=[*by, "k", "dr", "dphi"])
+
+    kinds = dict(polar.dtypes)
+    return sent.groupBy(*by, "lot").applyInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), "k int, dr double, dphi double"]))
 
 
 def roll_columns(polar: DataFrame, shift: Column, cols: int) -> DataFrame:
@@ -72,41 +92,43 @@ def roll_columns(polar: DataFrame, shift: Column, cols: int) -> DataFrame:
     return polar.withColumn("p", F.pmod(F.col("p") + shift, F.lit(cols)).cast("int"))
 
 
-def _two_taps(polar: DataFrame, axis: str, x: Column, size: int, wrap: bool) -> DataFrame:
+def _two_taps(polar: DataFrame, axis: str, x: Column, size: int | Column, wrap: bool, by: Sequence[str] = ()) -> DataFrame:
     """Values at fractional positions x along an axis, linear between neighbours, by a self-join on two taps."""
     other = "p" if axis == "r" else "r"
-    want = polar.withColumn("__x", x)
+    want = polar.withColumns({"__x": x, "__size": num(size)})
     low = F.floor("__x").cast("int")
     taps = F.array(F.struct(low.alias("i"), (1.0 - (F.col("__x") - low)).alias("w")), F.struct((low + 1).alias("i"), (F.col("__x") - low).alias("w")))
-    sent = want.select("k", "r", "p", F.explode(taps).alias("t"))
-    at = F.pmod(F.col("t.i"), F.lit(size)) if wrap else clip(F.col("t.i"), 0.0, size - 1.0)
-    sent = sent.select("k", "r", "p", at.cast("int").alias("__at"), F.col("t.w").alias("__w"))
-    src = polar.select(F.col("k").alias("__k"), F.col(axis).alias("__s"), F.col(other).alias("__o"), F.col("v").alias("__v"))
-    met = sent.join(src, (sent["k"] == src["__k"]) & (sent[other] == src["__o"]) & (sent["__at"] == src["__s"]))
-    return met.groupBy("k", "r", "p").agg(F.sum(F.col("__w") * F.col("__v")).alias("v"))
+    sent = want.select(*by, "k", "r", "p", "__size", F.explode(taps).alias("t"))
+    at = F.pmod(F.col("t.i"), F.col("__size")) if wrap else clip(F.col("t.i"), 0.0, F.col("__size") - 1.0)
+    sent = sent.select(*by, "k", "r", "p", at.cast("int").alias("__at"), F.col("t.w").alias("__w"))
+    src = polar.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("k").alias("__k"), F.col(axis).alias("__s"), F.col(other).alias("__o"), F.col("v").alias("__v"))
+    same = (sent["k"] == src["__k"]) & (sent[other] == src["__o"]) & (sent["__at"] == src["__s"])
+    for c in by:
+        same = same & (sent[c] == src[f"__{c}"])
+    return sent.join(src, same).groupBy(*by, "k", "r", "p").agg(F.sum(F.col("__w") * F.col("__v")).alias("v"))
 
 
-def shift_columns(polar: DataFrame, shift: Column, cols: int) -> DataFrame:
+def shift_columns(polar: DataFrame, shift: Column, cols: int | Column, by: Sequence[str] = ()) -> DataFrame:
     """Fractional shift around the circle of columns (period: the number of columns)."""
-    return _two_taps(polar, "p", F.pmod(F.col("p") - shift, F.lit(float(cols))), cols, True)
+    return _two_taps(polar, "p", F.pmod(F.col("p") - shift, num(cols)), cols, True, by)
 
 
-def shift_rows(polar: DataFrame, shift: Column, rows: int) -> DataFrame:
+def shift_rows(polar: DataFrame, shift: Column, rows: int | Column, by: Sequence[str] = ()) -> DataFrame:
     """Fractional shift in depth, the edge repeated."""
-    return _two_taps(polar, "r", clip(F.col("r") - shift, 0.0, rows - 1.0), rows, False)
+    return _two_taps(polar, "r", clip(F.col("r") - shift, 0.0, num(rows) - 1.0), rows, False, by)
 
 
-def apply_shifts(polar: DataFrame, shifts: DataFrame, rows: int, cols: int, subpixel: bool = True, least: float = 1e-3) -> DataFrame:
+def apply_shifts(polar: DataFrame, shifts: DataFrame, rows: int | Column, cols: int | Column, subpixel: bool = True, least: float = 1e-3, by: Sequence[str] = ()) -> DataFrame:
     """Rolls each frame by its rounded dphi, then moves it by what is left and by dr, where they matter."""
-    moved = polar.join(shifts, "k")
+    moved = polar.select(*by, "k", "r", "p", "v", num(rows).alias("rows"), num(cols).alias("cols")).join(shifts.select(*by, "k", "dr", "dphi"), [*by, "k"])
     whole = half_even(F.col("dphi")).cast("int")
     rest = F.col("dphi") - whole
-    rolled = moved.select("k", "r", F.pmod(F.col("p") + whole, F.lit(cols)).cast("int").alias("p"), "v", F.when(F.abs(rest) > least, rest).otherwise(0.0).alias("f"), F.when(F.abs(F.col("dr")) > least, F.col("dr")).otherwise(0.0).alias("d"))
+    rolled = moved.select(*by, "k", "r", F.pmod(F.col("p") + whole, F.col("cols")).cast("int").alias("p"), "v", F.when(F.abs(rest) > least, rest).otherwise(0.0).alias("f"), F.when(F.abs(F.col("dr")) > least, F.col("dr")).otherwise(0.0).alias("d"), "rows", "cols")
     if not subpixel:
-        return rolled.select("k", "r", "p", "v")
-    frac = rolled.select("k", "f", "d").distinct()
-    turned = shift_columns(rolled.select("k", "r", "p", "v", "f"), F.col("f"), cols).join(frac, "k")
-    return shift_rows(turned.select("k", "r", "p", "v", "d"), F.col("d"), rows)
+        return rolled.select(*by, "k", "r", "p", "v")
+    frac = rolled.select(*by, "k", "d", "rows").distinct()
+    turned = shift_columns(rolled, F.col("f"), F.col("cols"), by).join(frac, [*by, "k"])
+    return shift_rows(turned, F.col("d"), F.col("rows"), by)
 
 
 def register(polar: DataFrame, rows: int, cols: int, reference: int, subpixel: bool = True) -> DataFrame:

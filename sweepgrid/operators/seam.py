@@ -1,16 +1,19 @@
 """Frames around the sweep: correlation, repair, closure, cut, blend and angles.
 
-A polar stack is a long table (k, r, p, v): frame, depth row, angle column, value.
+A polar stack is a long table (k, r, p, v): frame, depth row, angle column, value. Where a function takes
+``by``, the table may hold many scans, told apart by these columns, which all results carry; settings may then be columns.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_even, num
+from ..functions.session import beside
 
 
 def corr_of_sums(n: Column, a: Column, b: Column, ab: Column, aa: Column, bb: Column) -> Column:
@@ -25,11 +28,11 @@ def corr_agg(a: Column, b: Column) -> Column:
     return corr_of_sums(F.count(a).cast("double"), F.sum(a), F.sum(b), F.sum(a * b), F.sum(a * a), F.sum(b * b))
 
 
-def adjacent_corr(polar: DataFrame) -> DataFrame:
+def adjacent_corr(polar: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(k, corr): each frame with the one before it. One shuffle, by pixel; sums by frame are merged from partials."""
-    pixel = Window.partitionBy("r", "p").orderBy("k")
+    pixel = Window.partitionBy(*by, "r", "p").orderBy("k")
     pairs = polar.withColumn("before", F.lag("v").over(pixel)).where(F.col("before").isNotNull())
-    return pairs.groupBy("k").agg(corr_agg(F.col("before"), F.col("v")).alias("corr"))
+    return pairs.groupBy(*by, "k").agg(corr_agg(F.col("before"), F.col("v")).alias("corr"))
 
 
 def end_corr(polar: DataFrame) -> DataFrame:
@@ -85,14 +88,18 @@ def depth_roi(dr_mm: float | Column, rows: int | Column, lo: float = 15.0, hi: f
     return r0.cast("int"), r1.cast("int")
 
 
-def best_cut(polar: DataFrame, r0: int | Column = 0, r1: int | Column = 1 << 30, stride: int = 4, margin: int = 2) -> DataFrame:
-    """One row (cut, score): the frame most like the one before it, away from the ends; (0, -1) below six frames."""
+def best_cut(polar: DataFrame, r0: int | Column = 0, r1: int | Column = 1 << 30, stride: int = 4, margin: int = 2, by: Sequence[str] = ()) -> DataFrame:
+    """One row a scan (cut, score): the frame most like the one before it, away from the ends; (0, -1) below six frames."""
     r0, r1 = (x if isinstance(x, Column) else F.lit(x) for x in (r0, r1))
-    frames = polar.agg((F.max("k") + 1).alias("n"))
-    corr = adjacent_corr(polar.where((F.col("r") >= r0) & (F.col("r") < r1) & (F.col("p") % stride == 0)))
-    scored = frames.join(corr, (F.col("n") >= 6) & (F.col("k") >= margin) & (F.col("k") <= F.col("n") - margin), "left")
-    best = scored.groupBy("n").agg(F.max(F.struct(F.col("corr"), (-F.col("k")).alias("minus"))).alias("b"))
-    return best.select(F.coalesce(-F.col("b.minus"), F.lit(0)).cast("int").alias("cut"), F.coalesce("b.corr", F.lit(-1.0)).alias("score"))
+    frames = polar.groupBy(*by).agg((F.max("k") + 1).alias("n"))
+    corr = adjacent_corr(polar.where((F.col("r") >= r0) & (F.col("r") < r1) & (F.col("p") % stride == 0)), by)
+    inner = (F.col("n") >= 6) & (F.col("k") >= margin) & (F.col("k") <= F.col("n") - margin)
+    for c in by:
+        corr = corr.withColumnRenamed(c, f"__{c}")
+        inner = inner & (F.col(c) == F.col(f"__{c}"))
+    scored = frames.join(corr, inner, "left")
+    best = scored.groupBy(*by, "n").agg(F.max(F.struct(F.col("corr"), (-F.col("k")).alias("minus"))).alias("b"))
+    return best.select(*by, F.coalesce(-F.col("b.minus"), F.lit(0)).cast("int").alias("cut"), F.coalesce("b.corr", F.lit(-1.0)).alias("score"))
 
 
 def roll_frames(df: DataFrame, cut: int | Column, n: int | Column) -> DataFrame:
@@ -101,11 +108,12 @@ def roll_frames(df: DataFrame, cut: int | Column, n: int | Column) -> DataFrame:
     return df.withColumn("k", F.pmod(F.col("k") - cut, n).cast("int"))
 
 
-def detrend_closure(sweep: DataFrame) -> DataFrame:
+def detrend_closure(sweep: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(k, dr, dphi) -> with dr_corr, dphi_corr (the line from first to last drift taken off) and the extra shifts."""
-    whole = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    order = Window.partitionBy(*by).orderBy("k")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     n = F.count(F.lit(1)).over(whole)
-    t = (F.row_number().over(Window.orderBy("k")) - 1) / F.greatest(n - 1, F.lit(1))
+    t = (F.row_number().over(order) - 1) / F.greatest(n - 1, F.lit(1))
     out = sweep
     for c in ("dr", "dphi"):
         first, last = F.first(c).over(whole), F.last(c).over(whole)
@@ -114,18 +122,18 @@ def detrend_closure(sweep: DataFrame) -> DataFrame:
     return out
 
 
-def blend_closure(polar: DataFrame, width: int = 5) -> DataFrame:
+def blend_closure(polar: DataFrame, width: int = 5, by: Sequence[str] = ()) -> DataFrame:
     """Raised-cosine blend of the first and last width frames; unchanged if they would meet."""
-    n = polar.agg((F.max("k") + 1).alias("n"))
-    rows = polar.join(F.broadcast(n))
+    n = polar.groupBy(*by).agg((F.max("k") + 1).alias("n"))
+    rows = beside(polar.select(*by, "k", "r", "p", "v"), n, by)
     ok = F.col("n") > 2 * width
     slot = F.when(ok & (F.col("k") < width), F.col("k")).when(ok & (F.col("k") >= F.col("n") - width), F.col("k") - F.col("n") + width)
-    pair = Window.partitionBy("slot", "r", "p").orderBy("k")
+    pair = Window.partitionBy(*by, "slot", "r", "p").orderBy("k")
     rows = rows.withColumn("slot", slot)
     mates = rows.where("slot IS NOT NULL").withColumn("other", F.coalesce(F.lag("v").over(pair), F.lead("v").over(pair)))
     w = 0.5 - 0.5 * F.cos(F.lit(math.pi) * F.col("slot") / width)
-    done = mates.select("k", "r", "p", ((1.0 - w) * F.col("v") + w * F.col("other")).alias("v"))
-    return done.unionByName(rows.where("slot IS NULL").select("k", "r", "p", F.col("v").cast("double").alias("v")))
+    done = mates.select(*by, "k", "r", "p", ((1.0 - w) * F.col("v") + w * F.col("other")).alias("v"))
+    return done.unionByName(rows.where("slot IS NULL").select(*by, "k", "r", "p", F.col("v").cast("double").alias("v")))
 
 
 def unwrap_phase(df: DataFrame, angle: str, order: list[str], by: list[str], out: str) -> DataFrame:
@@ -157,14 +165,20 @@ def strictly_increasing(values: Column, eps: float = 1e-6) -> Column:
     return F.aggregate(values, F.array().cast("array<double>"), lambda a, x: F.when(F.size(a) == 0, F.array(x)).otherwise(step(a, x)))
 
 
-def rebuild_knots(sweep: DataFrame, dphi_per_px: float, span: float) -> DataFrame:
-    """(k, dphi) -> (k, theta): uniform angles less the rounded drift, moved to 0, stretched to span and made increasing.
+def knot_arrays(sweep: DataFrame, dphi_per_px: float | Column, span: float | Column, by: Sequence[str] = ()) -> DataFrame:
+    """(k, dphi) -> one row a scan with knots: uniform angles less the rounded drift, moved to 0, stretched to span and made increasing.
 
     The fold over frames needs them together: one row per frame of one scan.
     """
-    n = Window.partitionBy()
-    base = F.lit(span) * F.col("k") / F.count(F.lit(1)).over(n) - half_even(F.col("dphi")) * F.lit(dphi_per_px)
-    moved = sweep.select("k", base.alias("t")).withColumn("t", F.col("t") - F.min("t").over(n))
-    moved = moved.withColumn("t", F.col("t") * F.lit(span) / F.greatest(F.max("t").over(n), F.lit(1e-6)))
-    listed = moved.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]).alias("ts"))
-    return listed.select(F.posexplode(strictly_increasing(F.col("ts"))).alias("k", "theta"))
+    n = Window.partitionBy(*by)
+    base = F.col("span") * F.col("k") / F.count(F.lit(1)).over(n) - half_even(F.col("dphi")) * F.col("per_px")
+    named = sweep.select(*by, "k", "dphi", num(dphi_per_px).alias("per_px"), num(span).alias("span"))
+    moved = named.select(*by, "k", "span", base.alias("t")).withColumn("t", F.col("t") - F.min("t").over(n))
+    moved = moved.withColumn("t", F.col("t") * F.col("span") / F.greatest(F.max("t").over(n), F.lit(1e-6)))
+    listed = moved.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]).alias("ts"))
+    return listed.select(*by, strictly_increasing(F.col("ts")).alias("knots"))
+
+
+def rebuild_knots(sweep: DataFrame, dphi_per_px: float, span: float) -> DataFrame:
+    """The same of one scan as rows (k, theta)."""
+    return knot_arrays(sweep, dphi_per_px, span).select(F.posexplode("knots").alias("k", "theta"))
