@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import linspace
-from ..functions.session import few
 from . import seam
 
 
@@ -37,7 +36,7 @@ def bilinear(pixels: DataFrame, grid: DataFrame) -> DataFrame:
     taps = rows.select("r", "p", (F.col("x0") + F.col("c.dx")).cast("int").alias("x"), (F.col("y0") + F.col("c.dy")).cast("int").alias("y"), w.alias("w"))
     met = taps.join(pixels, ["y", "x"]).groupBy("k", "r", "p").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
     frames = pixels.select("k").distinct()
-    return grid.select("r", "p").crossJoin(few(frames)).join(met, ["k", "r", "p"], "left").select("k", "r", "p", F.coalesce("v", F.lit(0.0)).alias("v"))
+    return grid.select("r", "p").crossJoin(frames).join(met, ["k", "r", "p"], "left").select("k", "r", "p", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
 def nearest_mask(mask: DataFrame, grid: DataFrame) -> DataFrame:

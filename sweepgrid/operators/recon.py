@@ -6,16 +6,15 @@ Voxels are sparse: (ix, iy, iz, v) for cells inside the fan; every other cell is
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import PI2, clip
-
-#: A polar stack is broadcast to Arrow workers up to this many values, and joined corner by corner beyond.
-BROADCAST_VALUES = 64_000_000
+from ..functions.scalars import PI2, clip, num
+from . import tiles
 
 
 @dataclass(frozen=True)
@@ -38,11 +37,12 @@ class Fan:
         return (self.phi1 - self.phi0) / max(self.cols - 1, 1)
 
 
-def pad_theta(polar: DataFrame, n: int, pad: int = 1) -> DataFrame:
+def pad_theta(polar: DataFrame, n: int | Column, pad: int = 1) -> DataFrame:
     """Frames -pad..n+pad-1 as 0..n+2*pad-1: copies of the last and first frames stand before and after."""
+    n = n if isinstance(n, Column) else F.lit(n)
     inner = polar.withColumn("k", F.col("k") + pad)
-    before = polar.where(F.col("k") >= n - pad).withColumn("k", F.col("k") - n + pad)
-    after = polar.where(F.col("k") < pad).withColumn("k", F.col("k") + n + pad)
+    before = polar.where(F.col("k") >= n - pad).withColumn("k", (F.col("k") - n + pad).cast("int"))
+    after = polar.where(F.col("k") < pad).withColumn("k", (F.col("k") + n + pad).cast("int"))
     return before.unionByName(inner).unionByName(after)
 
 
@@ -52,47 +52,71 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[tuple[int, flo
     return [(x, y / sum(w)) for x, y in zip(range(-radius, radius + 1), w, strict=True)]
 
 
-def gaussian_theta(polar: DataFrame, n: int, sigma: float) -> DataFrame:
+def gaussian_taps(sigma: Column, truncate: float = 4.0) -> Column:
+    """The same weights as an array of (o, w), where sigma differs from scan to scan."""
+    radius = F.floor(truncate * sigma + 0.5).cast("int")
+    raw = F.transform(F.sequence(-radius, radius), lambda o: F.struct(o.alias("o"), F.exp(-0.5 * (o / sigma) ** 2).alias("w")))
+    total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x["w"])
+    return F.transform(raw, lambda x: F.struct(x["o"].alias("o"), (x["w"] / total).alias("w")))
+
+
+def gaussian_theta(polar: DataFrame, n: int | Column, sigma: float | Column, by: Sequence[str] = ()) -> DataFrame:
     """Smoothed along the sweep, around the circle. A frame is sent to the frames it counts for; sums merge from partials."""
-    taps = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in gaussian_weights(sigma)])
-    sent = polar.select("k", "r", "p", "v", F.explode(taps).alias("t"))
-    return sent.groupBy(F.pmod(F.col("k") + F.col("t.o"), F.lit(n)).cast("int").alias("k"), "r", "p").agg(F.sum(F.col("v") * F.col("t.w")).alias("v"))
+    taps = gaussian_taps(sigma) if isinstance(sigma, Column) else F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in gaussian_weights(sigma)])
+    sent = polar.select(*by, "k", "r", "p", "v", (n if isinstance(n, Column) else F.lit(n)).alias("around"), F.explode(taps).alias("t"))
+    return sent.groupBy(*by, F.pmod(F.col("k") + F.col("t.o"), F.col("around")).cast("int").alias("k"), "r", "p").agg(F.sum(F.col("v") * F.col("t.w")).alias("v"))
 
 
 def axis_count(depth_mm: float, voxel_mm: float) -> int:
     return math.ceil(2 * depth_mm / voxel_mm)
 
 
-def axis_value(i: Column, depth_mm: float, n: int) -> Column:
+def axis_value(i: Column, depth_mm: float | Column, n: int | Column) -> Column:
     """Points from -depth to depth, kept in single precision as the grid's axes are."""
-    return (F.lit(-depth_mm) + F.lit(2.0 * depth_mm) * i / F.lit(float(max(n - 1, 1)))).cast("float").cast("double")
+    steps = F.greatest(num(n) - 1.0, F.lit(1.0))
+    return (-num(depth_mm) + 2.0 * num(depth_mm) * i / steps).cast("float").cast("double")
+
+
+def _rows_in_fan(columns: DataFrame, keep: Sequence[str], n: int | Column, depth: float | Column, phi0: float | Column, phi1: float | Column, along_x: bool | Column) -> DataFrame:
+    """columns (keep, ix, iy) with all iz inside the fan; ranges are bounded first, then joined."""
+    columns = columns.withColumns({"x": axis_value(F.col("ix"), depth, n), "y": axis_value(F.col("iy"), depth, n)})
+    # A fan that opens along +x: half of the columns hold no cell.
+    columns = columns.where(~(along_x if isinstance(along_x, Column) else F.lit(along_x)) | (F.col("x") >= -1e-6))
+    columns = columns.where(F.col("x") ** 2 + F.col("y") ** 2 <= num(depth) * num(depth) * 1.0001)
+    last = n - 1 if isinstance(n, Column) else F.lit(n - 1)
+    rows = columns.withColumn("iz", F.explode(F.sequence(F.lit(0), last))).withColumn("z", axis_value(F.col("iz"), depth, n))
+    rho = F.sqrt(F.col("y") ** 2 + F.col("z") ** 2)
+    rows = rows.withColumn("rho", rho).withColumns({"r_mm": F.sqrt(F.col("x") ** 2 + F.col("rho") ** 2), "phi": F.atan2(F.col("rho"), F.col("x")), "psi": F.pmod(F.atan2(F.col("z"), F.col("y")), F.lit(PI2))})
+    return rows.where((F.col("r_mm") <= num(depth)) & (F.col("phi") >= num(phi0)) & (F.col("phi") <= num(phi1))).select(*keep, "ix", "iy", "iz", "r_mm", "phi", "psi")
 
 
 def valid_cells(spark: SparkSession, fan: Fan, voxel_mm: float) -> DataFrame:
-    """(ix, iy, iz, r_mm, phi, psi) of the cells inside the fan; ranges are bounded first, then joined.
+    """(ix, iy, iz, r_mm, phi, psi) of the cells inside the fan.
 
     Rows are made in place, by depth slab: nothing is shuffled and no cell outside is kept.
     """
     n = axis_count(fan.depth_mm, voxel_mm)
     cells = spark.range(0, n * n, 1, max(1, min(n, 512))).select((F.col("id") / n).cast("int").alias("ix"), (F.col("id") % n).cast("int").alias("iy"))
-    x, y = axis_value(F.col("ix"), fan.depth_mm, n), axis_value(F.col("iy"), fan.depth_mm, n)
-    columns = cells.withColumns({"x": x, "y": y})
-    if fan.phi0 >= 0 and fan.phi1 <= math.pi / 2:
-        columns = columns.where("x >= -1e-6")  # the fan opens along +x: half of the columns hold no cell
-    columns = columns.where(F.col("x") ** 2 + F.col("y") ** 2 <= fan.depth_mm**2 * 1.0001)
-    rows = columns.withColumn("iz", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("z", axis_value(F.col("iz"), fan.depth_mm, n))
-    rho = F.sqrt(F.col("y") ** 2 + F.col("z") ** 2)
-    rows = rows.withColumn("rho", rho).withColumns({"r_mm": F.sqrt(F.col("x") ** 2 + F.col("rho") ** 2), "phi": F.atan2(F.col("rho"), F.col("x")), "psi": F.pmod(F.atan2(F.col("z"), F.col("y")), F.lit(PI2))})
-    return rows.where((F.col("r_mm") <= fan.depth_mm) & (F.col("phi") >= fan.phi0) & (F.col("phi") <= fan.phi1)).select("ix", "iy", "iz", "r_mm", "phi", "psi")
+    return _rows_in_fan(cells, (), n, fan.depth_mm, fan.phi0, fan.phi1, fan.phi0 >= 0 and fan.phi1 <= math.pi / 2)
+
 
+def scan_cells(scans: DataFrame, by: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """The same for many scans (by, depth, phi0, phi1, voxel_mm and the columns to keep): planes are dealt out to tasks, cells made in place."""
+    planes = scans.withColumn("side", F.ceil(2.0 * F.col("depth") / F.col("voxel_mm")).cast("int"))
+    planes = planes.withColumn("ix", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
+    # Planes are small and what is made of them is not: a given number of tasks is not coalesced.
+    spread = planes.repartition(int(scans.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "ix")
+    columns = spread.withColumn("iy", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
+    return _rows_in_fan(columns, [*by, *keep], F.col("side"), F.col("depth"), F.col("phi0"), F.col("phi1"), (F.col("phi0") >= 0) & (F.col("phi1") <= math.pi / 2))
 
-def interp_knots(theta: Column, knots: Column, size: int | None = None) -> Column:
+
+def interp_knots(theta: Column, knots: Column, size: int | None = None, most: int | None = None) -> Column:
     """Position of theta between sorted knots (an array), linear between and held at the ends.
 
-    With the size known, the interval is found by bisection, else by counting knots.
+    With the size known, or a bound of it (most), the interval is found by bisection, else by counting knots.
     """
     n = F.size(knots)
-    if size is None:
+    if size is None and most is None:
         at = F.size(F.filter(knots, lambda x: x <= theta))  # knots at or before theta
     else:
 
@@ -101,8 +125,8 @@ def interp_knots(theta: Column, knots: Column, size: int | None = None) -> Colum
             before = (s["lo"] < s["hi"]) & (F.element_at(knots, F.least(mid + 1, n)) <= theta)
             return F.struct(F.when(before, mid + 1).otherwise(s["lo"]).alias("lo"), F.when((s["lo"] < s["hi"]) & ~before, mid).otherwise(s["hi"]).alias("hi"))
 
-        start = F.struct(F.lit(0).alias("lo"), F.lit(size).alias("hi"))
-        at = F.aggregate(F.sequence(F.lit(1), F.lit(size.bit_length() + 1)), start, halve, lambda s: s["lo"])
+        start = F.struct(F.lit(0).alias("lo"), (n if size is None else F.lit(size)).alias("hi"))
+        at = F.aggregate(F.sequence(F.lit(1), F.lit((size or most).bit_length() + 1)), start, halve, lambda s: s["lo"])
     lo = F.element_at(knots, F.greatest(at, F.lit(1)))
     hi = F.element_at(knots, F.least(at + 1, n))
     inside = (at - 1) + (theta - lo) / F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
@@ -125,6 +149,22 @@ def sample_positions(cells: DataFrame, fan: Fan, knots: list[float], pad: int =
     }).drop("theta")
 
 
+def scan_positions(cells: DataFrame, pad: int = 1) -> DataFrame:
+    """The same for cells of many scans, which carry rows, cols, dr, phi0, per_px, n and knots as columns."""
+    span, n = F.greatest(F.element_at("knots", -1) - F.element_at("knots", 1), F.lit(1e-6)), F.size("knots")
+    before = F.transform(F.slice("knots", F.greatest(n - pad + 1, F.lit(1)), F.lit(pad)), lambda x: x - span)
+    after = F.transform(F.slice("knots", F.lit(1), F.lit(pad)), lambda x: x + span)
+    table = F.concat(before, F.col("knots"), after)
+    cells = cells.withColumn("table", table)
+    theta = clip(F.col("psi") / F.lit(PI2) * span + F.element_at("knots", 1), F.element_at("table", 1), F.element_at("table", -1))
+    cells = cells.withColumn("theta", theta)
+    return cells.withColumns({
+        "r_idx": clip(F.col("r_mm") / F.col("dr"), 0.0, F.col("rows") - 1 - 1e-3),
+        "p_idx": clip((F.col("phi") - F.col("phi0")) / F.col("per_px"), 0.0, F.col("cols") - 1 - 1e-3),
+        "k_idx": clip(interp_knots(F.col("theta"), F.col("table"), most=1 << 16), 0.0, F.size("table") - 1 - 1e-6),
+    }).drop("theta", "table", "knots")
+
+
 def older_positions(cells: DataFrame, fan: Fan, n: int) -> DataFrame:
     """The older rule: frames evenly over the circle, no padding."""
     return cells.withColumns({
@@ -134,23 +174,14 @@ def older_positions(cells: DataFrame, fan: Fan, n: int) -> DataFrame:
 
 
 def trilinear(samples: DataFrame, polar: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and v: weighted sum over the eight corners, by an equi-join on (r, p, k). A corner outside counts 0."""
-    corners = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dp"), F.lit(c).alias("dk")) for a in (0, 1) for b in (0, 1) for c in (0, 1)])
-    at = {f"{x}0": F.floor(f"{x}_idx").cast("int") for x in "rpk"}
-    rows = samples.withColumns(at).withColumn("c", F.explode(corners))
-    w = F.lit(1.0)
-    for x in "rpk":
-        f = F.col(f"{x}_idx") - F.col(f"{x}0")
-        w = w * F.when(F.col(f"c.d{x}") == 1, f).otherwise(1.0 - f)
-    rows = rows.select(*keys, *((F.col(f"{x}0") + F.col(f"c.d{x}")).alias(x) for x in "rpk"), w.alias("w")).where("w <> 0")
-    met = rows.join(polar.select("r", "p", "k", "v"), ["r", "p", "k"], "left")
-    return met.groupBy(*keys).agg(F.sum(F.col("w") * F.coalesce("v", F.lit(0.0))).alias("v"))
+    """keys and v: weighted sum over the eight corners, read in tiles of lines. A corner outside counts 0."""
+    return tiles.linear(samples, polar, keys)
 
 
-def nearest(samples: DataFrame, polar: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and v of the nearest sample."""
-    at = samples.select(*keys, *(F.floor(F.col(f"{x}_idx") + 0.5).cast("int").alias(x) for x in "rpk"))
-    return at.join(polar.select("r", "p", "k", "v"), ["r", "p", "k"], "left").select(*keys, F.coalesce("v", F.lit(0.0)).alias("v"))
+def nearest(samples: DataFrame, polar: DataFrame, keys: list[str], by: Sequence[str] = ()) -> DataFrame:
+    """by, keys and v of the nearest sample."""
+    at = samples.select(*by, *keys, *(F.floor(F.col(f"{x}_idx") + 0.5).cast("int").alias(x) for x in "rpk"))
+    return at.join(polar.select(*by, "r", "p", "k", "v"), [*by, "r", "p", "k"], "left").select(*by, *keys, F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
 def spline_coefficients(line: np.ndarray, order: int, axis: int) -> np.ndarray:
@@ -200,29 +231,14 @@ def sample_stack(stack: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
 
 
 def spline_sample(samples: DataFrame, polar: DataFrame, shape: tuple[int, int, int], keys: list[str], order: int = 3) -> DataFrame:
-    """keys and v by spline interpolation of any order from 0 to 5, in Arrow batches against the whole stack.
+    """keys and v by spline interpolation of any order from 0 to 5, tile by tile; shape: rows, columns and frames of the stack."""
+    return nearest_clipped(samples, polar, shape, keys) if order == 0 else tiles.spline(samples, polar, shape, keys, order)
 
-    The stack (r, p, k of the given shape) is sent to all workers, so its size is checked first.
-    """
-    if math.prod(shape) > BROADCAST_VALUES:
-        raise ValueError(f"a stack of {math.prod(shape)} values is too large to broadcast; use trilinear()")
-    import pandas as pd
-
-    stack = np.zeros(shape)
-    got = polar.select("r", "p", "k", "v").toPandas()
-    stack[got["r"], got["p"], got["k"]] = got["v"]
-    if order >= 3:
-        for axis in range(3):
-            stack = spline_coefficients(stack, order, axis)
-    sent = samples.sparkSession.sparkContext.broadcast(stack)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in samples.select(*keys).schema)
-
-    def run(batches):
-        for b in batches:
-            at = b[["r_idx", "p_idx", "k_idx"]].to_numpy(float).T
-            yield pd.concat([b[keys], pd.Series(sample_stack(sent.value, at, order), index=b.index, name="v")], axis=1)
-
-    return samples.select(*keys, "r_idx", "p_idx", "k_idx").mapInPandas(run, f"{schema}, v double")
+
+def nearest_clipped(samples: DataFrame, polar: DataFrame, shape: tuple[int, int, int], keys: list[str]) -> DataFrame:
+    """The nearest sample, of those inside the stack."""
+    inside = samples.withColumns({f"{x}_idx": clip(F.col(f"{x}_idx"), 0.0, n - 1.0) for x, n in zip("rpk", shape, strict=True)})
+    return nearest(inside, polar, keys)
 
 
 def phantom_stack(spark: SparkSession, kind: str, rows: int, cols: int, frames: int) -> DataFrame:

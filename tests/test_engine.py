@@ -395,3 +395,82 @@ def test_ranks_of_all_rows(spark):
     want = sorted(rows, key=lambda r: (-r[1], r[0]))
     assert got == {i: k + 1 for k, (i, _) in enumerate(want)}
     assert ranked(df.limit(0), ["v"], "n").count() == 0
+
+
+def random_stack(spark, shape, seed=0, holes=0):
+    rng = np.random.default_rng(seed)
+    values = rng.normal(0, 1, shape)  # rows, columns, frames
+    cells = [(int(k), int(r), int(p), float(v)) for (r, p, k), v in np.ndenumerate(values)]
+    gone = set(rng.choice(len(cells), holes, replace=False).tolist())
+    for i in gone:
+        k, r, p, _ = cells[i]
+        values[r, p, k] = 0.0
+    return values, spark.createDataFrame([c for i, c in enumerate(cells) if i not in gone], "k int, r int, p int, v double").repartition(3)
+
+
+@pytest.mark.parametrize("order,holes", [(1, 0), (1, 300), (0, 40), (2, 0), (3, 0), (3, 50), (4, 0), (5, 0)])
+def test_tiled_resampling_equals_the_dense_array(spark, order, holes):
+    shape = (19, 23, 21)
+    values, stack = random_stack(spark, shape, order, holes)
+    rng = np.random.default_rng(order + 10)
+    at = np.array([rng.uniform(0, n - 1, 400) for n in shape])
+    at[:, :8] = np.array([[0.0, n - 1.0] for n in shape])[np.arange(3)[:, None], np.array([[i >> d & 1 for i in range(8)] for d in range(3)])]
+    samples = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(at.T)], "i int, r_idx double, p_idx double, k_idx double")
+    got = {r["i"]: r["v"] for r in recon.spline_sample(samples, stack, shape, ["i"], order).collect()}
+    dense = values
+    if order >= 3:
+        for axis in range(3):
+            dense = recon.spline_coefficients(dense, order, axis)
+    want = recon.sample_stack(dense, at, order)
+    assert [got[i] for i in range(at.shape[1])] == pytest.approx(want.tolist(), abs=1e-9)
+    if order >= 3 and not holes:  # the spline goes through its values
+        assert recon.sample_stack(dense, np.array([[5.0], [7.0], [9.0]]), order)[0] == pytest.approx(values[5, 7, 9])
+    if order == 1:
+        lin = {r["i"]: r["v"] for r in recon.trilinear(samples, stack, ["i"]).collect()}
+        assert [lin[i] for i in range(at.shape[1])] == pytest.approx(want.tolist(), abs=1e-9)
+
+
+def test_tiled_resampling_has_no_rows_by_corner(spark):
+    _, stack = random_stack(spark, (4, 4, 4))
+    samples = spark.range(10).select("id", *(F.lit(1.5).alias(f"{x}_idx") for x in "rpk"))
+    plan = recon.trilinear(samples, stack, ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and plan.count("Join") == 1  # lines are sent to their tiles, samples are not exploded
+
+
+def test_registration_by_lots_equals_frame_by_frame(spark):
+    values, stack = random_stack(spark, (20, 32, 40), 3)
+    for k in range(40):
+        values[:, :, k] = np.roll(values[:, :, 20], (k % 3, k % 5), (0, 1)) if k != 20 else values[:, :, 20]
+    stack = spark.createDataFrame([(int(k), int(r), int(p), float(v)) for (r, p, k), v in np.ndenumerate(values)], "k int, r int, p int, v double")
+    got = {r["k"]: (r["dr"], r["dphi"]) for r in registration.estimate_shifts(stack, 20, 32, 20).collect()}
+    roi = values[4:18, 1:30, :]
+    for k in range(40):
+        assert got[k] == pytest.approx(registration.phase_shift(roi[:, :, 20], roi[:, :, k]), abs=1e-9)
+
+
+@pytest.mark.parametrize("register,sigma", [(False, 0.0), (True, 20.0)])
+def test_many_scans_equal_each_scan_alone(spark, register, sigma):
+    from dataclasses import replace
+
+    from sweepgrid.plans import scans as many
+    from sweepgrid.plans.sweep import SweepOptions, reconstruct
+
+    o = SweepOptions(voxel_mm=3.0, registration=register, sigma_theta_deg=sigma, blend_frames=2)
+    shapes = {"a": (16, 12, 9, 12.0, 50.0), "b": (10, 20, 5, 15.0, 40.0), "c": (12, 12, 14, 10.0, 60.0)}
+    rows, table = [], []
+    for i, (name, (r, p, k, depth, fan)) in enumerate(shapes.items()):
+        values, _ = random_stack(spark, (r, p, k), i)
+        rows += [(name, int(z), int(x), int(y), float(v)) for (x, y, z), v in np.ndenumerate(values)]
+        table.append((name, r, p, 0.0, math.radians(fan), depth))
+    rows.append(("no settings", 0, 0, 0, 1.0))
+    stack = spark.createDataFrame(rows, "scan_id string, k int, r int, p int, v double")
+    scans = spark.createDataFrame([*table, ("no frames", 4, 4, 0.0, 1.0, 9.0)], "scan_id string, rows int, cols int, phi0 double, phi1 double, depth double")
+    got = many.reconstruct(stack, scans, o)
+    cuts = {r["scan_id"]: r["cut"] for r in got.scans.collect()}
+    found = {(r["scan_id"], r["ix"], r["iy"], r["iz"]): r["v"] for r in got.voxels.collect()}
+    want = {}
+    for name, (r, p, _, depth, fan) in shapes.items():
+        one = reconstruct(spark, stack.where(F.col("scan_id") == name).drop("scan_id"), recon.Fan(depth, 0.0, math.radians(fan), r, p), replace(o, depth_mm=depth))
+        assert cuts[name] == one.cut
+        want |= {(name, x["ix"], x["iy"], x["iz"]): x["v"] for x in one.voxels.collect()}
+    assert set(cuts) == set(shapes) and found == pytest.approx(want, abs=1e-9)
