@@ -13,15 +13,16 @@ differ by no more than their own. The join works down through regions of the spa
    intersection that a document can have with a partner). Each such shingle names a pivot, the document that
    meets most others, so that a few pivots stand for all shingles of a family, and every document's
    distance from its pivots is measured. Documents within the radius of their pivot are linked with it.
-3. **Windows.** A region holds what is left to be joined: documents that are not linked with
-   their pivot, and those linked ones that are within the radius of one of them by their distance from the pivot.
+3. **Windows.** A region holds what is left to be joined: documents that no links join with
+   their pivot, and those joined ones that are within the radius of one of them by their distance from the pivot.
 4. **Voronoi regions.** A region too large for a task draws new pivots from its own documents. A
    document belongs to the cell of its nearest pivot and is replicated to each other one
    that is no further than twice the radius beyond: if x has its home at p and y is within the radius r of x, then
-   d(y, p) <= d(x, p) + r <= d(x, q) + r <= d(y, q) + 2r for the home q of y. The cells are joined in the same way.
-5. **Leaves.** A region that fits is joined in one task, set by set. A cell that hardly got
-   smaller holds documents that are all about as far from each other as from the pivot, which
-   distances cannot split: its documents are joined on their differences from the pivot (`probminhash.differences`, exact).
+   d(y, p) <= d(x, p) + r <= d(x, q) + r <= d(y, q) + 2r for the home q of y. The cells are joined in the same way,
+   without what the new pivots' links have joined. A region that hardly gets smaller by cells draws again as it is.
+5. **Leaves.** A region that fits is joined in one task, set by set. One that still does not, after all draws, holds
+   documents that are all about as far from each other as from their pivots, which distances cannot split: what
+   no pivot joined is sought by the differences from the pivot (`probminhash.differences`, exact).
 
 Only links that join components are kept, so no step emits all pairs of a region.
 """
@@ -47,8 +48,8 @@ WORDS, PERCENT = 3, 90
 CHUNK_BYTES = 4_000_000
 #: Documents and shingles of a region that one task joins.
 LEAF, LEAF_SHINGLES = 64, 2_000_000
-#: Pivots that a large region draws, and how often cells are split again.
-PIVOTS, ROUNDS = 8, 12
+#: Pivots that a large region draws at a time, and how often regions draw.
+PIVOTS, ROUNDS = 8, 10
 #: Slack of comparisons in floating point; it only keeps more documents.
 SLACK = 1e-9
 
@@ -164,27 +165,33 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(placed: DataFrame, labels: DataFrame, sets: DataFrame, radius: float) -> DataFrame:
-    """placed (rid, uid, pid, d, linked, ...) with label, of those regions and documents that are still to be joined, and the region's count and shingles.
+    """Of placed (rid, uid, pid, d, ...) what is still to be joined, with label, joined (same label as the pivot), and the region's count and shingles.
 
-    A document that is not linked with the pivot is a candidate; a linked one only within the radius of such a one.
+    A document with another label than the pivot's is apart from it. All pairs with different labels hold such a one, so a
+    joined document matters only if an apart one is within the radius of it by their distances from the pivot.
     """
-    known = placed.join(labels.select(F.col("node").alias("uid"), "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-    known = cut(known)
-    ends = known.groupBy("rid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.when(~F.col("linked"), F.col("d"))).alias("near"))
-    kept = known.join(ends.where("lo <> hi AND near IS NOT NULL").select("rid", "near"), "rid").where(~F.col("linked") | (F.col("d") >= F.col("near") - radius - SLACK)).drop("near")
-    kept = cut(kept)
+    named = labels.select(F.col("node").alias("uid"), "label")
+    known = placed.drop("label", "joined", "count", "shingles").join(named, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    known = known.join(named.select(F.col("uid").alias("pid"), F.col("label").alias("of_pivot")), "pid", "left")
+    known = cut(known.withColumn("joined", F.col("label") == F.coalesce("of_pivot", "pid")).drop("of_pivot"))
+    ends = known.groupBy("rid").agg(F.min(F.when(~F.col("joined"), F.col("d"))).alias("near"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi AND near IS NOT NULL")
+    kept = cut(known.join(ends.select("rid", "near"), "rid").where(~F.col("joined") | (F.col("d") >= F.col("near") - radius - SLACK)).drop("near"))
     size = kept.join(sets.select("uid", "n"), "uid").groupBy("rid").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("shingles")).where("count > 1")
     return kept.join(size, "rid")
 
 
-def _cells(regions: DataFrame, sets: DataFrame, percent: int, radius: float, turn: int) -> DataFrame:
-    """regions (rid, uid, count) -> (rid, uid, pid, d, linked, parent_count): Voronoi cells of new pivots with their windows."""
+def _drawn(regions: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(parent, uid, pid, d, linked): the distances of all documents of a region from new pivots of it."""
     order = F.xxhash64("uid", F.lit(turn))
-    drawn = regions.groupBy("rid", F.pmod(order, F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct(order.alias("o"), F.col("uid"))).alias("p")).select("rid", F.col("p.uid").alias("pid"))
-    measured = cut(_measured(regions.select("rid", "uid", F.col("count").alias("parent_count")).join(drawn, "rid"), sets, percent))
-    home = F.min("d").over(Window.partitionBy("rid", "uid"))
-    near = measured.withColumn("home", home).where(F.col("d") <= F.col("home") + 2 * radius + SLACK).drop("home")
-    return near.withColumn("rid", F.xxhash64("rid", "pid"))
+    pivots = regions.groupBy("rid", F.pmod(order, F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct(order.alias("o"), F.col("uid"))).alias("p")).select(F.col("rid").alias("parent"), F.col("p.uid").alias("pid"))
+    return cut(_measured(regions.select(F.col("rid").alias("parent"), "uid").join(pivots, "parent"), sets, percent))
+
+
+def _cells(measured: DataFrame, radius: float) -> DataFrame:
+    """(rid, parent, uid, pid, d): the Voronoi cells of the pivots with their windows."""
+    home = F.min("d").over(Window.partitionBy("parent", "uid"))
+    near = measured.withColumn("home", home).where(F.col("d") <= F.col("home") + 2 * radius + SLACK)
+    return near.select(F.xxhash64("parent", "pid").alias("rid"), "parent", "uid", "pid", "d")
 
 
 def _leaf_links(leaves: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -220,31 +227,35 @@ def _links(near: DataFrame, percent: int) -> DataFrame:
     named = cut(members.groupBy("h").agg(F.max(F.struct("degree", (-F.col("uid")).alias("minus"))).alias("top")).select("h", (-F.col("top.minus")).alias("pid")))
     star = members.join(named, "h").select(F.col("pid").alias("rid"), "uid", "pid").distinct()
     placed = cut(_measured(star, sets, percent))
-    links = [placed.where("linked AND uid <> pid").select(F.col("uid").alias("u"), F.col("pid").alias("v"))]
+    linked = lambda df: df.where("linked AND uid <> pid").select(F.col("uid").alias("u"), F.col("pid").alias("v"))
+    links = [linked(placed)]
     labels = components(links[0])
 
-    regions = cut(_open(placed, labels, sets, radius))
     fits = (F.col("count") <= 2) | (F.col("count") <= LEAF) & (F.col("shingles") <= LEAF_SHINGLES)
-    leaves, stuck = [regions.where(fits)], []
-    regions = regions.where(~fits)
+    now = cut(_open(placed.select("rid", "uid", "pid", "d"), labels, sets, radius))
+    leaves, regions = [now.where(fits)], now.where(~fits)
     for turn in range(ROUNDS):
         if regions.isEmpty():
             break
-        cells = _cells(regions, sets, percent, radius, turn)
-        cells = cut(cells)
-        links.append(cells.where("linked AND uid <> pid").select(F.col("uid").alias("u"), F.col("pid").alias("v")).distinct())
-        cells = cut(_open(cells, labels, sets, radius))
-        # A cell that is hardly smaller than its region would not get smaller by other pivots either.
-        same = (4 * F.col("count") > 3 * F.col("parent_count")) if turn + 1 < ROUNDS else F.lit(True)
-        leaves.append(cells.where(fits))
-        stuck.append(cells.where(~fits & same))
-        regions = cells.where(~fits & ~same)
+        measured = _drawn(regions, sets, percent, turn)
+        links.append(linked(measured).distinct())
+        # What new pivots link is joined from now on, in all regions.
+        labels = components(cut(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(links[-1])))
+        whole = cut(_open(regions, labels, sets, radius))
+        cells = cut(_open(_cells(measured, radius), labels, sets, radius))
+        # Where a cell is hardly smaller than its region, distances do not split it: the region stays as it is and draws other pivots.
+        before = whole.select(F.col("rid").alias("parent"), F.col("count").alias("all")).distinct()
+        largest = cells.groupBy("parent").agg(F.max("count").alias("most"))  # none open: nothing is left of the region
+        split = cut(before.join(largest, "parent", "left").where("4 * coalesce(most, 0) <= 3 * all").select("parent"))
+        kept = whole.join(split.select(F.col("parent").alias("rid")), "rid", "left_anti")
+        now = cut(cells.join(split, "parent", "left_semi").drop("parent").unionByName(kept))
+        leaves.append(now.where(fits))
+        regions = now.where(~fits)
     for some in leaves:
         links.append(_leaf_links(some, sets, percent))
-    for some in stuck:
-        if not some.isEmpty():
-            hubs = some.select("uid", F.col("pid").alias("hub"), "linked", "label").distinct()
-            links.append(_measured(differences(hubs, sets, percent / 100).select(F.col("a").alias("uid"), F.col("b").alias("pid")), sets, percent).where("linked").select(F.col("uid").alias("u"), F.col("pid").alias("v")))
+    if not regions.isEmpty():
+        hubs = regions.select("uid", F.col("pid").alias("hub"), F.col("joined").alias("linked"), "label").distinct()
+        links.append(linked(_measured(differences(hubs, sets, percent / 100).select(F.col("a").alias("uid"), F.col("b").alias("pid")), sets, percent)))
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)

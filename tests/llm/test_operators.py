@@ -729,9 +729,9 @@ def families(rnd):
     return [(i, " ".join(w)) for i, w in enumerate(texts)]
 
 
-@pytest.mark.parametrize("leaf,pivots,chunk", [(64, 8, 4_000_000), (3, 2, 20_000), (1, 3, 60_000)])
-def test_jaccard_join(spark, monkeypatch, leaf, pivots, chunk):
-    for name, value in (("LEAF", leaf), ("PIVOTS", pivots), ("CHUNK_BYTES", chunk)):
+@pytest.mark.parametrize("leaf,pivots,rounds,chunk", [(64, 8, 10, 4_000_000), (3, 2, 2, 20_000)])
+def test_jaccard_join(spark, monkeypatch, leaf, pivots, rounds, chunk):
+    for name, value in (("LEAF", leaf), ("PIVOTS", pivots), ("ROUNDS", rounds), ("CHUNK_BYTES", chunk)):
         monkeypatch.setattr(metricjoin, name, value)
     rows = families(random.Random(12))
     rows += rows[:40] + [(5000, None), (5001, ""), (None, " \n"), (None, rows[3][1]), (7, "other text"), (7, "Other Text"), (None, "alone"), (5002, "a b"), (5003, "A  B")]
