@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_percentile
 from ..functions.scalars import affine, clip, half_even, symmetric_eigenvalues
 from ..functions.session import cut, few
+from . import blocks
 
 AXES = ("ix", "iy", "iz")
 
@@ -124,42 +126,26 @@ def crop(voxels: DataFrame, lo: Sequence[int], hi: Sequence[int]) -> DataFrame:
     return kept.withColumns({a: F.col(a) - x for a, x in zip(AXES, lo, strict=True)})
 
 
-def _neighbours(voxels: DataFrame, offsets: Sequence[Sequence[int]], shape: Sequence[int], repeat_edge: bool) -> DataFrame:
-    """Each voxel's value sent to the cells of which it is a neighbour at one of the offsets.
-
-    repeat_edge: beyond the border stands the nearest cell inside, so border cells are sent more than once.
-    """
-    pulled = F.array(*[F.struct(*(F.lit(d).alias(a) for a, d in zip(AXES, o, strict=True))) for o in offsets])
-    cells = dense_cells(voxels.sparkSession, shape).withColumn("o", F.explode(pulled))
-    at = [F.col(a) + F.col(f"o.{a}") for a in AXES]
-    if repeat_edge:
-        at = [clip(x, 0.0, n - 1.0) for x, n in zip(at, shape, strict=True)]
-    wanted = cells.select(*(F.col(a).alias(f"c{a}") for a in AXES), *(x.cast("int").alias(a) for x, a in zip(at, AXES, strict=True)), F.col("o"))
-    met = wanted.join(voxels.select(*AXES, F.col("v").cast("double").alias("v")), list(AXES), "left")
-    return met.select(*(F.col(f"c{a}").alias(a) for a in AXES), F.col("o"), F.coalesce("v", F.lit(0.0)).alias("v"))
-
-
 def dense_cells(spark, shape: Sequence[int]) -> DataFrame:
     nx, ny, nz = shape
     i = F.col("id")
     return spark.range(nx * ny * nz).select((i / (ny * nz)).cast("int").alias("ix"), ((i / nz).cast("long") % ny).cast("int").alias("iy"), (i % nz).cast("int").alias("iz"))
 
 
-def box_offsets(radius: int) -> list[tuple[int, int, int]]:
-    r = range(-radius, radius + 1)
-    return [(a, b, c) for a in r for b in r for c in r]
-
-
 def median_filter(voxels: DataFrame, shape: Sequence[int], radius: int = 1) -> DataFrame:
     """Median over a cube around each cell, the border repeated; dense result."""
-    return _neighbours(voxels, box_offsets(radius), shape, True).groupBy(*AXES).agg(F.median("v").alias("v"))
+    if radius == 0:
+        return blocks.unpack(blocks.pack(voxels, shape), shape)
+    return blocks.unpack(blocks.stencil(blocks.pack(voxels, shape), shape, radius, lambda a: blocks.medians(a, radius)), shape)
 
 
 def binary_closing(cells: DataFrame, shape: Sequence[int], radius: int = 1) -> DataFrame:
     """Cells of the closing of a set by a cube; outside is off for the dilation and on for the erosion."""
-    on = cells.select(*AXES, F.lit(1.0).alias("v")).distinct()
-    wide = _neighbours(on, box_offsets(radius), shape, True).groupBy(*AXES).agg(F.max("v").alias("v"))
-    return _neighbours(wide, box_offsets(radius), shape, True).groupBy(*AXES).agg(F.min("v").alias("v")).where("v > 0").select(*AXES)
+    on = blocks.pack(cells.select(*AXES, F.lit(1.0).alias("v")), shape)
+    if radius:
+        for best in (np.max, np.min):
+            on = blocks.stencil(on, shape, radius, lambda a, best=best: blocks.running(a, radius, best))
+    return blocks.unpack(on, shape).where("v > 0").select(*AXES)
 
 
 def apply_mask(voxels: DataFrame, cells: DataFrame) -> DataFrame:
@@ -168,13 +154,8 @@ def apply_mask(voxels: DataFrame, cells: DataFrame) -> DataFrame:
 
 def gradient_magnitude(voxels: DataFrame, shape: Sequence[int], spacing: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """Length of the central-difference gradient at each cell, the border repeated; dense result."""
-    steps = [tuple(s if i == a else 0 for i in range(3)) for a in range(3) for s in (-1, 1)]
-    near = _neighbours(voxels, steps, shape, True)
-    parts = []
-    for a, h in zip(AXES, spacing, strict=True):
-        parts.append(F.sum(F.when(F.col(f"o.{a}") != 0, F.col("v") * F.col(f"o.{a}")).otherwise(0.0)) / F.lit(2.0 * h))
-    g = near.groupBy(*AXES).agg(*[p.alias(f"g{i}") for i, p in enumerate(parts)])
-    return g.select(*AXES, F.sqrt(sum((F.col(f"g{i}") ** 2 for i in range(3)), F.lit(0.0))).alias("v"))
+    spacing = tuple(spacing)
+    return blocks.unpack(blocks.stencil(blocks.pack(voxels, shape), shape, 1, lambda a: blocks.gradient_length(a, spacing)), shape)
 
 
 def quality(voxels: DataFrame, shape: Sequence[int], spacing: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:
@@ -188,29 +169,8 @@ def quality(voxels: DataFrame, shape: Sequence[int], spacing: Sequence[float] =
 
 def curvature_diffusion(voxels: DataFrame, shape: Sequence[int], rounds: int = 5, conductance: float = 2.0, step: float = 0.01) -> DataFrame:
     """Edge-preserving smoothing: flow by curvature, slowed where the gradient is large against its mean (after Whitaker
-    and Xue 2001, on unit spacing). Each round is one stencil join; lineage is cut by a checkpoint."""
-    now = voxels
-    for _ in range(rounds):
-        near = _neighbours(now, box_offsets(1), shape, True)
-        take = {o: F.max(F.when((F.col("o.ix") == o[0]) & (F.col("o.iy") == o[1]) & (F.col("o.iz") == o[2]), F.col("v"))) for o in box_offsets(1) if sum(map(abs, o)) <= 2}
-        name = {o: "n_" + "".join("mzp"[d + 1] for d in o) for o in take}
-        g = near.groupBy(*AXES).agg(*[e.alias(name[o]) for o, e in take.items()])
-        v = {o: F.col(n) for o, n in name.items()}
-        unit = [tuple(int(i == a) for i in range(3)) for a in range(3)]
-        minus = lambda o: tuple(-x for x in o)
-        plus = lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True))
-        c = v[(0, 0, 0)]
-        d1 = [(v[u] - v[minus(u)]) / 2.0 for u in unit]
-        d2 = [v[u] - 2.0 * c + v[minus(u)] for u in unit]
-        mixed = {(i, j): (v[plus(unit[i], unit[j])] - v[plus(unit[i], minus(unit[j]))] - v[plus(minus(unit[i]), unit[j])] + v[plus(minus(unit[i]), minus(unit[j]))]) / 4.0 for i, j in ((0, 1), (0, 2), (1, 2))}
-        size2 = d1[0] ** 2 + d1[1] ** 2 + d1[2] ** 2
-        bend = sum((d2[i] * (size2 - d1[i] ** 2) for i in range(3)), F.lit(0.0)) - 2.0 * sum((d1[i] * d1[j] * m for (i, j), m in mixed.items()), F.lit(0.0))
-        flow = F.when(size2 > 1e-12, bend / size2).otherwise(0.0)
-        rows = g.select(*AXES, c.alias("c"), flow.alias("flow"), size2.alias("size2"))
-        mean = rows.agg(F.avg("size2").alias("m"))
-        slow = F.exp(-F.col("size2") / F.greatest(F.lit(2.0 * conductance**2) * F.col("m"), F.lit(1e-12)))
-        now = cut(rows.join(F.broadcast(mean)).select(*AXES, (F.col("c") + F.lit(step) * slow * F.col("flow")).alias("v")))
-    return now
+    and Xue 2001, on unit spacing). Each round is one exchange of halos; lineage is cut by a checkpoint."""
+    return blocks.diffused(voxels, shape, rounds, conductance, step) if rounds else voxels
 
 
 def linear_resample(voxels: DataFrame, shape: Sequence[int], spacing: Sequence[float], new: Sequence[float]) -> DataFrame:

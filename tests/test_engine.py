@@ -474,3 +474,50 @@ def test_many_scans_equal_each_scan_alone(spark, register, sigma):
         assert cuts[name] == one.cut
         want |= {(name, x["ix"], x["iy"], x["iz"]): x["v"] for x in one.voxels.collect()}
     assert set(cuts) == set(shapes) and found == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("shape,edge", [((7, 9, 8), 3), ((5, 4, 11), 2), ((6, 6, 6), 24)])
+def test_stencils_over_blocks_equal_the_whole_array(spark, monkeypatch, shape, edge):
+    """Blocks of any size, also where the last one is larger, against plain loops over the padded volume."""
+    from sweepgrid.operators import blocks
+
+    monkeypatch.setattr(blocks, "EDGE", edge)
+    rng = np.random.default_rng(4)
+    v = np.where(rng.random(shape) < 0.6, rng.normal(0, 3, shape), 0.0)
+    voxels = spark.createDataFrame([(*(int(a) for a in i), float(x)) for i, x in np.ndenumerate(v) if x], "ix int, iy int, iz int, v double")
+    as_array = lambda df: {(r["ix"], r["iy"], r["iz"]): r["v"] for r in df.collect()}
+
+    def around(a, f, reach=1):
+        p = np.pad(a, reach, mode="edge")
+        return {tuple(map(int, i)): float(f(p[tuple(slice(j, j + 2 * reach + 1) for j in i)])) for i in np.ndindex(*a.shape)}
+
+    assert as_array(volume.median_filter(voxels, shape)) == pytest.approx(around(v, np.median))
+    assert as_array(volume.median_filter(voxels, shape, 2)) == pytest.approx(around(v, np.median, 2))
+    length = lambda w: math.sqrt(sum(x * x for x in ((w[2, 1, 1] - w[0, 1, 1]) / 1.0, (w[1, 2, 1] - w[1, 0, 1]) / 2.0, (w[1, 1, 2] - w[1, 1, 0]) / 4.0)))
+    assert as_array(volume.gradient_magnitude(voxels, shape, (0.5, 1.0, 2.0))) == pytest.approx(around(v, length))
+    wide = np.zeros(shape)
+    for i, x in around((v > 2).astype(float), np.max).items():
+        wide[i] = x
+    want = {i for i, x in around(wide, np.min).items() if x}
+    assert {(r["ix"], r["iy"], r["iz"]) for r in volume.binary_closing(voxels.where("v > 2"), shape).collect()} == want
+
+
+def test_diffusion_equals_plain_loops(spark, monkeypatch):
+    from sweepgrid.operators import blocks
+
+    monkeypatch.setattr(blocks, "EDGE", 3)
+    shape, now = (7, 5, 6), np.random.default_rng(6).normal(0, 1, (7, 5, 6))
+    voxels = spark.createDataFrame([(*(int(a) for a in i), float(x)) for i, x in np.ndenumerate(now)], "ix int, iy int, iz int, v double")
+    for _ in range(3):
+        p, flow, size2 = np.pad(now, 1, mode="edge"), np.zeros(shape), np.zeros(shape)
+        for i in np.ndindex(*shape):
+            w = p[tuple(slice(j, j + 3) for j in i)]
+            dx, dy, dz = (w[2, 1, 1] - w[0, 1, 1]) / 2, (w[1, 2, 1] - w[1, 0, 1]) / 2, (w[1, 1, 2] - w[1, 1, 0]) / 2
+            xx, yy, zz = w[2, 1, 1] - 2 * w[1, 1, 1] + w[0, 1, 1], w[1, 2, 1] - 2 * w[1, 1, 1] + w[1, 0, 1], w[1, 1, 2] - 2 * w[1, 1, 1] + w[1, 1, 0]
+            xy, xz, yz = (w[2, 2, 1] - w[2, 0, 1] - w[0, 2, 1] + w[0, 0, 1]) / 4, (w[2, 1, 2] - w[2, 1, 0] - w[0, 1, 2] + w[0, 1, 0]) / 4, (w[1, 2, 2] - w[1, 2, 0] - w[1, 0, 2] + w[1, 0, 0]) / 4
+            size2[i] = dx**2 + dy**2 + dz**2
+            bend = xx * (dy**2 + dz**2) + yy * (dx**2 + dz**2) + zz * (dx**2 + dy**2) - 2 * (dx * dy * xy + dx * dz * xz + dy * dz * yz)
+            flow[i] = bend / size2[i] if size2[i] > 1e-12 else 0.0
+        now = now + 0.05 * np.exp(-size2 / (2 * 1.5**2 * size2.mean())) * flow
+    got = {(r["ix"], r["iy"], r["iz"]): r["v"] for r in volume.curvature_diffusion(voxels, shape, 3, 1.5, 0.05).collect()}
+    assert got == pytest.approx({tuple(map(int, i)): float(x) for i, x in np.ndenumerate(now)})
