@@ -70,5 +70,7 @@ def sha1_12(content: Column) -> Column:
     return F.coalesce(F.substring(F.sha1(content), 1, 12), F.lit(""))
 
 
-def patch_label(mode: str, a: float, b: float | None = None) -> str:
-    return {"geodesic": f"geodesic_{a:.1f}mm", "area": f"area_{a:.0f}mm2", "angle": f"cap_{a:.0f}deg", "plane": f"plane_{a:.1f}mm"}[mode]
+def patch_label(mode: str, size: Column) -> Column:
+    """The name of a patch by its mode: geodesic and plane in mm, area in mm2, angle in degrees."""
+    form = {"geodesic": "geodesic_%.1fmm", "area": "area_%.0fmm2", "angle": "cap_%.0fdeg", "plane": "plane_%.1fmm"}[mode]
+    return F.format_string(form, size.cast("double"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..functions.scalars import affine
 from ..functions.session import shared_dir
 from ..operators import geometry, recon, registration
@@ -15,7 +16,7 @@ from ..plans import qc, surface
 from ..sources import records
 from . import query
 from .carriers import CLOUD, COLS, FAN, POLAR, cells_sql, cloud, frames, polar, read, rnd
-from .mesh import _sphere
+from .mesh import sphere_of
 from .volume import BLOCK, _block, _shape
 
 V2 = f"""{POLAR}, {cells_sql(20.0, 2.0)}, nf AS (SELECT max(k) + 1 AS n FROM pol),
@@ -52,11 +53,19 @@ def depth_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registration.profile(polar(spark, sf_dir)).select("k", "p", rnd("s").alias("s"))
 
 
-@query("SELECT event_id, user_id, round(value, 4) + 0.0 AS value, event_type FROM events")
+@query("""SELECT p_partkey AS n_rows_mask, p_size + CAST(0.25 AS DOUBLE) AS apex_x, CAST(p_retailprice AS DOUBLE) AS r_max_pix, CASE WHEN p_size % 3 = 0 THEN NULL ELSE p_size / CAST(64 AS DOUBLE) END AS phi0_mask,
+substr(sha1(p_name || CAST(p_partkey AS VARCHAR)), 1, 2) AS mask_sha1_12 FROM part""")
 def record_json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records to JSON text and back."""
-    e = read(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "user_id", "value", "event_type")).alias("j"))
-    return e.select(F.from_json("j", "event_id long, user_id long, value double, event_type string").alias("r")).select("r.event_id", "r.user_id", rnd("r.value", 4).alias("value"), "r.event_type")
+    """Calibration records written as JSON, by their masks' hashes, and read back."""
+    size = F.col("p_size").cast("double")
+    made = read(spark, sf_dir, "part").select(
+        F.array(size + 0.25, size).alias("apex_xy"), F.col("p_retailprice").cast("double").alias("r_max_pix"), F.lit(512).alias("image_height"), F.lit(640).alias("image_width"), F.when(F.col("p_size") % 3 != 0, size / 64).alias("phi0_mask"), F.lit(1.0).alias("phi1_mask"),
+        F.col("p_partkey").cast("int").alias("n_rows_mask"), F.lit(52.0).alias("mask_fan_angle_deg"), F.col("p_name").alias("mask_file"), F.substring(F.sha1(F.concat("p_name", F.col("p_partkey").cast("string")).cast("binary")), 1, 2).alias("mask_sha1_12"),
+    )
+    path = f"{shared_dir(spark)}/calibrations-{uuid.uuid4().hex}"
+    records.write_calibration(made, path)
+    got = records.calibration_record(spark, path)
+    return got.select(F.col("n_rows_mask").cast("long").alias("n_rows_mask"), F.col("apex_xy")[0].alias("apex_x"), "r_max_pix", "phi0_mask", "mask_sha1_12")
 
 
 @query("""SELECT s_nationkey AS scan_id, count(*) || ' frames, ' || max(s_suppkey) || ' x ' || max(s_suppkey % 100) || ', values ' || printf('%.1f', floor(min(s_acctbal))) || ' to ' || printf('%.1f', floor(max(s_acctbal))) AS summary FROM supplier GROUP BY 1""")
@@ -119,8 +128,8 @@ def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def posterior_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sphere of radius 12, by its angle cap."""
-    v, f = _sphere(spark)
+    """A slightly rough sphere of radius 12, by its angle cap."""
+    v, f = sphere_of(spark, sf_dir)
     got = surface.posterior_metrics(v, f, surface.PosteriorOptions(mode="angle", smooth_rounds=0, radius_limit_mm=100.0))
     keep = ("patch", "apex_mode", "patch_area_mm2", "R_mm", "rms_resid_mm", "disc_R_equiv_patch_mm")
     return spark.range(1).select(*(F.lit(got[k]).alias(k) if isinstance(got[k], str) else rnd(F.lit(float(got[k])), 3).alias(k) for k in keep))
@@ -129,7 +138,7 @@ def posterior_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def posterior_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of the same sphere, with its 16 columns."""
-    v, f = _sphere(spark)
+    v, f = sphere_of(spark, sf_dir)
     o = surface.PosteriorOptions(mode="angle", smooth_rounds=0, radius_limit_mm=100.0)
     got = records.posterior_report(spark, surface.posterior_metrics(v, f, o), o.mode, o.geodesic_mm, o.angle_deg, o.plane_mm)
     return got.select(*(rnd(c, 3).alias(c) if kind == "double" else F.col(c) for c, kind in got.dtypes))
@@ -137,7 +146,7 @@ def posterior_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def v2_posterior_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, f = _sphere(spark)
+    v, f = sphere_of(spark, sf_dir)
     got = surface.posterior_metrics(v, f, surface.PosteriorOptions.older(), apex=(1.0, 2.0, 15.0))
     return spark.range(1).select(*(rnd(F.lit(float(got[k])), 3).alias(k) for k in ("patch_area_mm2", "R_mm", "rms_resid_mm")))
 
@@ -194,8 +203,7 @@ def point_subsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pc.subsample(cloud(spark, sf_dir), 10).select("vid", *(rnd(c).alias(c) for c in "xyz"))
 
 
-@query(f"WITH {CLOUD} SELECT vid, 'cap_' || printf('%.0f', floor(x)) || 'deg' AS label FROM pts")
+@query(f"WITH {CLOUD} SELECT vid, 'cap_' || printf('%.0f', floor(x)) || 'deg' AS cap, 'geodesic_' || printf('%.1f', floor(x) / 2) || 'mm' AS geodesic FROM pts")
 def patch_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cloud(spark, sf_dir).select("vid", F.format_string("cap_%.0fdeg", F.floor("x").cast("double")).alias("label"))
-
-
+    size = F.floor("x").cast("double")
+    return cloud(spark, sf_dir).select("vid", names.patch_label("angle", size).alias("cap"), names.patch_label("geodesic", size / 2).alias("geodesic"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pointcloud as pc
 from . import query
-from .carriers import CLOUD, cloud, read, rnd
+from .carriers import CLOUD, cloud, frames, polar, read, rnd
 
 CENTER, DIRECTION, APEX = (25.0, 5.0, 30.0), (0.6, 0.0, 0.8), (40.0, 5.0, 50.0)
 COS = "(CASE WHEN d > 0 THEN ((x - 25.0) * 0.6 + (z - 30.0) * 0.8) / d ELSE 0 END)"
@@ -142,11 +142,12 @@ def cap_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", rnd(pc.cap_angle(size / 10.0, 12.0)).alias("deg"), rnd(pc.cap_depth(size, 12.0)).alias("depth"))
 
 
-@query("""WITH v AS (SELECT event_id, event_type, CASE WHEN event_id % 9 = 0 THEN NULL ELSE value END AS v FROM events)
+@query("""WITH v AS (SELECT event_id, event_type, CASE WHEN event_id % 9 = 0 OR event_id % 11 = 3 OR event_id % 13 = 5 THEN NULL ELSE value END AS v FROM events)
 SELECT event_id, round(coalesce(v, max(v) OVER (PARTITION BY event_type) + 1, 0), 6) + 0.0 AS v FROM v""")
 def scalar_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.when(F.col("event_id") % 9 == 0, float("nan")).when(F.col("event_id") % 18 == 9, float("inf")).otherwise(F.col("value"))
-    v = F.when(F.col("event_id") % 9 == 0, v).otherwise(F.col("value"))
+    """Values some of which are no number, or infinite to either side."""
+    i = F.col("event_id")
+    v = F.when(i % 9 == 0, float("nan")).when(i % 11 == 3, float("inf")).when(i % 13 == 5, float("-inf")).otherwise(F.col("value"))
     rows = read(spark, sf_dir, "events").select("event_id", "event_type", v.alias("v"))
     return pc.fill_nonfinite(rows, "v", ["event_type"]).select("event_id", rnd("v").alias("v"))
 
@@ -165,10 +166,10 @@ def posterior_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def quadric_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cap z = 0.05 x2 + 0.02 y2: curvatures 0.1 and 0.04 by rights."""
-    i = F.col("id")
-    x, y = ((i / 41).cast("int") - 20) * 0.2, ((i % 41) - 20) * 0.2
-    rows = spark.range(41 * 41).select(i.alias("vid"), x.alias("x"), y.alias("y")).withColumn("z", 0.05 * F.col("x") ** 2 + 0.02 * F.col("y") ** 2)
+    """A cap z = 0.05 x2 + 0.02 y2 over all vectors' places, a little rough: curvatures of about 0.1 and 0.04 by rights."""
+    stack = polar(spark, sf_dir)
+    at = stack.where("p = 0").select((F.col("k") * 16 + F.col("r")).cast("long").alias("vid"), ((F.col("k") - F.lit(frames(stack) // 2)) * F.lit(8.0 / frames(stack))).alias("x"), ((F.col("r") - 8) * 0.5).alias("y"), "v")
+    rows = at.select("vid", "x", "y", (0.05 * F.col("x") ** 2 + 0.02 * F.col("y") ** 2 + 0.001 * F.col("v")).alias("z"))
     got = pc.quadric(rows, (0.0, 0.0, 0.0), (0.0, 0.0, -10.0))
     return spark.range(1).select(*(rnd(F.lit(float(v)), 6).alias(k.lower() + "_" if k in ("K",) else k) for k, v in got.items()))
 

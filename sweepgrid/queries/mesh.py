@@ -53,6 +53,15 @@ def _sphere(spark: SparkSession, rings: int = 24, parts: int = 48, r: float = 12
     return v, tri.withColumn("fid", F.xxhash64("v0", "v1", "v2"))
 
 
+def sphere_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The sphere with a ring for each frame, its radius roughened a little by the frame's values."""
+    stack = polar(spark, sf_dir)
+    v, f = _sphere(spark, frames(stack) + 1, 48)
+    rough = stack.where("r = 0 AND p < 48").select((F.col("k") * 48 + F.col("p")).cast("long").alias("vid"), (1 + 0.002 * F.col("v")).alias("s"))
+    moved = v.join(rough, "vid", "left").withColumn("s", F.coalesce("s", F.lit(1.0)))
+    return moved.select("vid", *((F.lit(c) + (F.col(a) - c) * F.col("s")).alias(a) for a, c in (("x", 1.0), ("y", 2.0), ("z", 3.0)))), f
+
+
 @query(f"WITH {GRID}, {EDGE} SELECT src, dst, count(*) AS times, round(any_value(w), 6) AS w FROM ed GROUP BY src, dst")
 def mesh_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, f = _grid(spark, sf_dir)
@@ -127,8 +136,8 @@ def laplacian_scalar_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def discrete_mean_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median over a sphere of radius 12: 1 / 12 by rights."""
-    v, f = _sphere(spark)
+    """Median over a slightly rough sphere of radius 12: about 1 / 12 by rights."""
+    v, f = sphere_of(spark, sf_dir)
     return mesh.mean_curvature(f, v).agg(rnd(F.median("h"), 4).alias("median_h"), F.count(F.lit(1)).alias("n"))
 
 

@@ -10,13 +10,13 @@ from ..functions.quantiles import ranked
 from . import query
 from .carriers import read, rnd
 
-#: Made-up folder names; the number is mixed in from orders.
+#: Made-up folder names; the number is a customer's.
 FOLDERS = ["Lens 12 mm - Radial - OD - Secondary - 03-14-2021 - 08-05", "bulb_LEFT_pass 21-15", "model-9 MM--Primary OS", "L_left-globe", "bare name", "Secondary  Radial Primary", "set_OS_Radial_05-06-2023", "x _ y - 7mm radial"]
-FOLDER_SQL = "fold AS (SELECT i, n || ' ' || k AS name FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(FOLDERS)) + ") t(i, n), (SELECT DISTINCT o_orderkey % 50 AS k FROM orders))"
+FOLDER_SQL = "fold AS (SELECT i, n || ' ' || k AS name FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(FOLDERS)) + ") t(i, n), (SELECT DISTINCT c_custkey AS k FROM customer))"
 
 
 def _folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50).alias("k")).distinct()
+    k = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).distinct()
     return k.select(F.posexplode(F.array(*map(F.lit, FOLDERS))).alias("i", "n"), "k").select("i", F.concat("n", F.lit(" "), F.col("k").cast("string")).alias("name"))
 
 

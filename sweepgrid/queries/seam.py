@@ -26,20 +26,21 @@ def recon_trilinear_mip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _phantom(kind: str, value: str):
-    sql = f"""WITH pol AS (SELECT CAST(a AS INT) AS k, CAST(b AS INT) AS r, CAST(c AS INT) AS p, {value} AS v FROM range(12) t1(a), range(16) t2(b), range(24) t3(c)),
-{cells_sql(16.0, 2.0)}, {sample_sql(16.0, 16, 24, '12')} SELECT ix, iy, iz, round(v, 6) + 0.0 AS v FROM vox"""
+    sql = f"""WITH {POLAR.replace('pol AS', 'carrier AS')}, pol AS (SELECT k, r, p, {value} AS v FROM carrier, (SELECT max(k) + 1 AS n FROM carrier)),
+{cells_sql(16.0, 2.0)}, {sample_sql(16.0, ROWS, COLS, '(SELECT max(k) + 1 FROM pol)')} SELECT ix, iy, iz, round(v, 6) + 0.0 AS v FROM vox"""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        fan = recon.Fan(16.0, 0.0, math.radians(52.0), 16, 24)
-        return recon.resample(spark, recon.phantom_stack(spark, kind, 16, 24, 12), fan, 12, 2.0).select("ix", "iy", "iz", rnd("v").alias("v"))
+        """A stack with known answers, of as many frames as the carrier has."""
+        fan, n = recon.Fan(16.0, 0.0, math.radians(52.0), ROWS, COLS), frames(polar(spark, sf_dir))
+        return recon.resample(spark, recon.phantom_stack(spark, kind, ROWS, COLS, n), fan, n, 2.0).select("ix", "iy", "iz", rnd("v").alias("v"))
 
     run.__name__ = f"phantom_{kind}_recon"
     query(sql)(run)
 
 
-_phantom("radial", "CAST(b AS DOUBLE)")
-_phantom("phi", "CAST(c AS DOUBLE)")
-_phantom("theta", "0.5 * (cos(2 * pi() * a / 12) + 1)")
+_phantom("radial", "CAST(r AS DOUBLE)")
+_phantom("phi", "CAST(p AS DOUBLE)")
+_phantom("theta", "0.5 * (cos(2 * pi() * k / n) + 1)")
 
 
 @query(f"WITH {POLAR}, {ADJACENT} SELECT k, round(corr, 6) + 0.0 AS corr FROM adj")
@@ -202,11 +203,13 @@ def fractional_shift_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registration.shift_rows(stack, F.lit(0.3) * (F.col("k") % 5), ROWS).select("k", "r", "p", rnd("v").alias("v"))
 
 
-@query("""WITH RECURSIVE d AS (SELECT i AS dr_px, 0.02 * (i + 1) AS dr FROM range(40) t(i))
-SELECT CAST(dr_px AS INT) AS i, CAST(least(greatest(round_even(15.0 / dr, 0), 0), 399) AS INT) AS r0, CAST(least(greatest(round_even(35.0 / dr, 0), least(greatest(round_even(15.0 / dr, 0), 0), 399) + 1), 400) AS INT) AS r1 FROM d""")
+@query("""WITH d AS (SELECT p_partkey AS i, CAST(0.02 AS DOUBLE) * p_size AS dr, 200 + p_partkey % 300 AS n FROM part),
+a AS (SELECT *, least(greatest(round_even(CAST(15 AS DOUBLE) / dr, 0), 0), n - 1) AS r0 FROM d)
+SELECT i, CAST(r0 AS INT) AS r0, CAST(least(greatest(round_even(CAST(35 AS DOUBLE) / dr, 0), r0 + 1), n) AS INT) AS r1 FROM a""")
 def depth_roi_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r0, r1 = seam.depth_roi(F.lit(0.02) * (F.col("id") + 1), 400)
-    return spark.range(40).select(F.col("id").cast("int").alias("i"), r0.alias("r0"), r1.alias("r1"))
+    """Depth rows for each part's row spacing and count."""
+    r0, r1 = seam.depth_roi(F.lit(0.02) * F.col("p_size"), (200 + F.col("p_partkey") % 300).cast("double"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), r0.alias("r0"), r1.alias("r1"))
 
 
 @query(f"""WITH {POLAR}, f AS (SELECT max(k) + 1 AS n FROM pol)

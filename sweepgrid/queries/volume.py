@@ -149,10 +149,12 @@ l AS (SELECT id, min(root) AS label FROM r GROUP BY id), best AS (SELECT label F
 SELECT {axes} FROM c JOIN l USING (id) WHERE label = (SELECT label FROM best)"""
 
 
-@query(_label_sql("c AS (SELECT CAST(a AS INT) AS y, CAST(b AS INT) AS x, a * 16 + b AS id FROM range(16) t1(a), range(16) t2(b) WHERE (a * 5 + b * 3 + a * b) % 7 < 2)", "y, x", "abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.id <> b.id"))
+@query(_label_sql(f"{POLAR}, c AS (SELECT k * 16 + r AS y, p AS x, (k * 16 + r) * 64 + p AS id FROM pol WHERE v > 0.17)", "y, x", "abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.id <> b.id"))
 def largest_component_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = spark.range(256).select(F.expr("cast(id div 16 as int)").alias("y"), (F.col("id") % 16).cast("int").alias("x")).where("(y * 5 + x * 3 + y * x) % 7 < 2")
-    return graph.largest_component(cells, ["y", "x"], [16, 16], True)
+    """Bright pixels of one tall image of all vectors."""
+    stack = polar(spark, sf_dir)
+    cells = stack.where("v > 0.17").select((F.col("k") * 16 + F.col("r")).cast("int").alias("y"), F.col("p").alias("x"))
+    return graph.largest_component(cells, ["y", "x"], [frames(stack) * 16, 64], True)
 
 
 @query(_label_sql(f"{BLOCK}, c AS (SELECT ix, iy, iz, (ix * {ROWS} + iy) * {COLS} + iz AS id FROM blk WHERE v < 6)", "ix, iy, iz", "abs(a.ix - b.ix) + abs(a.iy - b.iy) + abs(a.iz - b.iz) = 1"))
