@@ -19,8 +19,10 @@ differ by no more than their own. The join works down through regions of the spa
    document belongs to the cell of its nearest pivot and is replicated to each other one
    that is no further than twice the radius beyond: if x has its home at p and y is within the radius r of x, then
    d(y, p) <= d(x, p) + r <= d(x, q) + r <= d(y, q) + 2r for the home q of y. The cells are joined in the same way,
-   without what the new pivots' links have joined. A region that hardly gets smaller by cells draws again as it is.
-5. **Leaves.** A region that fits is joined in one task, set by set. One that still does not, after all draws, holds
+   without what the new pivots' links have joined. Pivots are drawn from documents that nothing joins with the old
+   one; as they are measured against their whole region, all their links are known and they leave it. A region that hardly
+   gets smaller by cells draws again as it is.
+5. **Leaves.** A region that fits is joined in one task, all sets at once. One that still does not, after all draws, holds
    documents that are all about as far from each other as from their pivots, which distances cannot split: what
    no pivot joined is sought by the differences from the pivot (`probminhash.differences`, exact).
 
@@ -47,9 +49,11 @@ WORDS, PERCENT = 3, 90
 #: Text in a chunk, and so about what a bucket of shingles gets.
 CHUNK_BYTES = 4_000_000
 #: Documents and shingles of a region that one task joins.
-LEAF, LEAF_SHINGLES = 64, 2_000_000
+LEAF, LEAF_SHINGLES = 512, 1_000_000
 #: Pivots that a large region draws at a time, and how often regions draw.
-PIVOTS, ROUNDS = 8, 10
+PIVOTS, ROUNDS = 32, 4
+#: Shingles of a leaf that are compared at a time.
+STRIPE = 8192
 #: Slack of comparisons in floating point; it only keeps more documents.
 SLACK = 1e-9
 
@@ -157,15 +161,15 @@ def _sets(docs: DataFrame, ident: str, text: str, k: int, percent: int) -> tuple
 
 
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (uid, pid, ...) with d, their distance, and linked."""
+    """pairs (uid, pid, ...) with n, the shingles of uid, d, their distance, and linked."""
     both = pairs.join(sets.select("uid", F.col("n").alias("na"), F.col("s").alias("sa")), "uid").join(sets.select(F.col("uid").alias("pid"), F.col("n").alias("nb"), F.col("s").alias("sb")), "pid")
-    got = both.select(*pairs.columns, (F.col("na") + F.col("nb")).alias("both"), F.when(F.col("uid") == F.col("pid"), F.col("na")).otherwise(F.size(F.array_intersect("sa", "sb"))).alias("shared"))
+    got = both.select(*pairs.columns, F.col("na").alias("n"), (F.col("na") + F.col("nb")).alias("both"), F.when(F.col("uid") == F.col("pid"), F.col("na")).otherwise(F.size(F.array_intersect("sa", "sb"))).alias("shared"))
     every = F.col("both") - F.col("shared")
-    return got.select(*pairs.columns, (1 - F.col("shared") / every).alias("d"), (100 * F.col("shared") >= percent * every).alias("linked"))
+    return got.select(*pairs.columns, "n", (1 - F.col("shared") / every).alias("d"), (100 * F.col("shared") >= percent * every).alias("linked"))
 
 
-def _open(placed: DataFrame, labels: DataFrame, sets: DataFrame, radius: float) -> DataFrame:
-    """Of placed (rid, uid, pid, d, ...) what is still to be joined, with label, joined (same label as the pivot), and the region's count and shingles.
+def _open(placed: DataFrame, labels: DataFrame, radius: float) -> DataFrame:
+    """Of placed (rid, uid, pid, n, d, ...) what is still to be joined, with label, joined (same label as the pivot), and the region's count and shingles.
 
     A document with another label than the pivot's is apart from it. All pairs with different labels hold such a one, so a
     joined document matters only if an apart one is within the radius of it by their distances from the pivot.
@@ -176,42 +180,47 @@ def _open(placed: DataFrame, labels: DataFrame, sets: DataFrame, radius: float)
     known = cut(known.withColumn("joined", F.col("label") == F.coalesce("of_pivot", "pid")).drop("of_pivot"))
     ends = known.groupBy("rid").agg(F.min(F.when(~F.col("joined"), F.col("d"))).alias("near"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi AND near IS NOT NULL")
     kept = cut(known.join(ends.select("rid", "near"), "rid").where(~F.col("joined") | (F.col("d") >= F.col("near") - radius - SLACK)).drop("near"))
-    size = kept.join(sets.select("uid", "n"), "uid").groupBy("rid").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("shingles")).where("count > 1")
-    return kept.join(size, "rid")
+    size = kept.groupBy("rid").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("shingles")).where("count > 1")
+    return cut(kept.join(size, "rid"))
 
 
 def _drawn(regions: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
-    """(parent, uid, pid, d, linked): the distances of all documents of a region from new pivots of it."""
+    """(parent, uid, pid, n, d, linked): the distances of all documents of a region from new pivots, some of those that are apart from the old one."""
     order = F.xxhash64("uid", F.lit(turn))
-    pivots = regions.groupBy("rid", F.pmod(order, F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct(order.alias("o"), F.col("uid"))).alias("p")).select(F.col("rid").alias("parent"), F.col("p.uid").alias("pid"))
+    pivots = regions.where("NOT joined").groupBy("rid", F.pmod(order, F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct(order.alias("o"), F.col("uid"))).alias("p"))
+    pivots = pivots.select(F.col("rid").alias("parent"), F.col("p.uid").alias("pid"))
     return cut(_measured(regions.select(F.col("rid").alias("parent"), "uid").join(pivots, "parent"), sets, percent))
 
 
 def _cells(measured: DataFrame, radius: float) -> DataFrame:
-    """(rid, parent, uid, pid, d): the Voronoi cells of the pivots with their windows."""
-    home = F.min("d").over(Window.partitionBy("parent", "uid"))
-    near = measured.withColumn("home", home).where(F.col("d") <= F.col("home") + 2 * radius + SLACK)
-    return near.select(F.xxhash64("parent", "pid").alias("rid"), "parent", "uid", "pid", "d")
+    """(rid, parent, uid, pid, n, d): the Voronoi cells of the pivots with their windows, without the pivots."""
+    home, drawn = F.min("d").over(Window.partitionBy("parent", "uid")), F.max(F.col("uid") == F.col("pid")).over(Window.partitionBy("parent", "uid"))
+    near = measured.withColumns({"home": home, "drawn": drawn}).where(~F.col("drawn") & (F.col("d") <= F.col("home") + 2 * radius + SLACK))
+    return near.select(F.xxhash64("parent", "pid").alias("rid"), "parent", "uid", "pid", "n", "d")
 
 
 def _leaf_links(leaves: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(u, v) that join all linked documents of each region, joined in one task."""
 
     def join(rows: pa.Table) -> pa.Table:
-        uid, label = (rows.column(c).to_numpy() for c in ("uid", "label"))
-        n = rows.column("n").to_numpy()
-        s = [np.sort(x.values.to_numpy()) for x in rows.column("s")]
-        _, group = np.unique(label, return_inverse=True)
-        u, v = [], []
-        for i in range(len(n)):
-            for j in range(i):
-                if group[i] != group[j] and percent * max(n[i], n[j]) <= 100 * min(n[i], n[j]):
-                    shared = len(np.intersect1d(s[i], s[j], assume_unique=True))
-                    if 100 * shared >= percent * (n[i] + n[j] - shared):
-                        u.append(uid[i])
-                        v.append(uid[j])
-                        group[group == group[i]] = group[j]
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        uid, label, n = (rows.column(c).to_numpy() for c in ("uid", "label", "n"))
+        doc = np.repeat(np.arange(len(n)), [len(x) for x in rows.column("s")])
+        h = np.concatenate([np.asarray(c.flatten()) for c in rows.column("s").chunks])
+        _, which, times = np.unique(h, return_inverse=True, return_counts=True)
+        place = np.cumsum(times > 1) - 1  # what one document alone has is in no intersection
+        doc, which = doc[times[which] > 1], place[which[times[which] > 1]]
+        order = np.argsort(which, kind="stable")
+        doc, which = doc[order], which[order]
+        shared = np.zeros((len(n), len(n)), np.float64)
+        for start in range(0, int(which[-1]) + 1 if len(which) else 0, STRIPE):
+            a, b = np.searchsorted(which, (start, start + STRIPE))
+            has = np.zeros((len(n), STRIPE), np.float32)
+            has[doc[a:b], which[a:b] - start] = 1.0
+            shared += has @ has.T
+        close = 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
+        i, j = np.nonzero(np.triu(close & (label[:, None] != label[None, :]), 1))
+        node, root = contract(uid[i], uid[j]) if len(i) else (uid[:0], uid[:0])
+        return pa.table({"u": pa.array(node, pa.int64()), "v": pa.array(root, pa.int64())})
 
     full = leaves.select("rid", "uid", "label").join(sets.select("uid", "n", "s"), "uid")
     return full.groupBy("rid").applyInArrow(join, "u long, v long")
@@ -232,7 +241,7 @@ def _links(near: DataFrame, percent: int) -> DataFrame:
     labels = components(links[0])
 
     fits = (F.col("count") <= 2) | (F.col("count") <= LEAF) & (F.col("shingles") <= LEAF_SHINGLES)
-    now = cut(_open(placed.select("rid", "uid", "pid", "d"), labels, sets, radius))
+    now = _open(placed.select("rid", "uid", "pid", "n", "d"), labels, radius)
     leaves, regions = [now.where(fits)], now.where(~fits)
     for turn in range(ROUNDS):
         if regions.isEmpty():
@@ -241,8 +250,9 @@ def _links(near: DataFrame, percent: int) -> DataFrame:
         links.append(linked(measured).distinct())
         # What new pivots link is joined from now on, in all regions.
         labels = components(cut(labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(links[-1])))
-        whole = cut(_open(regions, labels, sets, radius))
-        cells = cut(_open(_cells(measured, radius), labels, sets, radius))
+        drawn = measured.where("uid = pid").select(F.col("parent").alias("rid"), "uid")
+        whole = _open(regions.join(drawn, ["rid", "uid"], "left_anti"), labels, radius)
+        cells = _open(_cells(measured, radius), labels, radius)
         # Where a cell is hardly smaller than its region, distances do not split it: the region stays as it is and draws other pivots.
         before = whole.select(F.col("rid").alias("parent"), F.col("count").alias("all")).distinct()
         largest = cells.groupBy("parent").agg(F.max("count").alias("most"))  # none open: nothing is left of the region

@@ -729,9 +729,9 @@ def families(rnd):
     return [(i, " ".join(w)) for i, w in enumerate(texts)]
 
 
-@pytest.mark.parametrize("leaf,pivots,rounds,chunk", [(64, 8, 10, 4_000_000), (3, 2, 2, 20_000)])
+@pytest.mark.parametrize("leaf,pivots,rounds,chunk", [(512, 32, 4, 4_000_000), (3, 2, 2, 20_000)])
 def test_jaccard_join(spark, monkeypatch, leaf, pivots, rounds, chunk):
-    for name, value in (("LEAF", leaf), ("PIVOTS", pivots), ("ROUNDS", rounds), ("CHUNK_BYTES", chunk)):
+    for name, value in (("LEAF", leaf), ("PIVOTS", pivots), ("ROUNDS", rounds), ("CHUNK_BYTES", chunk), ("STRIPE", 64)):
         monkeypatch.setattr(metricjoin, name, value)
     rows = families(random.Random(12))
     rows += rows[:40] + [(5000, None), (5001, ""), (None, " \n"), (None, rows[3][1]), (7, "other text"), (7, "Other Text"), (None, "alone"), (5002, "a b"), (5003, "A  B")]
@@ -750,6 +750,7 @@ def test_jaccard_join_of_hard_rows(spark, hard, empty):
 def test_jaccard_join_splits_by_cells(spark, monkeypatch):
     """A large region is split by pivots: far fewer pairs are measured than it has, and no cell is left to the differences."""
     monkeypatch.setattr(metricjoin, "LEAF", 12)
+    monkeypatch.setattr(metricjoin, "PIVOTS", 8)
     rnd, rows = random.Random(2), []
     base = [f"b{i}" for i in range(400)]
     for g in range(12):  # groups around a common base, at 0.3 of it and further from each other
