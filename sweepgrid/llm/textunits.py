@@ -99,14 +99,16 @@ class Words:
     def as_listed(self, listed: np.ndarray) -> np.ndarray:
         """Whether each word has the bytes of the word listed for it (by index)."""
         size = self.end - self.start
-        out = size == size[listed]
-        some = np.flatnonzero(out & (listed != np.arange(len(listed))))
-        size = size[some]
-        if len(size):
-            raw = np.frombuffer(self.data, np.uint8)
-            before = np.cumsum(size) - size
-            place = np.arange(int(size.sum())) - np.repeat(before, size)
-            differs = raw[place + np.repeat(self.start[some], size)] != raw[place + np.repeat(self.start[listed[some]], size)]
+        raw = np.frombuffer(self.data + bytes(8), np.uint8)
+        eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))  # the bytes from each place on, as one number
+        head = eight[self.start] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (8 * np.maximum(8 - size, 0)).astype(np.uint64))
+        out = (size == size[listed]) & (head == head[listed])
+        some = np.flatnonzero(out & (size > 8) & (listed != np.arange(len(listed))))
+        if len(some):
+            rest = size[some] - 8
+            before = np.cumsum(rest) - rest
+            place = np.arange(int(rest.sum())) - np.repeat(before, rest) + 8
+            differs = raw[place + np.repeat(self.start[some], rest)] != raw[place + np.repeat(self.start[listed[some]], rest)]
             out[some] = ~np.logical_or.reduceat(differs, before)
         return out
 

@@ -232,6 +232,15 @@ def test_mixing_step_by_step():
     assert np.allclose(ctxmix.mixed_log10(t, ctxmix.unpacked(tables)), want, atol=1e-2)
 
 
+def test_words_are_compared_by_content():
+    rnd = random.Random(7)
+    listed = ["".join(rnd.choice("ab") for _ in range(rnd.choice([1, 2, 7, 8, 9, 15, 16, 17, 30]))) for _ in range(400)] + ["a" * 8, "a" * 9, "a" * 8 + "b", "b"]
+    w = textunits.Words([" ".join(listed).encode()])
+    other = np.array([rnd.randrange(len(listed)) for _ in listed])
+    assert w.as_listed(other).tolist() == [listed[i] == x for i, x in zip(other.tolist(), listed, strict=True)]
+    assert w.as_listed(np.arange(len(listed))).all() and textunits.Words([b""]).as_listed(np.zeros(0, np.int64)).tolist() == []
+
+
 def test_words_that_share_a_hash_are_told_apart(monkeypatch):
     """With hashes of three bits, what a chunk asks for and how counts come back are those of the words."""
     hashes = textunits.Words.hashes
