@@ -48,12 +48,12 @@ from .textunits import Words, shingles
 WORDS, PERCENT = 3, 90
 #: Text in a chunk, and so about what a bucket of shingles gets.
 CHUNK_BYTES = 4_000_000
-#: Documents and shingles of a region that one task joins.
-LEAF, LEAF_SHINGLES = 512, 1_000_000
+#: Documents and shingles of a region that one task joins (it holds a number for each pair of them, about 100 MB at most).
+LEAF, LEAF_SHINGLES = 2048, 1_000_000
 #: Pivots that a large region draws at a time, and how often regions draw.
 PIVOTS, ROUNDS = 32, 4
 #: Shingles of a leaf that are compared at a time.
-STRIPE = 8192
+STRIPE = 4096
 #: Slack of comparisons in floating point; it only keeps more documents.
 SLACK = 1e-9
 

@@ -738,7 +738,7 @@ def families(rnd):
     return [(i, " ".join(w)) for i, w in enumerate(texts)]
 
 
-@pytest.mark.parametrize("leaf,pivots,rounds,chunk", [(512, 32, 4, 4_000_000), (3, 2, 2, 20_000)])
+@pytest.mark.parametrize("leaf,pivots,rounds,chunk", [(2048, 32, 4, 4_000_000), (3, 2, 2, 20_000)])
 def test_jaccard_join(spark, monkeypatch, leaf, pivots, rounds, chunk):
     for name, value in (("LEAF", leaf), ("PIVOTS", pivots), ("ROUNDS", rounds), ("CHUNK_BYTES", chunk), ("STRIPE", 64)):
         monkeypatch.setattr(metricjoin, name, value)
