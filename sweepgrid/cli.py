@@ -28,19 +28,25 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--slab-size", type=int)
     p.add_argument("--no-register", action="store_true")
     p.add_argument("--keep-duplicate", action="store_true")
+    p.add_argument("--no-mask", action="store_true", help="keep what lies outside the mask")
+    p.add_argument("--phantom", choices=("theta", "phi", "radial", "ones"), help="a stack with a known answer in the place of the frames'")
+    p.add_argument("--even-odd", action="store_true", help="compare the volumes of even and odd frames, and warn where they differ")
     p.add_argument("--quiet", action="store_true")
     return p
 
 
-def run(spark: SparkSession, img_dir: str, mask_path: str | None, out_dir: str, options, name: str | None = None, pictures: bool = True) -> str:
+def run(spark: SparkSession, img_dir: str, mask_path: str | None, out_dir: str, options, name: str | None = None, pictures: bool = True, even_odd: bool = False) -> str:
     """Reads, calibrates, reconstructs and writes; returns the file of the volume.
 
+    pictures: eight pictures for a look at the run. even_odd: a table of axis ratios beside them, and a warning where they drift.
+
     A mask's calibration is kept beside the frames, by the mask's hash, and read again by later runs. Without a name
     the volume is called by the folder, with the next run number.
     """
+    from .functions.session import cut
     from .operators import geometry
     from .plans import qc
-    from .plans.sweep import from_frames
+    from .plans.sweep import reconstruct, unwrapped_with_mask
     from .sources import images, records
     from .sources.nrrd import write_nrrd
 
@@ -56,14 +62,23 @@ def run(spark: SparkSession, img_dir: str, mask_path: str | None, out_dir: str,
     else:
         mask, calib = None, geometry.default_calibration(frames)
     record = geometry.geometry(calib.withColumn("depth_mm", F.lit(options.depth_mm))).first().asDict()
-    got = from_frames(spark, images.pixels(frames), record, options, mask)
+    stack, fan, on = unwrapped_with_mask(spark, images.pixels(frames), record, options, mask)
+    stack = cut(stack)
+    got = reconstruct(spark, stack, fan, options)
     name = name or next_name(spark, img_dir, out_dir)
     write_nrrd(got.voxels, out_dir, (got.n,) * 3, options.voxel_mm, vol_id=name)
+    folder = Path(out_dir) / "QC"
     if pictures:
-        folder = Path(out_dir) / "QC"
         folder.mkdir(parents=True, exist_ok=True)
-        for r in qc.encoded(qc.pictures(got.voxels, got.n), got.n, qc.display_window(got.voxels, got.n)).toLocalIterator():
+        shown = qc.encoded(qc.pictures(got.voxels, got.n), got.n, qc.display_window(got.voxels, got.n)).unionByName(qc.frame_pictures(stack, on, fan))
+        for r in shown.toLocalIterator():
             (folder / f"{r['picture']}.png").write_bytes(r["png"])
+    if even_odd:
+        ratios = qc.even_odd_ratios(stack, fan, len(got.knots)).orderBy("subset").collect()
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / "even_odd.csv").write_text("subset,ratio,drift,alarm\n" + "".join(f"{r['subset']},{r['ratio']:.6f},{r['drift']:.6f},{str(r['alarm']).lower()}\n" for r in ratios))
+        if any(r["alarm"] for r in ratios):
+            print(f"sweepgrid: axis ratios of even and odd frames differ by more than {qc.ALARM}", file=sys.stderr)
     return str(Path(out_dir) / f"{name}.nrrd")
 
 
@@ -128,7 +143,7 @@ def main(argv: list[str] | None = None) -> int:
     if not img_dir:
         parser().error("a folder of frames is needed")
     given = {"depth_mm": a.depth or conf.get("depth_mm"), "voxel_mm": a.voxel or conf.get("voxel_mm"), "sigma_theta_deg": a.sigma_theta, "theta_span_deg": a.theta_span_deg, "interp_order": a.interp_order, "slab_size": a.slab_size or conf.get("slab_size")}
-    options = SweepOptions(**{k: v for k, v in given.items() if v is not None}, registration=not a.no_register, drop_duplicate=not a.keep_duplicate)
+    options = SweepOptions(**{k: v for k, v in given.items() if v is not None}, registration=not a.no_register, drop_duplicate=not a.keep_duplicate, use_mask=not a.no_mask, phantom=a.phantom)
     spark = SparkSession.builder.appName("sweepgrid").getOrCreate()
     try:
         if conf.keys() & {"raw", "smooth"}:
@@ -140,7 +155,7 @@ def main(argv: list[str] | None = None) -> int:
             return 0
         file = Path(a.output) if a.output else None
         folder = str(file.parent) if file else a.out_dir or conf.get("out_dir") or str(Path(img_dir).parent)
-        out = run(spark, img_dir, mask, folder, options, file.name.removesuffix(".nrrd") if file else None)
+        out = run(spark, img_dir, mask, folder, options, file.name.removesuffix(".nrrd") if file else None, even_odd=a.even_odd)
     except Exception as e:  # the exit code is what callers look at
         print(f"sweepgrid: {e}", file=sys.stderr)
         return 1

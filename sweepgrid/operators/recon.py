@@ -90,13 +90,13 @@ def _rows_in_fan(columns: DataFrame, keep: Sequence[str], n: int | Column, depth
     return rows.where((F.col("r_mm") <= num(depth)) & (F.col("phi") >= num(phi0)) & (F.col("phi") <= num(phi1))).select(*keep, "ix", "iy", "iz", "r_mm", "phi", "psi")
 
 
-def valid_cells(spark: SparkSession, fan: Fan, voxel_mm: float) -> DataFrame:
-    """(ix, iy, iz, r_mm, phi, psi) of the cells inside the fan.
+def valid_cells(spark: SparkSession, fan: Fan, voxel_mm: float, slab: int = 1) -> DataFrame:
+    """(ix, iy, iz, r_mm, phi, psi) of the cells inside the fan; slab: depth planes that a task makes at most, fewer where there are cores for more tasks.
 
     Rows are made in place, by depth slab: nothing is shuffled and no cell outside is kept.
     """
     n = axis_count(fan.depth_mm, voxel_mm)
-    cells = spark.range(0, n * n, 1, max(1, min(n, 512))).select((F.col("id") / n).cast("int").alias("ix"), (F.col("id") % n).cast("int").alias("iy"))
+    cells = spark.range(0, n * n, 1, max(1, min(n, 512, max(-(-n // slab), spark.sparkContext.defaultParallelism)))).select((F.col("id") / n).cast("int").alias("ix"), (F.col("id") % n).cast("int").alias("iy"))
     return _rows_in_fan(cells, (), n, fan.depth_mm, fan.phi0, fan.phi1, fan.phi0 >= 0 and fan.phi1 <= math.pi / 2)
 
 
@@ -249,7 +249,7 @@ def phantom_stack(spark: SparkSession, kind: str, rows: int, cols: int, frames:
     return cell.withColumn("v", v)
 
 
-def resample(spark: SparkSession, polar: DataFrame, fan: Fan, frames: int, voxel_mm: float, knots: list[float] | None = None, order: int = 1, sigma_deg: float = 0.0, span_deg: float = 360.0, pad: int | None = None) -> DataFrame:
+def resample(spark: SparkSession, polar: DataFrame, fan: Fan, frames: int, voxel_mm: float, knots: list[float] | None = None, order: int = 1, sigma_deg: float = 0.0, span_deg: float = 360.0, pad: int | None = None, slab: int = 1) -> DataFrame:
     """(ix, iy, iz, v) of all cells inside the fan."""
     pad = (2 if order >= 3 else 1) if pad is None else pad
     knots = knots or [math.radians(span_deg) * i / frames for i in range(frames)]
@@ -257,7 +257,7 @@ def resample(spark: SparkSession, polar: DataFrame, fan: Fan, frames: int, voxel
     n = frames + 2 * pad
     if sigma_deg > 0:
         stack = gaussian_theta(stack, n, sigma_deg * (n - 1) / max(span_deg, 1e-3))
-    samples = sample_positions(valid_cells(spark, fan, voxel_mm), fan, knots, pad)
+    samples = sample_positions(valid_cells(spark, fan, voxel_mm, slab), fan, knots, pad)
     keys = ["ix", "iy", "iz"]
     if order == 0:
         return nearest(samples, stack, keys)

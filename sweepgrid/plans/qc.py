@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import recon, volume
+from ..functions.session import beside
+from ..operators import recon, tiles, volume
 from ..operators.recon import Fan
 from ..sources import png
 
@@ -51,17 +54,45 @@ def encoded(pictures_: DataFrame, n: int, window: tuple[float, float] | None = N
     return scaled.groupBy("picture").applyInPandas(run, "picture string, png binary")
 
 
-def even_odd_ratios(spark: SparkSession, stack: DataFrame, fan: Fan, frames: int, voxel_mm: float = 0.30, least: int = 500) -> DataFrame:
-    """(subset, ratio, drift): axis ratio of the volumes from all, even and odd frames, and how far it lies from that of all."""
-    n = recon.axis_count(fan.depth_mm, voxel_mm)
-    both = None
-    for name, every, first in (("all", 1, 0), ("even", 2, 0), ("odd", 2, 1)):
-        sub = stack.where(F.col("k") % every == first).withColumn("k", F.expr(f"cast(k div {every} as int)"))
-        part = recon.resample(spark, sub, fan, len(range(first, frames, every)), voxel_mm).withColumn("subset", F.lit(name))
-        both = part if both is None else both.unionByName(part)
-    got = volume.axis_ratio(both, n**3, least=least, by=["subset"])
+#: Beyond so much difference of axis ratios a sweep's geometry is in doubt.
+ALARM = 0.02
+
+
+def even_odd_ratios(stack: DataFrame, fan: Fan, frames: int, voxel_mm: float = 0.30, least: int = 500) -> DataFrame:
+    """(subset, ratio, drift, alarm): axis ratio of the volumes from all, even and odd frames, and how far it lies from that of all.
+
+    The three are resampled as three scans of one plan.
+    """
+    by, keys = ["subset"], ["ix", "iy", "iz"]
+    subsets = [(name, fan.rows, fan.cols, fan.phi0, fan.phi1, fan.depth_mm, voxel_mm, fan.dr_mm, fan.dphi, n) for name, n in (("all", frames), ("even", (frames + 1) // 2), ("odd", frames // 2)) if n]
+    known = stack.sparkSession.createDataFrame(subsets, "subset string, rows int, cols int, phi0 double, phi1 double, depth double, voxel_mm double, dr double, per_px double, n int")
+    known = known.withColumn("knots", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.lit(2 * math.pi) * i / F.col("n")))
+    parity = F.when(F.col("k") % 2 == 0, "even").otherwise("odd")
+    each = F.explode(F.array(F.struct(F.lit("all").alias("subset"), F.col("k")), F.struct(parity.alias("subset"), F.floor(F.col("k") / 2).cast("int").alias("k"))))
+    rows = stack.select(each.alias("s"), "r", "p", "v").select("s.subset", "s.k", "r", "p", "v")
+    padded = recon.pad_theta(beside(rows, known.select("subset", "n"), by), F.col("n"), 1)
+    samples = recon.scan_positions(recon.scan_cells(known, by, ["rows", "cols", "dr", "phi0", "per_px", "knots"]))
+    got = volume.axis_ratio(tiles.linear(samples, padded, keys, by), recon.axis_count(fan.depth_mm, voxel_mm) ** 3, least=least, by=by)
     whole = got.where("subset = 'all'").select(F.col("ratio").alias("whole"))
-    return got.join(F.broadcast(whole)).select("subset", "ratio", F.abs(F.col("ratio") - F.col("whole")).alias("drift"))
+    drift = F.abs(F.col("ratio") - F.col("whole"))
+    return got.join(F.broadcast(whole)).select("subset", "ratio", drift.alias("drift"), (drift > ALARM).alias("alarm"))
+
+
+def frame_pictures(stack: DataFrame, on: DataFrame | None, fan: Fan) -> DataFrame:
+    """(picture, png): the middle unwrapped frame, by its own range, and the mask on the polar grid; a picture is as large as one frame."""
+    middle = stack.agg(F.expr("(max(k) + 1) div 2").alias("m"))
+    frame = stack.join(F.broadcast(middle), F.col("k") == F.col("m")).select(F.lit("unwrapped_mid").alias("picture"), "r", "p", F.col("v").cast("double").alias("v"))
+    if on is not None:
+        frame = frame.unionByName(on.select(F.lit("mask").alias("picture"), "r", "p", F.lit(1.0).alias("v")))
+    shown = volume.min_max_quantize(frame.where(F.col("picture") != "mask"), "v", 8, by=["picture"]).unionByName(frame.where(F.col("picture") == "mask").withColumn("q", F.lit(255)))
+    h, w = fan.rows, fan.cols
+
+    def run(key, pdf):
+        a = np.zeros((h, w), np.uint8)
+        a[pdf["r"], pdf["p"]] = pdf["q"]
+        return pd.DataFrame({"picture": [key[0]], "png": [png.encode(a)]})
+
+    return shown.groupBy("picture").applyInPandas(run, "picture string, png binary")
 
 
 def edge_columns(row: np.ndarray, low: float = 50.0, high: float = 150.0) -> np.ndarray:

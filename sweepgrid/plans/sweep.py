@@ -24,6 +24,7 @@ class SweepOptions:
     sigma_theta_deg: float = 0.0
     theta_span_deg: float = 360.0
     interp_order: int = 1
+    #: Depth planes that a task makes at most.
     slab_size: int = 48
     registration: bool = True
     drop_duplicate: bool = True
@@ -31,6 +32,10 @@ class SweepOptions:
     blend_frames: int = 5
     older: bool = False
     apex_search: bool = True
+    #: Off: values outside the mask stay as they are.
+    use_mask: bool = True
+    #: A stack with a known answer (theta, phi, radial, ones) in the place of the frames'.
+    phantom: str | None = None
     #: Where the mask on the polar grid is written, for a look at it.
     mask_dump: str | None = None
 
@@ -78,7 +83,7 @@ def reconstruct(spark: SparkSession, stack: DataFrame, fan: Fan, options: SweepO
     if o.blend_frames > 0:
         now = seam.blend_closure(now, o.blend_frames)
     now = cut(now)
-    voxels = recon.resample(spark, now, fan, n, o.voxel_mm, knots, o.interp_order, o.sigma_theta_deg, o.theta_span_deg)
+    voxels = recon.resample(spark, now, fan, n, o.voxel_mm, knots, o.interp_order, o.sigma_theta_deg, o.theta_span_deg, slab=o.slab_size)
     return Sweep(voxels, knots, at, recon.axis_count(fan.depth_mm, o.voxel_mm), now)
 
 
@@ -127,8 +132,8 @@ def search_apex(spark: SparkSession, pixels: DataFrame, calib: dict, mask: DataF
     return calib if best is None else calib | {"apex_x": calib["apex_x"] + best["dx"], "apex_y": calib["apex_y"] + best["dy"]}
 
 
-def unwrapped(spark: SparkSession, pixels: DataFrame, calib: dict, options: SweepOptions, mask: DataFrame | None = None) -> tuple[DataFrame, Fan]:
-    """The polar stack of frame pixels (k, y, x, v), its apex refined, and its fan."""
+def unwrapped_with_mask(spark: SparkSession, pixels: DataFrame, calib: dict, options: SweepOptions, mask: DataFrame | None = None) -> tuple[DataFrame, Fan, DataFrame]:
+    """The polar stack of frame pixels (k, y, x, v), its apex refined, its fan, and the mask on the polar grid."""
     if options.apex_search and not options.older:
         calib = search_apex(spark, pixels, calib, mask)
     apex, reach = (calib["apex_x"], calib["apex_y"]), calib["r_max_pix"]
@@ -136,8 +141,16 @@ def unwrapped(spark: SparkSession, pixels: DataFrame, calib: dict, options: Swee
     on = po.nearest_mask(mask, grid) if mask is not None else po.wedge(grid, apex, calib["phi0"], calib["phi1"], reach, calib["image_width"], calib["image_height"])
     if options.mask_dump:
         on.write.mode("overwrite").parquet(options.mask_dump)
-    stack = po.unwrap(pixels, grid, on, options.drop_duplicate, options.older)
-    return stack, Fan(calib["depth"], calib["phi0"], calib["phi1"], math.ceil(reach), calib["rows_eff"], reach)
+    fan = Fan(calib["depth"], calib["phi0"], calib["phi1"], math.ceil(reach), calib["rows_eff"], reach)
+    if options.phantom:
+        n = pixels.agg(F.max("k") + 1).first()[0]
+        return recon.phantom_stack(spark, options.phantom, fan.rows, fan.cols, n), fan, on
+    return po.unwrap(pixels, grid, on if options.use_mask else None, options.drop_duplicate, options.older), fan, on
+
+
+def unwrapped(spark: SparkSession, pixels: DataFrame, calib: dict, options: SweepOptions, mask: DataFrame | None = None) -> tuple[DataFrame, Fan]:
+    """The same without the mask."""
+    return unwrapped_with_mask(spark, pixels, calib, options, mask)[:2]
 
 
 def from_frames(spark: SparkSession, pixels: DataFrame, calib: dict, options: SweepOptions, mask: DataFrame | None = None) -> Sweep:

@@ -40,14 +40,10 @@ def x_signal_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def axis_ratio_even_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Axis ratio of volumes from all, even and odd frames."""
+    from ..plans import qc
+
     stack = polar(spark, sf_dir)
-    n = frames(stack)
-    parts = []
-    for name, every, first in (("all", 1, 0), ("even", 2, 0), ("odd", 2, 1)):
-        sub = stack.where(F.col("k") % every == first).withColumn("k", F.expr(f"cast(k div {every} as int)"))
-        parts.append(recon.resample(spark, sub, FAN, len(range(first, n, every)), VOXEL).withColumn("subset", F.lit(name)))
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return volume.axis_ratio(both, N**3, least=50, by=["subset"]).select("subset", rnd("ratio", 4).alias("ratio"))
+    return qc.even_odd_ratios(stack, FAN, frames(stack), VOXEL, 50).select("subset", rnd("ratio", 4).alias("ratio"), rnd("drift", 4).alias("drift"), "alarm")
 
 
 @query("""WITH s AS (SELECT o_orderpriority AS seg, quantile_cont(o_totalprice, 0.01) AS lo, quantile_cont(o_totalprice, 0.997) AS hi FROM orders WHERE o_totalprice > 0 GROUP BY 1)

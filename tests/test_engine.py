@@ -302,7 +302,55 @@ def test_command_line_from_frames(spark, tmp_path):
     assert second.endswith("_r02.nrrd")
     assert sorted(p for p in (tmp_path / "in" / "mask_detection").rglob("*.json")) == kept
     assert (out / "Lens 12mm_OD_EYE_VOL_r01.nrrd").read_bytes() == (out / "Lens 12mm_OD_EYE_VOL_r02.nrrd").read_bytes()
-    assert sorted(p.name for p in (out / "QC").glob("*.png")) == sorted(f"{a}_{b}.png" for a in ("mip", "slice") for b in ("xy", "xz", "yz"))
+    assert sorted(p.name for p in (out / "QC").glob("*.png")) == sorted(["mask.png", "unwrapped_mid.png", *(f"{a}_{b}.png" for a in ("mip", "slice") for b in ("xy", "xz", "yz"))])
+
+
+def test_command_line_options(spark, tmp_path, capsys):
+    """Without the mask's effect, a stack with a known answer, and the table of even and odd frames with its warning."""
+    from sweepgrid import cli
+    from sweepgrid.plans import qc, sweep
+    from sweepgrid.sources import images
+
+    frames, mask = scan(tmp_path / "in")
+    o = sweep.SweepOptions(depth_mm=40.0, voxel_mm=8.0, registration=False, apex_search=False)
+    cli.run(spark, frames, mask, str(tmp_path / "out"), o, "a", pictures=False, even_odd=True)
+    lines = (tmp_path / "out" / "QC" / "even_odd.csv").read_text().splitlines()
+    assert lines[0] == "subset,ratio,drift,alarm" and [x.split(",")[0] for x in lines[1:]] == ["all", "even", "odd"]
+    assert ("true" in "".join(lines)) == ("axis ratios" in capsys.readouterr().err)
+
+    calib = geometry.calibrate(images.mask_pixels(spark, mask).select("x", "y"), *images.mask_pixels(spark, mask).select("width", "height").first())
+    record = geometry.geometry(calib.withColumn("depth_mm", F.lit(40.0))).first().asDict()
+    pixels = images.pixels(images.scan_frames(spark, frames))
+    on = images.mask_pixels(spark, mask)
+    stacks = {name: sweep.unwrapped(spark, pixels, record, o.__class__(**{**o.__dict__, **change}), on)[0] for name, change in (("masked", {}), ("open", {"use_mask": False}), ("ones", {"phantom": "ones"}))}
+    assert stacks["ones"].where("v <> 1").isEmpty()
+    masked, whole = (stacks[n].where("v <> 0").count() for n in ("masked", "open"))
+    assert masked < whole and stacks["masked"].join(stacks["open"], ["k", "r", "p"]).count() == stacks["open"].count()
+    args = cli.parser().parse_args(["a", "--no-mask", "--phantom", "radial", "--even-odd", "--slab-size", "8"])
+    assert args.no_mask and args.phantom == "radial" and args.even_odd and args.slab_size == 8
+
+
+def test_even_and_odd_frames_in_one_plan(spark):
+    """The same ratios as by resampling each subset alone, whatever the number of frames."""
+    from sweepgrid.plans import qc
+
+    fan = recon.Fan(12.0, 0.0, math.radians(52), 12, 16)
+    for n in (7, 8):
+        _, stack = random_stack(spark, (12, 16, n), n)
+        want = {}
+        for name, every, first in (("all", 1, 0), ("even", 2, 0), ("odd", 2, 1)):
+            sub = stack.where(F.col("k") % every == first).withColumn("k", F.expr(f"cast(k div {every} as int)"))
+            voxels = recon.resample(spark, sub, fan, len(range(first, n, every)), 2.0)
+            want[name] = volume.axis_ratio(voxels, recon.axis_count(12.0, 2.0) ** 3, least=5).first()["ratio"]
+        got = {r["subset"]: r for r in qc.even_odd_ratios(stack, fan, n, 2.0, 5).collect()}
+        assert {k: r["ratio"] for k, r in got.items()} == pytest.approx(want)
+        assert all(r["drift"] == pytest.approx(abs(want[k] - want["all"])) and r["alarm"] == (r["drift"] > 0.02) for k, r in got.items())
+
+
+def test_slabs_set_the_tasks(spark):
+    fan = recon.Fan(40.0, 0.0, math.radians(52), 12, 16)
+    parts = [recon.valid_cells(spark, fan, 1.0, s).rdd.getNumPartitions() for s in (1, 8, 1000)]
+    assert parts == [80, 10, spark.sparkContext.defaultParallelism] and recon.valid_cells(spark, fan, 4.0, 8).count() == recon.valid_cells(spark, fan, 4.0).count()
 
 
 def test_apex_search_takes_the_first_valid_place(spark):
