@@ -11,9 +11,14 @@ from ..functions.scalars import linspace
 from . import seam
 
 
+def brightness(b, g, r):
+    """The one grey rule, for columns and for arrays alike, before it is cut to whole numbers; channels as the image source gives them, blue first."""
+    return (299 * b + 587 * g + 114 * r + 500) / 1000
+
+
 def gray(b: Column, g: Column, r: Column) -> Column:
-    """Brightness of three channels in the order the image source gives them (blue first)."""
-    return F.floor((299 * b + 587 * g + 114 * r + 500) / 1000).cast("int")
+    """Brightness of three channels."""
+    return F.floor(brightness(b, g, r)).cast("int")
 
 
 def sampling_grid(spark: SparkSession, apex: tuple[float, float], phi0: float, phi1: float, r_max_pix: float, cols: int) -> DataFrame:

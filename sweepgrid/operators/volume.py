@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import exact_percentile
+from ..functions.quantiles import exact_percentile, percentiles_by
 from ..functions.scalars import affine, clip, half_even, symmetric_eigenvalues
-from ..functions.session import cut, few
+from ..functions.session import beside, cut, few
 from . import blocks
 
 AXES = ("ix", "iy", "iz")
@@ -57,7 +57,7 @@ def axis_ratio(voxels: DataFrame, total: int, share: float = 0.6, least: int = 5
         counts = voxels.groupBy(*keys).agg(F.count(F.lit(1)).alias("have"))
         zeros = counts.select(*keys, F.lit(0.0).alias("v"), (F.lit(total) - F.col("have")).alias("n")).where("n > 0")
         rows = voxels.select(*keys, F.col("v").cast("double"), F.lit(1).cast("long").alias("n")).unionByName(zeros)
-        cut_at = rows.groupBy(*keys).agg(F.percentile("v", share, F.col("n")).alias("t"))
+        cut_at = percentiles_by(cut(rows), "v", [share], keys, "n").select(*keys, F.col("p")[0].alias("t"))
         above = voxels.join(cut_at, keys).where("v > t")
     else:
         above = voxels.where(F.col("v") > F.lit(exact_percentile(cut(with_zero_row(voxels, total)), "v", share, "n")))
@@ -72,12 +72,9 @@ def min_max_quantize(df: DataFrame, value: str, bits: int, auto_window: bool = T
     finite = ~(F.isnan(v) | (F.abs(v) == float("inf")))
     if not auto_window:
         return df.withColumn("q", (clip(F.when(finite, v).otherwise(0.0), 0.0, 1.0) * top).cast("int"))
-    w = Window.partitionBy(*by)
-    if by:
-        lo, hi = F.min(F.when(finite, v)).over(w), F.max(F.when(finite, v)).over(w)
-        rows = df.withColumns({"__lo": lo, "__hi": hi})
-    else:
-        rows = df.join(F.broadcast(df.agg(F.min(F.when(finite, v)).alias("__lo"), F.max(F.when(finite, v)).alias("__hi"))))
+    # Extremes merge before the shuffle and come back as a row a slice.
+    rows = beside(df, df.groupBy(*by).agg(F.min(F.when(finite, v)).alias("__lo"), F.max(F.when(finite, v)).alias("__hi")), by)
+    if not by:
         none = F.raise_error(F.lit("no finite value to quantize")).cast("double")
         rows = rows.withColumn("__lo", F.coalesce("__lo", none))
     hi = F.when(F.col("__hi") <= F.col("__lo"), F.col("__lo") + 1.0).otherwise(F.col("__hi"))
@@ -89,8 +86,11 @@ def robust_rescale(df: DataFrame, value: str, low: float = 1.0, high: float = 99
     """Adds q: percentiles of the positive values as the window, clipped and rounded half to even."""
     v = F.col(value).cast("double")
     positive = F.when(v > 0, v)
-    stats = df.groupBy(*by).agg(F.percentile(positive, low / 100.0).alias("__lo"), F.percentile(positive, high / 100.0).alias("__hi"))
-    rows = df.join(stats, list(by)) if by else df.join(F.broadcast(stats))
+    got = percentiles_by(df.select(*by, positive.alias("__v")), "__v", [low / 100.0, high / 100.0], by)
+    stats = got.select(*by, F.col("p")[0].alias("__lo"), F.col("p")[1].alias("__hi"))
+    if not by:  # without a positive value there is no window
+        stats = stats.agg(F.first("__lo").alias("__lo"), F.first("__hi").alias("__hi"))
+    rows = df.join(stats, list(by), "left") if by else df.join(F.broadcast(stats))
     span = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-9))
     q = half_even(clip((v - F.col("__lo")) / span, 0.0, 1.0) * (255.0 if bits == 8 else 65535.0))
     return rows.withColumn("q", F.coalesce(q, F.lit(0.0)).cast("int")).drop("__lo", "__hi")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import numeric_first_key, stem
 from ..functions.quantiles import ranked
+from ..operators.polar import brightness
 
 
 def scan_frames(spark: SparkSession, folder: str, scan_id: str = "scan") -> DataFrame:
@@ -38,7 +39,7 @@ def pixels(frames: DataFrame) -> DataFrame:
         for b in batches:
             for r in b.itertuples():
                 a = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.n_channels).astype(float)
-                g = a[..., 0] if r.n_channels == 1 else np.floor(0.299 * a[..., 0] + 0.587 * a[..., 1] + 0.114 * a[..., 2] + 0.5)
+                g = a[..., 0] if r.n_channels == 1 else np.floor(brightness(a[..., 0], a[..., 1], a[..., 2]))
                 y, x = np.divmod(np.arange(g.size), r.width)
                 yield pd.DataFrame({"scan_id": r.scan_id, "k": r.frame_idx, "y": y.astype("int32"), "x": x.astype("int32"), "v": g.ravel()})
 

@@ -569,3 +569,21 @@ def test_diffusion_equals_plain_loops(spark, monkeypatch):
         now = now + 0.05 * np.exp(-size2 / (2 * 1.5**2 * size2.mean())) * flow
     got = {(r["ix"], r["iy"], r["iz"]): r["v"] for r in volume.curvature_diffusion(voxels, shape, 3, 1.5, 0.05).collect()}
     assert got == pytest.approx({tuple(map(int, i)): float(x) for i, x in np.ndenumerate(now)})
+
+
+@pytest.mark.parametrize("direct", [5, 1_000_000])
+def test_percentiles_of_all_groups_together(spark, direct):
+    """Groups of every size and kind of values, a null group among them, narrowed to a few rows or not at all."""
+    from sweepgrid.functions.quantiles import percentiles_by
+
+    rng = np.random.default_rng(11)
+    groups = {"normal": rng.normal(0, 1, 700), "ties": np.round(rng.exponential(size=500), 1), "one": np.array([3.5]), "same": np.full(60, 2.0), "two": np.array([1.0, 5.0]), None: rng.uniform(-1, 1, 300)}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("normal", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    at = [0.0, 0.01, 0.5, 0.997, 1.0]
+    got = {r["g"]: r["p"] for r in percentiles_by(df, "v", at, ["g"], direct=direct).collect()}
+    assert got == {g: pytest.approx(np.percentile(xs, [100 * q for q in at]).tolist()) for g, xs in groups.items()}
+    heavy = spark.createDataFrame([("a", 0.0, 900), ("a", 1.0, 50), ("a", 2.0, 50), ("b", 7.0, 3)], "g string, v double, n long")
+    got = {r["g"]: r["p"] for r in percentiles_by(heavy, "v", at, ["g"], "n", direct=1).collect()}
+    assert got == {"a": pytest.approx(np.percentile(np.repeat([0.0, 1.0, 2.0], [900, 50, 50]), [100 * q for q in at]).tolist()), "b": [7.0] * 5}
+    assert percentiles_by(df, "v", [0.5], []).first()["p"][0] == pytest.approx(np.median(np.concatenate(list(groups.values()))))
