@@ -1,10 +1,16 @@
-"""Graphs and grids: connected components and shortest paths by iterated joins."""
+"""Graphs and grids: connected components and shortest paths by iterated joins, and within parts by a heap."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+from heapq import heappop, heappush
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import ranked
 from ..functions.session import cut
 
 ROUNDS = 64
@@ -60,22 +66,115 @@ def largest_component(cells: DataFrame, axes: list[str], shape: list[int], diago
     return placed.join(F.broadcast(best), "label").select(*axes)
 
 
-def shortest_paths(edges: DataFrame, seeds: DataFrame, rounds: int = 10_000, steps: int = 4) -> DataFrame:
-    """(vid, d): distance of each reached vertex from the nearest seed over edges (src, dst, w).
+#: Vertices of a part of a graph: what one task holds and searches with a heap.
+PART = 16_384
+
 
-    Bellman-Ford with a frontier: only vertices whose distance fell send it on, over several edges before what
-    they reach is compared with the best so far and written.
+def space_parts(points: DataFrame, axes: Sequence[str], size: int = PART, bits: int = 10) -> DataFrame:
+    """(vid, part): parts of size points each along a space-filling curve (Morton order) of their box.
+
+    Ranks along the curve make the parts equally large however points crowd; points at one place are told apart by vid.
     """
-    best = cut(seeds.select("vid", F.lit(0.0).alias("d")).distinct())
-    frontier = best
+    box = points.agg(*(f(F.col(a)).alias(f"{n}{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    cells = []
+    for a in axes:
+        span = (box[f"hi{a}"] or 0.0) - (box[f"lo{a}"] or 0.0)
+        scaled = (F.col(a) - F.lit(box[f"lo{a}"])) / F.lit(span) * (2**bits - 1) if span else F.lit(0.0)
+        cells.append(F.floor(F.coalesce(scaled, F.lit(0.0))).cast("long"))
+    code = F.lit(0).cast("long")
+    for b in range(bits):
+        for i, c in enumerate(cells):
+            code = code.bitwiseOR(F.shiftleft(F.shiftright(c, b).bitwiseAND(F.lit(1).cast("long")), b * len(cells) + i))
+    placed = ranked(points.where("vid IS NOT NULL").select("vid", code.alias("code")), ["code", "vid"], "rank")
+    return placed.select("vid", F.floor((F.col("rank") - 1) / size).cast("long").alias("part"))
+
+
+def _links_of_part(key: tuple, t: pa.Table) -> pa.Table:
+    """The edges that leave the vertices of a part, grouped by their start; an edge without end stands for a vertex alone."""
+    src, dst, w, there = (t.column(c).combine_chunks() for c in ("src", "dst", "w", "there"))
+    start, real = src.to_numpy(), dst.is_valid().to_numpy(zero_copy_only=False)
+    vids = np.unique(start)
+    start, ends = start[real], dst.drop_null().to_numpy()
+    order = np.argsort(start, kind="stable")
+    first = np.searchsorted(start[order], np.append(vids, vids[-1]), "left")
+    first[-1] = len(order)
+    cols = {"vids": vids, "first": first, "ends": ends[order], "there": there.drop_null().to_numpy()[order], "w": w.drop_null().to_numpy()[order]}
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), **{n: pa.array([np.ascontiguousarray(a, np.float64 if n == "w" else np.int64).tobytes()], pa.binary()) for n, a in cols.items()}})
+
+
+def _searched(row: dict) -> tuple[np.ndarray, tuple[list, list, list]]:
+    """Distances of a part's vertices once all that came in has been followed inside it, and what crosses its border."""
+    read = lambda n, kind=np.int64: np.frombuffer(row[n], kind)
+    part, vids, first, ends, there, w = row["part"], read("vids"), read("first"), read("ends"), read("there"), read("w", np.float64)
+    d = np.full(len(vids), np.inf) if row["d"] is None else read("d", np.float64).copy()
+    inside = there == part
+    local = np.where(inside, np.searchsorted(vids, ends), -1)
+    best, heap, moved = d.tolist(), [], set()
+    for vid, x in zip(row["vid"], row["x"], strict=True):
+        i = int(np.searchsorted(vids, vid))
+        if x < best[i]:
+            best[i] = x
+            heappush(heap, (x, i))
+            moved.add(i)
+    starts, near, far = first.tolist(), local.tolist(), w.tolist()
+    while heap:
+        x, i = heappop(heap)
+        if x > best[i]:
+            continue
+        for e in range(starts[i], starts[i + 1]):
+            j, y = near[e], x + far[e]
+            if j >= 0 and y < best[j]:
+                best[j] = y
+                heappush(heap, (y, j))
+                moved.add(j)
+    out: tuple[list, list, list] = ([], [], [])
+    for i in sorted(moved):
+        for e in range(starts[i], starts[i + 1]):
+            if near[e] < 0:
+                for held, value in zip(out, (there[e], ends[e], best[i] + far[e]), strict=True):
+                    held.append(value)
+    return np.asarray(best), out
+
+
+def shortest_paths(edges: DataFrame, seeds: DataFrame, parts: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(vid, d): distance of each reached vertex from the nearest seed (vid) over edges (src, dst, w) with w of 0 or more.
+
+    parts (vid, part): every vertex is in one part; seeds and edges of other vertices, and edges with a null, are left out.
+    A round searches each part that got something, with a heap, from all that came over its border, and sends on what
+    leaves it: the shortest way into each vertex of another part. So there are about as many rounds as parts that the
+    longest of the shortest ways crosses, not as it has edges; parts that got nothing are neither read nor searched again.
+    """
+    here = parts.select(F.col("vid").alias("src"), "part")
+    there = parts.select(F.col("vid").alias("dst"), F.col("part").alias("there"))
+    known = edges.where("src IS NOT NULL AND w IS NOT NULL").join(here, "src").join(there, "dst").select("part", "src", "dst", F.col("w").cast("double").alias("w"), "there")
+    alone = here.select("part", "src", *(F.lit(None).cast(kind).alias(n) for n, kind in (("dst", "long"), ("w", "double"), ("there", "long"))))
+    links = cut(known.select("part", F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "w", "there").unionByName(alone.withColumn("src", F.col("src").cast("long"))).groupBy("part").applyInArrow(_links_of_part, "part long, vids binary, first binary, ends binary, there binary, w binary"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in (r for i in range(b.num_rows) for r in b.slice(i, 1).to_pylist()):
+                d, (to, vid, x) = _searched(row)
+                cols = [pa.array([v], kind) for v, kind in ((row["part"], pa.int64()), (row["vids"], pa.binary()), (d.tobytes(), pa.binary()), (to, pa.list_(pa.int64())), (vid, pa.list_(pa.int64())), (x, pa.list_(pa.float64())))]
+                yield pa.RecordBatch.from_arrays(cols, names=["part", "vids", "d", "to", "vid", "x"])
+
+    kind = "part long, vids binary, d binary, to array<long>, vid array<long>, x array<double>"
+    came = seeds.select("vid").distinct().join(parts, "vid").select("part", F.col("vid").cast("long").alias("vid"), F.lit(0.0).alias("x"))
+    state = links.sparkSession.createDataFrame([], kind)
     for _ in range(rounds):
-        now, reached = frontier, None
-        for _ in range(steps):
-            now = now.join(edges, now["vid"] == edges["src"]).groupBy(F.col("dst").alias("vid")).agg(F.min(F.col("d") + F.col("w")).alias("d"))
-            reached = now if reached is None else reached.unionByName(now)
-        sent = reached.groupBy("vid").agg(F.min("d").alias("d"))
-        frontier = cut(sent.join(best.withColumnRenamed("d", "old"), "vid", "left").where("old IS NULL OR d < old - 1e-12").select("vid", "d"))
-        if frontier.isEmpty():
-            return best
-        best = cut(best.unionByName(frontier).groupBy("vid").agg(F.min("d").alias("d")))
+        least = came.groupBy("part", "vid").agg(F.min("x").alias("x"))
+        inbox = least.groupBy("part").agg(F.collect_list(F.struct("vid", "x")).alias("m")).select("part", F.col("m.vid").alias("vid"), F.col("m.x").alias("x"))
+        asked = links.join(inbox, "part").join(state.select("part", "d"), "part", "left")
+        idle = state.join(inbox, "part", "left_anti").select("part", "vids", "d", *(F.array().cast(f"array<{t}>").alias(n) for n, t in (("to", "long"), ("vid", "long"), ("x", "double"))))
+        state = cut(asked.mapInArrow(search, kind).unionByName(idle))
+        came = state.where("size(to) > 0").select(F.explode(F.arrays_zip("to", "vid", "x")).alias("m")).select(F.col("m.to").alias("part"), F.col("m.vid").alias("vid"), F.col("m.x").alias("x"))
+        if came.isEmpty():
+            return state.select("vids", "d").mapInArrow(_distances, "vid long, d double")
     raise RuntimeError("paths did not settle")
+
+
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The reached vertices of searched parts."""
+    for b in batches:
+        for vids, d in zip(b.column(0), b.column(1), strict=True):
+            v, x = np.frombuffer(vids.as_buffer(), np.int64), np.frombuffer(d.as_buffer(), np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(v[np.isfinite(x)]), pa.array(x[np.isfinite(x)])], names=["vid", "d"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, cross, dot, norm
 from ..functions.session import cut
-from .graph import shortest_paths
+from .graph import PART, shortest_paths, space_parts
 
 XYZ = ("x", "y", "z")
 
@@ -52,10 +52,13 @@ def patch_area(faces: DataFrame, vertices: DataFrame, patch: DataFrame) -> DataF
     return whole.agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("area"), F.count(F.lit(1)).alias("n"))
 
 
-def geodesic(faces: DataFrame, vertices: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(vid, d): shortest way along edges from the nearest seed (vid); vertices that none reaches are missing."""
-    links = cut(edges(faces, vertices).groupBy("src", "dst").agg(F.min("w").alias("w")))
-    return shortest_paths(links, seeds)
+def geodesic(faces: DataFrame, vertices: DataFrame, seeds: DataFrame, size: int = PART) -> DataFrame:
+    """(vid, d): shortest way along edges from the nearest seed (vid); vertices that none reaches are missing.
+
+    The mesh is cut into parts of about size vertices along a space-filling curve, each searched as a whole.
+    """
+    links = edges(faces, vertices).groupBy("src", "dst").agg(F.min("w").alias("w"))
+    return shortest_paths(links, seeds, cut(space_parts(vertices, XYZ, size)))
 
 
 def area_by_radius(faces: DataFrame, vertices: DataFrame, distances: DataFrame) -> DataFrame:

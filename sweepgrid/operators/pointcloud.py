@@ -199,9 +199,9 @@ def fill_nonfinite(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame
 def posterior_direction(points: DataFrame, center: Sequence[float], cone_degrees: float = 35.0, interior: bool = True) -> tuple[float, float, float]:
     """The end of the principal axis whose cone has the more extreme median residual (needs resid)."""
     axis = principal_axis(points)
-    medians = points.agg(*[F.median(F.when(cos_angle(center, [s * a for a in axis]) >= float(np.cos(np.radians(cone_degrees))), F.col("resid"))).alias(n) for s, n in ((1, "plus"), (-1, "minus"))]).first()
     worst = float("inf") if interior else float("-inf")
-    plus, minus = (worst if medians[k] is None else medians[k] for k in ("plus", "minus"))
+    found = [exact_percentile(points.where(cos_angle(center, [s * a for a in axis]) >= float(np.cos(np.radians(cone_degrees)))), "resid", 0.5) for s in (1, -1)]
+    plus, minus = (worst if m is None else m for m in found)
     first = plus <= minus if interior else plus >= minus
     return tuple(a if first else -a for a in axis)
 
@@ -218,7 +218,8 @@ def trimmed_curvature(points: DataFrame, patch: Column, h: str = "h", surface_q:
     rows = points.withColumns({"__a": F.abs(F.col(h)), "__p": patch})
     kept = rows.where(F.col("__p") & (F.col("__a") <= F.lit(exact_percentile(rows, "__a", surface_q))))
     last = kept.where(F.col("__a") <= F.lit(exact_percentile(kept, "__a", patch_q)))
-    got = last.agg(F.median(h).alias("m"), F.median("__a").alias("ma"), F.avg("__a").alias("aa"), F.count(F.lit(1)).alias("n"))
+    middle = [F.lit(exact_percentile(last, c, 0.5)).cast("double").alias(n) for c, n in ((h, "m"), ("__a", "ma"))]
+    got = last.agg(F.avg("__a").alias("aa"), F.count(F.lit(1)).alias("n")).select("*", *middle)
     return got.select(
         F.coalesce("m", F.lit(0.0)).alias("median_h"), F.coalesce("ma", F.lit(0.0)).alias("median_abs_h"), F.coalesce("aa", F.lit(0.0)).alias("mean_abs_h"),
         F.coalesce(F.try_divide(F.lit(1.0), F.col("m")), F.lit(float("inf"))).alias("r_equiv"), "n",

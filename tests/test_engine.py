@@ -1,5 +1,6 @@
 """Known answers: geometry, phantoms, surfaces, sources and invariants."""
 
+import heapq
 import json
 import math
 import random
@@ -587,3 +588,44 @@ def test_percentiles_of_all_groups_together(spark, direct):
     got = {r["g"]: r["p"] for r in percentiles_by(heavy, "v", at, ["g"], "n", direct=1).collect()}
     assert got == {"a": pytest.approx(np.percentile(np.repeat([0.0, 1.0, 2.0], [900, 50, 50]), [100 * q for q in at]).tolist()), "b": [7.0] * 5}
     assert percentiles_by(df, "v", [0.5], []).first()["p"][0] == pytest.approx(np.median(np.concatenate(list(groups.values()))))
+
+
+def plain_distances(links, seeds):
+    best, heap = dict.fromkeys(seeds, 0.0), [(0.0, s) for s in seeds]
+    while heap:
+        d, u = heapq.heappop(heap)
+        if d > best[u]:
+            continue
+        for v, w in links.get(u, ()):
+            if d + w < best.get(v, math.inf):
+                best[v] = d + w
+                heapq.heappush(heap, (d + w, v))
+    return best
+
+
+@pytest.mark.parametrize("size", [40, 10_000])
+def test_geodesic_by_parts_equals_a_plain_search(spark, size, monkeypatch):
+    """A bumpy sheet of 12 x 12 vertices with a wall that ways must go around, and a piece that nothing reaches."""
+    rng, n = random.Random(5), 12
+    at = {i * n + j: (float(i), float(j), rng.choice([0.0, 0.5, 3.0])) for i in range(n) for j in range(n)} | {900: (99.0, 0.0, 0.0), 901: (99.0, 1.0, 0.0), 902: (98.0, 0.0, 0.0), -7: (2.0, 2.0, 2.0)}
+    tri = [t for i in range(n - 1) for j in range(n - 1) if not (i == 5 and j > 0) for a in [i * n + j] for t in ((a, a + n, a + 1), (a + 1, a + n, a + n + 1))] + [(900, 901, 902)]
+    v = spark.createDataFrame([(k, *p) for k, p in at.items()], "vid long, x double, y double, z double")
+    f = spark.createDataFrame([(i, *t) for i, t in enumerate(tri)], "fid long, v0 long, v1 long, v2 long")
+    links = {}
+    for t in tri:
+        for a in t:
+            links.setdefault(a, []).extend((b, math.dist(at[a], at[b])) for b in t if b != a)
+    for seeds in ([n * n - 1], [0, 7, 7, n * n - 1], [])[: 3 if size == 40 else 1]:
+        cuts = []
+        monkeypatch.setattr(graph, "cut", lambda df: cuts.append(0) or df.checkpoint())
+        got = mesh.geodesic(f, v, spark.createDataFrame([(s,) for s in seeds], "vid long"), size)
+        want = plain_distances(links, set(seeds))
+        assert {r["vid"]: r["d"] for r in got.collect()} == pytest.approx(want, abs=1e-9)
+        assert len(cuts) <= (3 if size > len(at) else 16)
+
+
+def test_space_parts_are_of_one_size(spark):
+    rows = [(i, 0.0 if i < 60 else float(i), 1.0, None if i == 3 else 2.0) for i in range(100)]
+    got = graph.space_parts(spark.createDataFrame(rows, "vid long, x double, y double, z double"), "xyz", 30)
+    assert sorted(r["count"] for r in got.groupBy("part").count().collect()) == [10, 30, 30, 30]
+    assert graph.space_parts(spark.createDataFrame([], "vid long, x double, y double, z double"), "xyz").count() == 0
