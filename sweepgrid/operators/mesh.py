@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, cross, dot, norm
+from ..functions.scans import running_sum
 from ..functions.session import cut
 from .graph import PART, shortest_paths, space_parts
 
@@ -64,13 +65,11 @@ def geodesic(faces: DataFrame, vertices: DataFrame, seeds: DataFrame, size: int
 def area_by_radius(faces: DataFrame, vertices: DataFrame, distances: DataFrame) -> DataFrame:
     """(radius, area): area of the faces that lie wholly within each distance, as a running sum over faces.
 
-    Faces are summed by distance before the ordered sum, which one task makes for one surface.
+    Faces are summed by distance before the ordered sum, which ranges of distances make side by side.
     """
-    from pyspark.sql import Window
-
     placed = face_areas(faces, vertices.join(distances, "vid"), ("d",)).where("ad IS NOT NULL AND bd IS NOT NULL AND cd IS NOT NULL")
     steps = placed.groupBy(F.greatest("ad", "bd", "cd").alias("radius")).agg(F.sum("area").alias("a"))
-    return steps.select("radius", F.sum("a").over(Window.orderBy("radius").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("area"))
+    return running_sum(steps, "a", ["radius"], "area").select("radius", "area")
 
 
 def radius_for_area(table: DataFrame, target: float, steps: int = 18) -> float:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scans import increasing
 from ..operators import recon, registration, seam
 from . import query
 from .carriers import COLS, FAN, POLAR, ROWS, VOXEL, cells_sql, frames, polar, read, rnd, sample_sql
@@ -129,8 +130,8 @@ def theta_knots_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _increasing(e: DataFrame) -> DataFrame:
-    series = e.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"].cast("double")).alias("vs"))
-    return series.select("user_id", F.posexplode(seam.strictly_increasing(F.col("vs"))).alias("i", "v")).select("user_id", "i", rnd("v").alias("v"))
+    got = increasing(e.select("user_id", "ts", "event_id", "value"), "value", ["user_id"], ["ts", "event_id"], "v", "i")
+    return got.select("user_id", F.col("i").cast("int").alias("i"), rnd("v").alias("v"))
 
 
 @query("""WITH e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sweepgrid.functions import names, scalars
+from sweepgrid.functions import names, scalars, scans
 from sweepgrid.operators import geometry, graph, mesh, pointcloud, recon, registration, seam, volume
 from sweepgrid.queries.mesh import _sphere
 from sweepgrid.sources import nrrd, records
@@ -629,3 +629,34 @@ def test_space_parts_are_of_one_size(spark):
     got = graph.space_parts(spark.createDataFrame(rows, "vid long, x double, y double, z double"), "xyz", 30)
     assert sorted(r["count"] for r in got.groupBy("part").count().collect()) == [10, 30, 30, 30]
     assert graph.space_parts(spark.createDataFrame([], "vid long, x double, y double, z double"), "xyz").count() == 0
+
+
+@pytest.mark.parametrize("size", [37, 1_000_000])
+def test_increasing_over_ranges_equals_the_fold(spark, size):
+    """One series with most rows, some of one row, nulls and a null key; ties and falls in all of them."""
+    rng, rows = random.Random(8), []
+    for i in range(600):
+        key = rng.choice([1, 1, 1, 1, 1, 2, 3, None] if i else [9])
+        rows.append((key, i, rng.choice([None, 0.25, 0.5, 3.0, 7.5, 0.01 * i, 0.5 * (i // 50) + 0.125])))
+    want, state = {}, {}
+    for key, i, x in rows:
+        n, last = state.get(key, (0, None))
+        y = None if x is None else x if last is None or x > last else last + 0.125
+        state[key] = n + 1, last if x is None else y
+        want[i] = (n, y)
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "s long, t long, x double").repartition(3)
+    got = scans.increasing(df, "x", ["s"], ["t"], "y", "n", 0.125, size)
+    assert got.columns == ["s", "t", "x", "y", "n"]
+    assert {r["t"]: (r["n"], r["y"]) for r in got.collect()} == {i: (n, y if y is None else pytest.approx(y)) for i, (n, y) in want.items()}
+    assert scans.increasing(df.limit(0), "x", ["s"], ["t"], "y", "n").count() == 0
+
+
+def test_running_sum_over_ranges(spark):
+    rows = [(i, None if i % 11 == 0 else float(i % 7)) for i in range(300)]
+    got = scans.running_sum(spark.createDataFrame(rows, "i long, x double").repartition(4), "x", ["i"], "s", 40)
+    want, total = {}, 0.0
+    for i, x in rows:
+        total += x or 0.0
+        want[i] = total
+    assert {r["i"]: r["s"] for r in got.collect()} == want
