@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import ranked
+from ..functions.curves import along_curve
 from ..functions.session import cut
 
 ROUNDS = 64
@@ -70,23 +70,9 @@ def largest_component(cells: DataFrame, axes: list[str], shape: list[int], diago
 PART = 16_384
 
 
-def space_parts(points: DataFrame, axes: Sequence[str], size: int = PART, bits: int = 10) -> DataFrame:
-    """(vid, part): parts of size points each along a space-filling curve (Morton order) of their box.
-
-    Ranks along the curve make the parts equally large however points crowd; points at one place are told apart by vid.
-    """
-    box = points.agg(*(f(F.col(a)).alias(f"{n}{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    cells = []
-    for a in axes:
-        span = (box[f"hi{a}"] or 0.0) - (box[f"lo{a}"] or 0.0)
-        scaled = (F.col(a) - F.lit(box[f"lo{a}"])) / F.lit(span) * (2**bits - 1) if span else F.lit(0.0)
-        cells.append(F.floor(F.coalesce(scaled, F.lit(0.0))).cast("long"))
-    code = F.lit(0).cast("long")
-    for b in range(bits):
-        for i, c in enumerate(cells):
-            code = code.bitwiseOR(F.shiftleft(F.shiftright(c, b).bitwiseAND(F.lit(1).cast("long")), b * len(cells) + i))
-    placed = ranked(points.where("vid IS NOT NULL").select("vid", code.alias("code")), ["code", "vid"], "rank")
-    return placed.select("vid", F.floor((F.col("rank") - 1) / size).cast("long").alias("part"))
+def space_parts(points: DataFrame, axes: Sequence[str], size: int = PART) -> DataFrame:
+    """(vid, part): parts of size points each along a space-filling curve; points without a number are left out."""
+    return along_curve(points.where("vid IS NOT NULL").select("vid", *axes), axes, size, "part").select("vid", "part")
 
 
 def _links_of_part(key: tuple, t: pa.Table) -> pa.Table:

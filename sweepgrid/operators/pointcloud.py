@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.curves import along_curve
 from ..functions.quantiles import exact_percentile
 from ..functions.scalars import clip, norm, num
-from ..functions.session import cut, few
+from ..functions.session import SETTINGS_ROWS, cut
 from .volume import covariance, eigen
 
 XYZ = ("x", "y", "z")
@@ -169,11 +170,40 @@ def extreme(points: DataFrame, value: str, lowest: bool, by: Sequence[str] = ())
     return got.select(*by, (-F.col("b.m")).alias("vid"), F.col(f"b.{value}").alias(value))
 
 
-def nearest_vertex(points: DataFrame, fiducials: DataFrame) -> DataFrame:
-    """(name, vid, d): the vertex nearest to each fiducial (name, fx, fy, fz), a handful of hand-placed points."""
-    met = points.join(few(fiducials))
+#: Children of a node of the tree of boxes that nearest points are sought in.
+FAN = 64
+
+
+def nearest_vertex(points: DataFrame, fiducials: DataFrame, fan: int = FAN) -> DataFrame:
+    """(name, vid, d): the vertex nearest to each fiducial (name, unique; fx, fy, fz), the first by number among equals.
+
+    Points without a place or number are left out, as are fiducials without one; without points there are no rows.
+    A tree of tight boxes is packed along a space-filling curve, fan points to a leaf and fan nodes to a node, so it is balanced
+    however points crowd; one place is one point. All fiducials go down together, a join a level, and leave a box behind
+    when another one surely holds a nearer point. So there may be as many fiducials as points.
+    """
+    there = " AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in XYZ)
+    spots = points.where(f"vid IS NOT NULL AND {there}").groupBy(*(F.col(c).cast("double").alias(c) for c in XYZ)).agg(F.min("vid").alias("vid"))
+    placed = cut(along_curve(cut(spots), XYZ, fan, "node"))
+    level = placed.groupBy("node").agg(*(f(c).alias(f"{n}{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))))
+    levels, sizes = [cut(level)], [-(-placed.count() // fan)]
+    while sizes[-1] > 1:
+        up = levels[-1].withColumn("node", F.floor(F.col("node") / fan).cast("long"))
+        levels.append(cut(up.groupBy("node").agg(*(f(f"{n}{c}").alias(f"{n}{c}") for c in XYZ for n, f in (("lo", F.min), ("hi", F.max))))))
+        sizes.append(-(-sizes[-1] // fan))
+    where = " AND ".join(f"f{c} IS NOT NULL AND NOT isnan(f{c})" for c in XYZ)
+    at = fiducials.where(f"name IS NOT NULL AND {where}").select("name", *(F.col(f"f{c}").cast("double").alias(f"f{c}") for c in XYZ), F.lit(0).cast("long").alias("node"))
+    for boxes, n in list(zip(levels, sizes, strict=True))[-2::-1]:
+        kids = boxes.withColumn("up", F.floor(F.col("node") / fan).cast("long"))
+        # High up all fiducials meet the same few boxes.
+        met = at.withColumnRenamed("node", "up").join(F.broadcast(kids) if n <= SETTINGS_ROWS else kids, "up")
+        near = [F.greatest(F.col(f"lo{c}") - F.col(f"f{c}"), F.col(f"f{c}") - F.col(f"hi{c}"), F.lit(0.0)) for c in XYZ]
+        far = [F.greatest(F.abs(F.col(f"lo{c}") - F.col(f"f{c}")), F.abs(F.col(f"f{c}") - F.col(f"hi{c}"))) for c in XYZ]
+        met = met.withColumns({"__near": norm(near), "__far": norm(far)})
+        sure = met.groupBy("name").agg(F.min("__far").alias("__sure"))
+        at = cut(met.join(sure, "name").where(F.col("__near") <= F.col("__sure") * (1 + 1e-9)).select("name", *(f"f{c}" for c in XYZ), "node"))
     d = norm([F.col(a) - F.col(f"f{a}") for a in XYZ])
-    return extreme(met.select("name", "vid", d.alias("d")), "d", True, ["name"])
+    return extreme(at.join(placed, "node").select("name", "vid", d.alias("d")), "d", True, ["name"])
 
 
 def pseudo_boundary(points: DataFrame, center: Sequence[float], percentile: float = 0.95) -> DataFrame:

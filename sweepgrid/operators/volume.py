@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_percentile, percentiles_by
 from ..functions.scalars import affine, clip, half_even, symmetric_eigenvalues
-from ..functions.session import beside, cut, few
+from ..functions.session import beside, cut
 from . import blocks
 
 AXES = ("ix", "iy", "iz")
@@ -199,9 +199,17 @@ def sampled_slice_counts(cells: DataFrame, axis: str, n: int, samples: int = 20)
 
 
 def window_counts(cells: DataFrame, candidates: DataFrame, radius: int = 5) -> DataFrame:
-    """(cid, n): voxels in a cube around each candidate (cid, ix, iy, iz). Candidates are a few fiducial guesses."""
-    near = [F.abs(cells[a] - candidates[a]) <= radius for a in AXES]
-    met = cells.join(few(candidates), near[0] & near[1] & near[2])
+    """(cid, n): voxels in a cube around each candidate (cid, ix, iy, iz).
+
+    Both sides meet in cells as wide as the cube, of which it touches eight at most; a cell holds no more voxels than fit in it.
+    """
+    wide = 2 * radius + 1
+    place = lambda a: F.floor(a / wide).cast("long")
+    sent = candidates.select("cid", *(F.col(a).alias(f"c{a}") for a in AXES))
+    for a in AXES:
+        sent = sent.withColumn(f"b{a}", F.explode(F.array_distinct(F.array(place(F.col(f"c{a}") - radius), place(F.col(f"c{a}") + radius)))))
+    met = cells.select(*AXES, *(place(F.col(a)).alias(f"b{a}") for a in AXES)).join(sent, [f"b{a}" for a in AXES])
+    met = met.where(" AND ".join(f"abs({a} - c{a}) <= {radius}" for a in AXES))
     got = met.groupBy("cid").agg(F.count(F.lit(1)).alias("n"))
     return candidates.select("cid").join(got, "cid", "left").select("cid", F.coalesce("n", F.lit(0)).alias("n"))
 

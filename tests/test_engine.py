@@ -660,3 +660,29 @@ def test_running_sum_over_ranges(spark):
         total += x or 0.0
         want[i] = total
     assert {r["i"]: r["s"] for r in got.collect()} == want
+
+
+def test_nearest_vertex_equals_all_pairs(spark):
+    """Crowded points, copies of one place, ties on a lattice, one far outlier; fiducials inside, outside, at points and nowhere."""
+    rng = random.Random(3)
+    pts = [(i, float(i % 5), float(i // 5 % 5), float(i // 25)) for i in range(100)] + [(200 + i, 2.0 + rng.gauss(0, 1e-3), 2.0, 2.0) for i in range(60)]
+    pts += [(300 + i, 9.0, 9.0, 9.0) for i in range(30)] + [(400, 1e6, 0.0, 0.0)]
+    odd = [(500, None, 0.0, 0.0), (501, math.nan, 0.0, 0.0), (None, 0.1, 0.1, 0.1)]
+    fid = [(f"f{i}", rng.uniform(-2, 11), rng.uniform(-2, 6), rng.uniform(-2, 6)) for i in range(40)] + [("tie", 1.5, 1.5, 1.5), ("copy", 9.0, 9.0, 9.1), ("far", 4e5, 7.0, -3.0), ("none", None, 0.0, 0.0)]
+    p = spark.createDataFrame(pts + odd, "vid long, x double, y double, z double")
+    f = spark.createDataFrame(fid, "name string, fx double, fy double, fz double")
+    want = {n: min((math.dist(q[1:], xyz), q[0]) for q in pts) for n, *xyz in fid[:-1]}
+    got = {r["name"]: (r["d"], r["vid"]) for r in pointcloud.nearest_vertex(p, f, 4).collect()}
+    assert {n: v for n, (_, v) in got.items()} == {n: v for n, (_, v) in want.items()}
+    assert {n: d for n, (d, _) in got.items()} == pytest.approx({n: d for n, (d, _) in want.items()})
+    assert pointcloud.nearest_vertex(p.limit(0), f).count() == 0
+
+
+@pytest.mark.parametrize("radius", [0, 5])
+def test_window_counts_equal_all_pairs(spark, radius):
+    rng = random.Random(4)
+    cells = sorted({tuple(rng.randrange(20) for _ in range(3)) for _ in range(700)})
+    tries = [(i, rng.randrange(-8, 27), rng.randrange(20), rng.randrange(20)) for i in range(30)] + [(99, *cells[0])]
+    got = volume.window_counts(spark.createDataFrame(cells, "ix int, iy int, iz int"), spark.createDataFrame(tries, "cid long, ix int, iy int, iz int"), radius)
+    want = {c: sum(all(abs(a - b) <= radius for a, b in zip(p, at)) for p in cells) for c, *at in tries}
+    assert {r["cid"]: r["n"] for r in got.collect()} == want
