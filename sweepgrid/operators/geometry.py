@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_percentile
 from ..functions.scalars import ang_norm, line_intersection, num
-from ..functions.session import few
-from .graph import largest_component
+from ..functions.session import cut, few
+from .graph import grid_components, largest_component
 
 #: Device figures that hold where a scan says nothing else.
 FAN_DEGREES, DEPTH_MM = 52.0, 48.0
@@ -69,12 +69,35 @@ def mask_rows(mask: DataFrame) -> DataFrame:
     return mask.agg(F.countDistinct("y").alias("n_rows_mask")).join(seed)
 
 
-def contour(mask: DataFrame) -> DataFrame:
-    """Cells of a set that miss one of their four neighbours in it."""
-    steps = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])
-    sent = mask.select(F.explode(steps).alias("d"), "x", "y").select((F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"))
-    near = sent.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    return mask.join(near, ["x", "y"], "left").where("coalesce(n, 0) < 4").select("x", "y")
+def outer_contours(mask: DataFrame, width: int, height: int) -> DataFrame:
+    """(x, y, label, area): the outer border of each connected set of cells (x, y), diagonals joined, and the area that it encloses.
+
+    A border cell has one of its four neighbours outside. Holes and what lies in them belong to the set around
+    them. The area is that of the polygon through the border's cell centres: of four centres in a square it holds the
+    whole square, of three a half. The label is the first cell in scan order.
+    """
+    # A frame of empty cells around the image makes all that is outside one set.
+    wide, high = width + 2, height + 2
+    on = mask.where(f"x >= 0 AND x < {width} AND y >= 0 AND y < {height}").select((F.col("x") + 1).cast("long").alias("x"), (F.col("y") + 1).cast("long").alias("y")).distinct()
+    all_cells = mask.sparkSession.range(wide * high).select((F.col("id") % wide).alias("x"), F.expr(f"id div {wide}").alias("y"))
+    empty = all_cells.join(on, ["x", "y"], "left_anti")
+    outside = cut(grid_components(empty, ["y", "x"], [high, wide], False).where("label = 0").select("x", "y"))
+    filled = cut(grid_components(all_cells.join(outside, ["x", "y"], "left_anti"), ["y", "x"], [high, wide], True))
+    corners = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((0, 0), (-1, 0), (0, -1), (-1, -1))])
+    squares = filled.select("label", "x", "y", F.explode(corners).alias("d")).groupBy("label", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    areas = squares.groupBy("label").agg(F.sum(F.when(F.col("n") == 4, 1.0).when(F.col("n") == 3, 0.5).otherwise(0.0)).alias("area"))
+    sides = F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))])
+    near = outside.select("x", "y", F.explode(sides).alias("d")).select((F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y")).distinct()
+    rim = filled.join(near, ["x", "y"], "left_semi").join(areas, "label")
+    first = F.expr(f"(label div {wide} - 1) * {width} + label % {wide} - 1")
+    return rim.select((F.col("x") - 1).alias("x"), (F.col("y") - 1).alias("y"), first.alias("label"), "area")
+
+
+def main_contour(mask: DataFrame, width: int, height: int) -> DataFrame:
+    """(x, y): the outer contour with the largest area, the first in scan order among equals."""
+    each = cut(outer_contours(mask, width, height))
+    best = each.agg(F.max_by("label", F.struct("area", -F.col("label"))).alias("label"))
+    return each.join(F.broadcast(best), "label").select("x", "y")
 
 
 def line_fit(points: DataFrame, by: list[str]) -> DataFrame:
@@ -87,11 +110,9 @@ def line_fit(points: DataFrame, by: list[str]) -> DataFrame:
 
 def calibrate(mask: DataFrame, width: int, height: int) -> DataFrame:
     """One calibration record from the on-pixels (x, y) of a cone mask: largest component, edge lines, apex, fan, depth."""
-    from ..functions.session import cut
-
     body = cut(largest_component(mask.select("y", "x"), ["y", "x"], [height, width], True))
     seed = mask_rows(body)
-    rim = contour(body).join(F.broadcast(seed)).withColumn("phi", F.atan2(F.col("y") - F.col("seed_y"), F.col("x") - F.col("seed_x")))
+    rim = main_contour(body, width, height).join(F.broadcast(seed)).withColumn("phi", F.atan2(F.col("y") - F.col("seed_y"), F.col("x") - F.col("seed_x")))
     rim = cut(rim)
     lo, hi = (exact_percentile(rim, "phi", q) for q in (0.02, 0.98))
 
@@ -110,8 +131,9 @@ def calibrate(mask: DataFrame, width: int, height: int) -> DataFrame:
     p0, p1 = F.least(ang1, ang2), F.greatest(ang1, ang2)
     apex = pair.select(line_intersection(l1, l2).alias("apex"), F.when(p1 - p0 > math.pi, p1).otherwise(p0).alias("phi0_mask"), F.when(p1 - p0 > math.pi, p0 + 2 * math.pi).otherwise(p1).alias("phi1_mask"))
     apex = apex.withColumn("apex", F.coalesce("apex", F.raise_error(F.lit("edge lines are nearly parallel")).cast("struct<x:double,y:double>")))
-    reach = body.join(F.broadcast(apex)).agg(F.percentile(F.hypot(F.col("x") - F.col("apex.x"), F.col("y") - F.col("apex.y")), 0.995).alias("r_max_pix"))
-    return apex.join(reach).join(seed.select("n_rows_mask")).select(
+    apex = cut(apex)
+    far = body.join(F.broadcast(apex)).select(F.hypot(F.col("x") - F.col("apex.x"), F.col("y") - F.col("apex.y")).alias("far"))
+    return apex.withColumn("r_max_pix", F.lit(exact_percentile(far, "far", 0.995))).join(seed.select("n_rows_mask")).select(
         F.col("apex.x").alias("apex_x"), F.col("apex.y").alias("apex_y"), "r_max_pix", F.lit(height).alias("image_height"), F.lit(width).alias("image_width"),
         "phi0_mask", "phi1_mask", "n_rows_mask", F.degrees(F.col("phi1_mask") - F.col("phi0_mask")).alias("mask_fan_angle_deg"),
     )

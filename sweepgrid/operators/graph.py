@@ -7,7 +7,7 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.curves import along_curve
@@ -41,21 +41,30 @@ def hook_components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 def grid_components(cells: DataFrame, axes: list[str], shape: list[int], diagonal: bool) -> DataFrame:
     """cells (axes) with label: the smallest linear index of the component that each belongs to.
 
-    diagonal: all neighbours of a cell count (8 or 26), else only those that share a face.
+    diagonal: all neighbours of a cell count (8 or 26), else only those that share a face. Cells in a row along the last
+    axis are one run from the start: only links between runs are hooked, so their number goes with the surface of
+    what is joined and not with its cells.
     """
-    index = F.lit(0)
+    index = F.lit(0).cast("long")
     for a, n in zip(axes, shape, strict=True):
         index = index * n + F.col(a)
-    rows = cells.select(*axes, index.cast("long").alias("node")).distinct()
+    *others, last = axes
+    line = Window.partitionBy(*others).orderBy(last)
+    begins = F.when(F.coalesce(F.col(last) - F.lag(last).over(line), F.lit(2)) != 1, F.col("node"))
+    rows = cells.select(*axes).distinct().withColumn("node", index)
+    rows = rows.withColumn("begin", begins).withColumn("run", F.max("begin").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = cut(rows.select(*axes, "run"))
     steps = [()]
     for _ in axes:
         steps = [(*s, d) for s in steps for d in (-1, 0, 1)]
-    steps = [s for s in steps if s > (0,) * len(axes) and (diagonal or sum(map(abs, s)) == 1)]
+    steps = [s for s in steps if s[:-1] > (0,) * len(others) and (diagonal or sum(map(abs, s)) == 1)]
+    if not steps:
+        return rows.withColumnRenamed("run", "label")
     offsets = F.array(*[F.struct(*(F.lit(d).alias(f"d{a}") for a, d in zip(axes, s, strict=True))) for s in steps])
-    sent = rows.withColumn("o", F.explode(offsets)).select(F.col("node").alias("u"), *((F.col(a) + F.col(f"o.d{a}")).alias(a) for a in axes))
-    edges = sent.join(rows.withColumnRenamed("node", "v"), axes).select("u", "v")
+    sent = rows.withColumn("o", F.explode(offsets)).select(F.col("run").alias("u"), *((F.col(a) + F.col(f"o.d{a}")).alias(a) for a in axes))
+    edges = sent.join(rows.withColumnRenamed("run", "v"), axes).select("u", "v").distinct()
     labels = hook_components(edges)
-    return rows.join(labels, "node", "left").select(*axes, F.coalesce("label", "node").alias("label"))
+    return rows.join(labels, F.col("run") == F.col("node"), "left").select(*axes, F.coalesce("label", "run").alias("label"))
 
 
 def largest_component(cells: DataFrame, axes: list[str], shape: list[int], diagonal: bool) -> DataFrame:

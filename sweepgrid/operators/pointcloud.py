@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.curves import along_curve
-from ..functions.quantiles import exact_percentile
+from ..functions.quantiles import exact_percentile, ranked
 from ..functions.scalars import clip, norm, num
 from ..functions.session import SETTINGS_ROWS, cut
 from .volume import covariance, eigen
@@ -108,7 +108,10 @@ def robust_sphere(points: DataFrame, trim: float = 0.10, rounds: int = 3, least:
         limit = exact_percentile(scored, "e", (keep - 1) / max(n - 1, 1))
         near = 1e-12 * max(1.0, limit)  # the percentile of a rank may be off by rounding
         below = scored.where(F.col("e") < limit - near)
-        tied = scored.where(F.abs(F.col("e") - limit) <= near).withColumn("i", F.row_number().over(Window.orderBy("vid"))).where(F.col("i") <= keep - below.count()).drop("i")
+        tied = scored.where(F.abs(F.col("e") - limit) <= near)
+        wanted = keep - below.count()
+        if tied.count() > wanted:
+            tied = ranked(tied, ["vid"], "i").where(F.col("i") <= wanted).drop("i")
         now = cut(below.unionByName(tied).drop("e"))
     return solve_sphere(sphere_sums(now).first().asDict())
 

@@ -686,3 +686,44 @@ def test_window_counts_equal_all_pairs(spark, radius):
     got = volume.window_counts(spark.createDataFrame(cells, "ix int, iy int, iz int"), spark.createDataFrame(tries, "cid long, ix int, iy int, iz int"), radius)
     want = {c: sum(all(abs(a - b) <= radius for a, b in zip(p, at)) for p in cells) for c, *at in tries}
     assert {r["cid"]: r["n"] for r in got.collect()} == want
+
+
+def plain_sets(cells, near):
+    left, sets = set(cells), []
+    while left:
+        todo, got = [left.pop()], set()
+        while todo:
+            c = todo.pop()
+            got.add(c)
+            found = {(c[0] + a, c[1] + b) for a, b in near} & left
+            left -= found
+            todo.extend(found)
+        sets.append(got)
+    return sets
+
+
+FOUR = [(1, 0), (-1, 0), (0, 1), (0, -1)]
+EIGHT = [*FOUR, (1, 1), (1, -1), (-1, 1), (-1, -1)]
+
+
+def test_components_by_runs_equal_flood_filling(spark):
+    rng = random.Random(6)
+    cells = sorted({(rng.randrange(30), rng.randrange(25)) for _ in range(330)})
+    df = spark.createDataFrame(cells, "y int, x int").repartition(3)
+    for near, diagonal in ((FOUR, False), (EIGHT, True)):
+        want = {c: min(y * 25 + x for y, x in part) for part in plain_sets(cells, near) for c in part}
+        assert {(r["y"], r["x"]): r["label"] for r in graph.grid_components(df, ["y", "x"], [30, 25], diagonal).collect()} == want
+
+
+def test_outer_contours_by_hand(spark):
+    """A ring with a dot in its hole, a small square, a line, a diagonal, and a cell at the image's edge."""
+    ring = {(x, y) for x in range(1, 8) for y in range(1, 8) if x in (1, 7) or y in (1, 7)}
+    shapes = [ring | {(4, 4)}, {(10, 1), (11, 1), (10, 2), (11, 2)}, {(10, 5), (11, 5), (12, 5)}, {(14, 1), (15, 2), (16, 3)}, {(0, 11)}, {(10, 8), (11, 8), (10, 9)}]
+    areas, rims = [36.0, 1.0, 0.0, 0.0, 0.0, 0.5], [ring, *shapes[1:]]
+    mask = spark.createDataFrame(sorted(set().union(*shapes)), "x int, y int")
+    got = {}
+    for r in geometry.outer_contours(mask, 17, 12).collect():
+        got.setdefault((r["label"], r["area"]), set()).add((r["x"], r["y"]))
+    assert got == {(min(y * 17 + x for x, y in rim), a): rim for rim, a in zip(rims, areas, strict=True)}
+    assert {tuple(r) for r in geometry.main_contour(mask, 17, 12).collect()} == ring
+    assert geometry.outer_contours(mask.limit(0), 17, 12).count() == 0
