@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import graph, recon, volume
+from ..operators import geometry, graph, recon, volume
 from . import query
 from .carriers import COLS, FAN, POLAR, ROWS, VOXEL, cells_sql, frames, polar, read, rnd, sample_sql
 
@@ -153,6 +153,15 @@ def largest_component_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.largest_component(cells, ["y", "x"], [frames(stack) * 16, 64], True)
 
 
+@query()
+def outer_contours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outer borders of the bright sets of one tall image of all vectors, each with its cells and the area it encloses."""
+    stack = polar(spark, sf_dir)
+    cells = stack.where("v > 0.17").select(F.col("p").alias("x"), (F.col("k") * 16 + F.col("r")).alias("y"))
+    each = geometry.outer_contours(cells, 64, frames(stack) * 16)
+    return each.groupBy("label").agg(F.count(F.lit(1)).alias("cells"), F.max("area").alias("area"))
+
+
 @query(_label_sql(f"{BLOCK}, c AS (SELECT ix, iy, iz, (ix * {ROWS} + iy) * {COLS} + iz AS id FROM blk WHERE v < 6)", "ix, iy, iz", "abs(a.ix - b.ix) + abs(a.iy - b.iy) + abs(a.iz - b.iz) = 1"))
 def largest_component_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.largest_component(_block(spark, sf_dir).where("v < 6"), ["ix", "iy", "iz"], list(_shape(spark, sf_dir)), False)

@@ -727,3 +727,22 @@ def test_outer_contours_by_hand(spark):
     assert got == {(min(y * 17 + x for x, y in rim), a): rim for rim, a in zip(rims, areas, strict=True)}
     assert {tuple(r) for r in geometry.main_contour(mask, 17, 12).collect()} == ring
     assert geometry.outer_contours(mask.limit(0), 17, 12).count() == 0
+
+
+def test_outer_contours_of_all_vectors_by_flood_filling(spark, sf_dir):
+    """The query's rows against plain flood filling of the same image."""
+    from sweepgrid.queries import QUERIES
+    from sweepgrid.queries.carriers import frames, polar
+
+    stack = polar(spark, sf_dir)
+    high, wide = frames(stack) * 16, 64
+    on = {(r["p"], r["k"] * 16 + r["r"]) for r in stack.where("v > 0.17").select("k", "r", "p").collect()}
+    whole = {(x, y) for x in range(-1, wide + 1) for y in range(-1, high + 1)}
+    outside = next(s for s in plain_sets(whole - on, FOUR) if (-1, -1) in s)
+    want = {}
+    for part in plain_sets(whole - outside, EIGHT):
+        squares = {(x - a, y - b) for x, y in part for a in (0, 1) for b in (0, 1)}
+        area = sum({4: 1.0, 3: 0.5}.get(sum((x + a, y + b) in part for a in (0, 1) for b in (0, 1)), 0.0) for x, y in squares)
+        rim = sum(any((x + a, y + b) in outside for a, b in FOUR) for x, y in part)
+        want[min(y * wide + x for x, y in part)] = (rim, area)
+    assert {r["label"]: (r["cells"], r["area"]) for r in QUERIES["outer_contours"](spark, sf_dir).collect()} == want
