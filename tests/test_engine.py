@@ -161,6 +161,29 @@ def test_nrrd_round_trip(spark, tmp_path):
     assert fields["sizes"] == "4 3 5" and fields["space origin"] == "(-0.4,-0.2,0.0)"
 
 
+@pytest.mark.parametrize(("bits", "compress"), [(32, True), (32, False), (16, True)])
+def test_nrrd_segments_make_one_plain_file(spark, tmp_path, bits, compress):
+    """Segments smaller than a plane, some without cells: any gzip reader takes the file, and each is read by its own task."""
+    rng, n = np.random.default_rng(3), (7, 5, 6)
+    want = np.zeros(n)
+    for x, y, z in rng.integers(0, (7, 5, 3), (60, 3)):
+        want[x, y, z] = rng.integers(1, 200)
+    rows = [("b", *map(int, i), float(want[tuple(i)])) for i in np.argwhere(want)] + [("c", 6, 4, 5, 9.0)]
+    vox = spark.createDataFrame(rows, "vol_id string, ix int, iy int, iz int, v double")
+    nrrd.write_nrrd(vox, str(tmp_path), n, 0.5, bits=bits, compress=compress, segment=16)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["b.nrrd", "c.nrrd"]
+    got, fields = nrrd.decode((tmp_path / "b.nrrd").read_bytes())
+    assert fields["encoding"] == ("gzip" if compress else "raw") and np.array_equal(got, want)
+    back = nrrd.read_nrrd(spark, str(tmp_path))
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    assert back.rdd.getNumPartitions() == (28 if compress else 2)
+
+
+def test_nrrd_cell_outside_raises(spark, tmp_path):
+    with pytest.raises(Exception, match="outside of its volume"):
+        nrrd.write_nrrd(spark.createDataFrame([(0, 0, 5, 1.0)], "ix int, iy int, iz int, v double"), str(tmp_path), (4, 3, 5), 0.2, vol_id="a")
+
+
 def test_config_layers(tmp_path):
     p = tmp_path / "c.json"
     p.write_text(json.dumps({"raw": {"a": 2}}))
