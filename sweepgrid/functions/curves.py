@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 from .quantiles import ranked
 
 
-def along_curve(points: DataFrame, axes: Sequence[str], size: int, out: str, bits: int = 20) -> DataFrame:
+def along_curve(points: DataFrame, axes: Sequence[str], size: int, out: str, bits: int = 20, one_scale: bool = False) -> DataFrame:
     """points (vid unique and not null) with out: parts of size points each, from 0, in Morton order of their box.
 
+    one_scale: of a cube around them, so that parts of a long sheet are short pieces of it and not long strips.
+
     Ranks make the parts equally large however points crowd; points of one cell are told apart by vid. A missing
     coordinate counts as the lowest.
     """
     lows = points.agg(*(f(F.col(a).cast("double")).alias(f"{n}{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    spans = [(lows[f"hi{a}"] or 0.0) - (lows[f"lo{a}"] or 0.0) for a in axes]
     scaled = {}
     for i, a in enumerate(axes):
-        span = (lows[f"hi{a}"] or 0.0) - (lows[f"lo{a}"] or 0.0)
+        span = max(spans) if one_scale else spans[i]
         at = (F.col(a) - F.lit(lows[f"lo{a}"])) / F.lit(span) * (2**bits - 1) if span else F.lit(0.0)
         scaled[f"__c{i}"] = F.floor(F.coalesce(at, F.lit(0.0))).cast("long")
     code = F.lit(0).cast("long")

@@ -80,8 +80,11 @@ PART = 16_384
 
 
 def space_parts(points: DataFrame, axes: Sequence[str], size: int = PART) -> DataFrame:
-    """(vid, part): parts of size points each along a space-filling curve; points without a number are left out."""
-    return along_curve(points.where("vid IS NOT NULL").select("vid", *axes), axes, size, "part").select("vid", "part")
+    """(vid, part): parts of size points each along a space-filling curve; points without a number are left out.
+
+    All axes have one scale: parts are compact as distances are, so that a way seldom crosses the same border again.
+    """
+    return along_curve(points.where("vid IS NOT NULL").select("vid", *axes), axes, size, "part", one_scale=True).select("vid", "part")
 
 
 def _links_of_part(key: tuple, t: pa.Table) -> pa.Table:

@@ -654,6 +654,23 @@ def test_space_parts_are_of_one_size(spark):
     assert graph.space_parts(spark.createDataFrame([], "vid long, x double, y double, z double"), "xyz").count() == 0
 
 
+def test_geodesic_rounds_grow_with_the_parts_of_a_long_sheet(spark, monkeypatch):
+    """600 x 4 vertices with rough heights in parts of 300: about a round a part, though ways cross the middle of the sheet all the time."""
+    rng, n, m = random.Random(7), 600, 4
+    at = {i * m + j: (float(i), float(j), rng.gauss(0, 0.5)) for i in range(n) for j in range(m)}
+    tri = [t for i in range(n - 1) for j in range(m - 1) for a in [i * m + j] for t in ((a, a + m, a + 1), (a + 1, a + m, a + m + 1))]
+    v = spark.createDataFrame([(k, *p) for k, p in at.items()], "vid long, x double, y double, z double")
+    f = spark.createDataFrame([(i, *t) for i, t in enumerate(tri)], "fid long, v0 long, v1 long, v2 long")
+    links, cuts = {}, []
+    for t in tri:
+        for a in t:
+            links.setdefault(a, []).extend((b, math.dist(at[a], at[b])) for b in t if b != a)
+    monkeypatch.setattr(graph, "cut", lambda df: cuts.append(0) or df.checkpoint())
+    got = mesh.geodesic(f, v, spark.createDataFrame([(0,)], "vid long"), 300)
+    assert {r["vid"]: r["d"] for r in got.collect()} == pytest.approx(plain_distances(links, {0}), abs=1e-9)
+    assert len(cuts) <= 2 + 2 * 8
+
+
 @pytest.mark.parametrize("size", [37, 1_000_000])
 def test_increasing_over_ranges_equals_the_fold(spark, size):
     """One series with most rows, some of one row, nulls and a null key; ties and falls in all of them."""
