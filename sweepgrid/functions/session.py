@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,3 +50,14 @@ def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def afresh(df: DataFrame) -> DataFrame:
+    """df written under the shared folder and read again: as cut, but with sizes that are measured.
+
+    A checkpoint hands on the estimate of its plan. Joins multiply estimates, so a loop that joins what it made with itself
+    squares them in each round, until the driver cannot hold the number.
+    """
+    at = f"{shared_dir(df.sparkSession)}/afresh-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.curves import along_curve
-from ..functions.session import cut
+from ..functions.session import afresh, cut
 
 ROUNDS = 64
 
@@ -19,7 +19,7 @@ ROUNDS = 64
 def hook_components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, label): the smallest node of each component of edges (u, v), by alternating stars.
 
-    Rounds are logarithmic in the longest path; each cuts its lineage with a checkpoint.
+    Rounds are logarithmic in the longest path; each is written and read again.
     """
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
@@ -29,7 +29,7 @@ def hook_components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         large = both.join(low, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         joined = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        now = cut(small.where("u <> v").distinct())
+        now = afresh(small.where("u <> v").distinct())
         state = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
@@ -163,7 +163,7 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, parts: DataFrame, rounds:
         inbox = least.groupBy("part").agg(F.collect_list(F.struct("vid", "x")).alias("m")).select("part", F.col("m.vid").alias("vid"), F.col("m.x").alias("x"))
         asked = links.join(inbox, "part").join(state.select("part", "d"), "part", "left")
         idle = state.join(inbox, "part", "left_anti").select("part", "vids", "d", *(F.array().cast(f"array<{t}>").alias(n) for n, t in (("to", "long"), ("vid", "long"), ("x", "double"))))
-        state = cut(asked.mapInArrow(search, kind).unionByName(idle))
+        state = afresh(asked.mapInArrow(search, kind).unionByName(idle))
         came = state.where("size(to) > 0").select(F.explode(F.arrays_zip("to", "vid", "x")).alias("m")).select(F.col("m.to").alias("part"), F.col("m.vid").alias("vid"), F.col("m.x").alias("x"))
         if came.isEmpty():
             return state.select("vids", "d").mapInArrow(_distances, "vid long, d double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import clip, cross, dot, norm
 from ..functions.scans import running_sum
-from ..functions.session import cut
+from ..functions.session import afresh, cut
 from .graph import PART, shortest_paths, space_parts
 
 XYZ = ("x", "y", "z")
@@ -106,7 +106,7 @@ def smooth_scalar(faces: DataFrame, values: DataFrame, rounds: int = 5, alpha: f
     ring, now = cut(one_ring(faces)), values.select("vid", F.col("v").cast("double").alias("v"))
     for _ in range(rounds):
         mean = ring.join(now.withColumnRenamed("vid", "near"), "near").groupBy("vid").agg(F.avg("v").alias("m"))
-        now = cut(now.join(mean, "vid", "left").select("vid", (F.col("v") + alpha * (F.coalesce("m", "v") - F.col("v"))).alias("v")))
+        now = afresh(now.join(mean, "vid", "left").select("vid", (F.col("v") + alpha * (F.coalesce("m", "v") - F.col("v"))).alias("v")))
     return now
 
 
@@ -146,7 +146,7 @@ def sinc_weights(rounds: int, pass_band: float) -> list[float]:
 def windowed_sinc(faces: DataFrame, vertices: DataFrame, rounds: int = 15, pass_band: float = 0.1) -> DataFrame:
     """Vertices smoothed by a windowed-sinc filter of the ring Laplacian; boundary vertices move along with it.
 
-    One ring join for each round; lineage is cut by a checkpoint.
+    One ring join for each round, which is written and read again.
     """
     c = sinc_weights(rounds, pass_band)
     ring = cut(one_ring(faces))
@@ -165,7 +165,7 @@ def windowed_sinc(faces: DataFrame, vertices: DataFrame, rounds: int = 15, pass_
     for i in range(2, rounds + 1):
         nxt = mean_step(state, [f"q_{x}" for x in cols])
         nxt = nxt.withColumns({f"t_{x}": 2.0 * (2.0 * F.col(f"m_q_{x}") - F.col(f"q_{x}")) - F.col(f"p_{x}") for x in cols})
-        state = cut(nxt.select("vid", *(F.col(f"q_{x}").alias(f"p_{x}") for x in cols), *(F.col(f"t_{x}").alias(f"q_{x}") for x in cols), *((F.col(f"s_{x}") + c[i] * F.col(f"t_{x}")).alias(f"s_{x}") for x in cols)))
+        state = afresh(nxt.select("vid", *(F.col(f"q_{x}").alias(f"p_{x}") for x in cols), *(F.col(f"t_{x}").alias(f"q_{x}") for x in cols), *((F.col(f"s_{x}") + c[i] * F.col(f"t_{x}")).alias(f"s_{x}") for x in cols)))
     return state.select("vid", *(F.col(f"s_{x}").alias(x) for x in cols))
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sweepgrid.functions import names, scalars, scans
+from sweepgrid.functions import names, scalars, scans, session
 from sweepgrid.operators import geometry, graph, mesh, pointcloud, recon, registration, seam, volume
 from sweepgrid.queries.mesh import _sphere
 from sweepgrid.sources import nrrd, records
@@ -665,10 +665,11 @@ def test_geodesic_rounds_grow_with_the_parts_of_a_long_sheet(spark, monkeypatch)
     for t in tri:
         for a in t:
             links.setdefault(a, []).extend((b, math.dist(at[a], at[b])) for b in t if b != a)
-    monkeypatch.setattr(graph, "cut", lambda df: cuts.append(0) or df.checkpoint())
+    monkeypatch.setattr(graph, "afresh", lambda df: cuts.append(0) or session.afresh(df))
     got = mesh.geodesic(f, v, spark.createDataFrame([(0,)], "vid long"), 300)
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 1 << 40  # was a number of 2 ** rounds digits
     assert {r["vid"]: r["d"] for r in got.collect()} == pytest.approx(plain_distances(links, {0}), abs=1e-9)
-    assert len(cuts) <= 2 + 2 * 8
+    assert 8 <= len(cuts) <= 2 * 8
 
 
 @pytest.mark.parametrize("size", [37, 1_000_000])
@@ -786,3 +787,43 @@ def test_outer_contours_of_all_vectors_by_flood_filling(spark, sf_dir):
         rim = sum(any((x + a, y + b) in outside for a, b in FOUR) for x, y in part)
         want[min(y * wide + x for x, y in part)] = (rim, area)
     assert {r["label"]: (r["cells"], r["area"]) for r in QUERIES["outer_contours"](spark, sf_dir).collect()} == want
+
+
+@pytest.mark.parametrize(("n", "sigma", "block"), [(7, 3.0, 1024), (50, 1.5, 16), (300, 30.0, 8), (300, 2.0, 40)])
+def test_gaussian_by_blocks_equals_a_plain_sum(spark, monkeypatch, n, sigma, block):
+    """Radii beyond the circle, blocks that do not divide it, many taps; an absent frame and a null."""
+    monkeypatch.setattr(recon, "BLOCK", block)
+    rng = random.Random(n)
+    rows = [(k, r, p, None if (k, r) == (1, 1) else rng.random()) for k in range(n) for r in range(2) for p in (0, 3, 17) if k != 4]
+    want = {}
+    for k, r, p, v in rows:
+        for o, w in recon.gaussian_weights(sigma):
+            at = ((k + o) % n, r, p)
+            want[at] = want.get(at, 0.0) + w * (v or 0.0)
+    got = recon.gaussian_theta(spark.createDataFrame(rows, "k int, r int, p int, v double"), n, sigma)
+    assert got.dtypes == [("k", "int"), ("r", "int"), ("p", "int"), ("v", "double")]
+    assert {(x["k"], x["r"], x["p"]): x["v"] for x in got.collect()} == pytest.approx(want, abs=1e-12)
+
+
+def test_gaussian_sends_no_row_for_each_tap(spark):
+    stack = spark.range(4000).select(F.col("id").cast("int").alias("k"), F.lit(0).alias("r"), F.lit(0).alias("p"), F.rand(1).alias("v"))
+    got = recon.gaussian_theta(stack, 4000, 100.0)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    assert "FlatMapGroupsInArrow" in text and "partial_sum" not in text
+
+
+def test_radius_stats_leave_points_where_they_are(spark):
+    """Nothing is shuffled by segment but partial sums, even where the planner would not broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [("a", 0.0, 0.0, 0.0), ("a", 2.0, 0.0, 0.0), ("b", 5.0, 1.0, 1.0), (None, 9.0, 9.0, 9.0)]
+        got = pointcloud.radius_stats(spark.createDataFrame(rows, "seg string, x double, y double, z double"))
+        found = {r["seg"]: r for r in got.collect()}
+        text = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found.keys() == {"a", "b"} and found["a"]["n"] == 2 and found["a"]["mean_r"] == 1.0 and found["a"]["band_pct"] == 100.0 and found["b"]["std_r"] == 0.0
+    assert text.count("BroadcastHashJoin") >= 2
