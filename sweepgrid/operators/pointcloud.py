@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.curves import along_curve
 from ..functions.quantiles import exact_percentile, ranked
 from ..functions.scalars import clip, norm, num
-from ..functions.session import SETTINGS_ROWS, cut
+from ..functions.session import SETTINGS_ROWS, beside, cut
 from .volume import covariance, eigen
 
 XYZ = ("x", "y", "z")
@@ -34,14 +34,15 @@ def subsample(points: DataFrame, every: int) -> DataFrame:
 def radius_stats(points: DataFrame, tolerance: float = 0.05, by: Sequence[str] = ("seg",)) -> DataFrame:
     """by, n, mean_r, std_r (0 for one point), min_r, max_r, band_pct: share of points within tolerance of the mean radius.
 
-    Centres and means come back by joins that the engine broadcasts while the segments are few.
+    Centres and means are written, counted and broadcast while the segments are few, so points stay where they are read.
     """
-    centred = points.join(centroids(points, by).drop("n"), list(by))
+    centred = beside(points, cut(centroids(points, by).drop("n")), by)
     radii = centred.select(*by, distance([F.col("cx"), F.col("cy"), F.col("cz")]).alias("d"))
     stats = radii.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_r"), F.coalesce(F.stddev_samp("d"), F.lit(0.0)).alias("std_r"), F.min("d").alias("min_r"), F.max("d").alias("max_r")
     )
-    within = radii.join(stats.select(*by, "mean_r"), list(by))
+    stats = cut(stats)
+    within = beside(radii, stats.select(*by, "mean_r"), by)
     inside = F.col("d").between(F.col("mean_r") * (1 - tolerance), F.col("mean_r") * (1 + tolerance))
     band = within.groupBy(*by).agg((F.avg(inside.cast("int")) * 100.0).alias("band_pct"))
     return stats.join(band, list(by))
@@ -225,7 +226,7 @@ def fill_nonfinite(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame
     v = F.col(col).cast("double")
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
     top = df.groupBy(*by).agg(F.coalesce(F.max(F.when(finite, v)) + 1.0, F.lit(0.0)).alias("__top"))
-    rows = df.join(top, list(by)) if by else df.join(F.broadcast(top))
+    rows = beside(df, top, by)
     return rows.withColumn(col, F.when(finite, v).otherwise(F.col("__top"))).drop("__top")
 
 
