@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,19 +53,63 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[tuple[int, flo
     return [(x, y / sum(w)) for x, y in zip(range(-radius, radius + 1), w, strict=True)]
 
 
-def gaussian_taps(sigma: Column, truncate: float = 4.0) -> Column:
-    """The same weights as an array of (o, w), where sigma differs from scan to scan."""
-    radius = F.floor(truncate * sigma + 0.5).cast("int")
-    raw = F.transform(F.sequence(-radius, radius), lambda o: F.struct(o.alias("o"), F.exp(-0.5 * (o / sigma) ** 2).alias("w")))
-    total = F.aggregate(raw, F.lit(0.0), lambda a, x: a + x["w"])
-    return F.transform(raw, lambda x: F.struct(x["o"].alias("o"), (x["w"] / total).alias("w")))
+#: Frames of a block that is smoothed at once, or four radii if these are more; angle columns that go with them; taps up to which they are added one by one.
+BLOCK, TOGETHER, FEW = 1024, 16, 64
+
+
+def _smoothed(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The part of the convolution of lines with weights that all weights reach; by transforms where these are many and values finite."""
+    n = x.shape[1] - len(w) + 1
+    if len(w) > FEW and np.isfinite(x).all():
+        size = 1 << (x.shape[1] - 1).bit_length()
+        return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(w, size), size)[:, len(w) - 1 : len(w) - 1 + n]
+    out = np.zeros((len(x), n))
+    for i, share in enumerate(w):
+        out += share * x[:, i : i + n]
+    return out
 
 
 def gaussian_theta(polar: DataFrame, n: int | Column, sigma: float | Column, by: Sequence[str] = ()) -> DataFrame:
-    """Smoothed along the sweep, around the circle. A frame is sent to the frames it counts for; sums merge from partials."""
-    taps = gaussian_taps(sigma) if isinstance(sigma, Column) else F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in gaussian_weights(sigma)])
-    sent = polar.select(*by, "k", "r", "p", "v", (n if isinstance(n, Column) else F.lit(n)).alias("around"), F.explode(taps).alias("t"))
-    return sent.groupBy(*by, F.pmod(F.col("k") + F.col("t.o"), F.col("around")).cast("int").alias("k"), "r", "p").agg(F.sum(F.col("v") * F.col("t.w")).alias("v"))
+    """Smoothed along the sweep, around the circle. Nulls and absent frames count nothing.
+
+    Frames travel in blocks with the frames that these read on both sides, at most half as many again, however wide the smoothing is.
+    """
+    num_ = lambda x, kind: (x if isinstance(x, Column) else F.lit(x)).cast(kind)
+    rows = polar.select(*by, F.col("k").cast("long").alias("k"), "r", "p", F.col("v").cast("double").alias("v"), num_(n, "long").alias("__n"), num_(sigma, "double").alias("__s"))
+    reach = F.floor(4.0 * F.col("__s") + 0.5)
+    rows = rows.withColumn("__reach", reach).withColumn("__block", F.greatest(F.lit(BLOCK), 4 * F.col("__reach")))
+    turns = F.ceil(F.col("__reach") / F.col("__n"))
+    seen = rows.withColumn("__at", F.explode(F.transform(F.sequence(-turns, turns), lambda m: F.pmod("k", F.col("__n")) + m * F.col("__n"))))
+    first = F.greatest(F.floor((F.col("__at") - F.col("__reach")) / F.col("__block")), F.lit(0))
+    last = F.least(F.floor((F.col("__at") + F.col("__reach")) / F.col("__block")), F.floor((F.col("__n") - 1) / F.col("__block")))
+    sent = seen.withColumns({"__first": first, "__last": last}).where("__first <= __last").withColumn("__b", F.explode(F.sequence("__first", "__last")))
+    groups = [*by, "r", "__b", "__c"]
+    sent = sent.select(*by, "r", "__b", F.floor(F.col("p") / TOGETHER).alias("__c"), "p", "__at", "v", "__n", "__s", "__block")
+    kinds = dict(polar.dtypes)
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        around, s, size = (t.column(c)[0].as_py() for c in ("__n", "__s", "__block"))
+        w = np.array([x for _, x in gaussian_weights(s)])
+        reach, start = len(w) // 2, key[-2].as_py() * size
+        n = min(size, around - start)
+        columns, i = np.unique(t.column("p").to_numpy(), return_inverse=True)
+        at, v, some = t.column("__at").to_numpy() - (start - reach), t.column("v").to_numpy(), t.column("v").is_valid().to_numpy()
+        inside = (at >= 0) & (at < n + 2 * reach)
+        shape = (len(columns), n + 2 * reach)
+
+        def laid(values: np.ndarray, which: np.ndarray) -> np.ndarray:
+            return np.bincount(i[which] * shape[1] + at[which], values[which], shape[0] * shape[1]).reshape(shape)
+
+        def met(which: np.ndarray) -> np.ndarray:
+            sums = np.cumsum(np.pad(laid(np.ones(len(at)), which), ((0, 0), (1, 0))), axis=1)
+            return sums[:, 2 * reach + 1 :] > sums[:, :n]
+
+        got, there, valued = _smoothed(laid(v, inside & some), w), met(inside), met(inside & some)
+        c, k = np.nonzero(there)
+        keys = [pa.array([x.as_py()] * len(k), x.type) for x in key[:-2]]
+        return pa.Table.from_arrays([*keys[:-1], pa.array((k + start).astype(np.int32)), keys[-1], pa.array(columns[c]), pa.array(got[c, k], mask=~valued[c, k])], names=[*by, "k", "r", "p", "v"])
+
+    return sent.groupBy(*groups).applyInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in by), f"k int, r {kinds['r']}, p {kinds['p']}, v double"]))
 
 
 def axis_count(depth_mm: float, voxel_mm: float) -> int:
