@@ -58,16 +58,18 @@ def run(spark: SparkSession, frames: str, volumes: str, reports: str, config: st
     o = SweepOptions(voxel_mm=conf["voxel_mm"], registration=conf["registration"], best_cut=conf["best_cut"], blend_frames=conf["blend_frames"], sigma_theta_deg=conf["sigma_theta_deg"], interp_order=conf["interp_order"], slab_size=conf["slab_size"])
     got = scans.reconstruct(stack, settings, o)
 
-    # Slabs of a scan are written by different tasks: no scan has to fit one.
+    # Slabs of a scan are written by different tasks: no scan has to fit one. A small partition costs a file all the same, so tasks go
+    # by the number of partitions and not of bytes: a given number of them is not coalesced.
     voxels = got.voxels.withColumn("slab", F.floor(F.col("ix") / o.slab_size).cast("int"))
-    replace = lambda df, *by: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
-    replace(voxels.repartition("scan_id", "slab"), "scan_id", "slab").parquet(volumes)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    replace = lambda df, *by: df.repartition(tasks, *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by)
+    replace(voxels, "scan_id", "slab").parquet(volumes)
 
     of = got.scans.select("scan_id", "n", "cut", "score", "depth").join(settings.select("scan_id", "vectors"), "scan_id")
     mine = beside(spark.read.schema(VOXELS).parquet(volumes), of.select("scan_id"), ["scan_id"])
     figures = mine.groupBy("scan_id").agg(F.count(F.lit(1)).alias("cells"), F.sum((F.col("v") != 0).cast("long")).alias("filled"), F.min("v").alias("lowest"), F.max("v").alias("highest"), F.avg("v").alias("mean"))
     lines = cut(of.join(figures, "scan_id", "left"))
-    replace(lines.repartition("scan_id"), "scan_id").parquet(reports)
+    replace(lines, "scan_id").parquet(reports)
     total = lines.agg(F.coalesce(F.sum("vectors"), F.lit(0)), F.coalesce(F.sum("cells"), F.lit(0)), F.count(F.lit(1))).first()
     made = dict(zip(("vectors", "voxels", "scans"), total, strict=True))
     log.info("read %d vectors from %s; wrote %d voxels of %d scans to %s, reports to %s", made["vectors"], frames, made["voxels"], made["scans"], volumes, reports)

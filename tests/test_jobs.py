@@ -47,6 +47,15 @@ def test_volumes_of_new_scans_leave_the_others(spark, tmp_path):
     assert made["split"] == made["whole"] == made["again"] and got["scans"] == 1 and len(made["whole"][1]) == 3
 
 
+def test_small_partitions_are_written_by_many_tasks(spark, tmp_path):
+    """A partition of a few rows costs a file; folders are dealt out to tasks by their number, however few bytes they hold."""
+    spark.read.parquet(f"{DATA}/embeddings.parquet").where("vec_id < 230").write.parquet(f"{tmp_path}/in")
+    made = scan_volumes.run(spark, f"{tmp_path}/in", f"{tmp_path}/v", f"{tmp_path}/r", frames_per_scan=2, depths_mm=[8.0], voxel_mm=2.0, registration=False, slab_size=3)
+    for out, folders in ("r", made["scans"]), ("v", made["scans"] + 1):
+        files = [f for _, _, names in os.walk(tmp_path / out) for f in names if f.startswith("part-")]
+        assert len(files) >= folders >= 8 and len({f.split("-")[1] for f in files}) > 1
+
+
 def test_volumes_of_hard_rows(spark, tmp_path):
     """Missing vectors and values count 0, a row without an id is left out, no rows give nothing."""
     rows = [(0, [1.0, 2.0, None, 4.0], 1), (1, None, None), (5, [1.0, 1.0, 1.0, 1.0], 0), (None, [9.0], 0), (7, [2.0], None)]
