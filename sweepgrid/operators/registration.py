@@ -118,17 +118,48 @@ def shift_rows(polar: DataFrame, shift: Column, rows: int | Column, by: Sequence
     return _two_taps(polar, "r", clip(F.col("r") - shift, 0.0, num(rows) - 1.0), rows, False, by)
 
 
+def _frame_taps(v: np.ndarray, there: np.ndarray, valued: np.ndarray, x: np.ndarray, n: int, wrap: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`_two_taps` of one frame along its last axis (size: n), at positions x that all lines share: values, and where there are pixels and values."""
+    low = np.floor(x).astype(int)
+    out, met, some = np.zeros((len(v), len(x))), np.zeros((len(v), len(x)), bool), np.zeros((len(v), len(x)), bool)
+    for i, w in ((low, 1.0 - (x - low)), (low + 1, x - low)):
+        i = i % n if wrap else np.clip(i, 0, n - 1)
+        out += np.where(valued[:, i], w * v[:, i], 0.0)
+        met |= there[:, i]
+        some |= valued[:, i]
+    return out, met, some
+
+
 def apply_shifts(polar: DataFrame, shifts: DataFrame, rows: int | Column, cols: int | Column, subpixel: bool = True, least: float = 1e-3, by: Sequence[str] = ()) -> DataFrame:
-    """Rolls each frame by its rounded dphi, then moves it by what is left and by dr, where they matter."""
+    """Rolls each frame by its rounded dphi, then moves it by what is left (around the circle) and by dr (the edge repeated), where they matter.
+
+    A frame travels once and both moves are made on it; what it lacks stays out, as with `shift_columns` and `shift_rows`.
+    """
     moved = polar.select(*by, "k", "r", "p", "v", num(rows).alias("rows"), num(cols).alias("cols")).join(shifts.select(*by, "k", "dr", "dphi"), [*by, "k"])
     whole = half_even(F.col("dphi")).cast("int")
     rest = F.col("dphi") - whole
     rolled = moved.select(*by, "k", "r", F.pmod(F.col("p") + whole, F.col("cols")).cast("int").alias("p"), "v", F.when(F.abs(rest) > least, rest).otherwise(0.0).alias("f"), F.when(F.abs(F.col("dr")) > least, F.col("dr")).otherwise(0.0).alias("d"), "rows", "cols")
     if not subpixel:
         return rolled.select(*by, "k", "r", "p", "v")
-    frac = rolled.select(*by, "k", "d", "rows").distinct()
-    turned = shift_columns(rolled, F.col("f"), F.col("cols"), by).join(frac, [*by, "k"])
-    return shift_rows(turned, F.col("d"), F.col("rows"), by)
+    kinds = dict(rolled.dtypes)
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        f, d, h, w = (t.column(c)[0].as_py() for c in ("f", "d", "rows", "cols"))
+        h, w = int(h), int(w)
+        r, p, value = t.column("r").to_numpy(), t.column("p").to_numpy(), t.column("v")
+        shape = (max(h, int(r.max()) + 1), w)
+        v, valued, there = np.zeros(shape), np.zeros(shape, bool), np.zeros(shape, bool)
+        there[r, p], valued[r, p] = True, value.is_valid().to_numpy()
+        v[r, p] = value.fill_null(0.0).to_numpy()
+        turned, met, some = _frame_taps(v, there, valued, (np.arange(w) - f) % w, w, True)
+        there, valued = met & there, some & there
+        sunk, met, some = _frame_taps(turned.T, there.T, valued.T, np.clip(np.arange(shape[0]) - d, 0.0, h - 1.0), h, False)
+        r, p = np.nonzero((met & there.T).T)
+        keys = [pa.array([x.as_py()] * len(r), x.type) for x in key]
+        return pa.Table.from_arrays([*keys, pa.array(r.astype(t.schema.field("r").type.to_pandas_dtype())), pa.array(p.astype(np.int32)), pa.array(sunk.T[r, p], mask=~some.T[r, p])], names=[*by, "k", "r", "p", "v"])
+
+    sent = rolled.withColumn("v", F.col("v").cast("double"))
+    return sent.groupBy(*by, "k").applyInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in (*by, "k", "r")), "p int, v double"]))
 
 
 def register(polar: DataFrame, rows: int, cols: int, reference: int, subpixel: bool = True) -> DataFrame:

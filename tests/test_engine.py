@@ -827,3 +827,20 @@ def test_radius_stats_leave_points_where_they_are(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert found.keys() == {"a", "b"} and found["a"]["n"] == 2 and found["a"]["mean_r"] == 1.0 and found["a"]["band_pct"] == 100.0 and found["b"]["std_r"] == 0.0
     assert text.count("BroadcastHashJoin") >= 2
+
+
+def test_shifts_of_frames_equal_the_steps_one_by_one(spark):
+    """Both moves of a frame at once give what the joins give, also where pixels or values are missing; a frame travels once."""
+    rows = [(k, r, p, None if (k + r + p) % 11 == 3 else float(r * r + 3 * p + k)) for k in range(4) for r in range(6) for p in range(8) if (k, r, p) not in {(0, 2, 3), (1, 0, 0), (1, 0, 1), (1, 5, 7)}]
+    stack = spark.createDataFrame(rows, "k int, r int, p int, v double").withColumn("scan_id", F.col("k") % 2)
+    shifts = spark.createDataFrame([(0, 0, 0.0, 0.0), (1, 1, 0.4, -2.7), (0, 2, -1.25, 3.5), (1, 3, 7.0, 0.0004)], "scan_id int, k int, dr double, dphi double")
+    for by in ((), ("scan_id",)):
+        got = registration.apply_shifts(stack, shifts, 6, 8, by=by)
+        whole = F.bround("dphi", 0).cast("int")
+        rolled = stack.join(shifts, ["scan_id", "k"]).withColumns({"p": F.pmod(F.col("p") + whole, F.lit(8)).cast("int"), "f": F.when(F.abs(F.col("dphi") - whole) > 1e-3, F.col("dphi") - whole).otherwise(0.0)})
+        turned = registration.shift_columns(rolled, F.col("f"), 8, by).join(shifts.select("k", "dr"), "k")
+        want = registration.shift_rows(turned, F.col("dr"), 6, by)
+        columns = [*by, "k", "r", "p", "v"]
+        assert sorted(map(repr, got.select(columns).collect())) == sorted(map(repr, want.select(columns).collect()))
+        assert dict(got.dtypes) == dict(want.dtypes)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
