@@ -178,20 +178,31 @@ def interp_knots(theta: Column, knots: Column, size: int | None = None, most: in
     return F.when(at == 0, 0.0).when(at >= n, (n - 1).cast("double")).otherwise(inside)
 
 
+def among_knots(theta: Column, knots: Sequence[float]) -> Column:
+    """`interp_knots` among knots that all rows share. They go to the tasks as data: one literal a knot would have the planner work longer than the tasks."""
+    table = np.array(knots, float)
+
+    @F.arrow_udf("double")
+    def place(theta: pa.Array) -> pa.Array:
+        x = theta.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(table, x, side="right")  # knots at or before theta
+        lo, hi = table[np.maximum(at, 1) - 1], table[np.minimum(at, len(table) - 1)]
+        inside = (at - 1) + (x - lo) / np.where(hi > lo, hi - lo, 1.0)
+        return pa.array(np.where(at == 0, 0.0, np.where(at >= len(table), len(table) - 1.0, inside)))
+
+    return place(theta)
+
+
 def sample_positions(cells: DataFrame, fan: Fan, knots: list[float], pad: int = 1) -> DataFrame:
     """Adds r_idx, p_idx, k_idx: where each cell falls in the padded stack. knots: angles of the frames."""
     span = max(knots[-1] - knots[0], 1e-6)
     padded = [x - span for x in knots[-pad:]] + list(knots) + [x + span for x in knots[:pad]] if pad else list(knots)
-    # One double per frame: a literal, as the sweep of one scan is.
-    table = F.array(*[F.lit(float(x)) for x in padded])
     theta = clip(F.col("psi") / F.lit(PI2) * F.lit(span) + F.lit(float(knots[0])), padded[0], padded[-1])
-    # The angle is a column of its own, so that it is worked out once for each cell.
-    cells = cells.withColumn("theta", theta)
     return cells.withColumns({
         "r_idx": clip(F.col("r_mm") / F.lit(fan.dr_mm), 0.0, fan.rows - 1 - 1e-3),
         "p_idx": clip((F.col("phi") - F.lit(fan.phi0)) / F.lit(fan.dphi), 0.0, fan.cols - 1 - 1e-3),
-        "k_idx": clip(interp_knots(F.col("theta"), table, len(padded)), 0.0, len(padded) - 1 - 1e-6),
-    }).drop("theta")
+        "k_idx": clip(among_knots(theta, padded), 0.0, len(padded) - 1 - 1e-6),
+    })
 
 
 def scan_positions(cells: DataFrame, pad: int = 1) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_even, num
+from ..functions.scans import increasing
 from ..functions.session import beside
 
 
@@ -165,20 +166,26 @@ def strictly_increasing(values: Column, eps: float = 1e-6) -> Column:
     return F.aggregate(values, F.array().cast("array<double>"), lambda a, x: F.when(F.size(a) == 0, F.array(x)).otherwise(step(a, x)))
 
 
+def _stretched(sweep: DataFrame, dphi_per_px: float | Column, span: float | Column, by: Sequence[str] = ()) -> DataFrame:
+    """(by, k, t): uniform angles less the rounded drift, moved to 0 and stretched to span."""
+    n = Window.partitionBy(*by)
+    base = F.col("span") * F.col("k") / F.count(F.lit(1)).over(n) - half_even(F.col("dphi")) * F.col("per_px")
+    named = sweep.select(*by, "k", "dphi", num(dphi_per_px).alias("per_px"), num(span).alias("span"))
+    moved = named.select(*by, "k", "span", base.alias("t")).withColumn("t", F.col("t") - F.min("t").over(n))
+    return moved.withColumn("t", F.col("t") * F.col("span") / F.greatest(F.max("t").over(n), F.lit(1e-6)))
+
+
 def knot_arrays(sweep: DataFrame, dphi_per_px: float | Column, span: float | Column, by: Sequence[str] = ()) -> DataFrame:
     """(k, dphi) -> one row a scan with knots: uniform angles less the rounded drift, moved to 0, stretched to span and made increasing.
 
     The fold over frames needs them together: one row per frame of one scan.
     """
-    n = Window.partitionBy(*by)
-    base = F.col("span") * F.col("k") / F.count(F.lit(1)).over(n) - half_even(F.col("dphi")) * F.col("per_px")
-    named = sweep.select(*by, "k", "dphi", num(dphi_per_px).alias("per_px"), num(span).alias("span"))
-    moved = named.select(*by, "k", "span", base.alias("t")).withColumn("t", F.col("t") - F.min("t").over(n))
-    moved = moved.withColumn("t", F.col("t") * F.col("span") / F.greatest(F.max("t").over(n), F.lit(1e-6)))
+    moved = _stretched(sweep, dphi_per_px, span, by)
     listed = moved.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "t"))), lambda x: x["t"]).alias("ts"))
     return listed.select(*by, strictly_increasing(F.col("ts")).alias("knots"))
 
 
 def rebuild_knots(sweep: DataFrame, dphi_per_px: float, span: float) -> DataFrame:
-    """The same of one scan as rows (k, theta)."""
-    return knot_arrays(sweep, dphi_per_px, span).select(F.posexplode("knots").alias("k", "theta"))
+    """The same of one scan as rows (k, theta); the fold reads rows, as one that grows an array copies it for each frame."""
+    rows = increasing(_stretched(sweep, dphi_per_px, span), "t", [], ["k"], "theta", "at")
+    return rows.select(F.col("at").cast("int").alias("k"), "theta")

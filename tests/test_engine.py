@@ -844,3 +844,26 @@ def test_shifts_of_frames_equal_the_steps_one_by_one(spark):
         assert sorted(map(repr, got.select(columns).collect())) == sorted(map(repr, want.select(columns).collect()))
         assert dict(got.dtypes) == dict(want.dtypes)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_knots_are_not_in_the_plan(spark):
+    """A sweep of many frames: positions equal the array's, and the plan has no literal for each frame."""
+    n = 3000
+    knots = [2 * math.pi * k / n + 1e-4 * math.sin(k) + 1e-4 for k in range(n)]
+    fan = recon.Fan(20.0, 0.0, math.radians(52.0), 16, 64)
+    cells = spark.createDataFrame([(1.0, 0.1, x) for x in [0.0, 1e-4, knots[1], knots[-1], 6.2831, *(0.013 * i for i in range(480))]], "r_mm double, phi double, psi double")
+    got = recon.sample_positions(cells, fan, knots)
+    assert len(got._jdf.queryExecution().analyzed().toString()) < 20_000
+    span = knots[-1] - knots[0]
+    padded = [knots[-1] - span, *knots, knots[0] + span]
+    theta = F.least(F.greatest(F.col("psi") / (2 * math.pi) * span + knots[0], F.lit(padded[0])), F.lit(padded[-1]))
+    array = spark.createDataFrame([(padded,)], "a array<double>")
+    want = cells.crossJoin(array).select("psi", F.least(recon.interp_knots(theta, F.col("a"), len(padded)), F.lit(n + 1 - 1e-6)).alias("k"))
+    assert sorted(tuple(r) for r in got.select("psi", "k_idx").collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_knots_of_many_frames_fold_rows(spark):
+    """As the array's fold, on drifts that put many angles out of order."""
+    sweep = spark.range(400).select(F.col("id").cast("int").alias("k"), (F.pmod(F.col("id") * 37, F.lit(23)) - 11.0).alias("dphi"))
+    rows = [r["theta"] for r in seam.rebuild_knots(sweep, 0.01, 2 * math.pi).orderBy("k").collect()]
+    assert rows == seam.knot_arrays(sweep, 0.01, 2 * math.pi).first()["knots"] and all(a < b for a, b in zip(rows, rows[1:], strict=False))
