@@ -1,13 +1,17 @@
 """Every query with SQL gives the rows that its SQL gives; the others give rows."""
 
+import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from sweepgrid.queries import ORACLE, QUERIES
+from sweepgrid.queries.mesh import LEVELS
 
 from .conftest import DATA
+from .test_engine import plain_distances
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -48,3 +52,31 @@ def test_strictly_increasing_reads_all_users(spark, duck):
     got = sorted(map(tuple, QUERIES["strictly_increasing"](spark, DATA).collect()))
     assert [r[:2] for r in got] == [r[:2] for r in want]
     assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1e-6)
+
+
+@pytest.fixture(scope="module")
+def long_field(duck, tmp_path_factory):
+    """A table whose height field is longer than the edges that the SQL follows, the last frame not full: its folder, corners, faces and links."""
+    where, m = tmp_path_factory.mktemp("long"), 16
+    duck.execute(f"COPY (SELECT vec_id + 500 * i AS vec_id, embedding, label FROM embeddings, range(4) t(i) WHERE vec_id + 500 * i < 1989) TO '{where}/embeddings.parquet' (FORMAT parquet)")
+    heights = dict(duck.execute(f"SELECT vec_id, 40 * list_avg(embedding::DOUBLE[]) FROM read_parquet('{where}/embeddings.parquet')").fetchall())
+    n = max(heights) // m + 1
+    assert n > LEVELS and len(heights) % m
+    at = {i * m + j: (float(i), float(j), heights.get(i * m + j, 0.0)) for i in range(n) for j in range(m)}
+    tri = [t for i in range(n - 1) for j in range(m - 1) for a in [i * m + j] for t in ((a, a + m, a + 1), (a + 1, a + m, a + m + 1))]
+    links = {}
+    for t in tri:
+        for a in t:
+            links.setdefault(a, []).extend((b, math.dist(at[a], at[b])) for b in t if b != a)
+    return str(where), at, tri, links
+
+
+def test_area_vs_radius_over_a_field_longer_than_its_sql_follows(spark, long_field):
+    folder, at, tri, links = long_field
+    d, steps = plain_distances(links, {0}), {}
+    for a, b, c in tri:
+        radius = max(d[a], d[b], d[c])
+        steps[radius] = steps.get(radius, 0.0) + float(np.linalg.norm(np.cross(np.subtract(at[b], at[a]), np.subtract(at[c], at[a])))) / 2
+    got = sorted(map(tuple, QUERIES["area_vs_radius"](spark, folder).collect()))
+    assert [r[0] for r in got] == pytest.approx(sorted(steps), abs=1e-5)
+    assert [r[1] for r in got] == pytest.approx(np.cumsum([steps[r] for r in sorted(steps)]).tolist(), abs=1e-5)
