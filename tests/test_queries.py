@@ -80,3 +80,20 @@ def test_area_vs_radius_over_a_field_longer_than_its_sql_follows(spark, long_fie
     got = sorted(map(tuple, QUERIES["area_vs_radius"](spark, folder).collect()))
     assert [r[0] for r in got] == pytest.approx(sorted(steps), abs=1e-5)
     assert [r[1] for r in got] == pytest.approx(np.cumsum([steps[r] for r in sorted(steps)]).tolist(), abs=1e-5)
+
+
+def test_geodesic_single_over_a_field_longer_than_its_sql_follows(spark, long_field):
+    """All vertices have their shortest way; the SQL has that of the ways of at most LEVELS edges and no other rows."""
+    folder, at, _, links = long_field
+    got = dict(map(tuple, QUERIES["geodesic_single"](spark, folder).collect()))
+    assert got.keys() == at.keys()
+    assert got == pytest.approx(plain_distances(links, {0}), abs=1e-6)
+    con, near = duckdb.connect(), {0: 0.0}
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet')")
+    for _ in range(LEVELS):
+        for u, d in list(near.items()):
+            for v, w in links[u]:
+                near[v] = min(d + w, near.get(v, math.inf))
+    short = dict(con.execute(ORACLE["geodesic_single"]).fetchall())
+    assert short == pytest.approx(near, abs=1e-6)
+    assert short.keys() < got.keys() and all(got[v] <= short[v] + 1e-6 for v in short)
