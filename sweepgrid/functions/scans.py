@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import SETTINGS_ROWS, cut
@@ -21,17 +22,61 @@ def ranges(df: DataFrame, order: Sequence[str], size: int = RANGE_ROWS) -> DataF
     return cut(placed.sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()))
 
 
+class Total:
+    """A sum with what its roundings lost, kept beside it (Neumaier): the error does not grow with the number of terms."""
+
+    def __init__(self, s: float = 0.0, lost: float = 0.0):
+        self.s, self.lost = s, lost
+
+    def add(self, x: float) -> None:
+        t = self.s + x
+        self.lost += (self.s - t) + x if abs(self.s) >= abs(x) else (x - t) + self.s
+        self.s = t
+
+    def value(self) -> float:
+        return self.s + self.lost if math.isfinite(self.lost) else self.s
+
+
 def running_sum(df: DataFrame, value: str, order: Sequence[str], out: str, size: int = RANGE_ROWS) -> DataFrame:
     """df with the sum of value over all rows up to each in an order that tells rows apart; nulls count as 0.
 
-    Sums of ranges alone pass one task; inside a range a window adds up.
+    Ranges are read as a stream twice, for their sums, of which the driver gets one a range, and to add up from what came
+    before them. All sums are compensated: a plain one is off by about a rounding a row, which showed in rounded results.
     """
-    rows = ranges(df, order, size)
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy("__part").agg(F.sum(value).alias("__s")).select("__part", F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__start"))
-    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = rows.withColumn(out, F.coalesce(F.sum(value).over(within), F.lit(0))).join(F.broadcast(starts), "__part")
-    return summed.withColumn(out, F.col(out) + F.col("__start")).drop("__part", "__start")
+    rows = ranges(df.withColumn("__v", F.col(value).cast("double")), order, size)
+    part, v = rows.columns.index("__part"), rows.columns.index("__v")
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, total = None, Total()
+        for b in batches:
+            for x in b.column(v).drop_null().to_pylist():
+                total.add(x)
+            place = b.column(part)[0].as_py() if place is None and b.num_rows else place
+        if place is not None:
+            yield pa.RecordBatch.from_pylist([{"part": place, "s": total.s, "lost": total.lost}], schema)
+
+    schema = pa.schema([("part", pa.int32()), ("s", pa.float64()), ("lost", pa.float64())])
+    came, total = {}, Total()
+    # One row a range, of which there are at most SETTINGS_ROWS.
+    for r in rows.mapInArrow(totals, "part int, s double, lost double").orderBy("part").collect():
+        came[r["part"]] = total.s, total.lost
+        total.add(r["s"])
+        total.lost += r["lost"]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            done = []
+            for x in b.column(v).to_pylist():
+                total = Total(*came[b.column(part)[0].as_py()]) if total is None else total
+                if x is not None:
+                    total.add(x)
+                done.append(total.value())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(done, pa.float64())], names=[*kept, out])
+
+    kept = [c for c in rows.columns if c not in ("__part", "__v", out)]
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in kept)
+    return rows.mapInArrow(sums, f"{kinds}`{out}` double")
 
 
 class Rise:

@@ -4,6 +4,7 @@ import heapq
 import json
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -703,6 +704,22 @@ def test_running_sum_over_ranges(spark):
     assert {r["i"]: r["s"] for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("size", [700, 1_000_000])
+def test_running_sum_has_no_rounding_of_each_row(spark, size):
+    """Equal to sums without rounding error, to the last bit, where adding row by row is off by a sixth decimal; infinities pass."""
+    rows = [(i, None if i % 501 == 7 else 1e9 if i == 0 else 0.1 * (i % 13)) for i in range(5_000)]
+    got = scans.running_sum(spark.createDataFrame(rows, "i long, x double").repartition(4), "x", ["i"], "s", size)
+    assert got.columns == ["i", "x", "s"]
+    found, exact, plain = {r["i"]: r["s"] for r in got.collect()}, Fraction(), 0.0
+    for i, x in rows:
+        exact, plain = exact + Fraction(x or 0.0), plain + (x or 0.0)
+        assert found[i] == float(exact)
+    assert abs(plain - float(exact)) > 1e-6
+    odd = spark.createDataFrame([(i, x) for i, x in enumerate([1.0, math.inf, 2.0, -math.inf, 3.0])], "i long, x double")
+    assert [repr(r["x"]) for r in scans.running_sum(odd, "x", ["i"], "x", 2).orderBy("i").collect()] == ["1.0", "inf", "inf", "nan", "nan"]
+    assert scans.running_sum(odd.limit(0), "x", ["i"], "s").count() == 0
+
+
 def test_nearest_vertex_equals_all_pairs(spark):
     """Crowded points, copies of one place, ties on a lattice, one far outlier; fiducials inside, outside, at points and nowhere."""
     rng = random.Random(3)
